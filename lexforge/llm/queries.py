@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexforge.llm import exact_dedup, mixing, url_filter
+from lexforge.llm import bpe, exact_dedup, mixing, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op3_bpe": bpe.op3_bpe,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
