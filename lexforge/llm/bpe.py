@@ -196,11 +196,13 @@ class WordBpe:
 
 
 def _tokenizer(held) -> WordBpe:
-    found = _cache.get(held.id) if hasattr(held, "id") else None
-    if found is None:
+    """The tokenizer of a broadcast file, built once for each Python worker."""
+    text = held.value
+    key = hash(text)
+    if key not in _cache:
         _cache.clear()
-        found = _cache[held.id] = WordBpe(held.value)
-    return found
+        _cache[key] = WordBpe(text)
+    return _cache[key]
 
 
 _cache: dict = {}
