@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexforge.llm import bpe, exact_dedup, mixing, url_filter
+from lexforge.llm import bpe, exact_dedup, mixing, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_bpe": bpe.op3_bpe,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
