@@ -18,7 +18,7 @@ from lexforge.llm.common import crc_fold, doc_words
 BITS, SEGMENT_BITS = 20, 4
 SLOTS, SEGMENTS = 1 << BITS, 1 << SEGMENT_BITS
 #: Bias and weights that the calibration starts from, for tables with few labels.
-PRIOR = np.array([-7.0, 1.5, 1.0, 1.0])
+PRIOR = np.array([-9.0, 1.5, 1.0, 0.5])
 
 
 def slots(hashes: np.ndarray) -> np.ndarray:
@@ -70,16 +70,19 @@ def text_features(texts: list, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Logistic regression by Newton steps, with PRIOR as the mean of its weights."""
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by Newton steps, with PRIOR as the mean of its weights. No weight of a
+    feature falls below 0: a more toxic likelihood never lowers the score."""
     a, w = np.column_stack([np.ones(len(x)), x]), PRIOR.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         grad = a.T @ (weight * (p - y)) + ridge * (w - PRIOR)
         hess = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(4)
         step = np.linalg.solve(hess, grad)
+        old = w.copy()
         w -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
-        if np.abs(step).max() < 1e-8:
+        w[1:] = np.maximum(w[1:], 0)
+        if np.abs(w - old).max() < 1e-8:
             break
     return w
 
