@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexforge.llm import bpe, exact_dedup, language_id, mixing, near_dedup, toxicity, url_filter
+from lexforge.llm import bpe, embedding_dedup, exact_dedup, language_id, mixing, near_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_bpe": bpe.op3_bpe,
         "op4_near_dedup": near_dedup.op4_near_dedup,
