@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexforge.llm import bpe, embedding_dedup, exact_dedup, language_id, mixing, near_dedup, toxicity, url_filter
+from lexforge.llm import bpe, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_bpe": bpe.op3_bpe,
         "op4_near_dedup": near_dedup.op4_near_dedup,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_language_id": language_id.op6_language_id,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
