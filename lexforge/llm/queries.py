@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexforge.llm import bpe, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, toxicity, url_filter
+from lexforge.llm import bpe, embedding_dedup, exact_dedup, language_id, line_dedup, lm_scoring, mixing, near_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_language_id": language_id.op6_language_id,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_lm_scoring": lm_scoring.op9_lm_scoring,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
