@@ -205,7 +205,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
         most = most.select("bucket", F.col("top.component").alias("top"), F.ceil(F.col("size") / block).alias("rights"), F.ceil((F.col("size") - F.col("top.n")) / block).alias("lefts"))
         wide = wide.join(most, "bucket").withColumn("is_left", F.col("component") != F.col("top"))
         slot = lambda c: F.pmod(F.xxhash64("doc_id", F.lit(c)), F.col(c)).cast("long")
-        over = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).cast("long")
+        over = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
         keep = ["bucket", "doc_id", "component", "is_left"]
         lefts = wide.where("is_left").select(*keep, slot("lefts").alias("i"), over("rights").alias("j"))
         rights = wide.select(*keep[:3], F.lit(False).alias("is_left"), over("lefts").alias("i"), slot("rights").alias("j"))
