@@ -58,42 +58,71 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return h
 
 
-_GRID = np.linspace(0.0, 1.0, 201)
-
-
 def likely_similarity(above: np.ndarray, below: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
     """Maximum-likelihood similarities from how many registers of the first sketch are above and below
-    the second's, given both set sizes."""
-    u = (n1 / (n1 + n2))[:, None]
+    the second's, given both set sizes.
+
+    With u and v the sets' shares of n1 + n2, a register is above with probability u - v J, below with
+    v - u J, and equal with J, up to the base's closeness to 1; the likelihood's derivative is zero
+    at the smaller root of a quadratic."""
+    u = n1 / (n1 + n2)
     v = 1 - u
-    top = np.minimum(u / v, v / u)
-    j = _GRID[None, :] * top
-    p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
-    up, down = p(u - v * j), p(v - u * j)
-    same = np.clip(1 - up - down, 1e-12, 1)
-    level = REGISTERS - above - below
-    score = above[:, None] * np.log(np.maximum(up, 1e-12)) + below[:, None] * np.log(np.maximum(down, 1e-12)) + level[:, None] * np.log(same)
-    return j[np.arange(len(j)), score.argmax(axis=1)]
+    equal = REGISTERS - above - below
+    b = equal * (u * u + v * v) + v * v * above + u * u * below
+    return (b - np.sqrt(np.maximum(b * b - 4 * (u * v) ** 2 * REGISTERS * equal, 0))) / (2 * u * v * REGISTERS)
+
+
+def likely_pairs(sketches: np.ndarray, size: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
+    """[n, n] pairs with a left member whose likely similarity is not 0.2 or more under the limit."""
+    n = len(size)
+    near = np.zeros((n, n), bool)
+    for i in range(n - 1):
+        equal = (sketches[i + 1 :] == sketches[i]).sum(axis=1)
+        fits = 100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i])
+        cand = np.flatnonzero((equal >= 0.5 * REGISTERS) & fits & (left[i + 1 :] | left[i])) + i + 1
+        if len(cand):
+            above, below = (sketches[i] > sketches[cand]).sum(axis=1), (sketches[i] < sketches[cand]).sum(axis=1)
+            near[i, cand] = likely_similarity(above, below, np.full(len(cand), size[i]), size[cand]) >= percent / 100 - 0.2
+    return near | near.T
+
+
+def shared_counts(sets: list[np.ndarray], most_s: float, columns: int = 4096) -> np.ndarray | None:
+    """[n, n] sizes of all intersections, from matrix products over the items that two sets or more
+    have; None if that takes more than most_s seconds, at about 10^10 products a second."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, item, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    some = count[item] > 1
+    item, owner = number[item[some]], owner[some]
+    kinds = int(number[-1]) + 1 if len(number) else 0
+    if n * n * kinds / 1e10 > most_s:
+        return None
+    order = np.argsort(item, kind="stable")
+    item, owner = item[order], owner[order]
+    out = np.zeros((n, n), np.float32)
+    for first in range(0, kinds, columns):
+        a, b = np.searchsorted(item, (first, first + columns))
+        block = np.zeros((n, min(columns, kinds - first)), np.float32)
+        block[owner[a:b], item[a:b] - first] = 1
+        out += block @ block.T
+    return out
 
 
 def links(sketches: np.ndarray, sets: list[np.ndarray], seed: np.ndarray, left: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join everything which similarities of `percent` or more join, as a forest.
 
     seed: component numbers known already; pairs inside one are not looked at, and pairs need a
-    member that is marked left. Nodes with many likely partners go first, so copies of one text
-    usually need one verification each. Every pair whose likely similarity is not at least 0.2 under
-    the limit is verified on the full sets unless its ends are joined by then."""
+    member that is marked left. Likely pairs are verified on the full sets unless their ends are
+    joined by then, those of the members with most likely partners first, so copies of one text
+    usually need one verification each; where many pairs are likely and the sets are alike, all
+    intersections come from matrix products instead."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.float64)
-    near = np.zeros((n, n), bool)
-    for i in range(n):
-        equal = (sketches == sketches[i]).sum(axis=1)
-        cand = np.flatnonzero((equal >= 0.5 * REGISTERS) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])) & (left | left[i]))
-        cand = cand[cand > i]
-        if len(cand):
-            above, below = (sketches[i] > sketches[cand]).sum(axis=1), (sketches[i] < sketches[cand]).sum(axis=1)
-            good = likely_similarity(above, below, np.full(len(cand), size[i]), size[cand]) >= percent / 100 - 0.2
-            near[i, cand[good]] = near[cand[good], i] = True
+    near = likely_pairs(sketches, size, left, percent)
+    exact = shared_counts(sets, 2e-5 * (near.sum() // 2) * max(1.0, size.mean() / 500)) if near.any() else None
+    if exact is not None:
+        near &= 100 * exact >= percent * (size[:, None] + size[None, :] - exact)
     forest = Forest(n)
     first: dict = {}
     for i, c in enumerate(seed.tolist()):
@@ -103,10 +132,12 @@ def links(sketches: np.ndarray, sets: list[np.ndarray], seed: np.ndarray, left:
         for j in np.flatnonzero(near[i]):
             near[j, i] = False
             if forest.root(i) != forest.root(j):
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    forest.join(i, j)
-                    out.append((int(i), int(j)))
+                if exact is None:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both < percent * (len(sets[i]) + len(sets[j]) - both):
+                        continue
+                forest.join(i, j)
+                out.append((int(i), int(j)))
     return out
 
 
