@@ -13,9 +13,12 @@ seat it alike without asking."""
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +27,9 @@ from lexforge.llm.bpe import text_runs
 from lexforge.llm.common import crc_fold_py, doc_words, dropped, mix64, written
 
 U = np.uint64
-START, END = U(0x452821E638D01377), U(0xBE5466CF34E90C6C)
+#: Keys are the upper 56 bits of 64-bit hashes.
+KEY = ~U(0xFF)
+START, END = U(0x452821E638D01377) & KEY, U(0xBE5466CF34E90C6C) & KEY
 CHUNK = 1 << 21  # tokens; a single longer text is a chunk of its own
 STRENGTH = 1.0
 WORDS, CELLS = 0, 1
@@ -44,12 +49,21 @@ def unplanes(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(k, -1).T).view(dtype).ravel() if len(b) else np.zeros(0, dtype)
 
 
+def squeeze(b: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b)
+
+
+def loosen(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    return planes(np.diff(keys, prepend=U(0)))
+    """Sorted 56-bit keys as differences."""
+    return squeeze(planes(np.diff(keys, prepend=U(0)) >> U(8)))
 
 
 def unpack_keys(b: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(b, np.uint64), dtype=np.uint64)
+    return np.cumsum(unplanes(loosen(b), np.uint64), dtype=np.uint64) << U(8)
 
 
 # --- chunks ---------------------------------------------------------------------
@@ -63,8 +77,8 @@ def chunks(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
         ids, sizes, train, parts, total = [], [], [], [], 0
 
         def flush():
-            words, tokens = np.unique(np.concatenate(parts), return_inverse=True)
-            row = [base + k, np.array(ids, np.int64).tobytes(), np.array(sizes, np.int32).tobytes(), np.array(train, np.uint8).tobytes(), pack_keys(words), planes(tokens.astype(np.uint32))]
+            words, tokens = np.unique(np.concatenate(parts) & KEY, return_inverse=True)
+            row = [base + k, np.array(ids, np.int64).tobytes(), np.array(sizes, np.int32).tobytes(), np.array(train, np.uint8).tobytes(), pack_keys(words), squeeze(planes(tokens.astype(np.uint32)))]
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["chunk", "ids", "sizes", "train", "words", "tokens"])
 
         for batch in batches:
@@ -100,7 +114,7 @@ class Chunk:
         words = unpack_keys(row["words"])
         start = int(np.searchsorted(words, START))
         self.word_keys = np.insert(words, start, START)
-        tokens = unplanes(row["tokens"], np.uint32).astype(np.int64)
+        tokens = unplanes(loosen(row["tokens"]), np.uint32).astype(np.int64)
         self.tokens = tokens + (tokens >= start)
         self.start = start
         first = np.cumsum(self.sizes) - self.sizes
@@ -113,7 +127,7 @@ class Chunk:
         n = len(self.word_keys)
         pair, self.inverse = np.unique(ctx * n + self.tokens, return_inverse=True)
         ctx, word = pair // n, pair % n
-        key = mix64(self.word_keys[ctx] * U(3) ^ self.word_keys[word])
+        key = mix64(self.word_keys[ctx] * U(3) ^ self.word_keys[word]) & KEY
         order = np.argsort(key)
         self.cell_keys, self.ctx, self.word = key[order], ctx[order], word[order]
         back = np.empty_like(order)
@@ -138,7 +152,7 @@ def asked(chunk: int, kind: int, keys: np.ndarray, numbers: list[np.ndarray], bi
     at = np.concatenate([np.searchsorted(keys, (np.arange(1 << bits, dtype=np.uint64) << U(64 - bits))), [len(keys)]])
     some = np.flatnonzero(np.diff(at))
     blobs = [pack_keys(keys[at[i] : at[i + 1]]) for i in some]
-    nums = [b"".join(planes(x[at[i] : at[i + 1]]) for x in numbers) for i in some]
+    nums = [squeeze(b"".join(planes(x[at[i] : at[i + 1]]) for x in numbers)) for i in some]
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int64()), pa.array([chunk] * len(some), pa.int64()), pa.array(blobs, pa.binary()), pa.array(nums, pa.binary())], names=["kind", "bucket", "chunk", "keys", "numbers"])
 
 
@@ -152,7 +166,8 @@ def answered(ask: DataFrame, columns: int, make) -> DataFrame:
         each = [unpack_keys(b) for b in frame["keys"]]
         sizes = np.array([len(e) for e in each])
         keys = np.concatenate(each)
-        nums = [np.concatenate([unplanes(b[4 * n * c : 4 * n * (c + 1)], np.uint32) for b, n in zip(frame["numbers"], sizes, strict=True)]) for c in range(columns)]
+        plain = [loosen(b) for b in frame["numbers"]]
+        nums = [np.concatenate([unplanes(b[4 * n * c : 4 * n * (c + 1)], np.uint32) for b, n in zip(plain, sizes, strict=True)]) for c in range(columns)]
         order = np.argsort(keys, kind="stable")
         sorted_keys = keys[order]
         new = np.diff(sorted_keys, prepend=~sorted_keys[:1]) != 0
@@ -167,7 +182,7 @@ def answered(ask: DataFrame, columns: int, make) -> DataFrame:
         if kind == CELLS:
             cols.append(owner)
         at = np.concatenate([[0], np.cumsum(sizes)])
-        blobs = [b"".join(planes(c[a:b]) for c in cols) for a, b in zip(at[:-1], at[1:], strict=True)]
+        blobs = [squeeze(b"".join(planes(c[a:b]) for c in cols)) for a, b in zip(at[:-1], at[1:], strict=True)]
         rows = pd.DataFrame({"chunk": frame["chunk"], "kind": kind, "bucket": bucket, "numbers": blobs, "stats": None})
         return pd.concat([rows, pd.DataFrame({"chunk": [-1], "kind": [kind], "bucket": [bucket], "numbers": [b""], "stats": [stats]})])
 
@@ -176,7 +191,7 @@ def answered(ask: DataFrame, columns: int, make) -> DataFrame:
 
 def told(frame: pd.DataFrame, kind: int, columns: int) -> list[np.ndarray]:
     """A chunk's answers in the order of its keys."""
-    mine = frame[frame["kind"] == kind].sort_values("bucket")["numbers"].tolist()
+    mine = [loosen(b) for b in frame[frame["kind"] == kind].sort_values("bucket")["numbers"]]
     return [np.concatenate([np.zeros(0, np.uint32), *(unplanes(b[len(b) // columns * c : len(b) // columns * (c + 1)], np.uint32) for b in mine)]).astype(np.int64) for c in range(columns)]
 
 
@@ -245,7 +260,9 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
 
     def step(df, name):
         out = written(df, name)
-        spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the last step's shuffle files
+        del df
+        gc.collect()  # what no plan refers to any more, Spark's cleaner deletes: the shuffle files of this step
+        spark.sparkContext._jvm.System.gc()
         return out
 
     state = step(chunks(rows, folds, held_out), "lm-chunks")
@@ -286,7 +303,7 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         cells = b"".join(planes(x[many].astype(t)) for x, t in ((c.cell_keys, np.uint64), (c.ctx, np.uint32), (c.word, np.uint32), (count, np.uint32), (owner, np.uint32)))
         own = many & (owner == 1)
         first = [s + m for s, m in zip(single, sums_of(len(c.word_keys), c.ctx[own], c.word[own], np.ones(int(own.sum()))), strict=True)]
-        keep = pd.DataFrame([{"chunk": c.id, "bits": bits, **empty, "words": pack_keys(c.word_keys), "single": b"".join(map(planes, single)), "cells": cells, "ask": False}])
+        keep = pd.DataFrame([{"chunk": c.id, "bits": bits, **empty, "words": pack_keys(c.word_keys), "single": squeeze(b"".join(map(planes, single))), "cells": squeeze(cells), "ask": False}])
         ask = asked(c.id, WORDS, c.word_keys, first, bits).to_pandas().assign(bits=bits, words=None, single=None, cells=None, ask=True)
         return pd.concat([keep, ask])[[x.split()[0] for x in multi_schema.split(", ")]]
 
@@ -310,8 +327,9 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             row = left.iloc[0]
             words = unpack_keys(row["words"])
-            single = [unplanes(row["single"][4 * len(words) * i : 4 * len(words) * (i + 1)], np.uint32) for i in (0, 1)]
-            k, ctx, word, count, owner = _cells(row["cells"])
+            plain = loosen(row["single"])
+            single = [unplanes(plain[4 * len(words) * i : 4 * len(words) * (i + 1)], np.uint32) for i in (0, 1)]
+            k, ctx, word, count, owner = _cells(loosen(row["cells"]))
             t = _tables(k, ctx, word, count, told(right, WORDS, 3), last, sweep)
             own = owner == 1
             now = [s + m for s, m in zip(single, sums_of(len(words), ctx[own], word[own], t[own]), strict=True)]
