@@ -1,0 +1,156 @@
+"""The commands end to end on small manuals of our own, and the column functions on trap rows."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexforge import cli
+from lexforge.functions import text as X
+from lexforge.operators import concepts as C
+from lexforge.operators import matching as M
+from lexforge.plans.store import Store
+from lexforge.sources import files
+from lexforge.sources.html import parse_page
+
+JA = """<html><head><title>始動</title><style>p{}</style></head><body><h1>始動系</h1>
+<p>エンジンがかからない場合、DTC P0A80 を確認。</p><div class="caution">高電圧に注意。</div>
+<table><tr><td>補機バッテリー</td><td>12 V</td></tr><tr><td>燃圧</td><td>304 kPa</td></tr></table>
+<h2>締付</h2><ol><li>締付トルク 216 N·m で締める</li></ol><img src="img\\Start_A.PNG"></body></html>"""
+EN = """<html><head><title>Starting</title><script>var x = "<p>no</p>";</script></head><body><h1>Starting system</h1>
+<p>Engine does not start: check DTC P0A80.<div class="warning">WARNING: high voltage</div>
+<table><tr><td>Auxiliary battery<td>12.0 V<tr><td>Fuel pressure<td>304 kPa</table>
+<h2>Fastening</h2><ul><li>Tightening torque 216 Nm<li>Plain item</ul><img src="a/start_a.png"></body></html>"""
+
+
+def test_page_parser():
+    p = parse_page(EN)
+    assert p["title"] == "Starting" and p["headings"] == ["Starting system", "Fastening"] and p["images"] == ["a/start_a.png"]
+    kinds = [(b["block_type"], b["text"]) for b in p["blocks"]]
+    assert ("warning", "WARNING: high voltage") in kinds and ("table_row", "Auxiliary battery 12.0 V") in kinds
+    assert ("list_item", "Plain item") in kinds and not any("var x" in t for _, t in kinds)
+    assert p["blocks"][-1]["heading_path"] == "Starting system > Fastening"
+    assert [b["block_type"] for b in parse_page(JA)["blocks"]].count("procedure") == 1
+    for empty in (None, "", "<div></div>"):
+        assert parse_page(empty)["blocks"] == []
+
+
+def test_anchors(spark):
+    rows = ["DTC P0A80 and p0a80. Tightening torque: 216 N·m. Voltage 12.50 V. Part No. 90915-YZZD1. 0.5 L, 304.0 kPa", "P0A80を 12V系", "", None]
+    df = spark.createDataFrame([(r,) for r in rows], "t string").withColumn("n", X.normalize_text(F.col("t"))).select(X.anchors(F.col("n"), F.array(F.lit("x\\A.PNG"), F.lit("/"))).alias("a"))
+    got = [None if r["a"] is None else {(a["anchor_type"], a["normalized_value"]) for a in r["a"]} for r in df.collect()]
+    assert got[0] == {("dtc", "P0A80"), ("torque", "216 Nm"), ("voltage", "12.5 V"), ("part_number", "90915-YZZD1"), ("volume", "0.5 L"), ("pressure", "304 kPa"), ("image_name", "a.png")}
+    assert got[1] == {("image_name", "a.png")}
+
+
+def test_terms(spark):
+    rows = [("ja", "エンジン始動不良。補機バッテリー電圧を確認し、締付トルクを点検する。"), ("en", "Engine does not start. Check auxiliary battery voltage and tightening torque."), ("en", "hub"), ("fr", "x"), ("en", "")]
+    df = spark.createDataFrame(rows, "lang string, text string").select("lang", X.terms(F.col("lang"), F.col("text")).alias("t"))
+    got = [None if r["t"] is None else {t["term"] for t in r["t"]} for r in df.collect()]
+    assert {"始動不良", "補機バッテリー", "締付トルク"} <= got[0] and {"engine does not start", "auxiliary battery", "tightening torque", "battery voltage and"} <= got[1]
+    assert got[2] == set() and got[3] is None and got[4] == set()
+
+
+def test_match_blocks_like_brute_force(spark):
+    rng = random.Random(5)
+    blocks, anchors = [], []
+    for lang in ("ja", "en"):
+        for b in range(40):
+            kind, words = rng.choice(["table_row", "paragraph"]), rng.randint(1, 4)
+            heading = " ".join(rng.sample(["alpha", "beta", "gamma", "delta"], rng.randint(0, 2)))
+            blocks.append((lang, b, kind, " ".join(["w"] * words), heading))
+            anchors += [(lang, b, t, f"v{rng.randint(0, 4)}") for t in ("dtc", "voltage") if rng.random() < 0.3]
+    bdf = spark.createDataFrame(blocks, "lang string, block int, block_type string, text string, heading_path string")
+    adf = spark.createDataFrame(anchors, "lang string, block int, anchor_type string, normalized_value string")
+    weight = {"dtc": 0.35, "voltage": 0.25}
+    for least in (0.25, 0.2, 0.1, 0.0):
+        want = set()
+        for _, j, k1, t1, h1 in (b for b in blocks if b[0] == "ja"):
+            for _, e, k2, t2, h2 in (b for b in blocks if b[0] == "en"):
+                va = lambda lang, b, t: {a[3] for a in anchors if a[:3] == (lang, b, t)}
+                s = sum(w for t, w in weight.items() if va("ja", j, t) & va("en", e, t))
+                s += 0.1 * bool(set(h1.split()) & set(h2.split())) + 0.1 * (k1 == k2 == "table_row" and t1 == t2)
+                if round(s, 6) >= least:
+                    want.add((j, e, round(s, 6)))
+        got = {(r["ja"], r["en"], r["score"]) for r in M.match_blocks(bdf, adf, least, 1000).collect()}
+        assert got == want, least
+    with pytest.raises(ValueError):
+        M.match_blocks(bdf, adf, 0.25, -1)
+
+
+def test_confidence(spark):
+    rows = [("a", "matched_block_terms", 0.55, False, True, False, False)] * 3 + [("b", "x", 0.72, False, True, True, True), ("b", "y", 0.95, True, False, False, False)]
+    df = spark.createDataFrame(rows, "concept_id string, evidence_type string, score double, is_negative_evidence boolean, has_anchor boolean, has_heading boolean, has_table boolean")
+    got = {r["concept_id"]: r["final"] for r in C.score_evidence(df).collect()}
+    assert got["a"] == pytest.approx(0.30 + 0.24 + 0.16 + 0.055, abs=1e-6)
+    assert got["b"] == pytest.approx(0.30 + 0.24 + 0.072 + 0.1 - 0.395, abs=1e-6)
+
+
+def test_commands(spark, tmp_path):
+    for lang, page in (("ja", JA), ("en", EN)):
+        (tmp_path / lang / "sub").mkdir(parents=True)
+        (tmp_path / lang / "sub" / "start.HTML").write_text(page, encoding="utf-8")
+    store = Store(spark, str(tmp_path / "db"))
+    assert store.ingest("ja", str(tmp_path / "ja"))["documents_inserted"] == 1
+    got = store.ingest("en", str(tmp_path / "en"))
+    assert got["documents_inserted"] == 1 and got["errors"] == 0
+    again = store.ingest("en", str(tmp_path / "en"))
+    assert (again["documents_inserted"], again["documents_updated"], again["blocks_written"]) == (0, 0, 0)
+    assert store.read("documents").where("lang = 'en'").first()["path"] == "sub/start.HTML"
+    assert store.match_pages() == 1 and store.match_blocks() >= 3
+    assert store.read("page_match_candidates").first()["score"] == 1.0
+    terms = store.extract_terms()
+    assert terms["terms_created"] > 5 and store.extract_terms()["terms_created"] == 0
+    made = store.build_concepts()
+    assert made["concepts_created"] > 0 and store.build_concepts()["evidence_created"] == 0
+    store.update_confidence(0.40)
+    ready = store.read("concepts").where("status = 'review_ready'")
+    assert ready.count() > 0 and ready.where("safe_for_query_expansion or safe_for_answer_generation").count() == 0
+    assert store.export_review(str(tmp_path / "queue")) == ready.count()
+    back = files.read_review_file(spark, str(tmp_path / "queue"))
+    assert len(back.columns) == 24 and back.count() == ready.count()
+    concept = ready.orderBy("concept_id").first()["concept_id"]
+    store.export_review(str(tmp_path / "queue2"), "jsonl")
+    line = next(p for p in (tmp_path / "queue2").iterdir() if p.name.startswith("part")).read_text(encoding="utf-8").splitlines()[0]
+    assert list(json.loads(line)) == sorted(json.loads(line))
+    row = lambda *r: spark.createDataFrame([(i + 1, *x) for i, x in enumerate(r)], "file_row long, concept_id string, row_version string, action string, reviewer string, reason string")
+    assert store.review(row((concept, "0", "approve", "me", "ok"), (concept, "", "inspect", "", "")), dry_run=True).actions_valid == 1
+    with pytest.raises(ValueError, match="row_version mismatch"):
+        store.review(row((concept, "0", "approve", "me", "ok"), (concept, "999", "defer", "me", "no")))
+    assert store.read("review_actions").count() == 0
+    got = store.review(row((concept, "0", "defer", "me", "hm"), (concept, "1", "approve", "me", "ok")), report=str(tmp_path / "report"))
+    assert got.actions_applied == 2
+    events = store.read("review_actions").orderBy("row_version").collect()
+    assert [(e["previous_status"], e["new_status"], e["row_version"]) for e in events] == [("review_ready", "candidate", 0), ("candidate", "confirmed", 1)]
+    assert store.export_dictionary(str(tmp_path / "dict")) == 1 and store.export_dictionary(str(tmp_path / "dict2"), "csv", "safe_for_query_expansion") == 0
+    store.set_safety_flags(concept, True, False)
+    assert store.export_dictionary(str(tmp_path / "dict3"), "csv", "safe_for_query_expansion") == 1
+    with pytest.raises(ValueError, match="block requires reason_code"):
+        store.act(concept, "block", "me")
+    (tmp_path / "en" / "sub" / "start.HTML").write_text(EN.replace("P0A80", "P0A81"), encoding="utf-8")
+    assert store.ingest("en", str(tmp_path / "en"))["documents_updated"] == 1
+    assert store.read("page_match_candidates").count() == 0 and store.read("block_match_candidates").count() == 0
+    assert store.read("evidence").count() > 0
+    with pytest.raises(ValueError):
+        store.export_review(str(tmp_path / "x"), "xml")
+    with pytest.raises(FileNotFoundError):
+        store.ingest("ja", str(tmp_path / "none"))
+
+
+def test_cli_surface():
+    names = cli.parser()._subparsers._group_actions[0].choices
+    assert len(names) == 15 and cli.parser().parse_args(["match-blocks", "--db", "x"]).min_score == 0.20
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["ingest", "--db", "x", "--lang", "fr", "--input", "y"])
+
+
+def test_stream(spark, tmp_path):
+    from lexforge.streaming import ingest as S
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.html").write_text(EN, encoding="utf-8")
+    store = Store(spark, str(tmp_path / "db"))
+    for _ in range(2):
+        S.merge_batches(store, S.distinct_pages(S.page_stream(spark, str(tmp_path / "in"), "en")), str(tmp_path / "cp")).awaitTermination()
+    assert store.read("documents").count() == 1 and store.read("anchors").where("anchor_type = 'dtc'").count() == 2
