@@ -103,6 +103,10 @@ def chunks(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
     return docs.mapInArrow(run, STATE)
 
 
+def cell_keys(word_keys: np.ndarray, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(word_keys[ctx] * U(3) ^ word_keys[word]) & KEY
+
+
 class Chunk:
     """A chunk's words and cells. word_keys: sorted hashes, with the text start as a word.
     cell_keys: sorted keys of distinct (context, word) pairs; ctx and word: their places in word_keys."""
@@ -127,7 +131,7 @@ class Chunk:
         n = len(self.word_keys)
         pair, self.inverse = np.unique(ctx * n + self.tokens, return_inverse=True)
         ctx, word = pair // n, pair % n
-        key = mix64(self.word_keys[ctx] * U(3) ^ self.word_keys[word]) & KEY
+        key = cell_keys(self.word_keys, ctx, word)
         order = np.argsort(key)
         self.cell_keys, self.ctx, self.word = key[order], ctx[order], word[order]
         back = np.empty_like(order)
@@ -300,7 +304,10 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         one = (count == 1) & (owner == 1)
         single = sums_of(len(c.word_keys), c.ctx[one], c.word[one], np.ones(int(one.sum())))
         many = count > 1
-        cells = b"".join(planes(x[many].astype(t)) for x, t in ((c.cell_keys, np.uint64), (c.ctx, np.uint32), (c.word, np.uint32), (count, np.uint32), (owner, np.uint32)))
+        order = np.lexsort((c.word[many], c.ctx[many]))  # by context, so that its places are small differences
+        kept = [x[many][order] for x in (c.ctx, c.word, count, owner)]
+        kept[0] = np.diff(kept[0], prepend=0)
+        cells = b"".join(planes(x.astype(np.uint32)) for x in kept)
         own = many & (owner == 1)
         first = [s + m for s, m in zip(single, sums_of(len(c.word_keys), c.ctx[own], c.word[own], np.ones(int(own.sum()))), strict=True)]
         keep = pd.DataFrame([{"chunk": c.id, "bits": bits, **empty, "words": pack_keys(c.word_keys), "single": squeeze(b"".join(map(planes, single))), "cells": squeeze(cells), "ask": False}])
@@ -329,8 +336,8 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
             words = unpack_keys(row["words"])
             plain = loosen(row["single"])
             single = [unplanes(plain[4 * len(words) * i : 4 * len(words) * (i + 1)], np.uint32) for i in (0, 1)]
-            k, ctx, word, count, owner = _cells(loosen(row["cells"]))
-            t = _tables(k, ctx, word, count, told(right, WORDS, 3), last, sweep)
+            ctx, word, count, owner = _cells(loosen(row["cells"]))
+            t = _tables(cell_keys(words, ctx, word), ctx, word, count, told(right, WORDS, 3), last, sweep)
             own = owner == 1
             now = [s + m for s, m in zip(single, sums_of(len(words), ctx[own], word[own], t[own]), strict=True)]
             return asked(int(row["chunk"]), WORDS, words, now, bits).to_pandas()
@@ -390,14 +397,9 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
 
 
 def _cells(b: bytes):
-    n = len(b) // 24
-    at, out = 0, []
-    for t in (np.uint64, *[np.uint32] * 4):
-        k = n * np.dtype(t).itemsize
-        x = unplanes(b[at : at + k], t)
-        out.append(x if t is np.uint64 else x.astype(np.int64))
-        at += k
-    return out
+    n = len(b) // 16
+    ctx, word, count, owner = (unplanes(b[4 * n * i : 4 * n * (i + 1)], np.uint32).astype(np.int64) for i in range(4))
+    return np.cumsum(ctx), word, count, owner
 
 
 def _tables(keys, ctx, word, count, answers, last: Sweep, sweep: int) -> np.ndarray:
