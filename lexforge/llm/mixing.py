@@ -113,6 +113,27 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+OP2_SQL = """
+WITH RECURSIVE n AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
+w AS (SELECT *, pow(n, 0.9) AS w, count(*) OVER () AS k, sum(pow(n, 0.9)) OVER () AS total FROM n),
+x AS (SELECT *, w / total * (1000 - k) AS exact FROM w),
+y AS (SELECT *, row_number() OVER (ORDER BY floor(exact) - exact, source) AS place, 1000 - sum(1 + floor(exact)) OVER () AS spare FROM x),
+q AS (SELECT source, n, (1 + floor(exact) + CASE WHEN place <= spare THEN 1 ELSE 0 END)::BIGINT AS q, row_number() OVER (ORDER BY source) AS i FROM y),
+l AS (SELECT list(q ORDER BY i) AS qs, list(0::BIGINT ORDER BY i) AS zero FROM q),
+sim AS (
+  SELECT -1 AS t, zero AS done, NULL::BIGINT AS i, NULL::BIGINT AS j FROM l
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda v, p: CASE WHEN p = pick THEN v + 1 ELSE v END), pick, done[pick]
+  FROM (SELECT t, done, list_min(list_transform(list_filter(range(1, len(qs) + 1), lambda p: done[p] * 1000 // qs[p] <= t + 1),
+      lambda p: {'d': ((done[p] + 1) * 1000 + qs[p] - 1) // qs[p], 'p': p})).p AS pick FROM sim, l WHERE t < 999)),
+plan AS (SELECT q.source, q.q, q.n, sim.j, sim.t AS slot0 FROM sim JOIN q ON sim.i = q.i),
+r AS (SELECT doc_id, coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS rank FROM documents),
+b AS (SELECT r.doc_id, r.source, r.rank, r.rank // 8 AS block, plan.q, (r.rank // 8 // plan.q) * 1000 + plan.slot0 AS slot FROM r JOIN plan ON r.source = plan.source AND plan.j = (r.rank // 8) % plan.q),
+h AS (SELECT min((((n + 7) // 8) // q) * 1000 + slot0) AS horizon FROM plan WHERE j = ((n + 7) // 8) % q)
+SELECT doc_id, source, block, block * 1000 // q AS release, ((block + 1) * 1000 + q - 1) // q AS deadline, slot, slot * 8 + rank % 8 AS position, slot < horizon AS in_mix FROM b, h
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that are in the mix, written in its order."""
     placed = mix(docs).where("in_mix").select("doc_id", F.col("position").alias("_position"))

@@ -95,8 +95,42 @@ def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
         both = a["dev"] + b["dev"]
         limit = (a["mean"] * b["dev"] + b["mean"] * a["dev"]) / both if both > 0 else (a["mean"] + b["mean"]) / 2
         by_method = F.when(F.col("ratio") > limit, "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), "ratio")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), F.round("ratio", 6).alias("ratio"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _rule_sql(value: int) -> str:
+    fits = lambda t: f"(host = '{t.partition('/')[0]}' OR ends_with(host, '.{t.partition('/')[0]}')) AND starts_with(path, '/{t.partition('/')[2]}')"
+    return "CASE " + " ".join(f"WHEN {fits(r[1])} THEN '{r[value]}'" for r in sorted(RULES, key=lambda r: (len(r[1]), r[1]), reverse=True)) + " END"
+
+
+def _levels_sql() -> str:
+    out = []
+    for n in range(ORDER, 0, -1):
+        out.append(f"t{n} AS (SELECT substr(key, 2, {n}) AS key, sum(allow) AS allow, sum(block) AS block FROM t{n + 1} GROUP BY 1)")
+    for n in range(1, ORDER + 2):
+        context = f"substr(key, 1, {n - 1})"
+        both = f"SELECT key, (allow + 4.0::DOUBLE * la) / (sum(allow) OVER (PARTITION BY {context}) + 4.0::DOUBLE) AS a, (block + 4.0::DOUBLE * lb) / (sum(block) OVER (PARTITION BY {context}) + 4.0::DOUBLE) AS b"
+        lower = f"(SELECT *, 1.0::DOUBLE / {SYMBOLS} AS la, 1.0::DOUBLE / {SYMBOLS} AS lb FROM t1)" if n == 1 else f"(SELECT t{n}.*, p.a AS la, p.b AS lb FROM t{n} JOIN p{n - 1} p ON p.key = substr(t{n}.key, 2, {n - 1}))"
+        out.append(f"p{n} AS ({both} FROM {lower})")
+    return ", ".join(out)
+
+
+OP7_SQL = f"""
+WITH h AS (SELECT page_id, coalesce(url, '') AS url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r AS (SELECT *, {_rule_sql(1)} AS rule, {_rule_sql(0)} AS by_rule, row_number() OVER () AS row,
+  '{"^" * ORDER}' || regexp_replace(translate(regexp_replace(url, '(?s)^.*?://', ''), '{UPPER}123456789', '{LOWER}{"0" * 9}'), '{OTHER}', '*', 'g') || '$' AS signs FROM h),
+g AS (SELECT row, by_rule, unnest(list_transform(range(1, length(signs) - {ORDER - 1}), lambda i: substr(signs, i, {ORDER + 1}))) AS key FROM r),
+t{ORDER + 1} AS (SELECT key, count(*) FILTER (WHERE by_rule = 'allow') AS allow, count(*) FILTER (WHERE by_rule = 'block') AS block FROM g GROUP BY key),
+{_levels_sql()},
+s AS (SELECT row, avg(ln(b) - ln(a)) AS ratio FROM g JOIN p{ORDER + 1} USING (key) GROUP BY row),
+z AS (SELECT r.*, s.ratio FROM r JOIN s USING (row)),
+c AS (SELECT avg(ratio) FILTER (WHERE by_rule = 'allow') AS ma, stddev_pop(ratio) FILTER (WHERE by_rule = 'allow') AS da,
+  avg(ratio) FILTER (WHERE by_rule = 'block') AS mb, stddev_pop(ratio) FILTER (WHERE by_rule = 'block') AS db FROM z)
+SELECT page_id, host, path, rule, round(ratio, 6) AS ratio, coalesce(by_rule, CASE WHEN ratio > CASE WHEN da + db > 0 THEN (ma * db + mb * da) / (da + db) ELSE (ma + mb) / 2 END THEN 'block' ELSE 'allow' END) AS verdict
+FROM z, c
+"""
