@@ -32,6 +32,7 @@ KEY = ~U(0xFF)
 START, END = U(0x452821E638D01377) & KEY, U(0xBE5466CF34E90C6C) & KEY
 CHUNK = 1 << 21  # tokens; a single longer text is a chunk of its own
 STRENGTH = 1.0
+NO_ID = np.iinfo(np.int64).min
 WORDS, CELLS = 0, 1
 
 
@@ -92,9 +93,9 @@ def chunks(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
                             k += 1
                             ids, sizes, train, parts, total = [], [], [], [], 0
                         doc = all_ids[a + first + i]
-                        ids.append(doc)
+                        ids.append(NO_ID if doc is None else doc)
                         sizes.append(len(own) + 1)
-                        train.append(crc_fold_py(doc, folds) != held_out)
+                        train.append(doc is None or crc_fold_py(doc, folds) != held_out)
                         parts += [own, [END]]
                         total += len(own) + 1
         if ids:
@@ -255,7 +256,8 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
     all are scored: score is the sum of log10 of the probability of each token given the one before,
     averaged over `samples` Gibbs sweeps after an initial seating of one table for each word of a context;
     base_score is that of add-one single-word counts. Discounts come from the counts of counts. A null
-    text is empty and has its end only. Rows that repeat an id count as many texts; ids must be integers.
+    text is empty and has its end only. Rows that repeat an id count as many texts; ids must be
+    integers; texts without id are learned.
     Other columns are ignored. Without training texts all words are unknown and all scores 0.
 
     Cells are seated all together given the last sweep's sums, so sweeps run in parallel."""
@@ -356,6 +358,7 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         served, tables, r1, r2 = totals(answers[-1], WORDS, 4)
         sweeps.append(Sweep(d, before.d0 if s else discount(r1, r2), served, tables, kinds))
 
+    dropped(got)  # the sums of all sweeps are written; scores need only those and the counts
     everything = own_counts.withColumn("sweep", F.lit(-1))
     for s, a in enumerate(answers):
         everything = everything.unionByName(a.where("chunk >= 0").drop("stats").withColumn("sweep", F.lit(s)))
@@ -382,7 +385,7 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         seen = known[c.tokens]
         return pd.DataFrame(
             {
-                "doc_id": c.ids,
+                "doc_id": pd.Series(c.ids, dtype="Int64").mask(c.ids == NO_ID),
                 "held_out": ~c.train,
                 "n_tokens": n,
                 "n_known": add((seen > 0).astype(np.int64)),
