@@ -86,7 +86,7 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     Vectors link when their cosine, in double precision, is at least `least`. Vectors that are null,
-    empty, zero or hold null or non-finite components link with nothing; vectors of different
+    empty, zero or hold null or non-finite components, and those without id, link with nothing; vectors of different
     lengths do not link. Repeated rows of an id are one vector each in n_links. Other columns are
     ignored.
 
@@ -100,7 +100,7 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     spark = vectors.sparkSession
     eps = float(np.sqrt(max(2 - 2 * least, 0))) + 1e-9
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("x"))
-    good = rows.where(F.col("x").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("x", lambda v: v != 0))
+    good = rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("x", lambda v: v != 0))
     counts, edges = None, None
     for dim, total in sorted((r["d"], r["n"]) for r in good.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()):
         mine = good.where(F.size("x") == dim)

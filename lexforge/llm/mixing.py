@@ -136,5 +136,5 @@ SELECT doc_id, source, block, block * 1000 // q AS release, ((block + 1) * 1000
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that are in the mix, written in its order."""
-    placed = mix(docs).where("in_mix").select("doc_id", F.col("position").alias("_position"))
-    return docs.join(placed, "doc_id").repartitionByRange(F.col("_position")).sortWithinPartitions("_position").select(*docs.columns)
+    placed = mix(docs).where("in_mix").groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_position"))
+    return docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_id"))).repartitionByRange(F.col("_position")).sortWithinPartitions("_position").select(*docs.columns)
