@@ -345,6 +345,47 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.embedding_dedup(df.where("false")).count() == 0
 
 
+def test_rows_without_id(spark):
+    text = "one two three four five six seven eight nine\nten eleven twelve"
+    docs = spark.createDataFrame([(None, text, None, None, None), (1, text, "en", "s", 5), (None, None, "en", "s", 5), (2, "another text of its own", "en", None, 0)], DOCS)
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for make in (
+        exact_dedup.exact_dedup,
+        mixing.mix,
+        lambda d: bpe.bpe_digests(d, bpe.default_path()),
+        near_dedup.near_dedup,
+        line_dedup.line_dedup,
+        lambda d: language_id.identify(d, language_id.learn(d.where("lang is not null and text is not null"))),
+        lm_scoring.lm_score,
+        lambda d: toxicity.score(d, toxicity.fit(d, labels, folds=0)),
+        lambda d: mixing.stage(spark, d, ""),
+    ):
+        assert len(make(docs).collect()) == 4
+    vectors = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.1])], "vec_id long, embedding array<float>")
+    assert sorted(r["n_links"] for r in embedding_dedup.embedding_dedup(vectors).collect()) == [0, 1, 1]
+    pages = spark.createDataFrame([(None, "http://a.com/en/1"), (1, None)], "page_id long, url string")
+    assert len(url_filter.url_filter(pages).collect()) == 2
+
+
+def test_sql_of_native_operators(spark, tmp_path):
+    import duckdb
+
+    from lexforge.llm import queries
+
+    urls = ["http://a.com/en/1", "http://b.net/de/2", "http://c.fr/fr/3?q", None, "x", "http://Q.org/es/9", "http://d.fr/en/77", "http://a.com/en/1"]
+    spark.createDataFrame(corpus(5, 90), DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    for name, sql in queries.oracle_sql().items():
+        a, b = queries.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(sql).df()
+        cols = sorted(a.columns)
+        assert cols == sorted(b.columns), name
+        plain = lambda v: round(float(v), 6) if hasattr(v, "__float__") else str(v)
+        assert sorted(tuple(map(plain, r)) for r in a[cols].values) == sorted(tuple(map(plain, r)) for r in b[cols].values), name
+
+
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline
 
