@@ -135,6 +135,7 @@ SELECT doc_id, source, block, block * 1000 // q AS release, ((block + 1) * 1000
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that are in the mix, written in its order."""
-    placed = mix(docs).where("in_mix").groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_position"))
+    """All rows in the order of the mix. Past the first slot whose source has run out, the slots of
+    sources that have run out are empty and the others follow each other as planned."""
+    placed = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_position"))
     return docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_id"))).repartitionByRange(F.col("_position")).sortWithinPartitions("_position").select(*docs.columns)

@@ -117,6 +117,16 @@ def test_mixing(spark, docs, rows, none):
         mixing.shares({"a": 1.0, "b": 1.0}, 1)
 
 
+def test_mixing_stage_keeps_all_rows(spark):
+    sources = ["big"] * 400 + ["mid"] * 200 + ["tiny"] * 3 + [None] * 2
+    docs = spark.createDataFrame([(i, f"t{i}", "en", s, 2) for i, s in enumerate(sources)], DOCS).repartition(3)
+    out = mixing.stage(spark, docs, "")
+    assert out.columns == docs.columns and not out.exceptAll(docs).count() and not docs.exceptAll(out).count()
+    at = {r["doc_id"]: r["position"] for r in mixing.mix(docs).collect()}
+    order = [at[r["doc_id"]] for r in out.collect()]
+    assert order == sorted(order)
+
+
 def test_bpe(spark, docs, rows, none):
     from tokenizers import Tokenizer
 
