@@ -4,7 +4,9 @@ DataFrame functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import heapq
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,12 +62,56 @@ def pattern(spark: SparkSession, slots_of: dict[str, int], period: int) -> DataF
     )
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, tempering: float = 0.9, block_rows: int = 8, period: int = 1000, bin_rows: int = 1024, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+#: Exact weights are multiples of 2^-28.
+UNIT = 1 << 28
+
+
+def paths(weights: dict[str, float]) -> dict[str, list[tuple[int, int, int]]]:
+    """For each source the splits (share, whole, offset) from its leaf up to the root of a Huffman tree.
+
+    Of the first n slots of a node a child gets floor((n share + offset) / whole), half a block off
+    its part at most; the two offsets of a node make its children's slots add up to n. A split
+    k levels up counts in proportion to the weights of source and node there, and in a Huffman tree
+    a node's weight is at least that of the two nodes below it on the path, so a source has never
+    had 1.7 blocks more or less than its target, however long the sequence."""
+    total = sum(weights.values())
+    if not weights or total <= 0 or min(weights.values()) < 0:
+        raise ValueError("target weights must not be negative, and some must be positive")
+    names = sorted(weights)
+    units = [max(1, round(weights[s] / total * UNIT)) for s in names]
+    above: dict[int, tuple[int, tuple[int, int, int]]] = {}
+    heap = [(u, i) for i, u in enumerate(units)]
+    heapq.heapify(heap)
+    for new in range(len(names), 2 * len(names) - 1):
+        (x, i), (y, j) = heapq.heappop(heap), heapq.heappop(heap)
+        above[i], above[j] = (new, (x, x + y, (x + y) // 2)), (new, (y, x + y, x + y - 1 - (x + y) // 2))
+        heapq.heappush(heap, (x + y, new))
+    out = {}
+    for i, s in enumerate(names):
+        out[s], node = [], i
+        while node in above:
+            node, split = above[node]
+            out[s].append(split)
+    return out
+
+
+def exact_slot(path: str, j: str) -> Column:
+    """Slot of a source's block j: at each split the last of the fewest slots of which the child gets j + 1."""
+    count = "(n + 1) % s.share * s.whole - s.offset"
+    up = f"(n + 1) div s.share * s.whole + if({count} > 0, ({count} + s.share - 1) div s.share, -((-({count})) div s.share))"
+    return F.expr(f"aggregate({path}, cast({j} as bigint), (n, s) -> {up} - 1)")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, tempering: float = 0.9, block_rows: int = 8, period: int = 1000, bin_rows: int = 1024, id_col: str = "doc_id", source_col: str = "source", exact: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, source, block, release, deadline, slot, position, in_mix.
 
     weights: target weight of each source (null as the empty string); a source without one gets
     weight 0, and so the least share. By default the weight is the source's row count to the power
-    `tempering`. Weights are rounded to multiples of 1/period, at least one each. A source's rows,
+    `tempering`. Weights are rounded to multiples of 1/period, at least one each, so the deviation
+    from the weights wanted grows with the table. With `exact`, and always with more sources than
+    period, nothing repeats: the weights are multiples of 2^-28, at least one each, and slots come from
+    paths(), less than 1.7 blocks off the target anywhere; a slot may be that far outside of its
+    window. A source's rows,
     in order of the md5 of their ids, make blocks of block_rows; the last one may be short.
     Slot: the block's place in the mix. position: the row's place. in_mix: the slot comes before
     the first one whose source has run out, up to which the mix has its target weights.
@@ -80,15 +126,39 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, tempering: flo
     if not counts:
         return rows.selectExpr("doc_id", "source", "0L AS block", "0L AS release", "0L AS deadline", "0L AS slot", "0L AS position", "false AS in_mix")
     wanted = {s: (weights.get(s, 0.0) if weights is not None else n**tempering) for s, n in counts.items()}
-    slots_of = shares(wanted, period)
-    plan = written(pattern(spark, slots_of, period), "mix-pattern")
-    bins = F.broadcast(plan.where("j = 0").select("source", "q", F.create_map(*[x for s, n in counts.items() for x in (F.lit(s), F.lit(-(-n // bin_rows)))])[F.col("source")].alias("bins")))
+    exact = exact or len(counts) > period
+    if exact:
+        of = paths(wanted)
+        whole = next((p[-1][1] for p in of.values() if p), 1)
+        share = {s: max(1, round(w / sum(wanted.values()) * UNIT)) if of[s] else 1 for s, w in wanted.items()}
+        plan = spark.createDataFrame(
+            [(s, share[s], of[s], -(-n // bin_rows), -(-n // block_rows)) for s, n in counts.items()],
+            "source string, q long, path array<struct<share:long,whole:long,offset:long>>, bins long, end long",
+        )
+        plan = written(plan, "mix-paths")
+        bins = F.broadcast(plan.select("source", "q", "bins"))
+    else:
+        plan = written(pattern(spark, shares(wanted, period), period), "mix-pattern")
+        bins = F.broadcast(plan.where("j = 0").select("source", "q", F.create_map(*[x for s, n in counts.items() for x in (F.lit(s), F.lit(-(-n // bin_rows)))])[F.col("source")].alias("bins")))
     placed = rows.join(bins, "source").withColumn("bin", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.col("bins") / F.lit(1 << 32)))
     sizes = placed.groupBy("source", "bin").agg(F.count(F.lit(1)).alias("size"))
     before = sizes.select("source", "bin", (F.sum("size").over(Window.partitionBy("source").orderBy("bin")) - F.col("size")).alias("before"))
     numbered = placed.withColumn("within", F.row_number().over(Window.partitionBy("source", "bin").orderBy("h", "doc_id")) - 1).join(before, ["source", "bin"])
     rank = F.col("before") + F.col("within")
     numbered = numbered.select("doc_id", "source", "q", rank.alias("rank"), F.floor(rank / block_rows).alias("block"))
+    if exact:
+        horizon = plan.agg(F.min(exact_slot("path", "end"))).first()[0]
+        out = numbered.join(F.broadcast(plan.select("source", "path")), "source").withColumn("slot", exact_slot("path", "block"))
+        return out.select(
+            "doc_id",
+            "source",
+            F.col("block").cast("long").alias("block"),
+            F.expr(f"block * {whole}L div q").alias("release"),
+            F.expr(f"((block + 1) * {whole}L + q - 1) div q").alias("deadline"),
+            "slot",
+            (F.col("slot") * block_rows + F.col("rank") % block_rows).alias("position"),
+            (F.col("slot") < horizon).alias("in_mix"),
+        )
     numbered = numbered.withColumns({"j": (F.col("block") % F.col("q")).cast("int"), "round": F.floor(F.col("block") / F.col("q"))})
     out = numbered.join(F.broadcast(plan.drop("q")), ["source", "j"])
     at = lambda c: (F.col("round") * period + F.col(c)).cast("long")
@@ -135,7 +205,7 @@ SELECT doc_id, source, block, block * 1000 // q AS release, ((block + 1) * 1000
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in the order of the mix. Past the first slot whose source has run out, the slots of
+    """All rows in the order of the mix with exact weights. Past the first slot whose source has run out, the slots of
     sources that have run out are empty and the others follow each other as planned."""
-    placed = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_position"))
+    placed = mix(docs, exact=True).groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_position"))
     return docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_id"))).repartitionByRange(F.col("_position")).sortWithinPartitions("_position").select(*docs.columns)

@@ -122,11 +122,39 @@ def test_mixing_stage_keeps_all_rows(spark):
     docs = spark.createDataFrame([(i, f"t{i}", "en", s, 2) for i, s in enumerate(sources)], DOCS).repartition(3)
     out = mixing.stage(spark, docs, "")
     assert out.columns == docs.columns and not out.exceptAll(docs).count() and not docs.exceptAll(out).count()
-    at = {r["doc_id"]: r["position"] for r in mixing.mix(docs).collect()}
+    at = {r["doc_id"]: r["position"] for r in mixing.mix(docs, exact=True).collect()}
     order = [at[r["doc_id"]] for r in out.collect()]
     assert order == sorted(order)
 
 
+def test_mixing_exact_weights(spark):
+    sizes = {"big": 24000, **{f"s{i}": 133 for i in range(19)}}
+    docs = spark.createDataFrame([(i, "t", "en", s, 1) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], DOCS).repartition(3)
+    order = [r["source"] for r in mixing.stage(spark, docs, "").select("source").collect()]
+    total, had, ended = sum(n**0.9 for n in sizes.values()), collections.Counter(), False
+    for k in range(8, len(order) + 1, 8):
+        had.update(order[k - 8 : k])
+        if any(had[s] > n - 8 for s, n in sizes.items()):
+            ended = True
+            break
+        assert all(abs(had[s] - k * sizes[s] ** 0.9 / total) < 8 * 1.7 for s in sizes), k
+    assert ended and k > 8 * 1500
+    for weights in ({"a": 0.5, **{f"s{i}": 0.5 / 199 for i in range(199)}}, {"a": 0.9999, "b": 0.0001}, {"a": 0.0}, {f"s{i}": 1.0 + i % 7 for i in range(1500)}):
+        if not sum(weights.values()):
+            with pytest.raises(ValueError):
+                mixing.paths(weights)
+            continue
+        n, total = 12000, sum(weights.values())
+        path = spark.createDataFrame([(s, p, int(n * weights[s] / total) + 3) for s, p in mixing.paths(weights).items()], "s string, path array<struct<share:long,whole:long,offset:long>>, most long")
+        got = path.selectExpr("s", "path", "explode(sequence(0L, most)) AS j").select("s", "j", mixing.exact_slot("path", "j").alias("slot")).where(f"slot < {n}").orderBy("slot").collect()
+        assert [r["slot"] for r in got] == list(range(n))
+        for r in got:  # just after and just before a block
+            assert abs(r["j"] + 1 - (r["slot"] + 1) * weights[r["s"]] / total) < 1.7 and abs(r["j"] - r["slot"] * weights[r["s"]] / total) < 1.7
+    many = spark.createDataFrame([(i, "t", "en", f"s{i % 1200}", 1) for i in range(2400)], DOCS)
+    got = mixing.mix(many).collect()
+    assert len({r["position"] for r in got}) == 2400 == len({r["doc_id"] for r in got})
+
+
 def test_bpe(spark, docs, rows, none):
     from tokenizers import Tokenizer
 
