@@ -51,7 +51,8 @@ def variants(line: str, base: int, segment: int):
 
 def dropped_lines(docs: DataFrame, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no): lines of at least least_chars signs that an earlier line, by id and place,
-    equals or comes within one inserted, deleted or replaced sign of. Lines end at line feeds.
+    equals or comes within one inserted, deleted or replaced sign of; and shorter lines that an
+    earlier line equals, unless they are blank. Lines end at line feeds.
 
     Hashes stand for lines in every shuffle. Distinct lines meet by hashes of their halves; one
     edit leaves a half as it is, so lines alone with both halves have no partner. Of the others
@@ -60,10 +61,11 @@ def dropped_lines(docs: DataFrame, least_chars: int = 20, id_col: str = "doc_id"
     each role is kept, so a bucket of any size is one row, and lines join that row; the built-in edit
     distance then verifies. A line goes if any earlier line is that near, kept or not."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.length("line") >= least_chars)
+    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     n = F.length("line")
+    lines = lines.where((n >= least_chars) | F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     half = lambda less, side: F.xxhash64(n - less, F.lit(side), F.left("line", F.floor((n - less) / 2).cast("int")) if side == 0 else F.right("line", F.floor((n - less) / 2).cast("int")))
-    hashed = lines.select("doc_id", "line_no", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), F.reverse("line")).alias("h2"), F.array(half(0, 0), half(0, 1), half(1, 0), half(1, 1)).alias("halves"))
+    hashed = lines.select("doc_id", "line_no", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), F.reverse("line")).alias("h2"), F.when(n >= least_chars, F.array(half(0, 0), half(0, 1), half(1, 0), half(1, 1))).alias("halves"))
     hashed = written(hashed, "line-hashes")
     where = F.struct("doc_id", "line_no")
     distinct = hashed.groupBy("h1", "h2").agg(F.min(where).alias("at"), F.first("halves").alias("halves"))

@@ -238,6 +238,13 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = ["Menu\n\nHome\n  \nMenu", "Home\nHomes\n\nMenu\n  ", None, "a line of more than twenty signs\nMenu", "a line of more than twenty sign!"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = {r["doc_id"]: (r["text"], r["_dropped"]) for r in line_dedup.line_dedup(docs).collect()}
+    assert got == {0: ("Menu\n\nHome\n  ", 1), 1: ("Homes\n\n  ", 2), 2: (None, 0), 3: ("a line of more than twenty signs", 1), 4: ("", 1)}
+
+
 def test_language_id(spark, none):
     rng = random.Random(6)
     make = {"aa": "abcdef", "bb": "stuvwx", "cc": "ghijéè"}
