@@ -14,8 +14,7 @@ from lexforge.llm.common import Forest, components, doc_words, dropped, mix64, w
 
 U = np.uint64
 WORDS = 5  # words in a shingle
-BANDS, ROWS = 20, 6  # a pair of similarity 0.85 shares a band but for 1 in 13,000, one of 0.8 but for 1 in 430
-REGISTERS = BANDS * ROWS
+REGISTERS = 120
 #: SetSketch: rate and base of the exponential spacing, and the largest register value.
 RATE, BASE, LIMIT = 20.0, 1.001, 65535
 _draw = np.random.default_rng(171)
@@ -49,11 +48,21 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(value) / np.log(BASE)), 0, LIMIT).astype(np.uint16)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
+def layout(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest bands of which a pair of similarity percent/100 shares none in fewer
+    than 1 of 10,000 cases; 20 x 6 at 85 (1 in 13,000), 24 x 5 at 80 (1 in 14,000). Below 8 even
+    bands of one row lose more."""
+    for rows in range(REGISTERS, 1, -1):
+        if REGISTERS % rows == 0 and (1 - (percent / 100) ** rows) ** (REGISTERS // rows) < 1e-4:
+            return REGISTERS // rows, rows
+    return REGISTERS, 1
+
+
+def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key for each band of each row of registers."""
-    r = registers.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93), r.shape[:2]).copy()
-    for j in range(ROWS):
+    r = registers.reshape(-1, bands, rows).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93), r.shape[:2]).copy()
+    for j in range(rows):
         h = mix64(h ^ (r[:, :, j] + U(j << 20)))
     return h
 
@@ -167,14 +176,16 @@ def _sets(docs: DataFrame, with_set: bool) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, sketch binary, items binary" if with_set else "doc_id long, n long, f1 long, f2 long, sketch binary")
 
 
-def _explode_bands(reps: DataFrame) -> DataFrame:
+def _explode_bands(reps: DataFrame, percent: int) -> DataFrame:
+    n, length = layout(percent)
+
     def run(batches):
         for batch in batches:
             keep = batch.num_rows
             if keep:
                 regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(keep, REGISTERS)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(band_keys(regs).view(np.int64).ravel()), pa.array(np.repeat(ids, BANDS))], names=["bucket", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(band_keys(regs, n, length).view(np.int64).ravel()), pa.array(np.repeat(ids, n))], names=["bucket", "doc_id"])
 
     return reps.select("doc_id", "sketch").mapInArrow(run, "bucket long, doc_id long")
 
@@ -211,7 +222,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     real = base.where("n > 0")
     same = written(real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "near-same")
     reps = real.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    bands = written(_explode_bands(reps), "near-bands")
+    bands = written(_explode_bands(reps, percent), "near-bands")
     # A bucket's members, and of buckets with the same members only one.
     buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("who")).where("size > 1")
     buckets = buckets.groupBy("size", "first", "who").agg(F.min("bucket").alias("bucket"))

@@ -238,6 +238,16 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_bands_of_thresholds():
+    assert near_dedup.layout(85) == (20, 6) and near_dedup.layout(80) == (24, 5)
+    rng, lost = np.random.default_rng(9), 0
+    for _ in range(4000):  # similarity 0.8: 72 items of 90 are shared; 20 x 6 would lose about 9 pairs
+        items = rng.integers(0, 2**64, 90, dtype=np.uint64)
+        keys = near_dedup.band_keys(np.stack([near_dedup.sketch(items[:81]), near_dedup.sketch(items[9:])]), *near_dedup.layout(80))
+        lost += not (keys[0] == keys[1]).any()
+    assert lost <= 2
+
+
 def test_line_dedup_of_short_lines(spark):
     texts = ["Menu\n\nHome\n  \nMenu", "Home\nHomes\n\nMenu\n  ", None, "a line of more than twenty signs\nMenu", "a line of more than twenty sign!"]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).repartition(3)
