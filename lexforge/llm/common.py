@@ -15,36 +15,60 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only if none is set (local mode)."""
+    """The folder that all executors share. Where none is set, a local session gets a folder of its own;
+    on a cluster that would be another disk for every machine, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             found = current.get()
-        else:
+        elif spark.sparkContext.master.partition("[")[0] == "local":
             found = "file://" + tempfile.mkdtemp(prefix="lexforge-")
             spark.sparkContext.setCheckpointDir(found)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found
 
 
+#: Paths of written() that still stand, for drop_written().
+_standing: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexforge-tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _standing.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexforge_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    if path in _standing:
+        _standing.remove(path)
+
+
+def drop_written(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables that operators have written, from the since-th on: to be called when their
+    results have been used or stored. An operator's result reads from some of its tables."""
+    for path in _standing[since:]:
+        _delete(spark, path)
+
+
+def standing() -> int:
+    return len(_standing)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing will read any more."""
     for t in tables:
         path = getattr(t, "_lexforge_path", None)
         if path:
-            spark = t.sparkSession
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+            _delete(t.sparkSession, path)
 
 
 def crc_fold(id_col: Column, folds: int) -> Column:
@@ -63,11 +87,10 @@ _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240501).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SLICE = 1 << 19
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: The first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_LANE = _U(0x9E3779B97F4A7C15)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -80,24 +103,25 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = _SLICE
-    while size < n:
-        size *= 2
-    if size not in _powers:
-        both = []
-        for p in (_BASE, _INVERSE):
-            out = np.empty(size, np.uint64)
-            out[0] = 1
-            k = 1
-            while k < size:
-                m = min(k, size - k)
-                out[k : k + m] = out[:m] * _U(pow(p, k, 1 << 64))
-                k += m
-            both.append(out)
-        _powers.clear()
-        _powers[size] = (both[0], both[1])
-    return _powers[size]
+def lane_hashes(buf: np.ndarray, st: np.ndarray, en: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges st[i]:en[i] of buf, none of them empty.
+
+    Every eight bytes are mixed with their place before they are added up, so words are not linear
+    in their bytes, and words built to collide in polynomial hashes stay apart."""
+    size = en - st
+    lanes = (size + 7) >> 3
+    last = np.cumsum(lanes)
+    first = last - lanes
+    many = len(st) != last[-1]
+    k = np.arange(last[-1]) - np.repeat(first, lanes) if many else np.zeros(len(st), np.int64)
+    at = (np.repeat(st, lanes) if many else st) + 8 * k
+    left = np.minimum((np.repeat(en, lanes) if many else en) - at, 8)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    v = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))[at] & _FIRST[left]  # eight bytes from any place
+    v = mix64(mix64(v) + (k.astype(np.uint64) + _U(1)) * _LANE)
+    if many:
+        v = np.add.reduceat(v, first)
+    return mix64(v + size.astype(np.uint64))
 
 
 def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,10 +141,7 @@ def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         step = np.diff(inside)
         st, en = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         if len(st):
-            up, down = _power_tables(len(b))
-            total = np.zeros(len(b) + 1, np.uint64)
-            np.cumsum(_BYTE[b] * up[: len(b)], out=total[1:])
-            hashes.append(mix64((total[en] - total[st]) * down[st] + (en - st).astype(np.uint64)))
+            hashes.append(lane_hashes(b, st, en))
             starts.append(st + at)
             ends.append(en + at)
         at = to
