@@ -2,93 +2,151 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import dropped, written
+from lexforge.llm.bpe import text_runs
+from lexforge.llm.common import mix64, written
 
+U = np.uint64
 SEGMENTS = 8
+_SIGN, _PLACE, _PART = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93)
 
 
-def _key(*parts) -> int:
-    n = xxhash.xxh64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"))
-    return n - (1 << 64) if n >= 1 << 63 else n
+class Signs:
+    """The signs of many lines in one array, with running sums of 64-bit hashes of (sign, place).
 
+    own: places as in the line; back: places one less, as if a sign before were missing. So the hash of a
+    line without any of its signs, and that of any start and end, is a difference of sums: the whole
+    deletion neighbourhood of a line of n signs takes n steps."""
 
-def bases(line: str):
-    """Lengths of the shorter line of a pair that a line may be in: its own, or one less."""
-    return (len(line), len(line) - 1)
+    def __init__(self, lines: list[str]):
+        self.size = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.at = np.cumsum(self.size) - self.size
+        sign = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) * _SIGN
+        place = (np.arange(len(sign)) - np.repeat(self.at, self.size)).astype(np.uint64)
+        self.own, self.back = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(sign + p * _PLACE), dtype=np.uint64)]) for p in (place, place - U(1)))
 
+    def without(self, line: np.ndarray, place: np.ndarray, moved: bool) -> np.ndarray:
+        """Hash of a line without the sign at a place; moved: what follows moves up by one."""
+        first, end = self.at[line], self.at[line] + self.size[line]
+        p = first + place
+        sums = self.back if moved else self.own
+        return self.own[p] - self.own[first] + sums[end] - sums[p + 1]
 
-def segment_keys(line: str):
-    """(key, base, segment): a key for all but one segment of a line. Two lines within one edit have
-    the same key for the segment that holds the edit."""
-    n = len(line)
-    for b in bases(line):
-        for s in range(SEGMENTS):
-            first, last = b * s // SEGMENTS, b * (s + 1) // SEGMENTS
-            yield _key(b, s, line[:first], line[n - (b - last) :]), b, s
+    def whole(self, line: np.ndarray) -> np.ndarray:
+        return self.own[self.at[line] + self.size[line]] - self.own[self.at[line]]
 
 
-def variants(line: str, base: int, segment: int):
-    """(key, role): the line's deletion neighbourhood within a segment.
+def _key(kind: int, h: np.ndarray, *parts) -> np.ndarray:
+    h = mix64(h + U(kind + 1) * _PART)
+    for p in parts:
+        h = mix64(h + p.astype(np.uint64) * _PLACE + U(1))
+    return h.view(np.int64)
+
+
+def segment_keys(lines: list[str]):
+    """(line, key, base, segment): a key for all but one segment of each line, cut as a line of base signs.
+    Two lines within one edit have the same key for the segment that holds the edit. base: the length of
+    the shorter line of a pair that a line may be in, its own or one less."""
+    s = Signs(lines)
+    each = np.arange(len(lines))
+    for less in (0, 1):
+        line = np.repeat(each[s.size >= less], SEGMENTS)
+        part = np.tile(np.arange(SEGMENTS), int((s.size >= less).sum()))
+        base = s.size[line] - less
+        first, last = base * part // SEGMENTS, base * (part + 1) // SEGMENTS
+        a, end = s.at[line], s.at[line] + s.size[line]
+        tail = s.back if less else s.own
+        h = s.own[a + first] - s.own[a] + tail[end] - tail[a + last + less]
+        yield line, _key(0, h, base, part), base, part
+
+
+def variants(lines: list[str], base: np.ndarray, segment: np.ndarray):
+    """(line, key, role): each line's deletion neighbourhood within a segment.
 
     Role 0: the line without the sign at a place, keyed with the place, so equal keys are one
     substitution apart; 1: the whole line, as the shorter one; 2: the line without a sign, as the longer
     one; equal keys of roles 1 and 2 are one deletion apart."""
-    n = len(line)
+    s = Signs(lines)
     first, last = base * segment // SEGMENTS, base * (segment + 1) // SEGMENTS
-    if n == base:
-        yield _key("whole", line), 1
-        for p in range(first, last):
-            yield _key("sub", p, line[:p], line[p + 1 :]), 0
-    else:
-        for p in range(first, last + 1):
-            yield _key("whole", line[:p] + line[p + 1 :]), 2
+    for role in (0, 2):
+        line = np.flatnonzero(s.size == base + role // 2)
+        count = last[line] - first[line] + role // 2
+        at = np.repeat(line, count)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + first[at]
+        if role == 0:
+            yield at, _key(1, s.without(at, place, False), base[at], place), 0
+            yield line, _key(2, s.whole(line), base[line]), 1
+        else:
+            yield at, _key(2, s.without(at, place, True), base[at]), 2
+
+
+def within_one_edit(a: str, b: str) -> bool:
+    """In steps in proportion to the lines, where a table of distances takes the square."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    same, size = 0, len(a)  # a[:same] == b[:same], and they differ before same + size + 1
+    while size:
+        half = (size + 1) // 2
+        if a[same : same + half] == b[same : same + half]:
+            same, size = same + half, size - half
+        else:
+            size = half - 1
+    return a[same + 1 :] == b[same + 1 :] if len(a) == len(b) else a[same:] == b[same + 1 :]
+
+
+def place_of(id_col: str, text_col: str) -> Column:
+    """Sorts rows: those without id last, then by id; rows that repeat an id by a hash of their text."""
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+
+
+def _h(line: str) -> tuple[Column, Column]:
+    return F.xxhash64(F.lit(1), line).alias("h1"), F.xxhash64(F.lit(2), F.reverse(line)).alias("h2")
 
 
 def dropped_lines(docs: DataFrame, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no): lines of at least least_chars signs that an earlier line, by id and place,
+    """(row, line_no): lines of at least least_chars signs that an earlier line, by row and place,
     equals or comes within one inserted, deleted or replaced sign of; and shorter lines that an
-    earlier line equals, unless they are blank. Lines end at line feeds.
+    earlier line equals, unless they are blank. Lines end at line feeds; row is place_of().
 
-    Hashes stand for lines in every shuffle. Distinct lines meet by hashes of their halves; one
+    128-bit hashes stand for lines in every shuffle. Distinct lines meet by hashes of their halves; one
     edit leaves a half as it is, so lines alone with both halves have no partner. Of the others
     the texts are fetched, equal keys for all but an eighth of a line narrow the place of the edit,
     and the deletion neighbourhood is emitted for that eighth. Per key only the earliest line of
-    each role is kept, so a bucket of any size is one row, and lines join that row; the built-in edit
-    distance then verifies. A line goes if any earlier line is that near, kept or not."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    each role is kept, so a bucket of any size is one row, and lines join that row; the edit
+    distance of the two lines is then verified. A line goes if any earlier line is that near, kept or not."""
+    rows = docs.select(place_of(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    lines = rows.select("row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     n = F.length("line")
     lines = lines.where((n >= least_chars) | F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     half = lambda less, side: F.xxhash64(n - less, F.lit(side), F.left("line", F.floor((n - less) / 2).cast("int")) if side == 0 else F.right("line", F.floor((n - less) / 2).cast("int")))
-    hashed = lines.select("doc_id", "line_no", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), F.reverse("line")).alias("h2"), F.when(n >= least_chars, F.array(half(0, 0), half(0, 1), half(1, 0), half(1, 1))).alias("halves"))
-    hashed = written(hashed, "line-hashes")
-    where = F.struct("doc_id", "line_no")
+    halves = F.when(n >= least_chars, F.array(half(0, 0), half(0, 1), half(1, 0), half(1, 1)))
+    hashed = written(lines.select("row", "line_no", *_h("line"), halves.alias("halves")), "line-hashes")
+    where = F.struct("row", "line_no")
     distinct = hashed.groupBy("h1", "h2").agg(F.min(where).alias("at"), F.first("halves").alias("halves"))
     distinct = written(distinct, "line-distinct")
-    later = hashed.join(distinct.select("h1", "h2", "at"), ["h1", "h2"]).where(where != F.col("at")).select("doc_id", "line_no")
+    later = hashed.join(distinct.select("h1", "h2", "at"), ["h1", "h2"]).where(where != F.col("at")).select("row", "line_no")
     halves = distinct.select("h1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
     some = halves.join(shared, "half", "left_semi").select("h1").distinct()
-    some = distinct.join(some, "h1", "left_semi").select("h1", "h2", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"))
-    places = some.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", F.struct("h1", "h2")))).alias("of"))
-    found = rows.join(places, "doc_id").select("doc_id", "of", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    h = F.element_at("of", F.col("line_no"))
-    found = found.where(h.isNotNull()).select("doc_id", "line_no", "line", h["h1"].alias("h1"), h["h2"].alias("h2"))
-    found = found.where((F.col("h1") == F.xxhash64(F.lit(1), "line")) & (F.col("h2") == F.xxhash64(F.lit(2), F.reverse("line"))))
-    found = written(found.dropDuplicates(["h1", "h2"]), "line-texts")
+    some = distinct.join(some, "h1", "left_semi").select("h1", "h2", F.col("at.row").alias("row"), "at").dropDuplicates(["h1", "h2"])
+    holders = rows.join(some.select("row").distinct(), "row", "left_semi")
+    found = holders.select(F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select("line", *_h("line"))
+    found = written(found.dropDuplicates(["h1", "h2"]).join(some.drop("row"), ["h1", "h2"]), "line-texts")
 
     def segments(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                got = [(k, b, s, h1, h2) for line, h1, h2 in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) for k, b, s in segment_keys(line)]
-                cols = list(zip(*got, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "base", "segment", "h1", "h2"])
+            for a, b in text_runs(batch.column(0)):
+                part = batch.slice(a, b - a)
+                h1, h2 = part.column(1), part.column(2)
+                for line, key, base, segment in segment_keys(part.column(0).to_pylist()):
+                    at = pa.array(line)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(base), pa.array(segment), h1.take(at), h2.take(at)], names=["key", "base", "segment", "h1", "h2"])
 
     keys = written(found.select("line", "h1", "h2").mapInArrow(segments, "key long, base long, segment long, h1 long, h2 long"), "line-segments")
     multi = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
@@ -96,39 +154,60 @@ def dropped_lines(docs: DataFrame, least_chars: int = 20, id_col: str = "doc_id"
 
     def emit(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                got = [(k, r, d, i) for line, b, s, d, i in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True) for k, r in variants(line, b, s)]
-                cols = list(zip(*got, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "role", "doc_id", "line_no"])
-
-    near = found.join(narrowed, ["h1", "h2"]).select("line", "base", "segment", F.col("doc_id").cast("long"), F.col("line_no").cast("long"))
-    near = written(near.mapInArrow(emit, "key long, role long, doc_id long, line_no long").distinct(), "line-variants")
-    first = near.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, where)).alias(f"m{r}") for r in (0, 1, 2)])
+            for a, b in text_runs(batch.column(0)):
+                part = batch.slice(a, b - a)
+                base, segment, h1, h2 = (part.column(i) for i in range(1, 5))
+                for line, key, role in variants(part.column(0).to_pylist(), base.to_numpy(), segment.to_numpy()):
+                    for k in range(0, len(line), 500_000):
+                        at = pa.array(line[k : k + 500_000])
+                        yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 500_000]), pa.array(np.full(len(at), role)), h1.take(at), h2.take(at)], names=["key", "role", "h1", "h2"])
+
+    near = found.join(narrowed, ["h1", "h2"]).select("line", "base", "segment", "h1", "h2")
+    near = written(near.mapInArrow(emit, "key long, role long, h1 long, h2 long").distinct(), "line-variants")
+    near = near.join(found.select("h1", "h2", F.struct("at", "h1", "h2").alias("me")), ["h1", "h2"])
+    first = near.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("me"))).alias(f"m{r}") for r in (0, 1, 2)])
     partner = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = near.join(first, "key").select("doc_id", "line_no", partner.alias("p")).where(F.col("p") < where).distinct()
-    text = found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line", "h1", "h2")
-    pairs = pairs.join(text, ["doc_id", "line_no"]).join(text.select(F.struct("doc_id", "line_no").alias("p"), F.col("line").alias("other")), "p")
-    gone = pairs.where(F.levenshtein("line", "other", 1) >= 0).select("h1", "h2").distinct()
-    near_gone = hashed.join(gone, ["h1", "h2"], "left_semi").select("doc_id", "line_no")
+    pairs = near.join(first, "key").select("h1", "h2", "me", partner.alias("p")).where(F.col("p") < F.col("me")).select("h1", "h2", F.col("p.h1").alias("p1"), F.col("p.h2").alias("p2")).distinct()
+    text = found.select("h1", "h2", "line")
+    pairs = pairs.join(text, ["h1", "h2"]).join(text.toDF("p1", "p2", "other"), ["p1", "p2"])
+
+    def verify(batches):
+        for batch in batches:
+            near = [within_one_edit(a.as_py(), b.as_py()) for a, b in zip(batch.column(0), batch.column(1), strict=True)]
+            yield batch.select([2, 3]).filter(pa.array(near, pa.bool_()))
+
+    gone = pairs.select("line", "other", "h1", "h2").mapInArrow(verify, "h1 long, h2 long").distinct()
+    near_gone = hashed.join(gone, ["h1", "h2"], "left_semi").select("row", "line_no")
     return written(later.unionByName(near_gone).distinct(), "line-dropped")
 
 
-def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the lines of gone (doc_id, line_no) taken out of the text; _lines and _dropped count."""
-    per = gone.groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_set("line_no").alias("_gone"))
-    lines = F.split(text_col, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = docs.join(per, id_col, "left").withColumns({"_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)), "_dropped": F.coalesce(F.size("_gone"), F.lit(0))})
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).drop("_gone")
+def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "_lines", dropped_col: str = "_dropped") -> DataFrame:
+    """docs with the lines of gone (row, line_no) taken out of the text; lines_col and dropped_col count."""
+    names, taken = {}, {*docs.columns, lines_col, dropped_col}
+    for c in ("row", "gone"):  # names that docs does not have
+        while c in taken:
+            c += "_"
+        names[len(names)] = c
+        taken.add(c)
+    row, out_of = names[0], names[1]
+    per = gone.groupBy(F.col("row").alias(row)).agg(F.collect_set("line_no").alias(out_of))
+    text = f"`{text_col}`"
+    keep = f"array_except(sequence(0, size(l) - 1), `{out_of}`)"
+    kept = F.expr(f"transform(array(split({text}, '\\n', -1)), l -> array_join(transform({keep}, i -> l[i]), '\\n'))[0]")
+    out = docs.withColumn(row, place_of(id_col, text_col)).join(per, row, "left")
+    out = out.withColumns({lines_col: F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n", -1))), dropped_col: F.coalesce(F.size(out_of), F.lit(0))})
+    return out.withColumn(text_col, F.when(F.col(out_of).isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns, lines_col, dropped_col)
 
 
 def line_dedup(docs: DataFrame, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the lines of dropped_lines(), plus the counts _lines and _dropped.
 
     A null text stays null, an empty one empty; a text all of whose lines go becomes empty.
-    Repeated rows of an id and text are one document and lose the same lines. Columns of docs stay
-    as they are, whatever their names but _lines, _dropped and _gone."""
+    Rows with the same id and text are one document and lose the same lines; rows with the same id and
+    other texts are documents of their own, in an order that hangs on their texts only. Rows
+    without id come after all others, rows without id and with the same text are one document. Ids may
+    be of any type that sorts. An empty table gives no rows. Columns of docs stay as they are, whatever
+    their names but _lines and _dropped, which must be free."""
     return without_lines(docs, dropped_lines(docs, least_chars, id_col, text_col), id_col, text_col)
 
 
@@ -137,8 +216,25 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+#: Pairs within one edit share the start or the end of a line cut as one of the shorter line's length; then the first place where they differ decides.
+OP5_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(range(len(x))) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+u AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, line_no) AS nth FROM l WHERE length(line) >= 20 OR regexp_matches(line, '[^\x20\x09-\x0D]')),
+d AS (SELECT doc_id, line_no, line, length(line) AS n FROM u WHERE nth = 1 AND length(line) >= 20),
+k AS (SELECT d.*, n - b AS base, s, CASE s WHEN 0 THEN left(line, (n - b) // 2) ELSE right(line, (n - b) // 2) END AS half FROM d, (VALUES (0), (1)) AS x(b), (VALUES (0), (1)) AS y(s)),
+p AS (SELECT DISTINCT a.line AS a, b.line AS b FROM k a JOIN k b ON a.base = b.base AND a.s = b.s AND a.half = b.half AND (a.doc_id, a.line_no) < (b.doc_id, b.line_no)),
+q AS (SELECT b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS x, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS y FROM p),
+r AS (SELECT *, coalesce(list_position(list_transform(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1)), true), length(x) + 1) AS f FROM q),
+g AS (SELECT DISTINCT b AS line FROM r WHERE CASE WHEN length(x) = length(y) THEN substr(x, f + 1) = substr(y, f + 1) ELSE substr(x, f) = substr(y, f + 1) END),
+o AS (SELECT u.doc_id, u.line_no FROM u LEFT JOIN g ON u.line = g.line WHERE u.nth > 1 OR g.line IS NOT NULL),
+t AS (SELECT l.doc_id, count(*) AS n_lines, count(o.line_no) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE o.line_no IS NULL), '') AS text FROM l LEFT JOIN o ON l.doc_id = o.doc_id AND l.line_no = o.line_no GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(coalesce(t.text, '')) AS n_chars, sha256(coalesce(t.text, '')) AS text_sha256 FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated lines; documents of which nothing is left go."""
+    """Texts without their repeated lines; documents of which nothing is left go, and those that had no text stay.
+    Null and repeated ids as in line_dedup(); an empty table stays empty; n_chars is kept in step with the text."""
     got = line_dedup(docs)
     left = (F.col("_dropped") == 0) | (F.length(F.trim(F.translate("text", "\n\t\r", "   "))) > 0)
     return got.where(left).withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
