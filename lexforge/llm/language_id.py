@@ -1,12 +1,10 @@
-"""Language ID: one Bloom filter whose slots hold a bit for each language."""
+"""Language ID: one Bloom filter of n-grams whose slots hold a bit for each language."""
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,136 +13,153 @@ from lexforge.llm.bpe import text_runs
 from lexforge.llm.common import crc_fold, text_slices
 
 U = np.uint64
-#: N-grams are four bytes of lower-cased letters, or three with a word's end; they are counted in
-#: 2^19 slots of their hashes. The filter has 2^20 slots and three hash functions.
-GRAM_BITS, FILTER_BITS, HASHES = 19, 20, 3
-GRAMS, SEGMENTS = 1 << GRAM_BITS, 16
-_LETTER = np.zeros(256, np.uint8)
-_LETTER[128:] = np.arange(128, 256)
-_LETTER[97:123] = _LETTER[65:91] = np.arange(97, 123)
-_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Slots of the filter for each n-gram in it, at least.
+SLOTS_PER_GRAM = 8
+#: A language has the n-grams that make up this share of its text or more: 100,000 of them at most.
+LEAST_SHARE = 1e-5
+_IN_WORD = np.zeros(256, np.uint8)
+_IN_WORD[128:] = np.arange(128, 256)
+_IN_WORD[97:123] = np.arange(97, 123)
+#: The odd multipliers of the three hash functions, and the bits of each byte.
+_ODD = (U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93))
+_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float64)
+#: What is no letter and would pass for one, being longer than a byte.
+_NO_LETTER = regex.compile(r"[^\x00-\x7F\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
+
+
+def plain(text: str | None) -> str:
+    """Lower-cased, with a space for each run of signs beyond ASCII that are no letters or marks."""
+    text = (text or "").lower()
+    return text if text.isascii() else _NO_LETTER.sub(" ", text)
 
 
 def grams(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, gram slot) of all n-grams; none reaches over two words or two texts."""
+    """(place, n-gram) of the texts of a byte array: four bytes of a word, or three with its end, as a number.
+    None reaches over two words or two texts."""
     m = np.zeros(len(buf) + 3, np.uint8)
-    m[1:-2] = _LETTER[buf]
+    m[1:-2] = _IN_WORD[buf]
     inner = (m[1:-2] != 0) & (m[2:-1] != 0)
     inner &= (m[:-3] != 0) | (m[3:] != 0)
     at = np.flatnonzero(inner)
     m = m.astype(np.uint32)
-    key = m[at] | m[at + 1] << np.uint32(8) | m[at + 2] << np.uint32(16) | m[at + 3] << np.uint32(24)
-    return at, (key.astype(np.uint64) * U(_ODD[0]) >> U(64 - GRAM_BITS)).astype(np.int32)
-
-
-def positions(slot: np.ndarray):
-    for odd in _ODD[1 : 1 + HASHES]:
-        yield ((slot.astype(np.uint64) + U(1)) * U(odd) >> U(64 - FILTER_BITS)).astype(np.int64)
+    return at, m[at] | m[at + 1] << np.uint32(8) | m[at + 2] << np.uint32(16) | m[at + 3] << np.uint32(24)
 
 
 class LanguageFilters:
-    """counts: [language, gram slot]. A language has an n-gram if the n-gram's share of the
-    language's text is at least `near` times its largest share in any language."""
+    """names: languages. gram and lang: n-grams and the number of a language that has them, all such pairs.
+
+    The filter gives all languages of an n-gram and, rarely, others."""
 
-    def __init__(self, names: list[str], counts: np.ndarray, near: float = 0.5):
-        self.names = names
+    def __init__(self, names: list[str], gram: np.ndarray, lang: np.ndarray, default: int = 0):
+        self.names, self.default = names, default
         if not names:
             return
-        share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-        has = (counts > 0) & (share >= near * share.max(axis=0))
-        self.default = int(np.argmax(counts.sum(axis=1)))
+        distinct = len(np.unique(gram))
+        self.bits = max(10, int(np.ceil(np.log2(max(1, distinct * SLOTS_PER_GRAM)))))
         self.planes, false = [], []
         for first in range(0, len(names), 8):  # eight languages to a plane of bytes
-            plane = np.zeros(1 << FILTER_BITS, np.uint8)
-            block = has[first : first + 8]
-            mask = np.zeros(GRAMS, np.uint8)
-            for i, row in enumerate(block):
-                mask |= row.astype(np.uint8) << np.uint8(i)
-            some = np.flatnonzero(mask)
-            for at in positions(some):
-                np.bitwise_or.at(plane, at, mask[some])
+            plane = np.zeros(1 << self.bits, np.uint8)
+            block = (lang >= first) & (lang < first + 8)
+            for at in self.slots(gram[block]):
+                np.bitwise_or.at(plane, at, np.uint8(1) << (lang[block] - first).astype(np.uint8))
             self.planes.append(plane)
-            false += [float(np.mean(plane >> np.uint8(i) & np.uint8(1))) ** HASHES for i in range(len(block))]
+            false += [float(np.mean(plane >> np.uint8(i) & np.uint8(1))) ** len(_ODD) for i in range(min(8, len(names) - first))]
+        #: How often an n-gram that a language lacks passes for one of its own.
         self.false = np.array(false)
 
+    def slots(self, gram: np.ndarray):
+        h = gram.astype(np.uint64) + U(1)
+        for odd in _ODD:
+            yield (h * odd >> U(64 - self.bits)).astype(np.int32)
+
     def hits(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(texts' n-grams, [text, language] popcounts)."""
-        at, slot = grams(buf)
+        at, gram = grams(buf)
         cut = np.searchsorted(at, bounds)
         n, out = np.diff(cut), np.zeros((len(bounds) - 1, len(self.names)))
-        place = list(positions(slot))
-        some = n > 0
+        slots = list(self.slots(gram))
         for p, plane in enumerate(self.planes):
-            mask = plane[place[0]]
-            for q in place[1:]:
+            mask = plane[slots[0]]
+            for q in slots[1:]:
                 mask &= plane[q]
-            for i in range(8 * p, min(8 * p + 8, len(self.names))):
-                bit = (mask >> np.uint8(i - 8 * p) & np.uint8(1)).astype(np.int32)
-                if some.any():
-                    out[some, i] = np.add.reduceat(bit, cut[:-1][some])
+            here = out[:, 8 * p : 8 * p + 8]
+            for first in range(0, len(n), 2048):  # how often each set of languages occurs in a text
+                last = min(first + 2048, len(n))
+                of = np.repeat(np.arange(last - first) << 8, n[first:last]) + mask[cut[first] : cut[last]]
+                sets = np.bincount(of, minlength=(last - first) << 8).reshape(-1, 256)
+                here[first:last] = sets @ _BITS[:, : here.shape[1]]
         return n, out
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
         """Language of the largest corrected popcount, and its part of all languages' corrected
         popcounts. und and 0 without letters; the commonest language and 0 without known n-grams."""
         lang, score = [], np.zeros(len(texts))
-        for first, last, buf, bounds in text_slices(texts):
+        for first, last, buf, bounds in text_slices([plain(t) for t in texts]):
             n, hit = self.hits(buf, bounds)
             real = np.maximum((hit - n[:, None] * self.false) / (1 - np.minimum(self.false, 0.999)), 0)
             total, best = real.sum(axis=1), real.argmax(axis=1)
             for i in range(last - first):
-                if total[i] > 0:
+                if not _LETTER.search(texts[first + i] or ""):
+                    lang.append("und")
+                elif total[i] > 0:
                     lang.append(self.names[best[i]])
                     score[first + i] = real[i, best[i]] / total[i]
                 else:
-                    t = texts[first + i]
-                    lang.append(self.names[self.default] if t and any(c.isalpha() for c in t) else "und")
+                    lang.append(self.names[self.default])
         return lang, score
 
 
-def learn(rows: DataFrame) -> LanguageFilters:
-    """From all rows of (lang, text); tasks count n-grams of their own rows, sums are by n-gram."""
+def learn(rows: DataFrame, least_share: float = LEAST_SHARE) -> LanguageFilters:
+    """From all rows of (lang, text) with a language. Null and empty texts have no n-grams; repeated rows count
+    each time; no rows give filters without languages. A language has the n-grams with least_share or
+    more of all its n-grams, so what comes to the driver and into the filter is bounded for each
+    language by 1 / least_share, however long the texts. Tasks count the n-grams of their own rows."""
 
     def count(batches):
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
+
+        def merged(parts):
+            key = np.concatenate([k for k, _ in parts])
+            key, back = np.unique(key, return_inverse=True)
+            return key, np.bincount(back, np.concatenate([c for _, c in parts]), len(key)).astype(np.int64)
+
         for batch in batches:
             kind = np.array(batch.column(0).to_pylist(), object)
             for a, b in text_runs(batch.column(1)):
-                texts = batch.column(1).slice(a, b - a).to_pylist()
+                texts = [plain(t) for t in batch.column(1).slice(a, b - a).to_pylist()]
+                own: dict[str, list] = {}
                 for first, last, buf, bounds in text_slices(texts):
-                    at, slot = grams(buf)
+                    at, gram = grams(buf)
                     cut = np.searchsorted(at, bounds)
                     for i in range(first, last):
-                        mine = held.setdefault(kind[a + i], np.zeros(GRAMS, np.int64))
-                        own = slot[cut[i - first] : cut[i - first + 1]]
-                        if len(own) > 20_000:
-                            mine += np.bincount(own, minlength=GRAMS)
-                        else:
-                            np.add.at(mine, own, 1)
-        for name, c in held.items():
-            some = np.flatnonzero(c)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(some), pa.string()), "slot": pa.array(some, pa.int32()), "n": pa.array(c[some])})
-
-    def pack(key, frame):
-        c = np.zeros(GRAMS // SEGMENTS, np.int64)
-        c[frame["slot"].to_numpy() % len(c)] = frame["n"].to_numpy()
-        return pd.DataFrame({"lang": [key[0]], "segment": [key[1]], "counts": [zlib.compress(c.tobytes(), 1)]})
-
-    summed = rows.select("lang", "text").mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    segment = F.floor(F.col("slot") / (GRAMS // SEGMENTS)).cast("int").alias("segment")
-    got = summed.groupBy("lang", segment).applyInPandas(pack, "lang string, segment int, counts binary").collect()  # fixed size for each language
-    names = sorted({r["lang"] for r in got})
-    counts = np.zeros((len(names), SEGMENTS, GRAMS // SEGMENTS), np.int64)
-    for r in got:
-        counts[names.index(r["lang"]), r["segment"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
-    return LanguageFilters(names, counts.reshape(len(names), GRAMS))
+                        own.setdefault(kind[a + i], []).append(gram[cut[i - first] : cut[i - first + 1]])
+                for name, parts in own.items():
+                    mine = held.setdefault(name, [])
+                    mine.append(np.unique(np.concatenate(parts), return_counts=True))
+                    if len(mine) >= 16:
+                        held[name] = [merged(mine)]
+        for name, parts in held.items():
+            key, n = merged(parts)
+            for k in range(0, len(key), 100_000):
+                part = key[k : k + 100_000].astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(part), pa.string()), "gram": pa.array(part), "n": pa.array(n[k : k + 100_000])})
+
+    counts = rows.where("lang is not null").select("lang", F.col("text").cast("string")).mapInArrow(count, "lang string, gram long, n long")
+    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    got = counts.join(total, "lang").where(F.col("n") >= least_share * F.col("total")).select("lang", "gram", "total").toPandas()
+    names = sorted(set(got["lang"]))
+    lang = got["lang"].map({k: i for i, k in enumerate(names)}).to_numpy(np.int64)
+    total = {k: int(n) for k, n in zip(got["lang"], got["total"], strict=True)}
+    return LanguageFilters(names, got["gram"].to_numpy(np.uint32), lang, max(range(len(names)), key=lambda i: total[names[i]], default=0))
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) for every row of docs; no shuffle. Only the text is read.
-
-    Without learned languages every row gets und and 0. The filters are broadcast: 1 MB for
-    eight languages."""
+    """(doc_id, lang_pred, score) for every row of docs; no shuffle. Only the text is read, whatever the other columns
+    are called. Null and empty texts, and those without a Unicode letter, get und and 0; without
+    learned languages every row does. Rows that repeat an id, or have none, are judged each by itself; an
+    empty table gives no rows. The filters are broadcast: about a byte for each slot and eight languages."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if not filters.names:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
