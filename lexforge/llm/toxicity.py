@@ -1,73 +1,102 @@
-"""Toxicity: class-conditional Kneser-Ney models with shared backoff counts."""
+"""Toxicity: class-conditional Kneser-Ney models of word pairs with shared backoff counts."""
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexforge.llm.bpe import text_runs
-from lexforge.llm.common import crc_fold, doc_words
+from lexforge.llm.common import crc_fold, doc_words, dropped, mix64, written
 
-#: Words are counted in 2^20 slots of their hashes, so every table has a fixed size.
-BITS, SEGMENT_BITS = 20, 4
-SLOTS, SEGMENTS = 1 << BITS, 1 << SEGMENT_BITS
+U = np.uint64
+#: Stands before the first word of a text.
+START = U(0x452821E638D01377)
 #: Bias and weights that the calibration starts from, for tables with few labels.
-PRIOR = np.array([-9.0, 1.5, 1.0, 0.5])
-
-
-def slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+PRIOR = np.array([-9.0, 1.5, 1.0, 0.5, 0.5])
+FEATURES = len(PRIOR) - 1
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney: what counts of 0, 1, 2 and 3 or more give to the lower order."""
-    n = [float(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4)]
-    if min(n) == 0:
-        return np.array([0.0, 0.75, 1.0, 1.25])
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.array([0.0, *(min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.1), k + 0.95) for k in range(3))])
+def pair_keys(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word before, key of the pair) of words; first: where texts start."""
+    before = np.concatenate([[START], hashes[:-1]]).astype(np.uint64)
+    before[first[first < len(before)]] = START
+    return before, mix64(before * U(3) ^ hashes)
 
 
-def log_ratios(counts: np.ndarray) -> np.ndarray:
-    """ln P(word | toxic) - ln P(word | ordinary) by slot.
+def discount(once: float, twice: float) -> float:
+    return once / (once + 2 * twice) if once + twice > 0 else 0.75
 
-    counts: [class, slot], in how many documents of a class a word occurs: the distinct contexts
-    that Kneser-Ney counts in place of occurrences. Each class gives its discounts to the counts
-    that both share, so a word that is rare in a class has about its shared probability."""
-    shared = counts.sum(axis=0) + 0.5
-    base = shared / shared.sum()
-    out = []
-    for k in counts:
-        d = discounts(k)[np.minimum(k, 3)]
-        total = float(k.sum())
-        p = (k - d) / total + d.sum() / total * base if total else base
-        out.append(np.log(p))
-    return (out[1] - out[0]).astype(np.float32)
 
+def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places in sorted keys; len(keys) for what is not there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    at[keys[at] != wanted] = len(keys)
+    return at
 
-def features(ratio: np.ndarray) -> tuple[float, float, float]:
-    """Length-normalised differences of log-likelihoods: of the most toxic word, of the three most
-    toxic words, and of the whole text. A text without words has none."""
-    n = len(ratio)
-    if not n:
-        return 0.0, 0.0, 0.0
-    top = ratio if n <= 3 else np.partition(ratio, n - 3)[n - 3 :]
-    return float(top.max()), float(top.mean()), float(ratio.mean())
 
-
-def text_features(texts: list, table: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(texts), 3))
-    for first, last, bounds, h, *_ in doc_words(texts):
-        ratio = table[slots(h)]
-        for i in range(first, last):
-            out[i] = features(ratio[bounds[i - first] : bounds[i - first + 1]])
-    return out
+class Model:
+    """Two interpolated Kneser-Ney models, of toxic (1) and ordinary (0) texts.
+
+    words: (key, after0, after1), after how many different words a word comes in a class; contexts: (key, n0, n1,
+    kinds0, kinds1), how often a word has one behind it and how many different ones; pairs: (key, n0, n1). Whole
+    64-bit hashes are the keys. Words back off to the counts of both classes together, so what is rare in
+    a class has about its shared probability. once and twice: by order and class, how many counts are 1 and 2."""
+
+    def __init__(self, words, contexts, pairs, once, twice):
+        self.discounts = [[discount(a, b) for a, b in zip(x, y, strict=True)] for x, y in zip(once, twice, strict=True)]
+        order = np.argsort(words[0])
+        self.words = words[0][order]
+        after = np.stack([np.append(x[order], 0) for x in words[1:]]).astype(np.float64)
+        shared = after.sum(axis=0) + 0.5
+        base = shared / shared.sum()
+        self.word = []  # P(word) of each class; last the unknown word
+        for k, n in enumerate(after):
+            total = n.sum()
+            d = self.discounts[0][k]
+            self.word.append((np.maximum(n - d, 0) + d * (n > 0).sum() * base) / total if total else base)
+        order = np.argsort(contexts[0])
+        self.contexts = contexts[0][order]
+        n, kinds = (np.stack([np.append(x[order], 0) for x in contexts[i : i + 2]]).astype(np.float64) for i in (1, 3))
+        self.total = np.maximum(n, 1)
+        self.backoff = np.where(n > 0, np.array(self.discounts[1])[:, None] * kinds / self.total, 1.0)
+        order = np.argsort(pairs[0])
+        self.pairs = pairs[0][order]
+        self.pair = np.maximum(np.stack([np.append(x[order], 0) for x in pairs[1:]]) - np.array(self.discounts[1])[:, None], 0)
+        self.ratio = np.log(self.word[1] / self.word[0])
+        self.weights = PRIOR
+
+    def ratios(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln P(word | toxic) - ln P(word | ordinary) of each word, alone and given the word before."""
+        before, key = pair_keys(hashes, first)
+        word, context, pair = find(self.words, hashes), find(self.contexts, before), find(self.pairs, key)
+        p = [self.pair[k][pair] / self.total[k][context] + self.backoff[k][context] * self.word[k][word] for k in (0, 1)]
+        return self.ratio[word], np.log(p[1] / p[0])
+
+    def features(self, texts: list) -> np.ndarray:
+        """Length-normalised differences of log-likelihoods: of the most toxic word, of the three most toxic words, of
+        the whole text word by word, and of the whole text given the words before. Zeros without words."""
+        out = np.zeros((len(texts), FEATURES))
+        for first, last, bounds, h, *_ in doc_words(texts):
+            if not len(h):
+                continue
+            own, given = self.ratios(h, bounds[:-1])
+            for i in range(first, last):
+                a, b = bounds[i - first], bounds[i - first + 1]
+                if a < b:
+                    x = own[a:b]
+                    top = x if b - a <= 3 else np.partition(x, b - a - 3)[b - a - 3 :]
+                    out[i] = top.max(), top.mean(), x.mean(), given[a:b].mean()
+        return out
+
+    def score(self, texts: list) -> np.ndarray:
+        w = self.weights
+        return 1 / (1 + np.exp(-np.clip(w[0] + self.features(texts) @ w[1:], -30, 30)))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -77,7 +106,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         grad = a.T @ (weight * (p - y)) + ridge * (w - PRIOR)
-        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(4)
+        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         old = w.copy()
         w -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
@@ -87,92 +116,95 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def _blob(a: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(a, np.int32).tobytes(), 1)
-
-
-def _array(b: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), np.int32).reshape(2, SLOTS // SEGMENTS)
-
-
-def document_counts(labelled: DataFrame) -> np.ndarray:
-    """[class, slot] document counts of (text, toxic): every task sums its own, sixteen tasks add up."""
+def pair_counts(labelled: DataFrame) -> DataFrame:
+    """(before, word, key, n0, n1) of (text, toxic): how often a word comes after another in each class.
+    Tasks count the pairs of their own rows."""
 
     def count(batches):
-        held = np.zeros((2, SLOTS), np.int32)
         for batch in batches:
-            kind = batch.column(1).to_pylist()
+            kind = np.array(batch.column(1).to_pylist())
             for a, b in text_runs(batch.column(0)):
                 for first, last, bounds, h, *_ in doc_words(batch.column(0).slice(a, b - a).to_pylist()):
-                    s = slots(h)
-                    for i in range(first, last):
-                        held[kind[a + i], np.unique(s[bounds[i - first] : bounds[i - first + 1]])] += 1
-        parts = held.reshape(2, SEGMENTS, -1)
-        if held.any():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array(range(SEGMENTS), pa.int32()), "counts": pa.array([_blob(parts[:, i]) for i in range(SEGMENTS)], pa.binary())})
-
-    def add(key, frame):
-        return pd.DataFrame({"segment": [key[0]], "counts": [_blob(sum(map(_array, frame["counts"])))]})
-
-    schema = "segment int, counts binary"
-    got = labelled.select("text", "toxic").mapInArrow(count, schema).groupBy("segment").applyInPandas(add, schema).collect()
-    out = np.zeros((2, SEGMENTS, SLOTS // SEGMENTS), np.int32)
-    for r in got:
-        out[:, r["segment"]] = _array(bytes(r["counts"]))
-    return out.reshape(2, SLOTS)
-
-
-class Model:
-    """Fixed-size table of log ratios and four calibration weights; None for either: all scores are 0."""
-
-    def __init__(self, table=None, weights=None):
-        self.table, self.weights = table, weights
-
-
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 25_000, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learns from labelled rows whose fold is not held_out: of each class at most most_rows, those
-    with the smallest hashes of their ids. Four fifths of them are counted, one fifth calibrates,
-    each class with the weight of its share among all labelled rows."""
+                    if not len(h):
+                        continue
+                    before, key = pair_keys(h, bounds[:-1])
+                    toxic = np.repeat(kind[a + first : a + last], np.diff(bounds))
+                    some, at, back = np.unique(key, return_index=True, return_inverse=True)
+                    n1 = np.bincount(back, toxic, len(some)).astype(np.int64)
+                    n0 = np.bincount(back, minlength=len(some)) - n1
+                    columns = [x.view(np.int64) for x in (before[at], h[at], some)] + [n0, n1]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["before", "word", "key", "n0", "n1"])
+
+    got = labelled.select("text", "toxic").mapInArrow(count, "before long, word long, key long, n0 long, n1 long")
+    return got.groupBy("before", "word", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def learn(labelled: DataFrame, least_pair: int = 2) -> Model:
+    """The models of (text, toxic). Pairs that occur fewer than least_pair times in both classes count for the
+    words and contexts they are made of, and for the discounts, but are not kept themselves."""
+    pairs = written(pair_counts(labelled), "tox-pairs")
+    some = lambda c: F.count_if(F.col(c) > 0)
+    words = pairs.groupBy("word").agg(some("n0").alias("a0"), some("n1").alias("a1")).toPandas()
+    contexts = pairs.groupBy("before").agg(F.sum("n0"), F.sum("n1"), some("n0"), some("n1")).toPandas()
+    kept = pairs.where((F.col("n0") >= least_pair) | (F.col("n1") >= least_pair)).select("key", "n0", "n1").toPandas()
+    exactly = pairs.agg(*[F.count_if(F.col(f"n{k}") == n) for n in (1, 2) for k in (0, 1)]).first()
+    dropped(pairs)
+    arrays = lambda f: [f.iloc[:, 0].to_numpy(np.int64).view(np.uint64), *(f.iloc[:, i].to_numpy(np.int64) for i in range(1, f.shape[1]))]
+    after = [words["a0"].to_numpy(), words["a1"].to_numpy()]
+    once, twice = ([[float((a == n).sum()) for a in after], [float(exactly[2 * (n - 1) + k]) for k in (0, 1)]] for n in (1, 2))
+    return Model(arrays(words), arrays(contexts), arrays(kept), once, twice)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 25_000, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """Learns from labelled rows whose fold is not held_out: of each class those with the smallest hashes of their ids,
+    about most_rows in all large tables and never more than are there. Four fifths of them are counted, one fifth calibrates,
+    each class with the weight of its share among all labelled rows. None without rows of both classes.
+
+    An id with several labels is toxic if any of them is; null labels and labels or texts without id teach nothing; an id
+    with several texts teaches the one with the smallest hash; null texts are empty. Other columns are not read."""
     spark = docs.sparkSession
-    marked = labels.where("toxic is not null").groupBy(F.col(id_col).alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    marked = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     if folds:
         marked = marked.where(crc_fold(F.col("doc_id"), folds) != held_out)
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
-        return Model()
-    chosen = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for k in (0, 1)]
-    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * most_rows ids
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id")
+        return None
+    part = {k: min(1 << 32, int(most_rows / n * (1 << 32))) for k, n in sizes.items()}
+    low = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 32) - 1))
+    chosen = F.broadcast(marked.where(low < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0])))  # about 2 * most_rows ids
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     apart = F.crc32(F.concat(F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0
-    table = log_ratios(document_counts(rows.where(~apart)))
-    held = spark.sparkContext.broadcast(table)
+    model = learn(rows.where(~apart))
+    held = spark.sparkContext.broadcast(model)
 
     def measure(batches):
         for batch in batches:
-            x = np.concatenate([np.zeros((0, 3)), *(text_features(batch.column(0).slice(a, b - a).to_pylist(), held.value) for a, b in text_runs(batch.column(0)))])
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x[:, k]) for k in range(3))], names=["toxic", "a", "b", "c"])
+            x = np.concatenate([np.zeros((0, FEATURES)), *(held.value.features(batch.column(0).slice(a, b - a).to_pylist()) for a, b in text_runs(batch.column(0)))])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x[:, k]) for k in range(FEATURES))], names=["toxic", *(f"x{k}" for k in range(FEATURES))])
 
-    got = rows.where(apart).select("text", "toxic").mapInArrow(measure, "toxic int, a double, b double, c double").collect()
-    x, y = np.array([[r["a"], r["b"], r["c"]] for r in got]).reshape(-1, 3), np.array([r["toxic"] for r in got], float)
+    got = rows.where(apart).select("text", "toxic").mapInArrow(measure, "toxic int, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toPandas()
+    y = got["toxic"].to_numpy(float)
     weight = np.ones(len(y))
     for k in (0, 1):
-        if (y == k).any():
-            weight[y == k] = max(1.0, sizes[k] / most_rows)
-    return Model(table, calibrate(x, y, weight))
+        weight[y == k] = max(1.0, sizes[k] / most_rows)
+    model.weights = calibrate(got.iloc[:, 1:].to_numpy(float), y, weight)
+    return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): one row per row of docs, whole texts, no shuffle; null counts as empty."""
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score): one row per row of docs, whole texts, no shuffle; only the text is read. Null and empty texts and
+    those without words get the score of no evidence; without a model all scores are 0. Rows that repeat an id or have none are
+    scored each by itself; an empty table gives no rows. The broadcast model has 20 bytes for each word and pair it keeps."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if model.table is None:
+    if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"))
-    held, w = docs.sparkSession.sparkContext.broadcast(model.table), model.weights  # 4 MB
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for a, b in text_runs(batch.column(1)):
-                x = text_features(batch.column(1).slice(a, b - a).to_pylist(), held.value)
-                p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
+                p = held.value.score(batch.column(1).slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p)], names=["doc_id", "score"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("score", T.DoubleType())]))
@@ -185,19 +217,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, limit: float = 0.7) -> DataFrame:
-    """Documents that the score rejects go; learned from all labelled rows."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(docs, labels, folds=0)
-    if model.table is None:
+    """Documents that the score rejects go; learned from all labelled rows. Without rows of both classes, all stay. Null texts
+    and rows without id are judged like others; columns are kept as they are; an empty table stays empty."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=0)
+    if model is None:
         return docs
-    held, w, schema = spark.sparkContext.broadcast(model.table), model.weights, docs.schema
-    at = docs.columns.index("text")
+    held, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             for a, b in text_runs(batch.column(at)):
                 part = batch.slice(a, b - a)
-                x = text_features(part.column(at).to_pylist(), held.value)
-                yield part.filter(pa.array(w[0] + x @ w[1:] < np.log(limit / (1 - limit))))
+                yield part.filter(pa.array(held.value.score(part.column(at).to_pylist()) < limit))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
