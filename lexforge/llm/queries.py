@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.OP2_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op7_url_filter": url_filter.OP7_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op7_url_filter": url_filter.OP7_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
