@@ -142,7 +142,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, tempering: flo
         bins = F.broadcast(plan.where("j = 0").select("source", "q", F.create_map(*[x for s, n in counts.items() for x in (F.lit(s), F.lit(-(-n // bin_rows)))])[F.col("source")].alias("bins")))
     placed = rows.join(bins, "source").withColumn("bin", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.col("bins") / F.lit(1 << 32)))
     sizes = placed.groupBy("source", "bin").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.select("source", "bin", (F.sum("size").over(Window.partitionBy("source").orderBy("bin")) - F.col("size")).alias("before"))
+    # Rows before a bin: those of the thousands of bins before, and of the bins before in its own thousand.
+    thousand = F.floor(F.col("bin") / 1000)
+    sums = lambda keys: F.sum("size").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1])) - F.col("size")
+    large = sizes.groupBy("source", thousand.alias("k")).agg(F.sum("size").alias("size")).select("source", "k", sums(["source", "k"]).alias("first"))
+    before = sizes.withColumn("k", thousand).select("source", "k", "bin", sums(["source", "k", "bin"]).alias("before")).join(large, ["source", "k"])
+    before = before.select("source", "bin", (F.col("before") + F.col("first")).alias("before"))
     numbered = placed.withColumn("within", F.row_number().over(Window.partitionBy("source", "bin").orderBy("h", "doc_id")) - 1).join(before, ["source", "bin"])
     rank = F.col("before") + F.col("within")
     numbered = numbered.select("doc_id", "source", "q", rank.alias("rank"), F.floor(rank / block_rows).alias("block"))
