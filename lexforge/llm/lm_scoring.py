@@ -9,7 +9,12 @@ word hashes. What chunks must know of each other goes through buckets of the key
 sorted distinct keys with their numbers, buckets add up and answer in the same order. So every key
 of a chunk is shuffled once, however often it occurs, and a key's row in a bucket is as short for a
 hot word as for a rare one. All random numbers come from the keys, so chunks that share a cell
-seat it alike without asking."""
+seat it alike without asking.
+
+A Gibbs sweep takes all customers of a cell out, with their tables, and seats them again one after another given all
+other cells' tables of the sweep before. Sweeps before the samples are burn-in. Two things are approximate:
+cells are seated together and not in turn, and from 32 customers on groups of a sixteenth of those seated come
+in together, whatever the table's size. Strengths are 1, discounts come from the counts of counts."""
 
 from __future__ import annotations
 
@@ -27,13 +32,14 @@ from lexforge.llm.bpe import text_runs
 from lexforge.llm.common import crc_fold_py, doc_words, dropped, mix64, written
 
 U = np.uint64
-#: Keys are the upper 56 bits of 64-bit hashes.
+#: Words are whole 64-bit hashes, so their counts are exact; cells are the upper 56 bits, and of 10^10 cells some hundred
+#: share a key, which moves no count of a word.
 KEY = ~U(0xFF)
-START, END = U(0x452821E638D01377) & KEY, U(0xBE5466CF34E90C6C) & KEY
+START, END = U(0x452821E638D01377), U(0xBE5466CF34E90C6C)
 CHUNK = 1 << 21  # tokens; a single longer text is a chunk of its own
 STRENGTH = 1.0
 NO_ID = np.iinfo(np.int64).min
-WORDS, CELLS = 0, 1
+WORDS, CELLS, TABLES = 0, 1, 2
 
 
 # --- arrays as bytes ----------------------------------------------------------
@@ -58,13 +64,36 @@ def loosen(b: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(b)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 56-bit keys as differences."""
-    return squeeze(planes(np.diff(keys, prepend=U(0)) >> U(8)))
+def pack_keys(keys: np.ndarray, low: int) -> bytes:
+    """Sorted keys as differences; `low` bits of them are 0."""
+    return squeeze(planes(np.diff(keys, prepend=U(0)) >> U(low)))
+
+
+def unpack_keys(b: bytes, low: int) -> np.ndarray:
+    return np.cumsum(unplanes(loosen(b), np.uint64), dtype=np.uint64) << U(low)
+
 
+def low_bits(kind: int) -> int:
+    return 8 if kind == CELLS else 0
 
-def unpack_keys(b: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(loosen(b), np.uint64), dtype=np.uint64) << U(8)
+
+def pack_numbers(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of one length of counts from 0 to 2^64 - 1, each as wide as its largest number needs."""
+    out = [len(arrays[0]).to_bytes(4, "little")]
+    for a in arrays:
+        width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(a) or int(a.max()) < 1 << (8 * w))
+        out += [bytes([width]), planes(a.astype(f"<u{width}"))]
+    return squeeze(b"".join(out))
+
+
+def unpack_numbers(b: bytes) -> list[np.ndarray]:
+    b = loosen(b)
+    n, at, out = int.from_bytes(b[:4], "little"), 4, []
+    while at < len(b):
+        width = b[at]
+        out.append(unplanes(b[at + 1 : at + 1 + n * width], f"<u{width}").astype(np.int64))
+        at += 1 + n * width
+    return out
 
 
 # --- chunks ---------------------------------------------------------------------
@@ -78,8 +107,8 @@ def chunks(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
         ids, sizes, train, parts, total = [], [], [], [], 0
 
         def flush():
-            words, tokens = np.unique(np.concatenate(parts) & KEY, return_inverse=True)
-            row = [base + k, np.array(ids, np.int64).tobytes(), np.array(sizes, np.int32).tobytes(), np.array(train, np.uint8).tobytes(), pack_keys(words), squeeze(planes(tokens.astype(np.uint32)))]
+            words, tokens = np.unique(np.concatenate(parts), return_inverse=True)
+            row = [base + k, np.array(ids, np.int64).tobytes(), np.array(sizes, np.int32).tobytes(), np.array(train, np.uint8).tobytes(), pack_keys(words, 0), squeeze(planes(tokens.astype(np.uint32)))]
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["chunk", "ids", "sizes", "train", "words", "tokens"])
 
         for batch in batches:
@@ -116,7 +145,7 @@ class Chunk:
         self.id = int(row["chunk"])
         self.ids, self.sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int32)
         self.train = np.frombuffer(row["train"], np.uint8).astype(bool)
-        words = unpack_keys(row["words"])
+        words = unpack_keys(row["words"], 0)
         start = int(np.searchsorted(words, START))
         self.word_keys = np.insert(words, start, START)
         tokens = unplanes(loosen(row["tokens"]), np.uint32).astype(np.int64)
@@ -143,7 +172,7 @@ class Chunk:
         """Training counts of words (of starts: training texts) and of cells."""
         w = np.bincount(self.tokens[self.learns], minlength=len(self.word_keys))
         w[self.start] = self.train.sum()
-        return w.astype(np.uint32), np.bincount(self.inverse[self.learns], minlength=len(self.cell_keys)).astype(np.uint32)
+        return w, np.bincount(self.inverse[self.learns], minlength=len(self.cell_keys))
 
 
 # --- exchange ---------------------------------------------------------------------
@@ -156,38 +185,37 @@ def asked(chunk: int, kind: int, keys: np.ndarray, numbers: list[np.ndarray], bi
     """Rows of ASKED for all buckets with keys of a chunk."""
     at = np.concatenate([np.searchsorted(keys, (np.arange(1 << bits, dtype=np.uint64) << U(64 - bits))), [len(keys)]])
     some = np.flatnonzero(np.diff(at))
-    blobs = [pack_keys(keys[at[i] : at[i + 1]]) for i in some]
-    nums = [squeeze(b"".join(planes(x[at[i] : at[i + 1]]) for x in numbers)) for i in some]
+    blobs = [pack_keys(keys[at[i] : at[i + 1]], low_bits(kind)) for i in some]
+    nums = [pack_numbers([x[at[i] : at[i + 1]] for x in numbers]) for i in some]
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int64()), pa.array([chunk] * len(some), pa.int64()), pa.array(blobs, pa.binary()), pa.array(nums, pa.binary())], names=["kind", "bucket", "chunk", "keys", "numbers"])
 
 
-def answered(ask: DataFrame, columns: int, make) -> DataFrame:
+def answered(ask: DataFrame, make) -> DataFrame:
     """Adds up the numbers of equal keys of a bucket; make(kind, keys, sums, is_first) gives the answers'
     arrays, one number for each row of the bucket's distinct keys, and the bucket's statistics."""
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         kind, bucket = int(key[0]), int(key[1])
         frame = frame.sort_values("chunk")
-        each = [unpack_keys(b) for b in frame["keys"]]
+        each = [unpack_keys(b, low_bits(kind)) for b in frame["keys"]]
         sizes = np.array([len(e) for e in each])
         keys = np.concatenate(each)
-        plain = [loosen(b) for b in frame["numbers"]]
-        nums = [np.concatenate([unplanes(b[4 * n * c : 4 * n * (c + 1)], np.uint32) for b, n in zip(plain, sizes, strict=True)]) for c in range(columns)]
+        nums = [np.concatenate(x) for x in zip(*(unpack_numbers(b) for b in frame["numbers"]), strict=True)]
         order = np.argsort(keys, kind="stable")
         sorted_keys = keys[order]
         new = np.diff(sorted_keys, prepend=~sorted_keys[:1]) != 0
         starts = np.flatnonzero(new)
-        sums = [np.add.reduceat(x[order].astype(np.int64), starts) for x in nums]
+        sums = [np.add.reduceat(x[order], starts) for x in nums]
         out, stats = make(kind, sorted_keys[starts], sums)
         group = np.empty(len(keys), np.int64)
         group[order] = np.cumsum(new) - 1
-        owner = np.zeros(len(keys), np.uint32)
+        owner = np.zeros(len(keys), np.int64)
         owner[order[starts]] = 1
-        cols = [x[group].astype(np.uint32) for x in out]
+        cols = [x[group] for x in out]
         if kind == CELLS:
             cols.append(owner)
         at = np.concatenate([[0], np.cumsum(sizes)])
-        blobs = [squeeze(b"".join(planes(c[a:b]) for c in cols)) for a, b in zip(at[:-1], at[1:], strict=True)]
+        blobs = [pack_numbers([c[a:b] for c in cols]) for a, b in zip(at[:-1], at[1:], strict=True)]
         rows = pd.DataFrame({"chunk": frame["chunk"], "kind": kind, "bucket": bucket, "numbers": blobs, "stats": None})
         return pd.concat([rows, pd.DataFrame({"chunk": [-1], "kind": [kind], "bucket": [bucket], "numbers": [b""], "stats": [stats]})])
 
@@ -196,8 +224,8 @@ def answered(ask: DataFrame, columns: int, make) -> DataFrame:
 
 def told(frame: pd.DataFrame, kind: int, columns: int) -> list[np.ndarray]:
     """A chunk's answers in the order of its keys."""
-    mine = [loosen(b) for b in frame[frame["kind"] == kind].sort_values("bucket")["numbers"]]
-    return [np.concatenate([np.zeros(0, np.uint32), *(unplanes(b[len(b) // columns * c : len(b) // columns * (c + 1)], np.uint32) for b in mine)]).astype(np.int64) for c in range(columns)]
+    mine = [unpack_numbers(b) for b in frame[frame["kind"] == kind].sort_values("bucket")["numbers"]]
+    return [np.concatenate([np.zeros(0, np.int64), *(x[c] for x in mine)]) for c in range(columns)]
 
 
 def totals(answers: DataFrame, kind: int, n: int) -> list[float]:
@@ -238,10 +266,11 @@ class Sweep:
     def __init__(self, d: float, d0: float, root: float, root_tables: float, kinds: float):
         self.d, self.d0, self.root, self.root_tables, self.kinds = d, d0, root, root_tables, kinds
 
-    def parent(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """P(word) in the shared parent; words without customers get what an unknown word gets."""
+    def parent(self, customers: np.ndarray, tables: np.ndarray, out=0) -> np.ndarray:
+        """P(word) in the shared parent, of which `out` customers have been taken; words without customers get what an
+        unknown word gets."""
         base = 1.0 / (self.kinds + 1)
-        return (np.maximum(customers - self.d0 * tables, 0) + (STRENGTH + self.d0 * self.root_tables) * base) / (STRENGTH + self.root)
+        return (np.maximum(customers - self.d0 * np.minimum(tables, customers), 0) + (STRENGTH + self.d0 * self.root_tables) * base) / (STRENGTH + self.root - out)
 
     def predict(self, count, tables, total, context_tables, parent):
         """P(word | context); the parent's where the context is new."""
@@ -249,16 +278,16 @@ class Sweep:
         return np.where(total > 0, p, parent)
 
 
-def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int = 2, burn_in: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are A-Z-lower-cased words and one end. Texts whose crc32 fold is not held_out are learned;
     all are scored: score is the sum of log10 of the probability of each token given the one before,
-    averaged over `samples` Gibbs sweeps after an initial seating of one table for each word of a context;
+    averaged over the last `samples` of burn_in + samples Gibbs sweeps after an initial seating of one table for each word of a context;
     base_score is that of add-one single-word counts. Discounts come from the counts of counts. A null
-    text is empty and has its end only. Rows that repeat an id count as many texts; ids must be
-    integers; texts without id are learned.
-    Other columns are ignored. Without training texts all words are unknown and all scores 0.
+    text is empty and has its end only. Rows that repeat an id count as many texts, whatever their texts are, and each
+    has its score; ids must be integers; texts without id are learned. An empty table gives no rows.
+    Other columns are ignored, whatever their names. Without training texts all words are unknown and all scores 0.
 
     Cells are seated all together given the last sweep's sums, so sweeps run in parallel."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -272,7 +301,7 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         return out
 
     state = step(chunks(rows, folds, held_out), "lm-chunks")
-    bits = max(6, min(12, int(state.count()).bit_length()))
+    bits = max(4, int(state.count()).bit_length() + 1)  # two to four buckets for each chunk, so they do not grow with the corpus
 
     def ask_counts(batches):
         for batch in batches:
@@ -287,7 +316,7 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         real = n[keys != START] if kind == WORDS else n
         return [n], [float(real.sum()), float((real > 0).sum()), float((real == 1).sum()), float((real == 2).sum())]
 
-    counts = step(answered(state.mapInArrow(ask_counts, ASKED), 1, add_counts), "lm-counts")
+    counts = step(answered(state.mapInArrow(ask_counts, ASKED), add_counts), "lm-counts")
     tokens, kinds, *_ = totals(counts, WORDS, 4)
     _, _, once, twice = totals(counts, CELLS, 4)
     d = discount(once, twice)
@@ -298,7 +327,7 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
     empty = {"words": None, "single": None, "cells": None, "kind": None, "bucket": None, "keys": None, "numbers": None}
 
     def sums_of(n_words, ctx, word, tables):
-        return [np.bincount(word, weights=tables, minlength=n_words).astype(np.uint32), np.bincount(ctx, weights=tables, minlength=n_words).astype(np.uint32)]
+        return [np.bincount(word, weights=tables, minlength=n_words).astype(np.int64), np.bincount(ctx, weights=tables, minlength=n_words).astype(np.int64)]
 
     def learn(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         c = Chunk(left.iloc[0])
@@ -307,12 +336,11 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         single = sums_of(len(c.word_keys), c.ctx[one], c.word[one], np.ones(int(one.sum())))
         many = count > 1
         order = np.lexsort((c.word[many], c.ctx[many]))  # by context, so that its places are small differences
-        kept = [x[many][order] for x in (c.ctx, c.word, count, owner)]
-        kept[0] = np.diff(kept[0], prepend=0)
-        cells = b"".join(planes(x.astype(np.uint32)) for x in kept)
-        own = many & (owner == 1)
-        first = [s + m for s, m in zip(single, sums_of(len(c.word_keys), c.ctx[own], c.word[own], np.ones(int(own.sum()))), strict=True)]
-        keep = pd.DataFrame([{"chunk": c.id, "bits": bits, **empty, "words": pack_keys(c.word_keys), "single": squeeze(b"".join(map(planes, single))), "cells": squeeze(cells), "ask": False}])
+        ctx, word, count, owner = (x[many][order] for x in (c.ctx, c.word, count, owner))
+        cells = pack_numbers([np.diff(ctx, prepend=0), word, count, owner])
+        own = owner == 1
+        first = [s + m for s, m in zip(single, sums_of(len(c.word_keys), ctx[own], word[own], np.ones(int(own.sum()))), strict=True)]
+        keep = pd.DataFrame([{"chunk": c.id, "bits": bits, **empty, "words": pack_keys(c.word_keys, 0), "single": pack_numbers(single), "cells": cells, "ask": False}])
         ask = asked(c.id, WORDS, c.word_keys, first, bits).to_pandas().assign(bits=bits, words=None, single=None, cells=None, ask=True)
         return pd.concat([keep, ask])[[x.split()[0] for x in multi_schema.split(", ")]]
 
@@ -333,35 +361,41 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         return make
 
     def reseat(sweep: int, last: Sweep):
+        """The sums that a chunk asks for after the sweep, and a row of its cells' tables."""
+
         def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             row = left.iloc[0]
-            words = unpack_keys(row["words"])
-            plain = loosen(row["single"])
-            single = [unplanes(plain[4 * len(words) * i : 4 * len(words) * (i + 1)], np.uint32) for i in (0, 1)]
-            ctx, word, count, owner = _cells(loosen(row["cells"]))
-            t = _tables(cell_keys(words, ctx, word), ctx, word, count, told(right, WORDS, 3), last, sweep)
+            words, single = unpack_keys(row["words"], 0), unpack_numbers(row["single"])
+            ctx, word, count, owner = unpack_numbers(row["cells"])
+            ctx = np.cumsum(ctx)
+            old = right[right["kind"] == TABLES]["numbers"]
+            old = unpack_numbers(old.iloc[0])[0] if len(old) else np.ones(len(ctx), np.int64)
+            served, root_tables, of_context = told(right, WORDS, 3)
+            new = (STRENGTH + last.d * (of_context[ctx] - old)) * last.parent(served[word] - old, root_tables[word], old)
+            t = seat(cell_keys(words, ctx, word), count, new, last.d, sweep)
             own = owner == 1
             now = [s + m for s, m in zip(single, sums_of(len(words), ctx[own], word[own], t[own]), strict=True)]
-            return asked(int(row["chunk"]), WORDS, words, now, bits).to_pandas()
+            ask = asked(int(row["chunk"]), WORDS, words, now, bits).to_pandas()
+            return pd.concat([ask, pd.DataFrame([{"kind": TABLES, "bucket": 0, "chunk": int(row["chunk"]), "keys": b"", "numbers": pack_numbers([t])}])])
 
         return run
 
     sweeps: list[Sweep] = []
-    answers: list[DataFrame] = []
-    for s in range(samples + 1):
+    answers: list[DataFrame] = []  # what chunks are told after a sweep, with the tables that they have made
+    for s in range(burn_in + samples + 1):
         if s:
-            last = answers[-1].where("chunk >= 0").drop("stats")
-            ask = cells.groupBy("chunk").cogroup(last.groupBy("chunk")).applyInPandas(reseat(s, sweeps[-1]), ASKED)
+            ask = step(cells.groupBy("chunk").cogroup(answers[-1].groupBy("chunk")).applyInPandas(reseat(s, sweeps[-1]), ASKED), f"lm-seats{s}")
         before = sweeps[-1] if s else None
         weight = (STRENGTH + before.d0 * before.root_tables) / (kinds + 1) if s else 0.0
-        answers.append(step(answered(ask, 2, add_sums(s, before.d0 if s else 0.5, weight)), f"lm-sweep{s}"))
-        served, tables, r1, r2 = totals(answers[-1], WORDS, 4)
+        sums = step(answered(ask.where(F.col("kind") == WORDS), add_sums(s, before.d0 if s else 0.5, weight)), f"lm-sweep{s}")
+        answers.append(sums.where("chunk >= 0").drop("stats").unionByName(ask.where(F.col("kind") == TABLES).drop("keys")))
+        served, tables, r1, r2 = totals(sums, WORDS, 4)
         sweeps.append(Sweep(d, before.d0 if s else discount(r1, r2), served, tables, kinds))
 
-    dropped(got)  # the sums of all sweeps are written; scores need only those and the counts
+    dropped(got)  # the tables and sums of the sampled sweeps are written; scores need only those and the counts
     everything = own_counts.withColumn("sweep", F.lit(-1))
-    for s, a in enumerate(answers):
-        everything = everything.unionByName(a.where("chunk >= 0").drop("stats").withColumn("sweep", F.lit(s)))
+    for s in range(burn_in + 1, burn_in + samples + 1):
+        everything = everything.unionByName(answers[s].withColumn("sweep", F.lit(s)))
 
     def finish(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         c = Chunk(left.iloc[0])
@@ -369,13 +403,13 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         (of_word,) = told(by[-1], WORDS, 1)
         count, _ = told(by[-1], CELLS, 2)
         many = np.flatnonzero(count > 1)
+        many = many[np.lexsort((c.word[many], c.ctx[many]))]
         known = np.where(c.word_keys == START, 0, of_word)
-        told_by = [told(by[s], WORDS, 3) for s in range(samples + 1)]
         p = np.zeros(len(c.cell_keys))
-        for s in range(1, samples + 1):
+        for s in range(burn_in + 1, burn_in + samples + 1):
             tables = (count > 0).astype(np.int64)
-            tables[many] = _tables(c.cell_keys[many], c.ctx[many], c.word[many], count[many], told_by[s - 1], sweeps[s - 1], s)
-            served, root_tables, of_context = told_by[s]
+            (tables[many],) = told(by[s], TABLES, 1)
+            served, root_tables, of_context = told(by[s], WORDS, 3)
             parent = sweeps[s].parent(served, root_tables)
             p += sweeps[s].predict(count, tables, of_word[c.ctx], of_context[c.ctx], parent[c.word])
         logp = np.log10(p / samples)
@@ -399,18 +433,5 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
     return out
 
 
-def _cells(b: bytes):
-    n = len(b) // 16
-    ctx, word, count, owner = (unplanes(b[4 * n * i : 4 * n * (i + 1)], np.uint32).astype(np.int64) for i in range(4))
-    return np.cumsum(ctx), word, count, owner
-
-
-def _tables(keys, ctx, word, count, answers, last: Sweep, sweep: int) -> np.ndarray:
-    """The sweep's tables of cells, from the answers of the sweep before."""
-    served, root_tables, of_context = answers
-    new = (STRENGTH + last.d * of_context[ctx]) * last.parent(served, root_tables)[word]
-    return seat(keys, count, new, last.d, sweep)
-
-
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
