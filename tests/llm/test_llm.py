@@ -255,6 +255,64 @@ def test_line_dedup_of_short_lines(spark):
     assert got == {0: ("Menu\n\nHome\n  ", 1), 1: ("Homes\n\n  ", 2), 2: (None, 0), 3: ("a line of more than twenty signs", 1), 4: ("", 1)}
 
 
+def brute_lines(rows, least=20):
+    """Texts left of (id, text) rows, in order of rows without id last, id and the operator's own hash of the text."""
+    first = {}
+    for k, (i, t) in enumerate(rows):
+        for m, line in enumerate((t or "").split("\n")):
+            if len(line) >= least or line.strip(" \t\n\v\f\r"):
+                first.setdefault(line, (k, m))
+    long = [x for x in first if len(x) >= least]
+    gone = {max(a, b, key=first.get) for a, b in itertools.combinations(long, 2) if edits_at_most_one(a, b)}
+    return [None if t is None else "\n".join(x for m, x in enumerate(t.split("\n")) if x not in first or (first[x] == (k, m) and x not in gone)) for k, (i, t) in enumerate(rows)]
+
+
+def test_line_dedup_of_repeated_and_missing_ids(spark):
+    line = "a line of more than twenty signs"
+    rows = [(5, line + "\nshort"), (5, line[:9] + "X" + line[10:] + "\nother\nshort"), (5, line + "\nshort"), (2, "other\n" + line + "s"), (None, line + "\nalone"), (None, "alone"), (None, line + "\nalone"), (7, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for docs, cast in ((df, lambda i: i), (df.withColumn("doc_id", F.col("doc_id").cast("string")), lambda i: None if i is None else str(i))):
+        docs = docs.withColumns({"row": F.lit(1), "gone": F.lit(2), "line": F.lit(3), "_gone": F.lit(4), "h1": F.lit(5)}).repartition(3)
+        order = docs.select("doc_id", "text").distinct().orderBy(line_dedup.place_of("doc_id", "text")).collect()
+        want = {(r["doc_id"], r["text"]): t for r, t in zip(order, brute_lines([tuple(r) for r in order]), strict=True)}
+        got = docs.withColumn("before", F.col("text"))
+        got = line_dedup.line_dedup(got)
+        assert set(docs.columns) < set(got.columns)
+        got = got.collect()
+        assert len(got) == len(rows) and all(r["text"] == want[r["doc_id"], r["before"]] for r in got)
+        assert {r["doc_id"] for r in got if r["text"] and line in r["text"]} <= {cast(2)}
+
+
+def test_line_dedup_of_long_lines(spark):
+    rng = np.random.default_rng(12)
+    base = "".join(rng.choice(list("abcdefgh "), 300_000))
+    lines = [base, base[:150_001] + base[150_002:], base[:9] + "#" + base[9:], base[:-1] + "#", base[::-1], base[:7] + "##" + base[9:]]
+    many = "\n".join(f"line number {k:07d} of a long text" for k in range(0, 300_000, 11))
+    docs = spark.createDataFrame([*enumerate(lines), (6, many), (7, many)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()}
+    assert [got[k] == lines[k] for k in range(6)] == [True, False, False, False, True, True] and got[1] == got[2] == got[3] == ""
+    assert got[7] == "" and got[6].startswith("line number 0000000") and 0 < got[6].count("\n") < many.count("\n")
+
+
+def test_line_keys_meet():
+    """Every pair within one edit shares a segment key, and a variant in that segment; others hardly ever do."""
+    for a, b in itertools.product(["".join(x) for n in range(6) for x in itertools.product("ab", repeat=n)], repeat=2):
+        assert line_dedup.within_one_edit(a, b) == edits_at_most_one(a, b)
+    rng = random.Random(13)
+    for _ in range(300):
+        a = "".join(rng.choices("ab日c", k=rng.randint(20, 60)))
+        p = rng.randrange(len(a))
+        b = rng.choice([a[:p] + "Z" + a[p + 1 :], a[:p] + a[p + 1 :], a[:p] + "Z" + a[p:]])
+        keys = [{(k, s) for line, key, base, seg in line_dedup.segment_keys([x]) for k, s in zip(key.tolist(), zip(base.tolist(), seg.tolist(), strict=True), strict=True)} for x in (a, b)]
+        shared = {s for _, s in keys[0] & keys[1]}
+        assert shared
+        met = False
+        for base, seg in shared:
+            of = [{(k, role) for _, key, role in line_dedup.variants([x], np.array([base]), np.array([seg])) for k in key.tolist()} for x in (a, b)]
+            met |= any((k, {0: 0, 1: 2, 2: 1}[r]) in of[1] for k, r in of[0])
+        assert met
+
+
 def test_language_id(spark, none):
     rng = random.Random(6)
     make = {"aa": "abcdef", "bb": "stuvwx", "cc": "ghijéè"}
@@ -269,6 +327,36 @@ def test_language_id(spark, none):
     assert language_id.identify(train, language_id.learn(none)).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_language_filters_like_exact_sets(spark):
+    """Predictions against plain sets of n-grams; what has no letter is und whatever its signs."""
+    rng = random.Random(16)
+    make = {k: "".join(chr(rng.choice([rng.randrange(97, 123), rng.randrange(0xE0, 0xF7), rng.randrange(0x430, 0x450)])) for _ in range(12)) for k in ("l%02d" % i for i in range(11))}
+    text = lambda k: " … “" + "”—".join("".join(rng.choices(make[k], k=rng.randint(2, 7))) for _ in range(30)) + " 12 😀 "
+    train = [(i, text(k), k, "s", 0) for i, k in enumerate(list(make) * 12)]
+    filters = language_id.learn(spark.createDataFrame(train, DOCS).repartition(3), least_share=1e-3)
+
+    def grams_of(t):
+        words = re.findall(r"[^\W\d_]+", t.lower())
+        return [w[k : k + 4] for w in (b"\0" + x.encode() + b"\0" for x in words) for k in range(len(w) - 3) if len(w) > 4]
+
+    counts = {k: collections.Counter(g for _, t, n, *_ in train if n == k for g in grams_of(t)) for k in make}
+    has = {k: {g for g, n in c.items() if n >= 1e-3 * sum(c.values())} for k, c in counts.items()}
+    right = 0
+    for k in list(make) * 4:
+        t = text(k)
+        want = collections.Counter({n: sum(g in s for g in grams_of(t)) for n, s in has.items()}).most_common(1)[0][0]
+        lang, score = filters.predict([t])
+        right += lang == [want]
+        at, gram = language_id.grams(np.frombuffer(language_id.plain(t).encode(), np.uint8))
+        assert len(gram) == len(grams_of(t)) and 0 <= score[0] <= 1
+        slots = list(filters.slots(gram))
+        for i, n in enumerate(filters.names):  # no language of an n-gram is missing
+            bits = np.bitwise_and.reduce([filters.planes[i // 8][q] for q in slots]) >> np.uint8(i % 8) & np.uint8(1)
+            assert all(b for b, g in zip(bits, gram, strict=True) if int(g).to_bytes(4, "little") in has[n])
+    assert right >= 43 and filters.false.max() < 0.1
+    assert filters.predict(["…“”— 😀 12", "—", "١٢٣", "…", None, ""])[0] == ["und"] * 6
+
+
 def test_url_filter(spark):
     rng = random.Random(7)
     hosts = ["a.com", "good.net", "x.example.net", "b.org", "Example.COM", "www.example.com"]
