@@ -19,6 +19,7 @@ in together, whatever the table's size. Strengths are 1, discounts come from the
 from __future__ import annotations
 
 import gc
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -190,7 +191,12 @@ def asked(chunk: int, kind: int, keys: np.ndarray, numbers: list[np.ndarray], bi
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int64()), pa.array([chunk] * len(some), pa.int64()), pa.array(blobs, pa.binary()), pa.array(nums, pa.binary())], names=["kind", "bucket", "chunk", "keys", "numbers"])
 
 
-def answered(ask: DataFrame, make) -> DataFrame:
+def by_chunk(left: DataFrame, right: DataFrame, parts: int):
+    """Both sides' rows of a chunk, in as many tasks as there are chunks: a task does not grow with the corpus."""
+    return left.repartition(parts, "chunk").groupBy("chunk").cogroup(right.repartition(parts, "chunk").groupBy("chunk"))
+
+
+def answered(ask: DataFrame, parts: int, make) -> DataFrame:
     """Adds up the numbers of equal keys of a bucket; make(kind, keys, sums, is_first) gives the answers'
     arrays, one number for each row of the bucket's distinct keys, and the bucket's statistics."""
 
@@ -219,7 +225,7 @@ def answered(ask: DataFrame, make) -> DataFrame:
         rows = pd.DataFrame({"chunk": frame["chunk"], "kind": kind, "bucket": bucket, "numbers": blobs, "stats": None})
         return pd.concat([rows, pd.DataFrame({"chunk": [-1], "kind": [kind], "bucket": [bucket], "numbers": [b""], "stats": [stats]})])
 
-    return ask.groupBy("kind", "bucket").applyInPandas(run, TOLD)
+    return ask.repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInPandas(run, TOLD)
 
 
 def told(frame: pd.DataFrame, kind: int, columns: int) -> list[np.ndarray]:
@@ -301,7 +307,8 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         return out
 
     state = step(chunks(rows, folds, held_out), "lm-chunks")
-    bits = max(4, int(state.count()).bit_length() + 1)  # two to four buckets for each chunk, so they do not grow with the corpus
+    parts = max(1, state.count())
+    bits = max(4, parts.bit_length() + 1)  # two to four buckets for each chunk, so they do not grow with the corpus
 
     def ask_counts(batches):
         for batch in batches:
@@ -316,7 +323,7 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         real = n[keys != START] if kind == WORDS else n
         return [n], [float(real.sum()), float((real > 0).sum()), float((real == 1).sum()), float((real == 2).sum())]
 
-    counts = step(answered(state.mapInArrow(ask_counts, ASKED), add_counts), "lm-counts")
+    counts = step(answered(state.mapInArrow(ask_counts, ASKED), parts, add_counts), "lm-counts")
     tokens, kinds, *_ = totals(counts, WORDS, 4)
     _, _, once, twice = totals(counts, CELLS, 4)
     d = discount(once, twice)
@@ -345,7 +352,7 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         return pd.concat([keep, ask])[[x.split()[0] for x in multi_schema.split(", ")]]
 
     own_counts = counts.where("chunk >= 0").drop("stats")
-    got = step(state.groupBy("chunk").cogroup(own_counts.groupBy("chunk")).applyInPandas(learn, multi_schema), "lm-cells")
+    got = step(by_chunk(state, own_counts, parts).applyInPandas(learn, multi_schema), "lm-cells")
     cells = got.where("not ask").select("chunk", "words", "single", "cells")
     ask = got.where("ask").select("kind", "bucket", "chunk", "keys", "numbers")
 
@@ -381,16 +388,25 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         return run
 
     sweeps: list[Sweep] = []
+    held: list[list[DataFrame]] = []
     answers: list[DataFrame] = []  # what chunks are told after a sweep, with the tables that they have made
     for s in range(burn_in + samples + 1):
+        tables = []
         if s:
-            ask = step(cells.groupBy("chunk").cogroup(answers[-1].groupBy("chunk")).applyInPandas(reseat(s, sweeps[-1]), ASKED), f"lm-seats{s}")
+            asks = step(by_chunk(cells, answers[-1], parts).applyInPandas(reseat(s, sweeps[-1]), ASKED), f"lm-asks{s}")
+            if s - 1 <= burn_in:
+                dropped(*held[-1])  # a sweep that is no sample has been used
+            tables = [step(asks.where(F.col("kind") == TABLES).drop("keys"), f"lm-tables{s}")]
+            ask = asks.where(F.col("kind") == WORDS)
         before = sweeps[-1] if s else None
         weight = (STRENGTH + before.d0 * before.root_tables) / (kinds + 1) if s else 0.0
-        sums = step(answered(ask.where(F.col("kind") == WORDS), add_sums(s, before.d0 if s else 0.5, weight)), f"lm-sweep{s}")
-        answers.append(sums.where("chunk >= 0").drop("stats").unionByName(ask.where(F.col("kind") == TABLES).drop("keys")))
-        served, tables, r1, r2 = totals(sums, WORDS, 4)
-        sweeps.append(Sweep(d, before.d0 if s else discount(r1, r2), served, tables, kinds))
+        sums = step(answered(ask, parts, add_sums(s, before.d0 if s else 0.5, weight)), f"lm-sweep{s}")
+        if s:
+            dropped(asks)
+        held.append([sums, *tables])
+        answers.append(reduce(DataFrame.unionByName, [sums.where("chunk >= 0").drop("stats"), *tables]))
+        served, root_tables, r1, r2 = totals(sums, WORDS, 4)
+        sweeps.append(Sweep(d, before.d0 if s else discount(r1, r2), served, root_tables, kinds))
 
     dropped(got)  # the tables and sums of the sampled sweeps are written; scores need only those and the counts
     everything = own_counts.withColumn("sweep", F.lit(-1))
@@ -429,7 +445,7 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
             }
         )
 
-    out = state.groupBy("chunk").cogroup(everything.groupBy("chunk")).applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = by_chunk(state, everything, parts).applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out
 
 
