@@ -45,7 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
     if path in _standing:
@@ -56,7 +56,7 @@ def drop_written(spark: SparkSession, since: int = 0) -> None:
     """Deletes the tables that operators have written, from the since-th on: to be called when their
     results have been used or stored. An operator's result reads from some of its tables."""
     for path in _standing[since:]:
-        _delete(spark, path)
+        delete(spark, path)
 
 
 def standing() -> int:
@@ -68,7 +68,7 @@ def dropped(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_lexforge_path", None)
         if path:
-            _delete(t.sparkSession, path)
+            delete(t.sparkSession, path)
 
 
 def crc_fold(id_col: Column, folds: int) -> Column:
