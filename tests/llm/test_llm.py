@@ -543,11 +543,64 @@ def test_pipeline(spark, rows, tmp_path):
         names.append((docs, out := spark.read.parquet(str(tmp_path / name))))
         docs = out
     (_, clean), (_, lines), (before, near), (_, mixed) = names
+    texts = lambda d: {r["doc_id"]: r["text"] for r in d.collect()}
+    model = toxicity.fit(names[0][0], spark.read.parquet(str(tmp_path / "labels.parquet")), folds=0)
+    want = {r["doc_id"] for r in toxicity.score(names[0][0], model).where("score < 0.7").collect()}
+    assert set(texts(clean)) == want and texts(clean).items() <= texts(names[0][0]).items()
+    was = sorted(texts(clean).items())
+    left = dict(zip([i for i, _ in was], brute_lines(was), strict=True))
+    assert texts(lines) == {i: t for i, t in left.items() if t == dict(was)[i] or t.strip(" \n\t\r")}
+    assert all(r["n_chars"] == len(r["text"] or "") for r in lines.collect())
     sets = {r["doc_id"]: shingle_set(r["text"]) for r in before.collect()}
-    assert {r["doc_id"] for r in near.collect()} == {i for i, c in brute_components(sets, 80).items() if i == c}
-    assert 0 < mixed.count() <= near.count() and mixed.exceptAll(near).count() == 0
+    assert set(texts(near)) == {i for i, c in brute_components(sets, 80).items() if i == c}
+    assert texts(mixed) == texts(near)
+    before = common.standing()
     got = corpus_pipeline.run(spark, str(tmp_path))
-    assert got.columns == ["doc_id", "n_tokens", "ids"] and got.count() == mixed.count()
+    assert got.columns == ["doc_id", "n_tokens", "ids"] and common.standing() == before
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    assert {r["doc_id"]: list(r["ids"]) for r in got.collect()} == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in texts(mixed).items()}
+
+
+def test_versions_of_one_id(spark):
+    """Rows of one id with other texts or vectors are one document; rows without id are none."""
+    rng = random.Random(21)
+    word = lambda k: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(k))
+    a, b, c = word(60), word(60), word(60)
+    rows = [(4, a), (2, b), (2, c), (7, c + " more"), (9, a), (None, a), (None, c), (4, a), (11, word(60)), (12, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted({(r["doc_id"] or 0, r["component_id"], r["kept"], r["n_shingles"]) for r in near_dedup.near_dedup(docs).collect()})
+    assert got == sorted([(0, None, True, 56), (2, 2, True, 56), (4, 4, True, 56), (7, 2, False, 57), (9, 4, False, 56), (11, 11, True, 56), (12, 12, True, 0)])
+    joined = spark.createDataFrame([*rows, (2, a)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(joined).where("doc_id < 10").collect()} == dict.fromkeys([4, 2, 7, 9], 2)
+    u, v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, u), (3, v), (3, w), (6, w), (8, w), (5, u), (None, u), (9, [0.0, 0.02, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"h1": F.lit(1), "rep": F.lit("x"), "weight": F.lit(2)})
+    got = {(r["vec_id"] or 0): (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_dedup(vectors).collect()}
+    assert got == {5: (0, 5, True), 3: (3, 3, True), 6: (3, 3, False), 8: (3, 3, False), 0: (0, None, True), 9: (3, 3, False)}
+
+
+def test_cosines_at_the_limit(spark):
+    """Pairs whose cosine is the limit but for the last bits, and many copies of one vector."""
+    x, y = np.array([3.0, 4.0, 0.0, 0.0]), np.array([4.0, 3.0, 0.0, 0.0])  # 24 / 25
+    scales = [1.0, 3.0, 1e-160, 1e160, 7.7]
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate((v, s) for v in (x, y) for s in scales)] + [(100 + k, [0.0, 0.0, 1.0, 1.0]) for k in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(df, least=0.96).collect()}
+    assert all(got[i] == (9, 0) for i in range(10)) and all(got[100 + k] == (499, 100) for k in range(500))
+
+
+def test_words_built_to_collide(spark):
+    """Words of 4096 signs that polynomial hashes take for one; big counts survive the exchange."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(i, " ".join([w] * 3 + ["x", w])) for i, w in enumerate((word, other))], "doc_id long, text string")
+    assert [r["component_id"] for r in near_dedup.near_dedup(docs).orderBy("doc_id").collect()] == [0, 1]
+    numbers = [np.array([0, 5, 2**32 + 5, 2**40]), np.array([1, 2, 3, 255]), np.zeros(4, np.int64)]
+    assert all((a == b).all() for a, b in zip(numbers, lm_scoring.unpack_numbers(lm_scoring.pack_numbers(numbers)), strict=True))
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 100, dtype=np.uint64))
+    assert (lm_scoring.unpack_keys(lm_scoring.pack_keys(keys, 0), 0) == keys).all()
 
 
 def test_registry():
