@@ -299,14 +299,13 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
 
-    def step(df, name):
-        out = written(df, name)
-        del df
+    def step(make, name):
+        out = written(make(), name)
         gc.collect()  # what no plan refers to any more, Spark's cleaner deletes: the shuffle files of this step
         spark.sparkContext._jvm.System.gc()
         return out
 
-    state = step(chunks(rows, folds, held_out), "lm-chunks")
+    state = step(lambda: chunks(rows, folds, held_out), "lm-chunks")
     parts = max(1, state.count())
     bits = max(4, parts.bit_length() + 1)  # two to four buckets for each chunk, so they do not grow with the corpus
 
@@ -323,15 +322,14 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         real = n[keys != START] if kind == WORDS else n
         return [n], [float(real.sum()), float((real > 0).sum()), float((real == 1).sum()), float((real == 2).sum())]
 
-    counts = step(answered(state.mapInArrow(ask_counts, ASKED), parts, add_counts), "lm-counts")
+    counts = step(lambda: answered(state.mapInArrow(ask_counts, ASKED), parts, add_counts), "lm-counts")
     tokens, kinds, *_ = totals(counts, WORDS, 4)
     _, _, once, twice = totals(counts, CELLS, 4)
     d = discount(once, twice)
 
     # Chunks learn the counts of their keys; cells with several customers are kept apart, the others
     # have one table and only add to the sums of their word and their context.
-    multi_schema = "chunk long, bits int, words binary, single binary, cells binary, ask boolean, kind int, bucket long, keys binary, numbers binary"
-    empty = {"words": None, "single": None, "cells": None, "kind": None, "bucket": None, "keys": None, "numbers": None}
+    cells_schema = "chunk long, words binary, single binary, cells binary"
 
     def sums_of(n_words, ctx, word, tables):
         return [np.bincount(word, weights=tables, minlength=n_words).astype(np.int64), np.bincount(ctx, weights=tables, minlength=n_words).astype(np.int64)]
@@ -344,17 +342,28 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         many = count > 1
         order = np.lexsort((c.word[many], c.ctx[many]))  # by context, so that its places are small differences
         ctx, word, count, owner = (x[many][order] for x in (c.ctx, c.word, count, owner))
-        cells = pack_numbers([np.diff(ctx, prepend=0), word, count, owner])
+        return pd.DataFrame([{"chunk": c.id, "words": pack_keys(c.word_keys, 0), "single": pack_numbers(single), "cells": pack_numbers([np.diff(ctx, prepend=0), word, count, owner])}])
+
+    def asking(row, tables, parts_of):
+        """What a chunk adds to the sums of its words, given its cells' tables."""
+        words, single, ctx, word, owner = parts_of
         own = owner == 1
-        first = [s + m for s, m in zip(single, sums_of(len(c.word_keys), ctx[own], word[own], np.ones(int(own.sum()))), strict=True)]
-        keep = pd.DataFrame([{"chunk": c.id, "bits": bits, **empty, "words": pack_keys(c.word_keys, 0), "single": pack_numbers(single), "cells": cells, "ask": False}])
-        ask = asked(c.id, WORDS, c.word_keys, first, bits).to_pandas().assign(bits=bits, words=None, single=None, cells=None, ask=True)
-        return pd.concat([keep, ask])[[x.split()[0] for x in multi_schema.split(", ")]]
+        now = [s + m for s, m in zip(single, sums_of(len(words), ctx[own], word[own], tables[own]), strict=True)]
+        return asked(int(row["chunk"]), WORDS, words, now, bits)
+
+    def opened(row):
+        ctx, word, count, owner = unpack_numbers(row["cells"])
+        return unpack_keys(row["words"], 0), unpack_numbers(row["single"]), np.cumsum(ctx), word, owner, count
+
+    def first_tables(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                *parts_of, count = opened(row)
+                yield asking(row, np.ones(len(count)), parts_of)
 
     own_counts = counts.where("chunk >= 0").drop("stats")
-    got = step(by_chunk(state, own_counts, parts).applyInPandas(learn, multi_schema), "lm-cells")
-    cells = got.where("not ask").select("chunk", "words", "single", "cells")
-    ask = got.where("ask").select("kind", "bucket", "chunk", "keys", "numbers")
+    cells = step(lambda: by_chunk(state, own_counts, parts).applyInPandas(learn, cells_schema), "lm-cells")
+    ask = cells.mapInArrow(first_tables, ASKED)
 
     def add_sums(sweep, d0, weight):
         def make(kind, keys, sums):
@@ -372,17 +381,14 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
 
         def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             row = left.iloc[0]
-            words, single = unpack_keys(row["words"], 0), unpack_numbers(row["single"])
-            ctx, word, count, owner = unpack_numbers(row["cells"])
-            ctx = np.cumsum(ctx)
+            *parts_of, count = opened(row)
+            words, _, ctx, word, _ = parts_of
             old = right[right["kind"] == TABLES]["numbers"]
             old = unpack_numbers(old.iloc[0])[0] if len(old) else np.ones(len(ctx), np.int64)
             served, root_tables, of_context = told(right, WORDS, 3)
             new = (STRENGTH + last.d * (of_context[ctx] - old)) * last.parent(served[word] - old, root_tables[word], old)
             t = seat(cell_keys(words, ctx, word), count, new, last.d, sweep)
-            own = owner == 1
-            now = [s + m for s, m in zip(single, sums_of(len(words), ctx[own], word[own], t[own]), strict=True)]
-            ask = asked(int(row["chunk"]), WORDS, words, now, bits).to_pandas()
+            ask = asking(row, t, parts_of).to_pandas()
             return pd.concat([ask, pd.DataFrame([{"kind": TABLES, "bucket": 0, "chunk": int(row["chunk"]), "keys": b"", "numbers": pack_numbers([t])}])])
 
         return run
@@ -393,14 +399,14 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
     for s in range(burn_in + samples + 1):
         tables = []
         if s:
-            asks = step(by_chunk(cells, answers[-1], parts).applyInPandas(reseat(s, sweeps[-1]), ASKED), f"lm-asks{s}")
+            asks = step(lambda: by_chunk(cells, answers[-1], parts).applyInPandas(reseat(s, sweeps[-1]), ASKED), f"lm-asks{s}")  # noqa: B023
             if s - 1 <= burn_in:
                 dropped(*held[-1])  # a sweep that is no sample has been used
-            tables = [step(asks.where(F.col("kind") == TABLES).drop("keys"), f"lm-tables{s}")]
+            tables = [step(lambda: asks.where(F.col("kind") == TABLES).drop("keys"), f"lm-tables{s}")]  # noqa: B023
             ask = asks.where(F.col("kind") == WORDS)
         before = sweeps[-1] if s else None
         weight = (STRENGTH + before.d0 * before.root_tables) / (kinds + 1) if s else 0.0
-        sums = step(answered(ask, parts, add_sums(s, before.d0 if s else 0.5, weight)), f"lm-sweep{s}")
+        sums = step(lambda: answered(ask, parts, add_sums(s, before.d0 if s else 0.5, weight)), f"lm-sweep{s}")  # noqa: B023
         if s:
             dropped(asks)
         held.append([sums, *tables])
@@ -408,7 +414,7 @@ def lm_score(docs: DataFrame, folds: int = 7, held_out: int = 2, samples: int =
         served, root_tables, r1, r2 = totals(sums, WORDS, 4)
         sweeps.append(Sweep(d, before.d0 if s else discount(r1, r2), served, root_tables, kinds))
 
-    dropped(got)  # the tables and sums of the sampled sweeps are written; scores need only those and the counts
+    dropped(cells)  # the tables and sums of the sampled sweeps are written; scores need only those and the counts
     everything = own_counts.withColumn("sweep", F.lit(-1))
     for s in range(burn_in + 1, burn_in + samples + 1):
         everything = everything.unionByName(answers[s].withColumn("sweep", F.lit(s)))
