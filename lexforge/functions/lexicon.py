@@ -24,6 +24,12 @@ SAFETY_STARTS = (("warning", ("警告", "WARNING")), ("caution", ("注意", "CAU
 
 #: fixed values
 SCORING_VERSIONS = {"block": "block_matcher_mvp_0.1", "page": "page_matcher_mvp_0.1", "confidence": "confidence_mvp_0.1"}
+#: fixed values: numbers of a stored confidence, and the columns that hold them here
+BREAKDOWN = {
+    "max_evidence_score": "mx", "average_evidence_score": "mean", "anchor_score": "anchor_match_score", "section_score": "section_match_score",
+    "lexical_score": "lexical_score", "frequency_score": "frequency_score", "diversity_score": "evidence_diversity_score", "heading_score": "heading_score",
+    "table_alignment_score": "table_score", "negative_evidence_penalty": "negative_penalty", "safety_penalty": "safety_penalty", "final_score": "final",
+}
 EVIDENCE_TYPE, GATED_EVIDENCE, PAGE_MATCH_TYPE = "matched_block_terms", "confirmed_consistency", "supplemental_anchor_score"
 ACTIONS = {"approve": "confirmed", "block": "blocked", "defer": "candidate"}
 SKIPPED_ACTIONS = ("", "inspect", "split")

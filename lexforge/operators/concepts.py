@@ -23,14 +23,16 @@ def expand_pairs(matches: DataFrame, blocks: DataFrame, found: DataFrame, catalo
 
 def build_concepts(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """concepts, concept_terms and evidence of expanded pairs; one row for each key."""
-    best = F.max_by("evidence", "score").alias("confidence_json")
+    place = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("ja", "en") for c in ("path", "block_index")]
+    best = F.to_json(F.min_by("evidence", F.struct((-F.col("score")).alias("s"), *place))).alias("confidence_json")
     concepts = pairs.groupBy("concept_id").agg(F.max("score").alias("confidence"), best, F.min("ja_term").alias("canonical_label_ja"), F.min("en_term").alias("canonical_label_en"))
     concepts = concepts.select("concept_id", F.lit("term_pair").alias("concept_type"), F.lit("unknown").alias("category"), "canonical_label_ja", "canonical_label_en", "confidence", "confidence_json", F.lit("candidate").alias("status"), F.lit(False).alias("safe_for_query_expansion"), F.lit(False).alias("safe_for_answer_generation"))
     both = pairs.select("concept_id", "score", F.explode(F.array(F.struct(F.lit("ja").alias("lang"), F.col("ja_norm").alias("normalized_term")), F.struct(F.lit("en").alias("lang"), F.col("en_norm").alias("normalized_term")))).alias("t"))
     concept_terms = both.groupBy("concept_id", "t.lang", "t.normalized_term").agg(F.max("score").alias("confidence")).withColumn("role", F.lit("label"))
     key = F.sha2(F.concat_ws("|", "concept_id", F.col("ja.path"), F.col("ja.block_index"), F.col("en.path"), F.col("en.block_index"), F.lit(L.EVIDENCE_TYPE)), 256)
     evidence = pairs.select(key.alias("evidence_key"), "concept_id", "ja", "en", F.lit(L.EVIDENCE_TYPE).alias("evidence_type"), "score", F.lit(False).alias("is_negative_evidence"), F.col("evidence").alias("anchors_json"), "ja_context", "en_context")
-    return concepts, concept_terms, evidence.dropDuplicates(["evidence_key"])
+    first = F.min_by(F.struct(*[c for c in evidence.columns if c != "evidence_key"]), F.struct((-F.col("score")).alias("s"), F.to_json("anchors_json").alias("j"), "ja_context", "en_context"))
+    return concepts, concept_terms, evidence.groupBy("evidence_key").agg(first.alias("f")).select("evidence_key", "f.*")
 
 
 def merge_concepts(snapshot: DataFrame, new: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def merge_concepts(snapshot: DataFrame, new: DataFrame) -> DataFrame:
     raised = known & ~fixed & F.col("confidence").isNotNull()
 
     def column(c: str) -> Column:
-        old_c, new_c = F.col(f"o_{c}"), F.col(c)
+        old_c, new_c = F.col(f"o_{c}"), F.col(c) if c in new.columns else F.lit(None)
         if c == "confidence":
             return F.when(raised, F.greatest(old_c, new_c)).when(known, old_c).otherwise(new_c).alias(c)
         if c == "confidence_json":
@@ -94,7 +96,27 @@ def score_evidence(evidence: DataFrame) -> DataFrame:
     names = list(parts)
     total = sum((F.col(n) for n in names[1:7]), F.col(names[0])) - F.col("negative_penalty") - F.col("safety_penalty")
     final = F.round(F.least(F.lit(1.0), F.greatest(zero, total)), 6)
-    return agg.withColumns(parts).withColumn("final", final).select("concept_id", "evidence_count", "n_pos", "n_neg", "evidence_types", *names, "final")
+    return agg.withColumns(parts).withColumn("final", final).select("concept_id", "evidence_count", "n_pos", "n_neg", "evidence_types", "mx", "mean", *names, "final")
+
+
+def breakdown(scored: DataFrame) -> DataFrame:
+    """scored with confidence_json, the parts of a concept's score as JSON, numbers to 6 places, and confidence_version."""
+    values = {
+        "version": F.lit(L.SCORING_VERSIONS["confidence"]),
+        "evidence_count": F.col("n_pos"),
+        "negative_evidence_count": F.col("n_neg"),
+        "evidence_type_count": F.size("evidence_types"),
+        "evidence_types": F.col("evidence_types"),
+        **{k: F.round(F.col(c).cast("double"), 6) for k, c in L.BREAKDOWN.items()},
+    }
+    return scored.withColumns({"confidence_json": F.to_json(F.struct(*[values[k].alias(k) for k in sorted(values)])), "confidence_version": values["version"]})
+
+
+def no_breakdown() -> Column:
+    """What a concept without evidence has."""
+    counts = ["evidence_count", "negative_evidence_count", "evidence_type_count"]
+    values = {"version": F.lit(L.SCORING_VERSIONS["confidence"]), "evidence_types": F.array().cast("array<string>"), **dict.fromkeys(counts, F.lit(0)), **dict.fromkeys(L.BREAKDOWN, F.lit(0.0))}
+    return F.to_json(F.struct(*[values[k].alias(k) for k in sorted(values)]))
 
 
 def with_flags(evidence: DataFrame) -> DataFrame:
@@ -110,8 +132,11 @@ def with_flags(evidence: DataFrame) -> DataFrame:
 
 
 def update_confidence(concepts: DataFrame, scored: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """concepts with new confidence and status. Blocked and confirmed ones stay as they are; a concept
+    """concepts with new confidence, its breakdown and status. Blocked and confirmed ones stay as they are; a concept
     without evidence falls to 0 and candidate."""
-    rows = concepts.join(scored.select("concept_id", F.col("final").alias("_new")), "concept_id", "left")
-    frozen, new = F.col("status").isin("blocked", "confirmed"), F.coalesce("_new", F.lit(0.0))
-    return rows.withColumn("confidence", F.when(frozen, F.col("confidence")).otherwise(new)).withColumn("status", X.status_after_score(F.col("status"), F.col("confidence"), threshold)).drop("_new")
+    scored = breakdown(scored).select("concept_id", F.col("final").alias("_new"), F.col("confidence_json").alias("_json"))
+    rows = concepts.join(scored, "concept_id", "left")
+    frozen = F.col("status").isin("blocked", "confirmed")
+    values = {"confidence": F.coalesce("_new", F.lit(0.0)), "confidence_json": F.coalesce("_json", no_breakdown()), "confidence_version": F.lit(L.SCORING_VERSIONS["confidence"])}
+    rows = rows.withColumns({c: F.when(frozen, F.col(c) if c in concepts.columns else F.lit(None)).otherwise(v) for c, v in values.items()})
+    return rows.withColumn("status", X.status_after_score(F.col("status"), F.col("confidence"), threshold)).drop("_new", "_json")

@@ -53,7 +53,7 @@ def review_queue(concepts: DataFrame, concept_terms: DataFrame, catalog: DataFra
     summary = F.to_json(F.struct(count.alias("count"), F.coalesce("max_score", F.lit(0.0)).alias("max_score"), negative.alias("negative_count"), F.coalesce("evidence_types", none).alias("types")))
     values = {
         "confidence": F.format_string("%.6f", "confidence"),
-        "confidence_json": F.to_json("confidence_json"),
+        "confidence_json": F.col("confidence_json"),
         "ja_terms": joined("ja_terms"),
         "en_terms": joined("en_terms"),
         "evidence_count": count.cast("string"),

@@ -14,9 +14,18 @@ def classify_changes(incoming: DataFrame, snapshot: DataFrame) -> DataFrame:
     return incoming.join(old, ["lang", "path"], "left").withColumn("state", state).drop("_sha", "_bare")
 
 
-def insert_if_absent(snapshot: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def first_of(rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row for each key: the first by `order`, by all other columns if none is given, so equal inputs give equal results."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    by = F.struct(*(order or []), *[c for c in rest if "map<" not in rows.schema[c].dataType.simpleString()])
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), by).alias("_first")).select(*[c if c in keys else F.col("_first")[c].alias(c) for c in rows.columns])
+
+
+def insert_if_absent(snapshot: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """snapshot plus the first of new's rows for each key that it lacks."""
-    return snapshot.unionByName(new.dropDuplicates(keys).join(snapshot.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    return snapshot.unionByName(first_of(new, keys, order).join(snapshot.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
 def upsert(snapshot: DataFrame, new: DataFrame, keys: list[str], replaced: list[str]) -> DataFrame:

@@ -55,22 +55,23 @@ def validate(rows: DataFrame, concepts: DataFrame, actions: DataFrame) -> DataFr
         .when(F.col("given").isNotNull() & F.col("number").isNull(), F.concat(F.lit("invalid row_version: "), "given"))
     )
     named = named.withColumns({"skip": F.col("act").isin(*L.SKIPPED_ACTIONS), "fixed": fixed_error})
-    per = named.where(~F.col("skip")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("file_row", "fixed", "number", "base"))).alias("rows"))
+    # Rows that fail by themselves move no version, and rows without or with an unknown id are among them.
+    per = named.where(~F.col("skip") & F.col("fixed").isNull()).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("file_row", "number", "base"))).alias("rows"))
     folded = per.select(
         "id",
         F.explode(
             F.expr(
-                """aggregate(rows, named_struct('v', rows[0].base, 'out', cast(array() as array<struct<file_row:bigint,version:bigint,error:string>>)),
+                """aggregate(rows, named_struct('v', rows[0].base, 'out', cast(array() as array<struct<file_row:bigint,version:bigint,wrong:string>>)),
                      (s, r) -> named_struct(
-                       'v', if(r.fixed is null and (r.number is null or r.number = s.v), s.v + 1, s.v),
-                       'out', array_append(s.out, named_struct('file_row', cast(r.file_row as bigint), 'version', s.v, 'error',
-                         coalesce(r.fixed, if(r.number is null or r.number = s.v, cast(null as string),
-                           concat('row_version mismatch for ', id, ': expected ', s.v, ', got ', r.number)))))),
+                       'v', if(r.number is null or r.number = s.v, s.v + 1, s.v),
+                       'out', array_append(s.out, named_struct('file_row', cast(r.file_row as bigint), 'version', s.v, 'wrong',
+                         if(r.number is null or r.number = s.v, cast(null as string),
+                           concat('row_version mismatch for ', id, ': expected ', s.v, ', got ', r.number))))),
                      s -> s.out)"""
             )
         ).alias("f"),
     )
-    out = named.join(folded.select("f.*").withColumnRenamed("file_row", "_row"), F.col("file_row") == F.col("_row"), "left")
+    out = named.join(folded.select("f.*").withColumnRenamed("file_row", "_row"), F.col("file_row") == F.col("_row"), "left").withColumn("error", F.when(~F.col("skip"), F.coalesce("fixed", "wrong")))
     ok = ~F.col("skip") & F.col("error").isNull()
     new_status = F.create_map(*[x for k, v in L.ACTIONS.items() for x in (F.lit(k), F.lit(v))])[F.col("act")]
     return out.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ BLOCK = "struct<path:string,block_index:int>"
 EVIDENCE = "struct<shared_anchors:map<string,array<string>>,heading_token_overlap:array<string>,table_shape_match:boolean,scoring_version:string>"
 SCHEMAS = {
     "ingestion_runs": "run_id string, lang string, input_path string, started_at string, completed_at string, documents_seen long, documents_inserted long, documents_updated long, errors long",
+    "ingestion_errors": "run_id string, lang string, path string, error string",
     "documents": "lang string, path string, sha256 string, title string, text_excerpt string, source_html string",
     "document_blocks": "lang string, path string, block_index int, block_type string, text string, heading_path string, dom_path string, raw_fragment_hash string",
     "anchors": "lang string, path string, block_index int, anchor_type string, value string, normalized_value string",
@@ -29,7 +31,7 @@ SCHEMAS = {
     "block_match_candidates": f"ja {BLOCK}, en {BLOCK}, score double, evidence {EVIDENCE}, status string, created_at string",
     "terms": "lang string, normalized_term string, term string, term_type string, status string",
     "term_occurrences": "lang string, normalized_term string, path string, block_index int, source string",
-    "concepts": f"concept_id string, concept_type string, category string, canonical_label_ja string, canonical_label_en string, confidence double, confidence_json {EVIDENCE}, status string, safe_for_query_expansion boolean, safe_for_answer_generation boolean",
+    "concepts": f"concept_id string, concept_type string, category string, canonical_label_ja string, canonical_label_en string, confidence double, confidence_json string, confidence_version string, status string, safe_for_query_expansion boolean, safe_for_answer_generation boolean",
     "concept_terms": "concept_id string, lang string, normalized_term string, confidence double, role string",
     "evidence": f"evidence_key string, concept_id string, ja {BLOCK}, en {BLOCK}, evidence_type string, score double, is_negative_evidence boolean, anchors_json {EVIDENCE}, ja_context string, en_context string",
     "review_actions": "target_type string, target_id string, action string, previous_status string, new_status string, reviewer string, reason_code string, reason string, evidence_ids array<string>, row_version long, created_at string",
@@ -49,75 +51,142 @@ class ImportResult:
 
 
 class Store:
-    """Each table is a folder of numbered snapshots; a write makes the next one, and the highest that is
-    complete is read. A table that is being read is never overwritten, so a failed command leaves the
-    last state, and old snapshots stay readable until vacuum()."""
+    """Tables are lists of folders of Parquet files, named by numbered commits. A commit names all
+    tables at once, so a command's tables change together or not at all, and what is being read
+    is never overwritten. Numbers are claimed by creating their file: of two writers that replace the same table the second
+    fails, appended rows are added to whatever is newest. Old folders stay readable until vacuum()."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _versions(self, table: str) -> list[int]:
-        folder = self._path(f"{self.root}/{table}")
+    def _commits(self) -> list[int]:
+        folder = self._path(f"{self.root}/_commits")
         if not self._fs.exists(folder):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(int(n) for n in names if n.isdigit() and self._fs.exists(self._path(f"{self.root}/{table}/{n}/_SUCCESS")))
+        return sorted(int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+
+    def _tables(self, number: int) -> dict[str, list[str]]:
+        stream = self._fs.open(self._path(f"{self.root}/_commits/{number:09d}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _newest(self) -> tuple[int, dict[str, list[str]]]:
+        for number in reversed(self._commits()):
+            try:
+                return number, self._tables(number)
+            except ValueError:  # a writer has claimed the number and not written yet, or has died
+                continue
+        return 0, {}
 
     def read(self, table: str) -> DataFrame:
-        found = self._versions(table)
-        if not found:
+        folders = self._newest()[1].get(table, [])
+        if not folders:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/{found[-1]:06d}")
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*[f"{self.root}/{table}/{f}" for f in folders])
+
+    def commit(self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None) -> None:
+        """Writes the tables' rows, then makes them the newest state in one step."""
+        replaced, appended = replaced or {}, appended or {}
+        base, _ = self._newest()
+        new = {}
+        for table, df in [*replaced.items(), *appended.items()]:
+            new[table] = uuid.uuid4().hex
+            names = [f.name for f in self.spark.createDataFrame([], SCHEMAS[table]).schema]
+            df.select(*names).write.parquet(f"{self.root}/{table}/{new[table]}")
+        while True:
+            number, tables = self._newest()
+            if number != base and any(tables.get(t) != self._tables(base).get(t) if base else tables.get(t) for t in replaced):
+                raise RuntimeError("another command has changed the same tables meanwhile; run this one again")
+            state = {**tables, **{t: [new[t]] for t in replaced}, **{t: [*tables.get(t, []), new[t]] for t in appended}}
+            claimed = self._path(f"{self.root}/_commits/{(self._commits() or [0])[-1] + 1:09d}.json")
+            try:
+                out = self._fs.create(claimed, False)
+            except Exception as e:  # someone else has this number: look again
+                if "AlreadyExists" not in str(e):
+                    raise
+                continue
+            out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
+            out.close()
+            return
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
-        names = [f.name for f in self.spark.createDataFrame([], SCHEMAS[table]).schema]
-        version = (self._versions(table) or [0])[-1] + 1
-        df.select(*names).write.mode("overwrite").parquet(f"{self.root}/{table}/{version:06d}")
+        self.commit({table: df})
         return self.read(table)
 
+    def append(self, table: str, df: DataFrame) -> None:
+        self.commit(appended={table: df})
+
     def vacuum(self, keep: int = 2) -> None:
+        """Deletes all commits but the `keep` newest, and the folders that none of those names."""
+        numbers = self._commits()
+        used = {(t, f) for n in numbers[-keep:] for t, folders in self._tables(n).items() for f in folders}
+        for n in numbers[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/_commits/{n:09d}.json"), True)
         for table in SCHEMAS:
-            for v in self._versions(table)[:-keep]:
-                self._fs.delete(self._path(f"{self.root}/{table}/{v:06d}"), True)
+            folder = self._path(f"{self.root}/{table}")
+            for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+                if (table, s.getPath().getName()) not in used:
+                    self._fs.delete(s.getPath(), True)
 
     # --- commands ---
 
     def ingest(self, lang: str, folder: str) -> dict[str, int]:
-        """Reads a folder of pages and replaces what changed, with everything that hangs on it."""
-        started = now()
-        pages = html.extract_pages(html.scan_directory(self.spark, folder, lang)).cache()
-        seen, errors = pages.count(), pages.where("error is not null").count()
+        """Reads a folder of pages and replaces what changed, with everything that hangs on it. The run is logged when it
+        starts and again when it ends; pages that could not be read are listed in ingestion_errors."""
+        run_id, started = str(uuid.uuid4()), now()
+        scanned = html.scan_directory(self.spark, folder, lang)
+        run = lambda done, *n: self.spark.createDataFrame([(run_id, lang, folder, started, done, *n)], SCHEMAS["ingestion_runs"])
+        self.append("ingestion_runs", run(None, 0, 0, 0, 0))
+        out, tables, failed = self.merged(html.extract_pages(scanned))
+        runs = self.read("ingestion_runs").where(F.col("run_id") != run_id).unionByName(run(now(), out["documents_seen"], out["documents_inserted"], out["documents_updated"], out["errors"]))
+        failed = failed.select(F.lit(run_id).alias("run_id"), "lang", "path", "error")
+        self.commit({**tables, "ingestion_runs": runs}, {"ingestion_errors": failed} if out["errors"] else {})
+        return out
+
+    def merged(self, pages: DataFrame) -> tuple[dict[str, int], dict[str, DataFrame], DataFrame]:
+        """Counts, the tables that extracted pages change, and the pages that failed. What hangs on a changed document goes:
+        its blocks, anchors, matches and occurrences. Evidence and concepts stay (see stale_evidence)."""
+        keys = ["lang", "path"]
+        stage = f"{self.root}/_staging/{uuid.uuid4().hex}"  # parsed once; read by all that follows
+        pages.write.parquet(stage)
+        pages = self.spark.read.parquet(stage)
         documents, blocks, anchors = html.pages_to_tables(pages.where("error is null"))
         old = self.read("documents")
-        state = G.classify_changes(documents, old).cache()
+        state = G.classify_changes(documents, old)
         counts = {r["state"]: r["count"] for r in state.groupBy("state").count().collect()}
-        content = state.where("state in ('inserted', 'updated')").select("lang", "path")
-        touched = state.where("state <> 'unchanged'")
-        changed = state.where("state = 'updated'").select("lang", "path").cache()
-        keys = ["lang", "path"]
+        content = state.where("state in ('inserted', 'updated')").select(*keys)
+        changed = state.where("state = 'updated'").select(*keys)
         new_blocks, new_anchors = blocks.join(content, keys, "left_semi"), anchors.join(content, keys, "left_semi")
-        n = {"blocks_written": new_blocks.count(), "anchors_written": new_anchors.count()}
-        for table, sides in (("page_match_candidates", {"ja": ["ja"], "en": ["en"]}), ("block_match_candidates", None)):
-            rows = self.read(table)
-            if sides is None:
-                for side in ("ja", "en"):
-                    gone = changed.where(F.col("lang") == side).select(F.col("path").alias("_p"))
-                    rows = rows.join(gone, F.col(f"{side}.path") == F.col("_p"), "left_anti")
-            else:
-                rows = G.drop_dangling(rows, changed, sides)
-            self.write(table, rows)
+        block_matches = self.read("block_match_candidates")
+        for side in ("ja", "en"):
+            gone = changed.where(F.col("lang") == side).select(F.col("path").alias("_p"))
+            block_matches = block_matches.join(gone, F.col(f"{side}.path") == F.col("_p"), "left_anti")
         none = self.spark.createDataFrame([], SCHEMAS["term_occurrences"])
-        self.write("term_occurrences", G.replace_children(self.read("term_occurrences"), none, changed, keys))
-        self.write("document_blocks", G.replace_children(self.read("document_blocks"), new_blocks, changed, keys))
-        self.write("anchors", G.replace_children(self.read("anchors"), new_anchors, changed, keys))
-        self.write("documents", G.upsert(old, touched.drop("state"), keys, ["sha256", "title", "text_excerpt", "source_html"]))
-        out = {"documents_seen": seen, "documents_inserted": counts.get("inserted", 0), "documents_updated": counts.get("updated", 0) + counts.get("metadata_updated", 0), **n, "errors": errors}
-        run = self.spark.createDataFrame([(str(uuid.uuid4()), lang, folder, started, now(), seen, out["documents_inserted"], out["documents_updated"], errors)], SCHEMAS["ingestion_runs"])
-        self.write("ingestion_runs", self.read("ingestion_runs").unionByName(run))
-        pages.unpersist()
-        return out
+        tables = {
+            "page_match_candidates": G.drop_dangling(self.read("page_match_candidates"), changed, {"ja": ["ja"], "en": ["en"]}),
+            "block_match_candidates": block_matches,
+            "term_occurrences": G.replace_children(self.read("term_occurrences"), none, changed, keys),
+            "document_blocks": G.replace_children(self.read("document_blocks"), new_blocks, changed, keys),
+            "anchors": G.replace_children(self.read("anchors"), new_anchors, changed, keys),
+            "documents": G.upsert(old, state.where("state <> 'unchanged'").drop("state"), keys, ["sha256", "title", "text_excerpt", "source_html"]),
+        }
+        failed = pages.where("error is not null")
+        out = {"documents_seen": pages.count(), "documents_inserted": counts.get("inserted", 0), "documents_updated": counts.get("updated", 0) + counts.get("metadata_updated", 0), "blocks_written": new_blocks.count(), "anchors_written": new_anchors.count(), "errors": failed.count()}
+        return out, tables, failed
+
+    def stale_evidence(self) -> DataFrame:
+        """evidence with is_stale: a block that it names is no longer there, or has another text."""
+        blocks = self.read("document_blocks")
+        out = self.read("evidence")
+        for side in ("ja", "en"):
+            now_there = blocks.where(F.col("lang") == side).select(F.struct("path", "block_index").alias(side), F.col("text").alias(f"_{side}"))
+            out = out.join(now_there, side, "left")
+        fresh = F.col("_ja").eqNullSafe(F.col("ja_context")) & F.col("_en").eqNullSafe(F.col("en_context"))
+        return out.withColumn("is_stale", ~fresh).drop("_ja", "_en")
 
     def match_pages(self, min_score: float = 0.25, k: int = 5) -> int:
         anchors = self.read("anchors").withColumnRenamed("path", "doc")
@@ -144,11 +213,11 @@ class Store:
         pairs = C.expand_pairs(self.read("block_match_candidates"), self.read("document_blocks"), self.read("term_occurrences"), self.read("terms"), min_score).cache()
         concepts, labels, evidence = C.build_concepts(pairs)
         before = {t: self.read(t).count() for t in ("concepts", "concept_terms", "evidence")}
-        self.write("concepts", C.merge_concepts(self.read("concepts"), concepts))
-        old = self.read("concept_terms")
-        both = old.unionByName(labels).groupBy("concept_id", "lang", "normalized_term").agg(F.max("confidence").alias("confidence"), F.first("role").alias("role"))
-        self.write("concept_terms", both)
-        self.write("evidence", G.insert_if_absent(self.read("evidence"), evidence, ["evidence_key"]))
+        labelled = self.read("concept_terms").withColumn("_new", F.lit(0)).unionByName(labels.withColumn("_new", F.lit(1)))
+        both = labelled.groupBy("concept_id", "lang", "normalized_term").agg(F.max("confidence").alias("confidence"), F.min_by("role", F.struct("_new", "role")).alias("role"))
+        evidence = G.insert_if_absent(self.read("evidence"), evidence, ["evidence_key"], ["score", "ja_context", "en_context"])
+        self.commit({"concepts": C.merge_concepts(self.read("concepts"), concepts), "concept_terms": both, "evidence": evidence})
+        pairs.unpersist()
         return {"concepts_seen": pairs.count(), **{f"{t}_created": self.read(t).count() - n for t, n in before.items()}}
 
     def update_confidence(self, threshold: float = 0.85) -> dict[str, int]:
@@ -157,44 +226,44 @@ class Store:
         return {"concepts_seen": new.where("status <> 'blocked'").count(), "review_ready": new.where("status = 'review_ready'").count()}
 
     def add_evidence(self, rows: DataFrame) -> None:
-        self.write("evidence", G.insert_if_absent(self.read("evidence"), rows, ["evidence_key"]))
+        self.write("evidence", G.insert_if_absent(self.read("evidence"), rows, ["evidence_key"], ["score", "ja_context", "en_context"]))
 
     def set_safety_flags(self, concept_id: str, query_expansion: bool, answer_generation: bool) -> None:
         hit = F.col("concept_id") == concept_id
         flags = {"safe_for_query_expansion": query_expansion, "safe_for_answer_generation": answer_generation}
         self.write("concepts", self.read("concepts").withColumns({k: F.when(hit, F.lit(v)).otherwise(F.col(k)) for k, v in flags.items()}))
 
-    def export_review(self, out: str, fmt: str = "csv", status: str = "review_ready") -> int:
+    def export_review(self, out: str, fmt: str = "csv", status: str = "review_ready", single: bool = False) -> int:
         rows = E.review_queue(*(self.read(t) for t in ("concepts", "concept_terms", "terms", "evidence", "review_actions")), str(uuid.uuid4()), status)
-        files.write_rows(rows, out, fmt)
+        files.write_rows(rows, out, fmt, single)
         return self.read("concepts").where(F.col("status") == status).count()
 
-    def export_dictionary(self, out: str, fmt: str = "jsonl", safe: str | None = None) -> int:
+    def export_dictionary(self, out: str, fmt: str = "jsonl", safe: str | None = None, single: bool = False) -> int:
         rows = E.dictionary(self.read("concepts"), self.read("concept_terms"), self.read("terms"), self.read("review_actions"), safe)
-        files.write_dictionary(rows, out, fmt)
+        files.write_dictionary(rows, out, fmt, single)
         return rows.count()
 
-    def import_review(self, path: str, dry_run: bool = False, report: str | None = None, write_back: str | None = None) -> ImportResult:
-        return self.review(files.read_review_file(self.spark, path), dry_run, report, write_back)
+    def import_review(self, path: str, dry_run: bool = False, report: str | None = None, write_back: str | None = None, single: bool = False) -> ImportResult:
+        return self.review(files.read_review_file(self.spark, path), dry_run, report, write_back, single)
 
-    def review(self, rows: DataFrame, dry_run: bool = False, report: str | None = None, write_back: str | None = None) -> ImportResult:
+    def review(self, rows: DataFrame, dry_run: bool = False, report: str | None = None, write_back: str | None = None, single: bool = False) -> ImportResult:
         """All rows or none: any error raises the first one's message after the report is written."""
         checked = R.validate(rows, self.read("concepts"), self.read("review_actions")).cache()
         n = {r["import_status"]: r["count"] for r in checked.groupBy("import_status").count().collect()}
         shown = [F.col(c) for c in files.report_columns(rows.columns)]
         if report and (dry_run or n.get("error")):
-            files.write_rows(checked.orderBy("file_row").select(*shown), report, "csv")
+            files.write_rows(checked.orderBy("file_row").select(*shown), report, "csv", single)
         if n.get("error"):
             raise ValueError(checked.where("import_status = 'error'").orderBy("file_row").first()["error_message"])
         valid = n.get("valid", 0)
         if not dry_run and valid:
             concepts, events = R.apply_valid(checked, self.read("concepts"), self.read("evidence"), now())
-            self.write("review_actions", self.read("review_actions").unionByName(events))
-            self.write("concepts", concepts)
+            self.commit({"concepts": concepts}, {"review_actions": events})
         if not dry_run:
             done = checked.withColumn("import_status", F.when(F.col("import_status") == "valid", "applied").otherwise(F.col("import_status"))).orderBy("file_row").select(*shown)
             for out in filter(None, (report, write_back)):
-                files.write_rows(done, out, "csv")
+                files.write_rows(done, out, "csv", single)
+        checked.unpersist()
         return ImportResult(sum(n.values()), valid, 0 if dry_run else valid, n.get("skipped", 0))
 
     def act(self, concept_id: str, action: str, reviewer: str, reason: str | None = None, reason_code: str | None = None, row_version: int | None = None) -> dict:

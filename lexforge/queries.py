@@ -5,7 +5,10 @@ from `part`, by the same SQL in Spark and in the other engine."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import lexicon as L
@@ -16,7 +19,8 @@ from lexforge.operators import matching as M
 from lexforge.operators import merge as G
 from lexforge.operators import review as R
 from lexforge.operators import terms as T
-from lexforge.sources import html
+from lexforge.sources import files, html
+from lexforge.streaming.ingest import review_state
 
 _PLACE = """concat('{lang}/', lpad(CAST(CAST(floor(p_partkey / 10) AS BIGINT) AS STRING), 7, '0'), '.html') AS path,
   CAST(p_partkey % 10 AS INT) AS block_index,
@@ -85,9 +89,35 @@ def q_anchors_image(spark, sf):
 
 
 def q_doc_anchors(spark, sf):
-    texts = manual(spark, sf).groupBy("lang", "path").agg(F.sort_array(F.collect_list(F.struct("block_index", "text"))).alias("b"))
-    joined = F.array_join(F.transform("b", lambda b: b["text"]), " ")
-    return texts.select("lang", "path", F.explode(X.anchors(joined)).alias("a")).select("lang", "path", "a.anchor_type", "a.normalized_value")
+    _, _, anchors = html.pages_to_tables(_pages_of(manual(spark, sf), F.array().cast("array<string>")))
+    return anchors.where("block_index is null").select("lang", "path", "anchor_type", "normalized_value")
+
+
+def _pages_of(blocks: DataFrame, images) -> DataFrame:
+    """Extracted pages that are put together from manual blocks."""
+    pages = blocks.groupBy("lang", "path").agg(F.sort_array(F.collect_list(F.struct("block_index", "block_type", "text", "heading_path"))).alias("blocks"))
+    return pages.select("lang", "path", F.sha2("path", 256).alias("sha256"), F.lit(None).cast("string").alias("html"), F.lit("t").alias("title"), images.alias("images"), "blocks")
+
+
+def q_document_tables(spark, sf):
+    documents, _, anchors = html.pages_to_tables(_pages_of(manual(spark, sf), F.array(F.concat("path", F.lit(".GIF")), F.lit("a\\B.png"))))
+    found = anchors.where("block_index is null").groupBy("lang", "path").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("anchor_type") == "image_name", F.col("normalized_value")))), " ").alias("images"))
+    return documents.join(found, ["lang", "path"]).select("lang", "path", "n", "images", "text_excerpt")
+
+
+def q_anchor_dedup(spark, sf):
+    """Anchors of a block's text twice over: each once, in order."""
+    blocks = manual(spark, sf).select("lang", "path", "block_index", X.anchors(F.concat("text", F.lit(" "), "text")).alias("a"))
+    joined = F.array_join(F.transform("a", lambda a: F.concat(a["anchor_type"], F.lit("="), a["normalized_value"])), ",")
+    return blocks.select("lang", "path", "block_index", joined.alias("anchors"))
+
+
+def q_terms(make, lang):
+    def run(spark, sf):
+        blocks = manual(spark, sf).where(F.col("lang") == lang)
+        return blocks.select("path", "block_index", F.explode(make(F.col("text"))).alias("term")).groupBy("path", "block_index", "term").agg(F.count(F.lit(1)).alias("n"))
+
+    return run
 
 
 def q_heading_tokens(spark, sf):
@@ -161,7 +191,7 @@ def q_row_version(spark, sf):
 
 def q_review_fold(spark, sf):
     e = _events(spark, sf)
-    return e.groupBy(F.col("target_id").alias("concept_id")).agg(F.count(F.lit(1)).alias("row_version"), F.max_by("new_status", "event_id").alias("status"))
+    return review_state(e.withColumnRenamed("target_id", "concept_id"))
 
 
 def q_consistency_gate(spark, sf):
@@ -185,12 +215,143 @@ def q_evidence_summary(spark, sf):
     return E.evidence_summary(evidence).select("concept_id", "evidence_count", "negative_count", "max_score", F.size("source_files").cast("long").alias("n_files"))
 
 
+def _mixed_evidence(spark, sf):
+    """Evidence of the concepts, with every third piece once more as negative evidence of another type."""
+    _, _, evidence = C.build_concepts(pairs(spark, sf))
+    third = F.conv(F.substring("evidence_key", 1, 2), 16, 10).cast("int") % 3 == 0
+    return evidence.unionByName(evidence.where(third).withColumns({"evidence_type": F.lit("conflict"), "is_negative_evidence": F.lit(True), "score": F.lit(0.5)}))
+
+
+def q_confidence_json(spark, sf):
+    """All numbers of the stored explanation, with negative evidence among it."""
+    scored = C.breakdown(C.score_evidence(C.with_flags(_mixed_evidence(spark, sf))))
+    number = lambda k: F.get_json_object("confidence_json", f"$.{k}").cast("double").alias(k)
+    text = lambda k: F.get_json_object("confidence_json", f"$.{k}").alias(k)
+    counts = ["evidence_count", "negative_evidence_count", "evidence_type_count"]
+    return scored.select("concept_id", "confidence_version", text("version"), text("evidence_types"), *[number(k).cast("long").alias(k) for k in counts], *map(number, L.BREAKDOWN), F.size(F.json_object_keys("confidence_json")).alias("n_keys").cast("long"))
+
+
+def q_update_confidence(spark, sf):
+    concepts, _, _, evidence, _ = _exported(spark, sf)
+    first = F.conv(F.substring("concept_id", 18, 1), 16, 10).cast("int")
+    concepts = concepts.withColumn("status", F.when(first == 0, "blocked").otherwise(F.col("status")))
+    some = evidence.where(F.conv(F.substring("concept_id", 19, 1), 16, 10).cast("int") != 0)  # some concepts have none
+    got = C.update_confidence(concepts, C.score_evidence(C.with_flags(some)), 0.6)
+    return got.select("concept_id", "status", F.round("confidence", 6).alias("confidence"), "confidence_version", F.coalesce(F.get_json_object("confidence_json", "$.evidence_count").cast("long"), F.lit(-1)).alias("n"))
+
+
+def q_concept_merge(spark, sf):
+    concepts, _, _ = C.build_concepts(pairs(spark, sf))
+    first = F.conv(F.substring("concept_id", 17, 1), 16, 10).cast("int")
+    old = concepts.where(first >= 4).withColumns({"status": F.when(first % 4 == 0, "confirmed").when(first % 4 == 1, "blocked").otherwise("review_ready"), "confidence": F.when(first % 3 == 0, 0.01).otherwise(0.99), "confidence_json": F.lit("old"), "category": F.lit("kept")})
+    old = old.unionByName(old.limit(0))
+    new = concepts.where(first <= 12)
+    got = C.merge_concepts(old, new)
+    return got.select("concept_id", "status", "category", "confidence", (F.col("confidence_json") == "old").alias("old_json"))
+
+
+def q_evidence_lists(spark, sf):
+    """Ordered lists and first rows of a concept's evidence."""
+    _, _, evidence = C.build_concepts(pairs(spark, sf))
+    rows = E.evidence_summary(evidence)
+    return rows.select("concept_id", F.sha2(F.array_join("evidence_ids", " "), 256).alias("ids"), F.array_join("evidence_types", " ").alias("types"), F.array_join("source_files", " ").alias("files"), F.size("anchors").cast("long").alias("n_anchors"), "sample_ja_context", "sample_en_context")
+
+
+def _versioned(spark, sf):
+    """Rows of a review file: some without a version, some with the right one, some with a wrong one."""
+    e = _events(spark, sf).where("event_type <> 'view'")
+    before = F.count_if(F.col("event_id") % 7 != 0).over(Window.partitionBy("target_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
+    given = F.when(F.col("event_id") % 7 == 0, "999999").when(F.col("event_id") % 2 == 0, F.concat(F.lit(" "), before.cast("string")))
+    rows = e.select(F.col("event_id").alias("file_row"), F.col("target_id").alias("concept_id"), "action", F.lit("rev").alias("reviewer"), F.lit("").alias("reason"), F.lit("noted").alias("review_note"), F.lit("code").alias("reason_code"), given.alias("row_version"))
+    concepts = _events(spark, sf).select(F.col("target_id").alias("concept_id"), F.lit("review_ready").alias("status")).distinct()
+    return rows, concepts, e.limit(0)
+
+
+def q_review_versions(spark, sf):
+    return R.validate(*_versioned(spark, sf)).select("file_row", "import_status", "new_status", "new_row_version", "error_message", "why")
+
+
+def _applied(spark, sf):
+    rows, concepts, none = _versioned(spark, sf)
+    evidence = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("concept_id"), F.concat(F.lit("k"), F.col("c_nationkey").cast("string")).alias("evidence_key"))
+    return R.apply_valid(R.validate(rows, concepts, none), concepts, evidence, "now")
+
+
+def q_review_apply(spark, sf):
+    return _applied(spark, sf)[0]
+
+
+def q_review_audit(spark, sf):
+    events = _applied(spark, sf)[1]
+    return events.select("target_id", "action", "previous_status", "new_status", "reason", F.array_join("evidence_ids", " ").alias("evidence_ids"), "row_version", "created_at")
+
+
+def _scratch(spark) -> str:
+    """A new folder for files that a query writes and reads again: the shared one, or a local session's own."""
+    home = spark.conf.get("spark.checkpoint.dir", None)
+    if not home:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        home = "file://" + tempfile.mkdtemp(prefix="lexforge-")
+    return f"{home}/lexforge-files/{uuid.uuid4().hex}"
+
+
+def q_review_file(fmt):
+    """Rows with quotes, commas, line feeds, blanks and characters of other scripts, written and read again."""
+
+    def run(spark, sf):
+        e = table(spark, sf, "events")
+        odd = F.when(F.col("event_id") % 4 == 0, 'say "no", please').when(F.col("event_id") % 4 == 1, "two\nlines").when(F.col("event_id") % 4 == 2, " 締付 ").otherwise("")
+        rows = e.select(F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("concept_id"), odd.alias("reason"), F.col("event_type").alias("action")).orderBy("event_id")
+        path = f"{_scratch(spark)}/review.{fmt}"
+        files.write_rows(rows.select(*sorted(rows.columns)), path, fmt, single=True)
+        return files.read_review_file(spark, path).select("file_row", "action", "concept_id", "reason")
+
+    return run
+
+
+def q_queue_file(spark, sf):
+    """The review queue as a CSV file, in order, with the columns that a reviewer sees."""
+    path = f"{_scratch(spark)}/queue.csv"
+    files.write_rows(E.review_queue(*_exported(spark, sf), "batch"), path, "csv", single=True)
+    got = files.read_review_file(spark, path)
+    return got.select("file_row", "concept_id", "confidence", "evidence_count", "recommended_action", "row_version", "status", "ja_terms", "en_terms", "export_batch_id", F.lit(len(got.columns) - 1).cast("long").alias("n_columns"))
+
+
+def q_dictionary_file(fmt):
+    def run(spark, sf):
+        concepts, labels, catalog, _, actions = _exported(spark, sf)
+        path = f"{_scratch(spark)}/dictionary.{fmt}"
+        files.write_dictionary(E.dictionary(concepts, labels, catalog, actions), path, fmt, single=True)
+        rows = files.read_review_file(spark, path)
+        if fmt == "jsonl":
+            terms = lambda c: F.array_join(F.from_json(c, "array<string>"), " | ").alias(c)
+            return rows.select("file_row", "concept_id", F.round(F.col("confidence").cast("double"), 6).alias("confidence"), "status", terms("ja_terms"), terms("en_terms"), F.get_json_object("confidence_json", "$.scoring_version").alias("version"), F.col("safe_for_query_expansion").cast("boolean").alias("safe"), F.lit(len(rows.columns) - 1).cast("long").alias("n_columns"))
+        return rows.select("file_row", "concept_id", F.round(F.col("confidence").cast("double"), 6).alias("confidence"), "status", "ja_terms", "en_terms", F.col("safe_for_query_expansion").cast("boolean").alias("safe"), F.lit(len(rows.columns) - 1).cast("long").alias("n_columns"))
+
+    return run
+
+
+def q_first_wins(spark, sf):
+    """Of several new rows of a key the first by a given order comes in."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("v"), F.col("l_quantity").alias("q"))
+    return G.insert_if_absent(li.where("k % 5 = 0 and v = 1"), li.where("v > 1"), ["k"], ["v"])
+
+
+def q_decoded_text(spark, sf):
+    """Bytes with and without malformed ones, and their hash."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("b"))
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat("b", F.unhex(F.lit("FF41")))).otherwise(F.col("b"))
+    d = d.select("doc_id", raw.alias("b"))
+    return d.select("doc_id", F.sha2("b", 256).alias("sha256"), F.sha2(html.decode_utf8(F.col("b")), 256).alias("text_sha256"))
+
+
 def _exported(spark, sf):
     blocks = manual(spark, sf)
     catalog = T.term_catalog(T.block_terms(blocks))
     concepts, labels, evidence = C.build_concepts(pairs(spark, sf))
     first = F.conv(F.substring("concept_id", 17, 1), 16, 10).cast("int")
-    concepts = concepts.withColumns({"status": F.when(first % 3 == 0, "confirmed").when(first % 3 == 1, "review_ready").otherwise("candidate"), "safe_for_query_expansion": first % 2 == 0})
+    concepts = concepts.withColumns({"status": F.when(first % 3 == 0, "confirmed").when(first % 3 == 1, "review_ready").otherwise("candidate"), "safe_for_query_expansion": first % 2 == 0, "safe_for_answer_generation": first % 5 == 0})
     actions = concepts.where("status = 'confirmed'").select(F.lit("concept").alias("target_type"), F.col("concept_id").alias("target_id"))
     return concepts, labels, catalog, evidence, actions
 
@@ -247,7 +408,8 @@ def q_cascade_delete(spark, sf):
 
 def q_anti_dangling(spark, sf):
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    return o.join(c.where("c_acctbal < 0"), o.o_custkey == c.c_custkey, "left_anti").select("o_orderkey")
+    gone = c.where("c_acctbal < 0").select(F.lit("ja").alias("lang"), F.col("c_custkey").alias("path"))
+    return G.drop_dangling(o, gone, {"ja": ["o_custkey"]}).select("o_orderkey")
 
 
 def q_topk_per_group(spark, sf):
@@ -336,6 +498,70 @@ def _dictionary_sql(where: str) -> str:
     return f"{_PAIRS}{_EXPORT} SELECT concept_id, confidence, 1 AS row_version, 'confirmed' AS status, ja_terms, en_terms FROM x WHERE {_HEX} % 3 = 0{where}"
 
 
+_SPLIT = "split_part({c}, '#', 1) AS {c}_path, split_part({c}, '#', 2) AS {c}_index"
+#: Evidence as the library builds it: one piece for each pair of blocks of a concept.
+_EVIDENCE = f"""{_PAIRS}, ev AS (SELECT *, sha256(concat_ws('|', concept_id, ja_path, ja_index, en_path, en_index, '{L.EVIDENCE_TYPE}')) AS k
+  FROM (SELECT pr.*, {_SPLIT.format(c="ja")}, {_SPLIT.format(c="en")} FROM pr))"""
+_PARTS = """round(mx, 6) AS max_evidence_score, round(mean, 6) AS average_evidence_score, CASE WHEN anchor THEN 0.24 ELSE 0 END::DOUBLE AS anchor_score, round(least(0.3, mx * 0.55::DOUBLE), 6) AS section_score,
+  round(least(0.08, mean * 0.1::DOUBLE), 6) AS lexical_score, round(least(0.16, (n_pos - 1) * 0.08::DOUBLE), 6) AS frequency_score, 0::DOUBLE AS diversity_score, CASE WHEN h THEN 0.05 ELSE 0 END::DOUBLE AS heading_score,
+  CASE WHEN tb THEN 0.05 ELSE 0 END::DOUBLE AS table_alignment_score, round(least(0.45, n_neg * 0.3::DOUBLE + n_neg * 0.5::DOUBLE * 0.1::DOUBLE), 6) AS negative_evidence_penalty, 0::DOUBLE AS safety_penalty"""
+_TOTAL = """round(least(1, greatest(0, least(0.3, mx * 0.55::DOUBLE) + CASE WHEN anchor THEN 0.24 ELSE 0 END::DOUBLE + least(0.16, (n_pos - 1) * 0.08::DOUBLE) + least(0.08, mean * 0.1::DOUBLE)
+  + CASE WHEN h THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN tb THEN 0.05 ELSE 0 END::DOUBLE - least(0.45, n_neg * 0.3::DOUBLE + n_neg * 0.5::DOUBLE * 0.1::DOUBLE))), 6)"""
+#: A pair without a shared anchor can score 0.20 at most, so pairs from 0.25 on have one.
+_SCORED_EVIDENCE = """, ag AS (SELECT concept_id, count(*) AS n_pos, max(score) AS mx, avg(score) AS mean, true AS anchor, bool_or(n_tokens > 0) AS h, bool_or(table_match) AS tb, {neg} AS n_neg FROM ev GROUP BY concept_id)"""
+_NEGATIVE = "count(*) FILTER (WHERE ('0x' || left(k, 2))::INT % 3 = 0)"
+_VERSIONED = f"""WITH e AS ({_EVENTS}), r AS (SELECT *, event_id % 7 = 0 AS wrong, count(*) FILTER (WHERE event_id % 7 <> 0) OVER (PARTITION BY target_id ORDER BY event_id) - CASE WHEN event_id % 7 <> 0 THEN 1 ELSE 0 END AS v FROM e WHERE event_type <> 'view')"""
+
+
+def _hex(place: int) -> str:
+    return f"('0x' || substr(concept_id, {place}, 1))::INT"
+
+
+def _more_sql() -> dict[str, str]:
+    status = f"CASE WHEN {_hex(17)} % 3 = 0 THEN 'confirmed' WHEN {_hex(17)} % 3 = 1 THEN 'review_ready' ELSE 'candidate' END"
+    lexicon = lambda lang, phrases, hit: f"WITH m AS ({MANUAL_SQL}) SELECT path, block_index, p AS term, count(*) AS n FROM m, (SELECT unnest({_list(phrases)}) AS p) WHERE lang = '{lang}' AND {hit} GROUP BY ALL"
+    odd = "CASE event_id % 4 WHEN 0 THEN 'say \"no\", please' WHEN 1 THEN 'two' || chr(10) || 'lines' WHEN 2 THEN ' 締付 ' ELSE '' END"
+    review_file = f"SELECT row_number() OVER (ORDER BY event_id) AS file_row, event_type AS action, 'c' || event_id AS concept_id, {odd} AS reason FROM events"
+    both = f"{_PAIRS}{_EXPORT}"
+    dictionary = f"{both} SELECT row_number() OVER (ORDER BY concept_id) AS file_row, concept_id, round(confidence, 6) AS confidence, 'confirmed' AS status, ja_terms, en_terms, {_hex(17)} % 2 = 0 AS safe"
+    return {
+        "html_title": r"SELECT page_id, length(t) AS n_title FROM (SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), '') AS t FROM pages)",
+        "document_tables": f"WITH m0 AS ({MANUAL_SQL}), m AS (SELECT lang, path, string_agg(text, ' ' ORDER BY block_index) AS text FROM m0 GROUP BY ALL), a AS ({' UNION ALL '.join(_anchor_sql(k, 'm', 'lang, path') for k in _RX)}), c AS (SELECT lang, path, count(*) AS n FROM a GROUP BY ALL) SELECT m.lang, m.path, n + 2 AS n, array_to_string(list_sort(['b.png', lower(regexp_extract(m.path, '[^/]+$')) || '.gif']), ' ') AS images, left(text, 500) AS text_excerpt FROM m JOIN c ON m.lang = c.lang AND m.path = c.path",
+        "anchor_dedup": f"WITH m AS ({MANUAL_SQL}), v AS (SELECT lang, path, block_index, anchor_type, min(value) AS value, normalized_value FROM ({' UNION ALL '.join(_valued_sql(k) for k in _RX)}) GROUP BY ALL) SELECT lang, path, block_index, string_agg(anchor_type || '=' || normalized_value, ',' ORDER BY anchor_type, value) AS anchors FROM v GROUP BY ALL",
+        "terms_lexicon": lexicon("en", L.EN_PHRASES, r"regexp_matches(lower(text), '\b' || p || '\b')"),
+        "terms_lexicon_ja": lexicon("ja", L.JA_PHRASES, "contains(text, p)"),
+        "terms_compound": f"WITH m AS ({MANUAL_SQL}) SELECT path, block_index, term, count(*) AS n FROM (SELECT path, block_index, unnest(regexp_extract_all(text, '[一-龥ァ-ヴーA-Za-z0-9]{{2,}}(?:{'|'.join(L.JA_SUFFIXES)})')) AS term FROM m WHERE lang = 'ja') GROUP BY ALL",
+        "terms_ngram": f"WITH m AS ({MANUAL_SQL}){_TERMS} SELECT path, block_index, array_to_string(w, ' ') AS term, count(*) AS n FROM win WHERE list_has_any(w, {_list(L.EN_KEYWORDS)}) GROUP BY ALL",
+        "confidence_json": f"{_EVIDENCE}{_SCORED_EVIDENCE.format(neg=_NEGATIVE)} SELECT concept_id, '{L.SCORING_VERSIONS['confidence']}' AS confidence_version, '{L.SCORING_VERSIONS['confidence']}' AS version, '[\"{L.EVIDENCE_TYPE}\"]' AS evidence_types, n_pos AS evidence_count, n_neg AS negative_evidence_count, 1 AS evidence_type_count, {_PARTS}, {_TOTAL} AS final_score, 17 AS n_keys FROM ag",
+        "update_confidence": f"""{_EVIDENCE}{_SCORED_EVIDENCE.format(neg="0")}, cc AS (SELECT concept_id, mx, CASE WHEN {_hex(18)} = 0 THEN 'blocked' ELSE {status} END AS s, CASE WHEN {_hex(19)} = 0 THEN 0 ELSE {_TOTAL} END AS final, CASE WHEN {_hex(19)} = 0 THEN 0 ELSE n_pos END AS n FROM ag)
+            SELECT concept_id, CASE WHEN s IN ('blocked', 'confirmed') THEN s WHEN final >= 0.6 THEN 'review_ready' ELSE 'candidate' END AS status, round(CASE WHEN s IN ('blocked', 'confirmed') THEN mx ELSE final END, 6) AS confidence,
+            CASE WHEN s NOT IN ('blocked', 'confirmed') THEN '{L.SCORING_VERSIONS["confidence"]}' END AS confidence_version, CASE WHEN s NOT IN ('blocked', 'confirmed') THEN n ELSE -1 END AS n FROM cc""",
+        "concept_merge": f"""{both}, cc AS (SELECT concept_id, confidence AS new, {_hex(17)} AS f, CASE WHEN {_hex(17)} % 3 = 0 THEN 0.01 ELSE 0.99 END::DOUBLE AS old FROM x), o AS (SELECT *, f >= 4 AS known, f <= 12 AS fresh, f >= 4 AND f % 4 = 0 AS fixed FROM cc)
+            SELECT concept_id, CASE WHEN NOT known THEN 'candidate' WHEN f % 4 = 0 THEN 'confirmed' WHEN f % 4 = 1 THEN 'blocked' ELSE 'review_ready' END AS status, CASE WHEN known THEN 'kept' ELSE 'unknown' END AS category,
+            CASE WHEN NOT known THEN new WHEN fixed OR NOT fresh THEN old ELSE greatest(old, new) END AS confidence, known AND (fixed OR NOT fresh OR old > new) AS old_json FROM o""",
+        "evidence_lists": f"""{_EVIDENCE} SELECT concept_id, sha256(string_agg(k, ' ' ORDER BY score DESC, k)) AS ids, '{L.EVIDENCE_TYPE}' AS types, array_to_string(list_sort(list_distinct(list_concat(list(DISTINCT ja_path), list(DISTINCT en_path)))), ' ') AS files, count(*) AS n_anchors,
+            first(mj.text ORDER BY score DESC, k) AS sample_ja_context, first(me.text ORDER BY score DESC, k) AS sample_en_context FROM ev JOIN m mj ON mj.lang = 'ja' AND mj.path = ja_path AND mj.block_index = ja_index::INT JOIN m me ON me.lang = 'en' AND me.path = en_path AND me.block_index = en_index::INT GROUP BY concept_id""",
+        "review_versions": f"{_VERSIONED} SELECT event_id AS file_row, CASE WHEN wrong THEN 'error' ELSE 'valid' END AS import_status, CASE WHEN wrong THEN '' ELSE new_status END AS new_status, CASE WHEN wrong THEN '' ELSE (v + 1)::VARCHAR END AS new_row_version, CASE WHEN wrong THEN 'row_version mismatch for ' || target_id || ': expected ' || v || ', got 999999' ELSE '' END AS error_message, 'noted' AS why FROM r",
+        "review_apply": f"{_VERSIONED}, l AS (SELECT target_id, arg_max(new_status, event_id) AS s FROM r WHERE NOT wrong GROUP BY 1) SELECT DISTINCT e.target_id AS concept_id, coalesce(l.s, 'review_ready') AS status FROM e LEFT JOIN l ON e.target_id = l.target_id",
+        "review_audit": f"""{_VERSIONED}, k AS (SELECT 'c' || c_custkey AS id, string_agg('k' || c_nationkey, ' ' ORDER BY 'k' || c_nationkey) AS ids FROM customer GROUP BY 1)
+            SELECT target_id, action, coalesce(lag(new_status) OVER (PARTITION BY target_id ORDER BY event_id), 'review_ready') AS previous_status, new_status, 'noted' AS reason, coalesce(k.ids, '') AS evidence_ids, v AS row_version, 'now' AS created_at FROM r LEFT JOIN k ON k.id = r.target_id WHERE NOT wrong""",
+        "review_csv": review_file,
+        "review_jsonl": review_file,
+        "queue_file": f"{both} SELECT row_number() OVER (ORDER BY confidence DESC, concept_id) AS file_row, concept_id, printf('%.6f', confidence) AS confidence, evidence_count::VARCHAR AS evidence_count, CASE WHEN confidence >= 0.85 THEN 'approve' ELSE 'inspect' END AS recommended_action, '0' AS row_version, 'review_ready' AS status, ja_terms, en_terms, 'batch' AS export_batch_id, 23 AS n_columns FROM x WHERE {_hex(17)} % 3 = 1",
+        "dictionary_jsonl": f"{dictionary}, '{L.SCORING_VERSIONS['block']}' AS version, 15 AS n_columns FROM x WHERE {_hex(17)} % 3 = 0",
+        "dictionary_csv": f"{dictionary}, 11 AS n_columns FROM x WHERE {_hex(17)} % 3 = 0",
+        "answer_safe": _dictionary_sql(f" AND {_hex(17)} % 5 = 0"),
+        "first_wins": "SELECT l_orderkey AS k, l_linenumber::BIGINT AS v, l_quantity AS q FROM lineitem WHERE l_orderkey % 5 = 0 AND l_linenumber = 1 UNION ALL SELECT k, v, q FROM (SELECT l_orderkey AS k, l_linenumber::BIGINT AS v, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS r FROM lineitem WHERE l_linenumber > 1 AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 5 = 0 AND l_linenumber = 1)) WHERE r = 1",
+        "decoded_text": "SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN encode(coalesce(text, '')) || '\\xFF\\x41'::BLOB ELSE encode(coalesce(text, '')) END) AS sha256, sha256(CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') || chr(65533) || 'A' ELSE coalesce(text, '') END) AS text_sha256 FROM documents",
+    }
+
+
+def _valued_sql(kind: str) -> str:
+    rx, norm = _RX[kind]
+    norm = norm.replace("num(v)", f"({_number('v')})")
+    return f"SELECT lang, path, block_index, '{kind}' AS anchor_type, v AS value, {norm} AS normalized_value FROM (SELECT lang, path, block_index, unnest(regexp_extract_all(text, '{rx}')) AS v FROM m)"
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "normalize_text": r"SELECT doc_id, length(t) AS n_chars, sha256(t) AS sha256 FROM (SELECT doc_id, trim(regexp_replace(text, '[\s]+', ' ', 'g')) AS t FROM documents)",
@@ -377,6 +603,7 @@ def oracle_sql() -> dict[str, str]:
         "anti_dangling": "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)",
         "topk_per_group": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3",
     }
+    out |= _more_sql()
     for kind in _RX:
         rx, _ = _RX[kind]
         norm = _RX[kind][1].replace("num(v)", f"({_number('v')})")
@@ -416,6 +643,27 @@ def queries() -> dict:
         "cascade_delete": q_cascade_delete,
         "anti_dangling": q_anti_dangling,
         "topk_per_group": q_topk_per_group,
+        "document_tables": q_document_tables,
+        "anchor_dedup": q_anchor_dedup,
+        "terms_lexicon": q_terms(lambda t: X.lexicon_terms(t, L.EN_PHRASES, "en"), "en"),
+        "terms_lexicon_ja": q_terms(lambda t: X.lexicon_terms(t, L.JA_PHRASES, "ja"), "ja"),
+        "terms_compound": q_terms(X.compound_terms, "ja"),
+        "terms_ngram": q_terms(X.ngram_terms, "en"),
+        "confidence_json": q_confidence_json,
+        "update_confidence": q_update_confidence,
+        "concept_merge": q_concept_merge,
+        "evidence_lists": q_evidence_lists,
+        "review_versions": q_review_versions,
+        "review_apply": q_review_apply,
+        "review_audit": q_review_audit,
+        "review_csv": q_review_file("csv"),
+        "review_jsonl": q_review_file("jsonl"),
+        "queue_file": q_queue_file,
+        "dictionary_jsonl": q_dictionary_file("jsonl"),
+        "dictionary_csv": q_dictionary_file("csv"),
+        "answer_safe": q_dictionary("safe_for_answer_generation"),
+        "first_wins": q_first_wins,
+        "decoded_text": q_decoded_text,
         "html_title": q_html_title,
         "html_blocks": q_html_blocks,
     }

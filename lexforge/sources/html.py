@@ -49,8 +49,15 @@ class Node:
             node = node.parent
 
     def serial(self) -> str:
-        inner = "".join(c.serial() if isinstance(c, Node) else c for c in self.children)
-        return f"<{self.tag} {sorted(self.attrs.items())}>{inner}</{self.tag}>"
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, Node):
+                out.append(f"<{node.tag} {sorted(node.attrs.items())}>")
+                todo += [f"</{node.tag}>", *reversed(node.children)]
+            else:
+                out.append(node)
+        return "".join(out)
 
 
 class Tree(HTMLParser):
@@ -219,10 +226,9 @@ def scan_directory(spark: SparkSession, folder: str, lang: str) -> DataFrame:
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(jpath):
         raise FileNotFoundError(folder)
-    base = fs.getFileStatus(jpath).getPath().toString().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.lower("path").rlike(r"\.html?$"))
-    path = F.expr(f"substring(path, position('{jpath.toUri().getPath()}' in path) + {len(jpath.toUri().getPath().rstrip('/')) + 1})")
-    del base
+    top = jpath.toUri().getPath().rstrip("/")
+    path = F.substr("path", F.position(F.lit(top), F.col("path")) + F.lit(len(top) + 1))
     return files.select(F.lit(lang).alias("lang"), path.alias("path"), F.sha2("content", 256).alias("sha256"), decode_utf8(F.col("content")).alias("html"))
 
 

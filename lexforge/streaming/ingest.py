@@ -24,19 +24,14 @@ def distinct_pages(pages: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def merge_batches(store, pages: DataFrame, checkpoint: str, trigger: dict | None = None):
-    """Starts a query that merges each batch into the store. A batch that runs again finds its documents
+    """Starts a query that merges each batch into the store, of a path's versions the latest, with all that hangs on
+    changed documents, as ingest() does. A batch that runs again finds its documents
     unchanged by (lang, path, sha256), so the merge may be repeated."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        rows = html.extract_pages(batch.dropDuplicates(["lang", "path"])).where("error is null").cache()
-        documents, blocks, anchors = html.pages_to_tables(rows)
-        keys = ["lang", "path"]
-        state = G.classify_changes(documents, store.read("documents"))
-        content = state.where("state in ('inserted', 'updated')").select(*keys).cache()
-        for table, new in (("document_blocks", blocks), ("anchors", anchors)):
-            store.write(table, G.replace_children(store.read(table), new.join(content, keys, "left_semi"), content, keys))
-        store.write("documents", G.upsert(store.read("documents"), state.where("state <> 'unchanged'").drop("state"), keys, ["sha256", "title", "text_excerpt", "source_html"]))
-        rows.unpersist()
+        latest = G.first_of(batch.withColumn("age", -F.unix_micros("arrived")), ["lang", "path"], ["age", "sha256"])
+        _, tables, _ = store.merged(html.extract_pages(latest.select("lang", "path", "sha256", "html")))
+        store.commit(tables)
 
     return pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -138,6 +138,53 @@ def test_commands(spark, tmp_path):
         store.ingest("ja", str(tmp_path / "none"))
 
 
+def test_store_commits(spark, tmp_path):
+    """Tables of one commit come together; of two writers of a table the second fails; stored explanations and files."""
+    for lang, page in (("ja", JA), ("en", EN)):
+        (tmp_path / "it's" / lang).mkdir(parents=True)
+        (tmp_path / "it's" / lang / "a.html").write_text(page, encoding="utf-8")
+    (tmp_path / "it's" / "en" / "deep.html").write_text("<div>" * 3000 + "<p>deep</p>", encoding="utf-8")
+    store, other = Store(spark, str(tmp_path / "db")), Store(spark, str(tmp_path / "db"))
+    for lang in ("ja", "en"):
+        store.ingest(lang, str(tmp_path / "it's" / lang))
+    assert [r["completed_at"] is not None for r in store.read("ingestion_runs").collect()] == [True, True]
+    assert store.read("documents").where("path = 'deep.html'").count() == 1
+    store.match_blocks()
+    store.extract_terms()
+    store.build_concepts()
+    store.update_confidence(0.4)
+    row = store.read("concepts").where("confidence > 0").first()
+    told = json.loads(row["confidence_json"])
+    assert len(told) == 17 and told["final_score"] == row["confidence"] and told["version"] == row["confidence_version"]
+    assert store.stale_evidence().where("is_stale").count() == 0
+    commits = store._commits()
+    old = other._newest
+    other._newest = lambda: (commits[-1], store._tables(commits[-1]))
+    store.write("terms", store.read("terms"))
+    other._newest = iter([(commits[-1], store._tables(commits[-1])), old()]).__next__
+    with pytest.raises(RuntimeError, match="another command"):
+        other.write("terms", store.read("terms"))
+    other._newest = old
+    before = store.read("review_actions").count()
+    event = store.read("review_actions").limit(0)
+    other.append("review_actions", event)
+    assert other.read("review_actions").count() == before
+    store.vacuum(1)
+    assert len(store._commits()) == 1 and store.read("evidence").count() > 0
+    (tmp_path / "it's" / "en" / "a.html").write_text(EN.replace("12.0 V", "13.0 V"), encoding="utf-8")
+    store.ingest("en", str(tmp_path / "it's" / "en"))
+    assert 0 < store.stale_evidence().where("is_stale").count()
+    concept = row["concept_id"]
+    assert cli.run(store, cli.parser().parse_args(["approve", "--db", "x", "--concept-id", concept, "--reviewer", "me", "--reason", "ok"]))[1] == 0
+    out = tmp_path / "dictionary.jsonl"
+    assert cli.run(store, cli.parser().parse_args(["export-dictionary", "--db", "x", "--out", str(out)]))[0]["rows_exported"] == 1
+    text = out.read_text(encoding="utf-8").splitlines()[0]
+    assert text == json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True) and json.loads(text)["confidence_json"] == told
+    out = tmp_path / "queue.csv"
+    cli.run(store, cli.parser().parse_args(["export-review", "--db", "x", "--out", str(out)]))
+    assert out.is_file() and files.read_review_file(spark, str(out)).count() == store.read("concepts").where("status = 'review_ready'").count()
+
+
 def test_cli_surface():
     names = cli.parser()._subparsers._group_actions[0].choices
     assert len(names) == 15 and cli.parser().parse_args(["match-blocks", "--db", "x"]).min_score == 0.20
