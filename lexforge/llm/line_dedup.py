@@ -41,7 +41,7 @@ class Signs:
 
 
 def _key(kind: int, h: np.ndarray, *parts) -> np.ndarray:
-    h = mix64(h + U(kind + 1) * _PART)
+    h = mix64(h + np.full(1, kind + 1, np.uint64) * _PART)
     for p in parts:
         h = mix64(h + p.astype(np.uint64) * _PLACE + U(1))
     return h.view(np.int64)
