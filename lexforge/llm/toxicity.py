@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,39 +46,40 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 class Model:
     """Two interpolated Kneser-Ney models, of toxic (1) and ordinary (0) texts.
 
-    words: (key, after0, after1), after how many different words a word comes in a class; contexts: (key, n0, n1,
-    kinds0, kinds1), how often a word has one behind it and how many different ones; pairs: (key, n0, n1). Whole
-    64-bit hashes are the keys. Words back off to the counts of both classes together, so what is rare in
-    a class has about its shared probability. once and twice: by order and class, how many counts are 1 and 2."""
+    words: (key, a0, a1, n0, n1, k0, k1), after how many different words a word comes in a class, how often one comes
+    after it, and how many different ones; pairs: (key, n0, n1). Whole 64-bit hashes are the keys.
+    sums: by order and class, the numbers of all words or pairs, whether kept or not: kinds, once, twice; and for words
+    the sum of a. Words back off to the counts of both classes together, so what is rare in a class has about
+    its shared probability; what is not kept counts as unknown."""
 
-    def __init__(self, words, contexts, pairs, once, twice):
-        self.discounts = [[discount(a, b) for a, b in zip(x, y, strict=True)] for x, y in zip(once, twice, strict=True)]
+    def __init__(self, words: list[np.ndarray], pairs: list[np.ndarray], sums: dict, kinds: int):
+        small = np.float32
+        d = [discount(*sums["word"][k][1:3]) for k in (0, 1)]
         order = np.argsort(words[0])
         self.words = words[0][order]
-        after = np.stack([np.append(x[order], 0) for x in words[1:]]).astype(np.float64)
-        shared = after.sum(axis=0) + 0.5
-        base = shared / shared.sum()
+        table = np.stack([np.append(x[order], 0) for x in words[1:]]).astype(np.float64)
+        base = (table[0] + table[1] + 0.5) / (sums["word"][0][3] + sums["word"][1][3] + 0.5 * (kinds + 1))
         self.word = []  # P(word) of each class; last the unknown word
-        for k, n in enumerate(after):
-            total = n.sum()
-            d = self.discounts[0][k]
-            self.word.append((np.maximum(n - d, 0) + d * (n > 0).sum() * base) / total if total else base)
-        order = np.argsort(contexts[0])
-        self.contexts = contexts[0][order]
-        n, kinds = (np.stack([np.append(x[order], 0) for x in contexts[i : i + 2]]).astype(np.float64) for i in (1, 3))
-        self.total = np.maximum(n, 1)
-        self.backoff = np.where(n > 0, np.array(self.discounts[1])[:, None] * kinds / self.total, 1.0)
+        for k in (0, 1):
+            types, _, _, total = sums["word"][k]
+            self.word.append((np.maximum(table[k] - d[k], 0) + d[k] * types * base) / total if total else base)
+        self.ratio = np.log(self.word[1] / self.word[0]).astype(small)
+        self.word = [x.astype(small) for x in self.word]
+        d = [discount(*sums["pair"][k][1:3]) for k in (0, 1)]
+        n, followers = table[2:4], table[4:6]
+        self.total = np.maximum(n, 1).astype(small)
+        self.backoff = np.where(n > 0, np.array(d)[:, None] * followers / np.maximum(n, 1), 1.0).astype(small)
         order = np.argsort(pairs[0])
         self.pairs = pairs[0][order]
-        self.pair = np.maximum(np.stack([np.append(x[order], 0) for x in pairs[1:]]) - np.array(self.discounts[1])[:, None], 0)
-        self.ratio = np.log(self.word[1] / self.word[0])
+        self.pair = np.maximum(np.stack([np.append(x[order], 0) for x in pairs[1:]]) - np.array(d)[:, None], 0).astype(small)
         self.weights = PRIOR
 
     def ratios(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ln P(word | toxic) - ln P(word | ordinary) of each word, alone and given the word before."""
-        before, key = pair_keys(hashes, first)
-        word, context, pair = find(self.words, hashes), find(self.contexts, before), find(self.pairs, key)
-        p = [self.pair[k][pair] / self.total[k][context] + self.backoff[k][context] * self.word[k][word] for k in (0, 1)]
+        word, pair = find(self.words, hashes), find(self.pairs, pair_keys(hashes, first)[1])
+        before = np.concatenate([word[:1], word[:-1]])
+        before[first[first < len(word)]] = find(self.words, np.array([START]))[0]
+        p = [self.pair[k][pair] / self.total[k][before] + self.backoff[k][before] * self.word[k][word] for k in (0, 1)]
         return self.ratio[word], np.log(p[1] / p[0])
 
     def features(self, texts: list) -> np.ndarray:
@@ -139,20 +143,34 @@ def pair_counts(labelled: DataFrame) -> DataFrame:
     return got.groupBy("before", "word", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def learn(labelled: DataFrame, least_pair: int = 2) -> Model:
-    """The models of (text, toxic). Pairs that occur fewer than least_pair times in both classes count for the
-    words and contexts they are made of, and for the discounts, but are not kept themselves."""
+def packed(rows: DataFrame, columns: list[str]) -> list[np.ndarray]:
+    """The columns of rows as arrays, the first as keys; executors pack them, so the driver holds plain bytes only."""
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [key[0]], "n": [len(frame)], "cells": [np.ascontiguousarray(frame[columns].to_numpy(np.int64).T).tobytes()]})
+
+    got = rows.groupBy(F.pmod(columns[0], F.lit(32)).alias("part")).applyInPandas(run, "part long, n long, cells binary").select("n", "cells").collect()  # 32 rows
+    parts = [np.frombuffer(r["cells"], np.int64).reshape(len(columns), r["n"]) for r in got]
+    out = [np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in range(len(columns))]
+    return [out[0].view(np.uint64), *out[1:]]
+
+
+def learn(labelled: DataFrame, least: int = 2) -> Model:
+    """The models of (text, toxic). Pairs, and words, that occur fewer than `least` times in both classes count for the
+    words, contexts and sums that they are part of, but are not kept themselves."""
     pairs = written(pair_counts(labelled), "tox-pairs")
     some = lambda c: F.count_if(F.col(c) > 0)
-    words = pairs.groupBy("word").agg(some("n0").alias("a0"), some("n1").alias("a1")).toPandas()
-    contexts = pairs.groupBy("before").agg(F.sum("n0"), F.sum("n1"), some("n0"), some("n1")).toPandas()
-    kept = pairs.where((F.col("n0") >= least_pair) | (F.col("n1") >= least_pair)).select("key", "n0", "n1").toPandas()
-    exactly = pairs.agg(*[F.count_if(F.col(f"n{k}") == n) for n in (1, 2) for k in (0, 1)]).first()
-    dropped(pairs)
-    arrays = lambda f: [f.iloc[:, 0].to_numpy(np.int64).view(np.uint64), *(f.iloc[:, i].to_numpy(np.int64) for i in range(1, f.shape[1]))]
-    after = [words["a0"].to_numpy(), words["a1"].to_numpy()]
-    once, twice = ([[float((a == n).sum()) for a in after], [float(exactly[2 * (n - 1) + k]) for k in (0, 1)]] for n in (1, 2))
-    return Model(arrays(words), arrays(contexts), arrays(kept), once, twice)
+    after = pairs.groupBy(F.col("word").alias("key")).agg(some("n0").alias("a0"), some("n1").alias("a1"))
+    context = pairs.groupBy(F.col("before").alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), some("n0").alias("k0"), some("n1").alias("k1"))
+    columns = ["key", "a0", "a1", "n0", "n1", "k0", "k1"]
+    words = written(after.join(context, "key", "full_outer").select("key", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns[1:]]), "tox-words")
+    often = lambda *c: reduce(lambda x, y: x | y, [F.col(x) >= least for x in c])
+    counts = lambda c: [F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2), F.sum(c)]
+    sums = {kind: (lambda r: [[float(x or 0) for x in r[4 * k : 4 * k + 4]] for k in (0, 1)])(list(df.agg(*counts(f"{c}0"), *counts(f"{c}1")).first())) for kind, df, c in (("word", words, "a"), ("pair", pairs, "n"))}
+    kinds = words.where("a0 + a1 > 0").count()
+    model = Model(packed(words.where(often("a0", "a1", "n0", "n1")), columns), packed(pairs.where(often("n0", "n1")), ["key", "n0", "n1"]), sums, kinds)
+    dropped(pairs, words)
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 25_000, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
@@ -195,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 25_000, folds: int
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): one row per row of docs, whole texts, no shuffle; only the text is read. Null and empty texts and
     those without words get the score of no evidence; without a model all scores are 0. Rows that repeat an id or have none are
-    scored each by itself; an empty table gives no rows. The broadcast model has 20 bytes for each word and pair it keeps."""
+    scored each by itself; an empty table gives no rows. The broadcast model has 36 bytes for each word and 16 for each pair that it
+    keeps of the at most about 50,000 texts that it has learned from."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"))
