@@ -1,29 +1,118 @@
-"""Set-overlap similarity joins of pages and blocks, as equi-joins on shared values, and top-k."""
+"""Set-overlap similarity joins of pages and blocks as equi-joins on shared values, and top-k.
+
+A row's features are strings: a letter for the type, then the value. A pair scores the weights of the types of which it
+shares a value, at most 1, so its score follows from one bit for each type."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import lexicon as L
 from lexforge.functions import text as X
 
+TYPES = sorted(L.ANCHOR_WEIGHTS)
+HEADING, TABLE = len(TYPES), len(TYPES) + 1
+FIRST = ord("a")
+STRINGS = "array<string>"
+
+
+def _feature(kind: int, value: Column) -> Column:
+    return F.concat(F.lit(chr(FIRST + kind)), value)
+
+
+def _of(kind: int, values: Column) -> Column:
+    return F.filter(values, lambda v: F.ascii(v) == FIRST + kind)
+
+
+def _texts(kind: int, values: Column) -> Column:
+    return F.transform(_of(kind, values), lambda v: F.substr(v, F.lit(2)))
+
+
+def _bits(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda b, v: b.bitwiseOR(F.call_function("shiftleft", F.lit(1), F.ascii(v) - FIRST)))
+
+
+def _features(anchors: DataFrame, key: str, rows: DataFrame | None) -> DataFrame:
+    """(lang, id, values): the distinct features of each row of `rows` (lang, id, values); of each key if there are no rows."""
+    number = F.create_map(*[x for i, t in enumerate(TYPES) for x in (F.lit(t), F.lit(chr(FIRST + i)))])[F.col("anchor_type")]
+    feature = F.array(F.concat(number, F.col("normalized_value")))
+    found = anchors.select("lang", F.col(key).alias("id"), feature.alias("values"), F.lit(rows is None).alias("known")).where("values[0] is not null")
+    if rows is not None:
+        found = rows.withColumn("known", F.lit(True)).unionByName(found)
+    # no null keys: all readers of this table then ask for the same rows, and share its exchange
+    grouped = found.where("lang is not null and id is not null").groupBy("lang", "id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("values")))).alias("values"), F.max("known").alias("known"))
+    return grouped.where("known").select("lang", "id", "values")
+
 
-def _weights(df: DataFrame, weights: dict) -> DataFrame:
-    return df.withColumn("weight", F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))])[F.col("anchor_type")]).where("weight is not null")
+def _combinations(pool: Column, weights: list[float]) -> Column:
+    """array<struct<key, w, bits>>: every choice of at most one feature of each type, with their weights' sum and bits."""
+    types = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(1 << i).alias("bit"), _of(i, pool).alias("values")) for i, w in enumerate(weights)])
+    nothing = F.array(F.struct(F.lit("").alias("key"), F.lit(0.0).alias("w"), F.lit(0).alias("bits")))
 
+    def extended(chosen: Column, of: Column) -> Column:
+        # lengths keep the keys of different choices apart
+        more = lambda c: F.transform(of["values"], lambda v: F.struct(F.concat(c["key"], F.length(v).cast("string"), F.lit(":"), v).alias("key"), (c["w"] + of["w"]).alias("w"), (c["bits"] + of["bit"]).alias("bits")))
+        return F.concat(chosen, F.flatten(F.transform(chosen, more)))
 
-def shared_anchors(anchors: DataFrame, key: str, weights: dict = L.ANCHOR_WEIGHTS) -> DataFrame:
-    """(ja, en, anchor_score, shared_anchors) of pairs that share an anchor value.
+    return F.aggregate(types, nothing, extended)
 
-    anchors: (lang, key, anchor_type, normalized_value). A type counts once, however many values are shared.
-    The join's keys are type and value, so hot values are split by adaptive skew handling, and the
-    map-side part of the aggregation makes one row of a pair's values of a type."""
-    one = _weights(anchors.select("lang", F.col(key).alias("k"), "anchor_type", "normalized_value").distinct(), weights)
-    ja = one.where("lang = 'ja'").select(F.col("k").alias("ja"), "anchor_type", "normalized_value", "weight")
-    en = one.where("lang = 'en'").select(F.col("k").alias("en"), "anchor_type", "normalized_value")
-    by_type = ja.join(en, ["anchor_type", "normalized_value"]).groupBy("ja", "en", "anchor_type", "weight").agg(F.sort_array(F.collect_set("normalized_value")).alias("values"))
-    return by_type.groupBy("ja", "en").agg(F.sum("weight").alias("anchor_score"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("anchor_type", "values")))).alias("shared_anchors"))
+
+def best_pairs(features: DataFrame, weights: list[float], direct: int, least: float, k: int, hot: int = 1000, widest: int = 1024) -> DataFrame:
+    """(ja, en, score): exactly the k best English rows of each Japanese row that score at least `least`, ties by id.
+
+    Features of the first `direct` types that at most `hot` English rows have are joined as they are. Of the others, hot
+    values and all further types, a pair shares some choice of one feature for each type, and of the English
+    rows with that choice only the k smallest ids can be among the k best: more with the same choice score no less and come first. So
+    each choice that can reach `least` is a key with k English rows, and a value that all rows share costs k pairs for each
+    row. Rows with more than `widest` choices of hot values are joined on these values directly. Nothing is dropped: `hot` and
+    `widest` choose the way, not the result."""
+    if k < 0:
+        raise ValueError("top-k must not be negative")
+    each = features.select("lang", "id", F.explode("values").alias("v")).where(F.ascii("v") < FIRST + direct)
+    common = each.where("lang = 'en'").groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("v")
+    hots = each.join(common, "v").groupBy("lang", "id").agg(F.array_sort(F.collect_list("v")).alias("hots"))
+    rows = features.join(hots, ["lang", "id"], "left").withColumn("hots", F.coalesce("hots", F.array().cast(STRINGS)))
+    further = F.filter("values", lambda v: F.ascii(v) >= FIRST + direct)
+    choices = reduce(lambda a, b: a * b, [1 + F.size(_of(i, F.col("hots"))).cast("double") for i in range(direct)])
+    rows = rows.select("lang", "id", "values", "hots", F.concat("hots", further).alias("extra"), further.alias("further"), (choices > widest).alias("wide"))
+
+    def side(df: DataFrame, lang: str) -> DataFrame:
+        return df.where(F.col("lang") == lang).select(F.col("id").alias(lang), F.col("extra").alias(f"{lang}_x"), *[c for c in df.columns if c not in ("lang", "id", "extra")])
+
+    def joined(ja: DataFrame, en: DataFrame) -> DataFrame:
+        more = F.when(F.arrays_overlap("ja_x", "en_x"), _bits(F.array_intersect("ja_x", "en_x"))).otherwise(0)
+        bits = F.call_function("shiftleft", F.lit(1), F.ascii("v") - FIRST).bitwiseOR(more)
+        return ja.select("ja", "ja_x", "v").join(en.select("en", "en_x", "v"), "v").select("ja", "en", bits.alias("bits"))
+
+    rare = rows.select("lang", "id", "extra", F.explode(F.array_except("values", "extra")).alias("v"))
+    often = rows.select("lang", "id", "extra", "wide", F.explode("hots").alias("v"))
+    found = joined(side(rare, "ja"), side(rare, "en"))
+    found = found.union(joined(side(often, "ja").where("wide"), side(often, "en"))).union(joined(side(often, "ja").where("not wide"), side(often, "en").where("wide")))
+    pool = F.when(F.col("wide"), F.col("further")).otherwise(F.col("extra"))
+    chosen = F.filter(_combinations(pool, weights), lambda c: F.round(F.least(c["w"], F.lit(1.0)), 6) >= least)
+    keyed = rows.select("lang", "id", F.explode(chosen).alias("c")).select("lang", "id", "c.key", "c.bits")
+    first = top_k(keyed.where("lang = 'en'").select(F.col("id").alias("en"), "key"), "key", k, "en")
+    found = found.union(keyed.where("lang = 'ja'").select(F.col("id").alias("ja"), "key", "bits").join(first, "key").select("ja", "en", "bits"))
+    # dealt by Japanese row, which serves the sums and the ranks
+    pairs = found.repartition(F.col("ja")).groupBy("ja", "en").agg(F.bit_or("bits").alias("bits"))
+    total = reduce(lambda a, b: a + b, [F.when(F.col("bits").bitwiseAND(1 << i) != 0, w).otherwise(0.0) for i, w in enumerate(weights)])
+    scored = pairs.select("ja", "en", F.round(F.least(total, F.lit(1.0)), 6).alias("score")).where(F.col("score") >= least)
+    return top_k(scored, "ja", k, F.desc("score"), "en")
+
+
+def _with_shared(best: DataFrame, features: DataFrame) -> DataFrame:
+    """best with what its pairs share."""
+    for lang in ("ja", "en"):
+        best = best.join(features.where(F.col("lang") == lang).select(F.col("id").alias(lang), F.col("values").alias(f"{lang}_values")), lang)
+    return best.withColumn("shared", F.array_sort(F.array_intersect("ja_values", "en_values")))
+
+
+def _shared_anchors() -> Column:
+    by_type = F.array(*[F.struct(F.lit(t).alias("t"), _texts(i, F.col("shared")).alias("values")) for i, t in enumerate(TYPES)])
+    return F.map_from_entries(F.filter(by_type, lambda e: F.size(e["values"]) > 0)).alias("shared_anchors")
 
 
 def top_k(scored: DataFrame, group: str, k: int, *order) -> DataFrame:
@@ -33,59 +122,34 @@ def top_k(scored: DataFrame, group: str, k: int, *order) -> DataFrame:
     return scored.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rank") <= k).drop("_rank")
 
 
-def match_pages(anchors: DataFrame, min_score: float = 0.25, k: int = 5, documents: DataFrame | None = None) -> DataFrame:
+def match_pages(anchors: DataFrame, min_score: float = 0.25, k: int = 5, documents: DataFrame | None = None, **limits) -> DataFrame:
     """(ja, en, score, match_type, evidence) of the k best English pages of each Japanese page.
 
     anchors: (lang, doc, anchor_type, normalized_value) of blocks and of whole documents. Pages without
-    a shared anchor score 0: they qualify only if min_score is 0 or less, and then all pairs are
-    asked for, which needs documents (lang, doc)."""
-    found = shared_anchors(anchors, "doc")
-    if min_score <= 0:
-        found = _all_pairs(documents, "doc").join(found, ["ja", "en"], "left")
-    score = F.round(F.least(F.coalesce("anchor_score", F.lit(0.0)), F.lit(1.0)), 6)
-    evidence = F.struct(F.coalesce("shared_anchors", F.expr("cast(map() as map<string,array<string>>)")).alias("shared_anchors"), F.lit("document").alias("match_scope"), F.lit(L.SCORING_VERSIONS["page"]).alias("scoring_version"))
-    scored = found.select("ja", "en", score.alias("score"), F.lit(L.PAGE_MATCH_TYPE).alias("match_type"), evidence.alias("evidence")).where(F.col("score") >= min_score)
-    return top_k(scored, "ja", k, F.desc("score"), "en")
+    a shared anchor score 0: they qualify only if min_score is 0 or less, which needs documents (lang, doc)."""
+    if min_score <= 0 and documents is None:
+        raise ValueError("a minimum score of 0 or less takes pages without anchors and needs their rows")
+    rows = documents.select("lang", F.col("doc").alias("id"), F.array().cast(STRINGS).alias("values")) if documents is not None else None
+    features = _features(anchors, "doc", rows)
+    best = _with_shared(best_pairs(features, [L.ANCHOR_WEIGHTS[t] for t in TYPES], len(TYPES), min_score, k, **limits), features)
+    evidence = F.struct(_shared_anchors(), F.lit("document").alias("match_scope"), F.lit(L.SCORING_VERSIONS["page"]).alias("scoring_version"))
+    return best.select("ja", "en", "score", F.lit(L.PAGE_MATCH_TYPE).alias("match_type"), evidence.alias("evidence"))
 
 
-def _all_pairs(rows: DataFrame, key: str) -> DataFrame:
-    if rows is None:
-        raise ValueError("a minimum score of 0 or less asks for all pairs and needs their rows")
-    side = lambda lang: rows.where(F.col("lang") == lang).select(F.col(key).alias(lang))
-    return side("ja").crossJoin(side("en"))
-
-
-def match_blocks(blocks: DataFrame, anchors: DataFrame, min_score: float = 0.20, k: int = 5) -> DataFrame:
+def match_blocks(blocks: DataFrame, anchors: DataFrame, min_score: float = 0.20, k: int = 5, **limits) -> DataFrame:
     """(ja, en, score, evidence) of the k best English blocks of each Japanese block.
 
     blocks: (lang, block, block_type, text, heading_path); anchors: (lang, block, anchor_type, normalized_value).
-    Shared anchors add their types' weights, shared heading tokens 0.10, table rows with as many tokens
-    0.10. Candidates are the pairs that can reach min_score: those with a shared anchor; at 0.20 or less
-    also those with both other signs; at 0.10 or less those with either; at 0 or less all pairs."""
-    features = blocks.select("lang", "block", X.heading_tokens(F.coalesce("heading_path", F.lit(""))).alias("tokens"), X.table_shape(F.col("block_type"), F.col("text")).alias("shape"))
-    side = lambda lang: features.where(F.col("lang") == lang).select(F.col("block").alias(lang), F.col("tokens").alias(f"{lang}_tokens"), F.col("shape").alias(f"{lang}_shape"))
-    ja, en = side("ja"), side("en")
-    found = shared_anchors(anchors, "block")
-    pairs = found.select("ja", "en")
-    token = lambda s, lang: s.select(lang, f"{lang}_shape", F.explode(f"{lang}_tokens").alias("token"))
-    if min_score <= 0:
-        pairs = _all_pairs(blocks, "block")
-    elif min_score <= 0.10:
-        pairs = pairs.union(token(ja, "ja").join(token(en, "en"), "token").select("ja", "en"))
-        pairs = pairs.union(ja.join(en, ja.ja_shape == en.en_shape).select("ja", "en")).distinct()
-    elif min_score <= 0.20:
-        both = token(ja, "ja").withColumnRenamed("ja_shape", "shape").join(token(en, "en").withColumnRenamed("en_shape", "shape"), ["token", "shape"])
-        pairs = pairs.union(both.select("ja", "en")).distinct()
-    rows = pairs.join(found, ["ja", "en"], "left").join(ja, "ja").join(en, "en")
-    overlap = F.array_sort(F.array_intersect("ja_tokens", "en_tokens"))
-    table = F.coalesce(F.col("ja_shape") == F.col("en_shape"), F.lit(False))
-    rows = rows.withColumns({"overlap": overlap, "table": table})
-    total = F.coalesce("anchor_score", F.lit(0.0)) + F.when(F.size("overlap") > 0, L.HEADING_WEIGHT).otherwise(0.0) + F.when(F.col("table"), L.TABLE_WEIGHT).otherwise(0.0)
+    Shared anchors add their types' weights, shared heading tokens 0.10, table rows with as many tokens 0.10."""
+    tokens = F.transform(X.heading_tokens(F.coalesce("heading_path", F.lit(""))), lambda t: _feature(HEADING, t))
+    shape = F.array_compact(F.array(_feature(TABLE, X.table_shape(F.col("block_type"), F.col("text")).cast("string"))))
+    features = _features(anchors, "block", blocks.select("lang", F.col("block").alias("id"), F.coalesce(F.concat(tokens, shape), F.array().cast(STRINGS)).alias("values")))
+    weights = [*(L.ANCHOR_WEIGHTS[t] for t in TYPES), L.HEADING_WEIGHT, L.TABLE_WEIGHT]
+    best = _with_shared(best_pairs(features, weights, len(TYPES), min_score, k, **limits), features)
     evidence = F.struct(
-        F.coalesce("shared_anchors", F.expr("cast(map() as map<string,array<string>>)")).alias("shared_anchors"),
-        F.col("overlap").alias("heading_token_overlap"),
-        F.col("table").alias("table_shape_match"),
+        _shared_anchors(),
+        _texts(HEADING, F.col("shared")).alias("heading_token_overlap"),
+        (F.size(_of(TABLE, F.col("shared"))) > 0).alias("table_shape_match"),
         F.lit(L.SCORING_VERSIONS["block"]).alias("scoring_version"),
     )
-    scored = rows.select("ja", "en", F.round(F.least(total, F.lit(1.0)), 6).alias("score"), evidence.alias("evidence")).where(F.col("score") >= min_score)
-    return top_k(scored, "ja", k, F.desc("score"), "en")
+    return best.select("ja", "en", "score", evidence.alias("evidence"))

@@ -73,12 +73,30 @@ def test_match_blocks_like_brute_force(spark):
                 s += 0.1 * bool(set(h1.split()) & set(h2.split())) + 0.1 * (k1 == k2 == "table_row" and t1 == t2)
                 if round(s, 6) >= least:
                     want.add((j, e, round(s, 6)))
-        got = {(r["ja"], r["en"], r["score"]) for r in M.match_blocks(bdf, adf, least, 1000).collect()}
-        assert got == want, least
+        found = M.match_blocks(bdf, adf, least, 1000).collect()
+        assert {(r["ja"], r["en"], r["score"]) for r in found} == want, least
+        for r in found:
+            va = lambda lang, b, t: {a[3] for a in anchors if a[:3] == (lang, b, t)}
+            both = {t: sorted(va("ja", r["ja"], t) & va("en", r["en"], t)) for t in weight}
+            assert r["evidence"]["shared_anchors"] == {t: v for t, v in both.items() if v}
+        for k, hot, widest in {0.25: [(3, 0, 1024)], 0.2: [(2, 4, 3), (0, 0, 1024)], 0.1: [(3, 0, 0)], 0.0: [(3, 0, 1024)]}[least]:
+            ranked = sorted(want, key=lambda w: (w[0], -w[2], w[1]))
+            best = {w for i, w in enumerate(ranked) if sum(v[0] == w[0] for v in ranked[:i]) < k}
+            got = {(r["ja"], r["en"], r["score"]) for r in M.match_blocks(bdf, adf, least, k, hot=hot, widest=widest).collect()}
+            assert got == best, (least, k, hot, widest)
     with pytest.raises(ValueError):
         M.match_blocks(bdf, adf, 0.25, -1)
 
 
+def test_value_that_all_share(spark):
+    """A value of all blocks costs k pairs for each block, and gives the smallest ids."""
+    sides = spark.range(4000).select(F.explode(F.array(F.lit("ja"), F.lit("en"))).alias("lang"), F.col("id").alias("block"))
+    blocks = sides.select("lang", "block", F.lit("paragraph").alias("block_type"), F.lit("12 V").alias("text"), F.lit(None).cast("string").alias("heading_path"))
+    anchors = sides.select("lang", "block", F.lit("voltage").alias("anchor_type"), F.lit("12 V").alias("normalized_value"))
+    got = M.match_blocks(blocks, anchors, 0.2, 2).groupBy("en", "score").count().collect()
+    assert {(r["en"], r["score"], r["count"]) for r in got} == {(0, 0.25, 4000), (1, 0.25, 4000)}
+
+
 def test_confidence(spark):
     rows = [("a", "matched_block_terms", 0.55, False, True, False, False)] * 3 + [("b", "x", 0.72, False, True, True, True), ("b", "y", 0.95, True, False, False, False)]
     df = spark.createDataFrame(rows, "concept_id string, evidence_type string, score double, is_negative_evidence boolean, has_anchor boolean, has_heading boolean, has_table boolean")
