@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 #: Unicode White_Space: what the tokenizer's own patterns take as \s.
 WHITE = r"\t-\r \x85\xa0  -     　"
 NONE = np.int64(1) << 40
+#: Pieces of more bytes are merged rank by rank, so that a round costs what it changes and not the piece's length.
+LONG = 256
 WORD_END = "</w>"
 ENDS = (".", ",", ";", ":", "!", "?")
 
@@ -99,6 +102,13 @@ class WordBpe:
         sym[last] = self.final[raw[last]]
         owner = np.repeat(np.arange(len(n)), n)
         done_sym, done_owner = [], []
+        long = np.repeat(n > LONG, n)
+        if long.any():
+            done_owner.append(owner[long])
+            done_sym.append(sym[long])
+            done_sym[0], left = self._merge_by_rank(done_sym[0], done_owner[0])
+            done_owner[0] = done_owner[0][left]
+            sym, owner = sym[~long], owner[~long]
         rank, at = self._look_up(sym, owner)
         while len(sym):
             start = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -134,6 +144,57 @@ class WordBpe:
         order = np.argsort(owner, kind="stable")
         return sym[order], np.bincount(owner, minlength=len(n))
 
+    def _merge_by_rank(self, sym, owner):
+        """The ids of long pieces, and the places at which they start.
+
+        A round merges one rank in all pieces, the lowest that is left; only pairs next to a merged sign
+        are looked up again. Places are linked, so nothing moves."""
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n)  # place n stands for the end
+        rank, at = self._look_up(sym, owner)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places, ranks):
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for r, p in zip(ranks[np.append(0, cuts)].tolist() if len(ranks) else (), np.split(places, cuts), strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(p)
+
+        start = np.flatnonzero(rank < NONE)
+        wait(start, rank[start])
+        while heap:
+            least = heapq.heappop(heap)
+            where = np.unique(np.concatenate(waiting.pop(least)))
+            where = where[rank[where] == least]
+            if not len(where):
+                continue
+            # Of overlapping pairs (one sign repeated) every second one merges, from the left.
+            new_run = np.append(True, after[where[:-1]] != where[1:])
+            run_at = np.maximum.accumulate(np.where(new_run, np.arange(len(where)), 0))
+            where = where[(np.arange(len(where)) - run_at) % 2 == 0]
+            gone = after[where]
+            sym[where], rank[gone] = self.made[at[where]], NONE
+            sym[gone] = -1
+            after[where] = after[gone]
+            before[after[where]] = where
+            redo = np.unique(np.concatenate([where, before[where]]))
+            redo = redo[redo >= 0]
+            follows = after[redo]
+            inside = follows < n
+            follows = np.minimum(follows, n - 1)
+            key = sym[redo] * self.size + sym[follows]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ok = inside & (self.keys[found] == key) & (owner[redo] == owner[follows])
+            rank[redo], at[redo] = np.where(ok, self.ranks[found], NONE), found
+            wait(redo[ok], rank[redo[ok]])
+        left = np.flatnonzero(sym >= 0)
+        return sym[left], left
+
     def _look_up(self, sym, owner, where=None):
         """Rank of the pair that starts at each place, or NONE, and its place in the sorted keys."""
         i = np.arange(len(sym)) if where is None else where

@@ -176,6 +176,24 @@ def test_bpe(spark, docs, rows, none):
     assert bpe.bpe_digests(none, bpe.default_path()).count() == 0
 
 
+def test_bpe_of_long_words(monkeypatch):
+    """Pieces merged rank by rank like those merged together, and like the library's."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    own = bpe.WordBpe(open(bpe.default_path(), encoding="utf-8").read())
+    rng = random.Random(4)
+    pieces = ["".join(rng.choices(signs, k=rng.randint(1, 700))).encode() for signs in ("a", "ab", "etaoinsh", "äöß日本x", "thequickbrownfox") for _ in range(8)]
+    for long in (0, 3, 256, 1 << 40):
+        monkeypatch.setattr(bpe, "LONG", long)
+        ids, n = own.merge(pieces)
+        want = [t.encode(p.decode(), add_special_tokens=False).ids for p in pieces]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    monkeypatch.undo()
+    word = "".join(rng.choices("etaoinshrdlucmfwyp", k=200_000))
+    assert own.encode([word])[0].tolist() == t.encode(word, add_special_tokens=False).ids
+
+
 def shingle_set(text):
     w = words_of(text)
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
