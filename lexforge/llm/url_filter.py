@@ -15,6 +15,8 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 #: order 3 has no more than 40^4 = 2,560,000 entries, however many URLs there are.
 OTHER = r"[^a-z0./:?#=&_%\-]"
 ORDER, SYMBOLS = 3, 40
+#: Labelled URLs whose md5 starts with a lower digit set the threshold and are not counted.
+HELD_OUT = "3"
 
 
 def host_and_path(url) -> tuple[F.Column, F.Column]:
@@ -67,27 +69,31 @@ def gram_ratios(grams: DataFrame, strength: float = 4.0) -> DataFrame:
 def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, ratio.
 
-    URLs that a rule decides are the labelled rows. Two Markov models of order 3 with all shorter
-    orders below are counted over all of them; a URL without a rule is blocked when its
-    length-normalised log-likelihood difference is over a threshold: the point between the two
-    classes' means that is as many standard deviations from either. Without labelled URLs of
+    URLs that a rule decides are the labelled rows. By the md5 of the URL three sixteenths of them
+    are held out; two Markov models of order 3 with all shorter orders below are counted over the
+    others. A URL without a rule is blocked when its length-normalised log-likelihood difference is over a
+    threshold: the point between the held-out classes' means that is as many standard deviations from either.
+    Where no URL of a class is held out, the counted ones of that class stand in. Without labelled URLs of
     both kinds the method allows everything. A null or empty URL has no host and no path and is
     judged as the empty string. Repeated rows are judged alike; other columns are ignored.
 
     The model is counted with map-side aggregation and bounded by the alphabet, and is the only
     broadcast."""
     host, path = host_and_path(F.col(url_col))
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", host.alias("host"), path.alias("path"), symbols(F.col("url")).alias("signs"))
+    held = F.substring(F.md5(F.coalesce(F.col("url"), F.lit(""))), 1, 1) < HELD_OUT
+    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", host.alias("host"), path.alias("path"), symbols(F.col("url")).alias("signs"), held.alias("held"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     base = base.withColumns({"rule": rule, "by_rule": verdict})
     grams = F.explode(F.transform(F.sequence(F.lit(1), F.length("signs") - ORDER), lambda i: F.substr("signs", i, F.lit(ORDER + 1))))
-    is_a = lambda kind: F.sum((F.col("by_rule").eqNullSafe(kind)).cast("long")).alias(kind)
-    counts = written(base.select("by_rule", grams.alias("gram")).groupBy("gram").agg(is_a("allow"), is_a("block")), "url-grams")
+    is_a = lambda kind: F.sum((F.col("by_rule").eqNullSafe(kind) & ~F.col("held")).cast("long")).alias(kind)
+    counts = written(base.select("by_rule", "held", grams.alias("gram")).groupBy("gram").agg(is_a("allow"), is_a("block")), "url-grams")
     ratios = written(gram_ratios(counts), "url-ratios")
-    row = base.withColumn("row", F.monotonically_increasing_id()).select("row", "page_id", "host", "path", "rule", "by_rule", grams.alias("gram"))
-    scored = row.join(F.broadcast(ratios), "gram").groupBy("row", "page_id", "host", "path", "rule", "by_rule").agg(F.avg("ratio").alias("ratio"))
+    row = base.withColumn("row", F.monotonically_increasing_id()).select("row", "page_id", "host", "path", "rule", "by_rule", "held", grams.alias("gram"))
+    scored = row.join(F.broadcast(ratios), "gram").groupBy("row", "page_id", "host", "path", "rule", "by_rule", "held").agg(F.avg("ratio").alias("ratio"))
     scored = written(scored.drop("row"), "url-scores")
-    stats = {r["by_rule"]: r for r in scored.groupBy("by_rule").agg(F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("dev")).collect()}
+    of = F.when(F.col("held"), F.col("ratio"))
+    spread = lambda f: F.coalesce(f(of), f("ratio"))
+    stats = {r["by_rule"]: r for r in scored.groupBy("by_rule").agg(spread(F.avg).alias("mean"), spread(F.stddev_pop).alias("dev")).collect()}
     a, b = stats.get("allow"), stats.get("block")
     if a is None or b is None:
         by_method = F.lit("allow")
@@ -123,14 +129,15 @@ OP7_SQL = f"""
 WITH h AS (SELECT page_id, coalesce(url, '') AS url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 r AS (SELECT *, {_rule_sql(1)} AS rule, {_rule_sql(0)} AS by_rule, row_number() OVER () AS row,
-  '{"^" * ORDER}' || regexp_replace(translate(regexp_replace(url, '(?s)^.*?://', ''), '{UPPER}123456789', '{LOWER}{"0" * 9}'), '{OTHER}', '*', 'g') || '$' AS signs FROM h),
-g AS (SELECT row, by_rule, unnest(list_transform(range(1, length(signs) - {ORDER - 1}), lambda i: substr(signs, i, {ORDER + 1}))) AS key FROM r),
-t{ORDER + 1} AS (SELECT key, count(*) FILTER (WHERE by_rule = 'allow') AS allow, count(*) FILTER (WHERE by_rule = 'block') AS block FROM g GROUP BY key),
+  '{"^" * ORDER}' || regexp_replace(translate(regexp_replace(url, '(?s)^.*?://', ''), '{UPPER}123456789', '{LOWER}{"0" * 9}'), '{OTHER}', '*', 'g') || '$' AS signs FROM (SELECT *, substr(md5(url), 1, 1) < '{HELD_OUT}' AS held FROM h)),
+g AS (SELECT row, by_rule, held, unnest(list_transform(range(1, length(signs) - {ORDER - 1}), lambda i: substr(signs, i, {ORDER + 1}))) AS key FROM r),
+t{ORDER + 1} AS (SELECT key, count(*) FILTER (WHERE by_rule = 'allow' AND NOT held) AS allow, count(*) FILTER (WHERE by_rule = 'block' AND NOT held) AS block FROM g GROUP BY key),
 {_levels_sql()},
 s AS (SELECT row, avg(ln(b) - ln(a)) AS ratio FROM g JOIN p{ORDER + 1} USING (key) GROUP BY row),
 z AS (SELECT r.*, s.ratio FROM r JOIN s USING (row)),
-c AS (SELECT avg(ratio) FILTER (WHERE by_rule = 'allow') AS ma, stddev_pop(ratio) FILTER (WHERE by_rule = 'allow') AS da,
-  avg(ratio) FILTER (WHERE by_rule = 'block') AS mb, stddev_pop(ratio) FILTER (WHERE by_rule = 'block') AS db FROM z)
+k AS (SELECT by_rule, coalesce(avg(ratio) FILTER (WHERE held), avg(ratio)) AS m, coalesce(stddev_pop(ratio) FILTER (WHERE held), stddev_pop(ratio)) AS d FROM z GROUP BY by_rule),
+c AS (SELECT max(m) FILTER (WHERE by_rule = 'allow') AS ma, max(d) FILTER (WHERE by_rule = 'allow') AS da,
+  max(m) FILTER (WHERE by_rule = 'block') AS mb, max(d) FILTER (WHERE by_rule = 'block') AS db FROM k)
 SELECT page_id, host, path, rule, round(ratio, 6) AS ratio, coalesce(by_rule, CASE WHEN ratio > CASE WHEN da + db > 0 THEN (ma * db + mb * da) / (da + db) ELSE (ma + mb) / 2 END THEN 'block' ELSE 'allow' END) AS verdict
 FROM z, c
 """
