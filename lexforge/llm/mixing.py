@@ -13,19 +13,15 @@ from pyspark.sql.window import Window
 from lexforge.llm.common import written
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Slots of a period for each source, by largest remainders; at least one for each."""
-    if len(weights) > period:
-        raise ValueError(f"{len(weights)} sources need a period of as many slots; it is {period}")
-    spare, total = period - len(weights), sum(weights.values())
+def shares(weights: dict[str, float], period: int) -> dict[str, int] | None:
+    """Slots of a period for each source, if all weights are whole numbers of 1/period and none is zero."""
+    total = sum(weights.values())
     if not weights or total <= 0 or min(weights.values()) < 0:
         raise ValueError("target weights must not be negative, and some must be positive")
-    exact = {s: w / total * spare for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    order = sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s))
-    for s in order[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+    wanted = {s: w / total * period for s, w in weights.items()}
+    slots = {s: round(x) for s, x in wanted.items()}
+    whole = min(slots.values()) > 0 and all(abs(slots[s] - x) < 1e-9 for s, x in wanted.items())
+    return slots if whole and sum(slots.values()) == period else None
 
 
 def pattern(spark: SparkSession, slots_of: dict[str, int], period: int) -> DataFrame:
@@ -102,16 +98,16 @@ def exact_slot(path: str, j: str) -> Column:
     return F.expr(f"aggregate({path}, cast({j} as bigint), (n, s) -> {up} - 1)")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, tempering: float = 0.9, block_rows: int = 8, period: int = 1000, bin_rows: int = 1024, id_col: str = "doc_id", source_col: str = "source", exact: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, tempering: float = 0.9, block_rows: int = 8, period: int = 1000, bin_rows: int = 1024, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """One row per row of docs: doc_id, source, block, release, deadline, slot, position, in_mix.
 
     weights: target weight of each source (null as the empty string); a source without one gets
     weight 0, and so the least share. By default the weight is the source's row count to the power
-    `tempering`. Weights are rounded to multiples of 1/period, at least one each, so the deviation
-    from the weights wanted grows with the table. With `exact`, and always with more sources than
-    period, nothing repeats: the weights are multiples of 2^-28, at least one each, and slots come from
-    paths(), less than 1.7 blocks off the target anywhere; a slot may be that far outside of its
-    window. A source's rows,
+    `tempering`. Weights that are whole numbers of 1/period have a schedule that repeats: pattern(), earliest deadline first,
+    less than one block off the target anywhere. Others never repeat: they are taken to 2^-28, at least one unit
+    each, and the sources are split two by two down a tree, every split a Pfair schedule of its
+    two sides in closed form (paths()), which adds up to less than 1.7 blocks off the target; a slot may be that far
+    outside of its window. A source's rows,
     in order of the md5 of their ids, make blocks of block_rows; the last one may be short.
     Slot: the block's place in the mix. position: the row's place. in_mix: the slot comes before
     the first one whose source has run out, up to which the mix has its target weights.
@@ -126,8 +122,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, tempering: flo
     if not counts:
         return rows.selectExpr("doc_id", "source", "0L AS block", "0L AS release", "0L AS deadline", "0L AS slot", "0L AS position", "false AS in_mix")
     wanted = {s: (weights.get(s, 0.0) if weights is not None else n**tempering) for s, n in counts.items()}
-    exact = exact or len(counts) > period
-    if exact:
+    slots = shares(wanted, period)
+    if slots is None:
         of = paths(wanted)
         whole = next((p[-1][1] for p in of.values() if p), 1)
         share = {s: max(1, round(w / sum(wanted.values()) * UNIT)) if of[s] else 1 for s, w in wanted.items()}
@@ -138,7 +134,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, tempering: flo
         plan = written(plan, "mix-paths")
         bins = F.broadcast(plan.select("source", "q", "bins"))
     else:
-        plan = written(pattern(spark, shares(wanted, period), period), "mix-pattern")
+        plan = written(pattern(spark, slots, period), "mix-pattern")
         bins = F.broadcast(plan.where("j = 0").select("source", "q", F.create_map(*[x for s, n in counts.items() for x in (F.lit(s), F.lit(-(-n // bin_rows)))])[F.col("source")].alias("bins")))
     placed = rows.join(bins, "source").withColumn("bin", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.col("bins") / F.lit(1 << 32)))
     sizes = placed.groupBy("source", "bin").agg(F.count(F.lit(1)).alias("size"))
@@ -151,7 +147,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, tempering: flo
     numbered = placed.withColumn("within", F.row_number().over(Window.partitionBy("source", "bin").orderBy("h", "doc_id")) - 1).join(before, ["source", "bin"])
     rank = F.col("before") + F.col("within")
     numbered = numbered.select("doc_id", "source", "q", rank.alias("rank"), F.floor(rank / block_rows).alias("block"))
-    if exact:
+    if slots is None:
         horizon = plan.agg(F.min(exact_slot("path", "end"))).first()[0]
         out = numbered.join(F.broadcast(plan.select("source", "path")), "source").withColumn("slot", exact_slot("path", "block"))
         return out.select(
@@ -188,29 +184,46 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: `edf` is the schedule that repeats, `up` the splits; `f` says which of them the weights take.
 OP2_SQL = """
 WITH RECURSIVE n AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
-w AS (SELECT *, pow(n, 0.9) AS w, count(*) OVER () AS k, sum(pow(n, 0.9)) OVER () AS total FROM n),
-x AS (SELECT *, w / total * (1000 - k) AS exact FROM w),
-y AS (SELECT *, row_number() OVER (ORDER BY floor(exact) - exact, source) AS place, 1000 - sum(1 + floor(exact)) OVER () AS spare FROM x),
-q AS (SELECT source, n, (1 + floor(exact) + CASE WHEN place <= spare THEN 1 ELSE 0 END)::BIGINT AS q, row_number() OVER (ORDER BY source) AS i FROM y),
-l AS (SELECT list(q ORDER BY i) AS qs, list(0::BIGINT ORDER BY i) AS zero FROM q),
-sim AS (
+w AS (SELECT source, n, row_number() OVER (ORDER BY source) - 1 AS i, pow(n, 0.9) / sum(pow(n, 0.9)) OVER () AS w, greatest(1, round(pow(n, 0.9) / sum(pow(n, 0.9)) OVER () * 268435456))::BIGINT AS u FROM n),
+f AS (SELECT bool_and(round(w * 1000) > 0 AND abs(w * 1000 - round(w * 1000)) < 1e-9) AND sum(round(w * 1000)) = 1000 AS repeats, count(*) AS k, sum(u)::BIGINT AS units FROM w),
+l AS (SELECT list(round(w * 1000)::BIGINT ORDER BY i) AS qs, list(0::BIGINT ORDER BY i) AS zero FROM w HAVING (SELECT repeats FROM f)),
+edf AS (
   SELECT -1 AS t, zero AS done, NULL::BIGINT AS i, NULL::BIGINT AS j FROM l
   UNION ALL
   SELECT t + 1, list_transform(done, lambda v, p: CASE WHEN p = pick THEN v + 1 ELSE v END), pick, done[pick]
   FROM (SELECT t, done, list_min(list_transform(list_filter(range(1, len(qs) + 1), lambda p: done[p] * 1000 // qs[p] <= t + 1),
-      lambda p: {'d': ((done[p] + 1) * 1000 + qs[p] - 1) // qs[p], 'p': p})).p AS pick FROM sim, l WHERE t < 999)),
-plan AS (SELECT q.source, q.q, q.n, sim.j, sim.t AS slot0 FROM sim JOIN q ON sim.i = q.i),
+      lambda p: {'d': ((done[p] + 1) * 1000 + qs[p] - 1) // qs[p], 'p': p})).p AS pick FROM edf, l WHERE t < 999)),
+tree AS (
+  SELECT count(*) AS node, list_sort(list({'u': u, 'i': i})) AS heap, NULL::STRUCT(u BIGINT, i BIGINT) AS a, NULL::STRUCT(u BIGINT, i BIGINT) AS b FROM w HAVING NOT (SELECT repeats FROM f)
+  UNION ALL
+  SELECT node + 1, list_sort(list_append(heap[3:], {'u': heap[1].u + heap[2].u, 'i': node})), heap[1], heap[2] FROM tree WHERE len(heap) > 1),
+split AS (
+  SELECT a.i AS child, node - 1 AS parent, a.u AS share, a.u + b.u AS whole, (a.u + b.u) // 2 AS shift FROM tree WHERE a IS NOT NULL
+  UNION ALL
+  SELECT b.i, node - 1, b.u, a.u + b.u, a.u + b.u - 1 - (a.u + b.u) // 2 FROM tree WHERE a IS NOT NULL),
+blocks AS (SELECT *, unnest(range(0, (n + 7) // 8 + 1)) AS block FROM w),
+up AS (
+  SELECT i, i AS node, block, block AS slot FROM blocks
+  UNION ALL
+  SELECT i, parent, block, (slot + 1) // share * whole - 1
+    + CASE WHEN (slot + 1) % share * whole > shift THEN ((slot + 1) % share * whole - shift + share - 1) // share ELSE -((shift - (slot + 1) % share * whole) // share) END
+  FROM up JOIN split ON up.node = split.child),
+plan AS (
+  SELECT b.source, b.block, b.n, round(b.w * 1000)::BIGINT AS q, 1000 AS whole, b.block // round(b.w * 1000)::BIGINT * 1000 + edf.t AS slot FROM blocks b JOIN edf ON edf.i = b.i + 1 AND edf.j = b.block % round(b.w * 1000)::BIGINT
+  UNION ALL
+  SELECT b.source, b.block, b.n, b.u, f.units, up.slot FROM blocks b JOIN up ON up.i = b.i AND up.block = b.block, f WHERE up.node = 2 * f.k - 2 AND NOT f.repeats),
 r AS (SELECT doc_id, coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS rank FROM documents),
-b AS (SELECT r.doc_id, r.source, r.rank, r.rank // 8 AS block, plan.q, (r.rank // 8 // plan.q) * 1000 + plan.slot0 AS slot FROM r JOIN plan ON r.source = plan.source AND plan.j = (r.rank // 8) % plan.q),
-h AS (SELECT min((((n + 7) // 8) // q) * 1000 + slot0) AS horizon FROM plan WHERE j = ((n + 7) // 8) % q)
-SELECT doc_id, source, block, block * 1000 // q AS release, ((block + 1) * 1000 + q - 1) // q AS deadline, slot, slot * 8 + rank % 8 AS position, slot < horizon AS in_mix FROM b, h
+h AS (SELECT min(slot) AS horizon FROM plan WHERE block = (n + 7) // 8)
+SELECT doc_id, r.source, block, block * whole // q AS release, ((block + 1) * whole + q - 1) // q AS deadline, slot, slot * 8 + rank % 8 AS position, slot < horizon AS in_mix
+FROM r JOIN plan ON r.source = plan.source AND plan.block = r.rank // 8, h
 """
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in the order of the mix with exact weights. Past the first slot whose source has run out, the slots of
+    """All rows in the order of the mix. Past the first slot whose source has run out, the slots of
     sources that have run out are empty and the others follow each other as planned."""
-    placed = mix(docs, exact=True).groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_position"))
+    placed = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_position"))
     return docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_id"))).repartitionByRange(F.col("_position")).sortWithinPartitions("_position").select(*docs.columns)

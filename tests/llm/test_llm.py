@@ -93,17 +93,17 @@ def test_exact_dedup(docs, rows, none):
 
 
 def test_mixing(spark, docs, rows, none):
-    weights = {"a": 5.0, "b": 3.0, "c": 1.0, "d": 0.3}
-    for period in (10, 97, 250):
-        slots = mixing.shares(weights, period)
-        assert sum(slots.values()) == period
+    for slots in ({"a": 5, "b": 3, "c": 1, "d": 1}, {"a": 52, "b": 31, "c": 11, "d": 3}, {"a": 199, "b": 50, "c": 1}):
+        period = sum(slots.values())
+        assert mixing.shares({s: n * 0.1 for s, n in slots.items()}, period) == slots
         plan = sorted(((r["slot0"], r["source"], r["release0"], r["deadline0"]) for r in mixing.pattern(spark, slots, period).collect()))
         assert [p[0] for p in plan] == list(range(period)) and all(r <= t < d for t, _, r, d in plan)
         had = collections.Counter()
         for t, s, *_ in plan:
             had[s] += 1
             assert all(abs(had[x] - (t + 1) * slots[x] / period) < 1 for x in slots)
-    got = mixing.mix(docs, block_rows=4, period=50, bin_rows=8).collect()
+    names = sorted({r[3] or "" for r in rows})
+    got = mixing.mix(docs, {s: 1.0 + (i == 0) for i, s in enumerate(names)}, block_rows=4, period=len(names) + 1, bin_rows=8).collect()
     assert sorted(r["doc_id"] for r in got) == [r[0] for r in rows] and len({r["position"] for r in got}) == len(rows)
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
     mixed, inside = [r for r in got if r["in_mix"]], collections.Counter()
@@ -113,8 +113,9 @@ def test_mixing(spark, docs, rows, none):
         assert ids == sorted(ids, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
         inside[s] = len(ids)
     assert mixing.mix(none).count() == 0
+    assert mixing.shares({"a": 1.0, "b": 1.0}, 1) is None and mixing.shares({"a": 0.9999, "b": 0.0001}, 1000) is None and mixing.shares({"a": 1.0, "b": 0.0}, 10) is None
     with pytest.raises(ValueError):
-        mixing.shares({"a": 1.0, "b": 1.0}, 1)
+        mixing.mix(docs, {"none of them": 1.0})
 
 
 def test_mixing_stage_keeps_all_rows(spark):
@@ -122,7 +123,7 @@ def test_mixing_stage_keeps_all_rows(spark):
     docs = spark.createDataFrame([(i, f"t{i}", "en", s, 2) for i, s in enumerate(sources)], DOCS).repartition(3)
     out = mixing.stage(spark, docs, "")
     assert out.columns == docs.columns and not out.exceptAll(docs).count() and not docs.exceptAll(out).count()
-    at = {r["doc_id"]: r["position"] for r in mixing.mix(docs, exact=True).collect()}
+    at = {r["doc_id"]: r["position"] for r in mixing.mix(docs).collect()}
     order = [at[r["doc_id"]] for r in out.collect()]
     assert order == sorted(order)
 
@@ -536,8 +537,12 @@ def test_sql_of_native_operators(spark, tmp_path):
     urls = ["http://a.com/en/1", "http://b.net/de/2", "http://c.fr/fr/3?q", None, "x", "http://Q.org/es/9", "http://d.fr/en/77", "http://a.com/en/1"]
     spark.createDataFrame(corpus(5, 90), DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    rng = np.random.default_rng(6)
+    vecs = [[float(x) for x in rng.normal(size=8)] for _ in range(30)]
+    vecs += [[x + 0.01 for x in v] for v in vecs[:9]] + [vecs[0], [0.0] * 8]
+    spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     for name, sql in queries.oracle_sql().items():
         a, b = queries.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(sql).df()
