@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexforge.llm import bpe, embedding_dedup, exact_dedup, language_id, line_dedup, lm_scoring, mixing, near_dedup, toxicity, url_filter
+from lexforge.llm import bpe, embedding_dedup, exact_dedup, fill_in_middle, language_id, line_dedup, lm_scoring, mixing, near_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,8 +17,16 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_lm_scoring": lm_scoring.op9_lm_scoring,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op7_url_filter": url_filter.OP7_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {
+        "op1_embedding_dedup": embedding_dedup.OP1_SQL,
+        "op2_mix_sources": mixing.OP2_SQL,
+        "op5_line_dedup": line_dedup.OP5_SQL,
+        "op7_url_filter": url_filter.OP7_SQL,
+        "op8_exact_dedup": exact_dedup.OP8_SQL,
+        "op11_fill_in_middle": fill_in_middle.OP11_SQL,
+    }
