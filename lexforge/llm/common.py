@@ -124,20 +124,20 @@ def lane_hashes(buf: np.ndarray, st: np.ndarray, en: np.ndarray) -> np.ndarray:
     return mix64(v + size.astype(np.uint64))
 
 
-def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words of a byte array, A-Z taken as a-z.
+def word_hashes(buf: np.ndarray, apart: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words of a byte array, A-Z taken as a-z. apart: which bytes are in no word.
 
     Works through slices that end at white space, so temporary arrays stay small."""
     starts, ends, hashes = [], [], []
     at, n = 0, len(buf)
     while at < n:
         to = min(n, at + _SLICE)
-        while to < n and not _SEP[buf[to]]:  # to the end of the word that is cut
-            more = np.flatnonzero(_SEP[buf[to : to + 4096]])
+        while to < n and not apart[buf[to]]:  # to the end of the word that is cut
+            more = np.flatnonzero(apart[buf[to : to + 4096]])
             to = to + int(more[0]) if len(more) else min(n, to + 4096)
         b = _LOWER[buf[at:to]]
         inside = np.zeros(len(b) + 2, np.int8)
-        inside[1:-1] = ~_SEP[b]
+        inside[1:-1] = ~apart[b]
         step = np.diff(inside)
         st, en = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         if len(st):
@@ -170,10 +170,10 @@ def _joined(first: int, last: int, held: list[bytes]):
     return first, last, np.frombuffer(b"\n".join(held), np.uint8), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def doc_words(texts: list, most: int = 1 << 20):
+def doc_words(texts: list, most: int = 1 << 20, apart: np.ndarray = _SEP):
     """(first, last, bounds, hashes, starts, ends, bytes): the words of texts[i] are hashes[bounds[i-first]:bounds[i-first+1]]."""
     for first, last, buf, at in text_slices(texts, most):
-        st, en, h = word_hashes(buf)
+        st, en, h = word_hashes(buf, apart)
         yield first, last, np.searchsorted(st, at), h, st, en, buf
 
 

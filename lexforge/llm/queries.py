@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexforge.llm import bpe, embedding_dedup, exact_dedup, fill_in_middle, language_id, line_dedup, lm_scoring, mixing, near_dedup, toxicity, url_filter
+from lexforge.llm import bpe, decontamination, embedding_dedup, exact_dedup, fill_in_middle, language_id, line_dedup, lm_scoring, mixing, near_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_lm_scoring": lm_scoring.op9_lm_scoring,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+        "op12_decontamination": decontamination.op12_decontamination,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": url_filter.OP7_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
         "op11_fill_in_middle": fill_in_middle.OP11_SQL,
+        "op12_decontamination": decontamination.OP12_SQL,
     }
