@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexforge.llm import bpe, decontamination, embedding_dedup, exact_dedup, fill_in_middle, language_id, line_dedup, lm_scoring, mixing, near_dedup, toxicity, url_filter
+from lexforge.llm import bpe, decontamination, embedding_dedup, exact_dedup, fill_in_middle, hard_negatives, language_id, line_dedup, lm_scoring, mixing, near_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
         "op12_decontamination": decontamination.op12_decontamination,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_exact_dedup": exact_dedup.OP8_SQL,
         "op11_fill_in_middle": fill_in_middle.OP11_SQL,
         "op12_decontamination": decontamination.OP12_SQL,
+        "op13_hard_negatives": hard_negatives.OP13_SQL,
     }
