@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lexforge.functions import lexicon as L
 from lexforge.functions import text as X
 
+MICRO = 1_000_000.0
+
 
 def expand_pairs(matches: DataFrame, blocks: DataFrame, found: DataFrame, catalog: DataFrame, min_score: float = 0.25) -> DataFrame:
     """Matched blocks times the Japanese terms of one and the English terms of the other.
@@ -62,41 +64,50 @@ def gate_evidence(evidence: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def score_evidence(evidence: DataFrame) -> DataFrame:
-    """(concept_id, 12 parts, final): one hash aggregation over a concept's evidence.
+    """(concept_id, 12 parts, final), all to 6 places: one hash aggregation over a concept's evidence.
 
-    evidence: concept_id, evidence_type, score, is_negative_evidence, has_anchor, has_heading, has_table."""
+    evidence: concept_id, evidence_type, score, is_negative_evidence, has_anchor, has_heading, has_table. Scores count in
+    millionths and sums are whole numbers, halves up, so no order of rows and no partitioning changes a figure."""
     neg = F.coalesce("is_negative_evidence", F.lit(False))
-    pos_score, neg_score = F.when(~neg, F.col("score")), F.when(neg, F.col("score"))
+    micro = F.round(F.col("score") * MICRO).cast("long")
     flag = lambda c: F.coalesce(F.max(F.when(~neg, F.col(c))), F.lit(False))
     agg = evidence.groupBy("concept_id").agg(
         F.count(F.lit(1)).alias("evidence_count"),
         F.count_if(~neg).alias("n_pos"),
         F.count_if(neg).alias("n_neg"),
-        F.coalesce(F.max(pos_score), F.lit(0.0)).alias("mx"),
-        F.coalesce(F.avg(pos_score), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.sum(neg_score), F.lit(0.0)).alias("neg_sum"),
+        F.coalesce(F.max(F.when(~neg, micro)), F.lit(0)).alias("_best"),
+        F.coalesce(F.sum(F.when(~neg, micro)), F.lit(0)).alias("_sum"),
+        F.greatest(F.count_if(~neg), F.lit(1)).alias("_n"),
+        F.coalesce(F.sum(F.when(neg, micro)), F.lit(0)).alias("_against"),
         F.sort_array(F.collect_set(F.when(~neg, F.col("evidence_type")))).alias("evidence_types"),
         flag("has_anchor").alias("anchor"),
         flag("has_heading").alias("heading"),
         flag("has_table").alias("table"),
     )
-    zero = F.lit(0.0)
-    on = lambda c, v: F.when(F.col(c), v).otherwise(0.0)
-    parts = {
-        "section_match_score": F.least(F.lit(0.30), F.col("mx") * 0.55),
-        "anchor_match_score": on("anchor", 0.24),
-        "evidence_diversity_score": F.least(F.lit(0.22), F.greatest(F.lit(0), F.size("evidence_types") - 1) * 0.22),
-        "frequency_score": F.least(F.lit(0.16), F.greatest(F.lit(0), F.col("n_pos") - 1) * 0.08),
-        "lexical_score": F.least(F.lit(0.08), F.col("mean") * 0.10),
-        "heading_score": on("heading", 0.05),
-        "table_score": on("table", 0.05),
-        "negative_penalty": F.least(F.lit(0.45), F.col("n_neg") * 0.30 + F.col("neg_sum") * 0.10),
-        "safety_penalty": zero,
+    # Parts in hundredths of a millionth; only the lexical one, a tenth of the mean, is a fraction, of _n.
+    whole = {
+        "section_match_score": "least(30000000L, _best * 55)",
+        "anchor_match_score": "if(anchor, 24000000L, 0L)",
+        "evidence_diversity_score": "least(22000000L, greatest(0L, size(evidence_types) - 1L) * 22000000)",
+        "frequency_score": "least(16000000L, greatest(0L, n_pos - 1) * 8000000)",
+        "heading_score": "if(heading, 5000000L, 0L)",
+        "table_score": "if(table, 5000000L, 0L)",
+        "negative_penalty": "least(45000000L, n_neg * 30000000 + _against * 10)",
+        "safety_penalty": "0L",
     }
-    names = list(parts)
-    total = sum((F.col(n) for n in names[1:7]), F.col(names[0])) - F.col("negative_penalty") - F.col("safety_penalty")
-    final = F.round(F.least(F.lit(1.0), F.greatest(zero, total)), 6)
-    return agg.withColumns(parts).withColumn("final", final).select("concept_id", "evidence_count", "n_pos", "n_neg", "evidence_types", "mx", "mean", *names, "final")
+    lexical = "least(8000000 * _n, _sum * 10)"
+    less = ("negative_penalty", "safety_penalty")
+    sum_of = " + ".join(f"_{c}" for c in whole if c not in less) + "".join(f" - _{c}" for c in less)
+    total = f"greatest(0L, least(100000000 * _n, ({sum_of}) * _n + {lexical}))"
+    parts = {c: _millionths(f"_{c}", "100") for c in whole} | {"lexical_score": _millionths(lexical, "(100 * _n)")}
+    sums = {"mx": F.col("_best") / MICRO, "mean": _millionths("_sum", "_n")}
+    out = agg.withColumns({f"_{c}": F.expr(e) for c, e in whole.items()}).withColumns(sums | parts | {"final": _millionths(total, "(100 * _n)")})
+    return out.select("concept_id", "evidence_count", "n_pos", "n_neg", "evidence_types", *sums, *parts, "final")
+
+
+def _millionths(number: str, over: str) -> Column:
+    """number / over to the nearest whole number, halves up, as so many millionths."""
+    return F.expr(f"(2 * ({number}) + {over}) div (2 * {over})") / MICRO
 
 
 def breakdown(scored: DataFrame) -> DataFrame:
@@ -107,7 +118,7 @@ def breakdown(scored: DataFrame) -> DataFrame:
         "negative_evidence_count": F.col("n_neg"),
         "evidence_type_count": F.size("evidence_types"),
         "evidence_types": F.col("evidence_types"),
-        **{k: F.round(F.col(c).cast("double"), 6) for k, c in L.BREAKDOWN.items()},
+        **{k: F.col(c) for k, c in L.BREAKDOWN.items()},
     }
     return scored.withColumns({"confidence_json": F.to_json(F.struct(*[values[k].alias(k) for k in sorted(values)])), "confidence_version": values["version"]})
 

@@ -487,7 +487,6 @@ td AS (SELECT lang, path, block_index, trim(t, '{L.TERM_STRIP}') AS normalized_t
 _PAIRS = f"""{_WITH}{_scored(0.25, 2)}{_TERMS}
 , pr AS (SELECT mt.*, j.normalized_term AS jn, e.normalized_term AS en_n, 'concept:unknown:' || left(sha1('unknown|ja:' || j.normalized_term || '|en:' || e.normalized_term), 12) AS concept_id
   FROM mt JOIN td j ON j.lang = 'ja' AND j.path || '#' || j.block_index = mt.ja JOIN td e ON e.lang = 'en' AND e.path || '#' || e.block_index = mt.en)"""
-_SCORE = """, ag AS (SELECT concept_id, count(*) AS n_pos, max(score) AS mx, avg(score) AS mean, bool_or(n_tokens > 0) AS h, bool_or(table_match) AS tb FROM pr GROUP BY concept_id)"""
 _HEX = "('0x' || substr(concept_id, 17, 1))::INT"
 _EXPORT = f""", x AS (SELECT concept_id, max(score) AS confidence, count(*) AS evidence_count, string_agg(DISTINCT jn, ' | ' ORDER BY jn) AS ja_terms, string_agg(DISTINCT en_n, ' | ' ORDER BY en_n) AS en_terms FROM pr GROUP BY concept_id)"""
 _EVENTS = "SELECT event_id, 'c' || user_id AS target_id, event_type, value, CASE event_id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'block' ELSE 'defer' END AS action, CASE event_id % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'blocked' ELSE 'candidate' END AS new_status FROM events"
@@ -502,13 +501,18 @@ _SPLIT = "split_part({c}, '#', 1) AS {c}_path, split_part({c}, '#', 2) AS {c}_in
 #: Evidence as the library builds it: one piece for each pair of blocks of a concept.
 _EVIDENCE = f"""{_PAIRS}, ev AS (SELECT *, sha256(concat_ws('|', concept_id, ja_path, ja_index, en_path, en_index, '{L.EVIDENCE_TYPE}')) AS k
   FROM (SELECT pr.*, {_SPLIT.format(c="ja")}, {_SPLIT.format(c="en")} FROM pr))"""
-_PARTS = """round(mx, 6) AS max_evidence_score, round(mean, 6) AS average_evidence_score, CASE WHEN anchor THEN 0.24 ELSE 0 END::DOUBLE AS anchor_score, round(least(0.3, mx * 0.55::DOUBLE), 6) AS section_score,
-  round(least(0.08, mean * 0.1::DOUBLE), 6) AS lexical_score, round(least(0.16, (n_pos - 1) * 0.08::DOUBLE), 6) AS frequency_score, 0::DOUBLE AS diversity_score, CASE WHEN h THEN 0.05 ELSE 0 END::DOUBLE AS heading_score,
-  CASE WHEN tb THEN 0.05 ELSE 0 END::DOUBLE AS table_alignment_score, round(least(0.45, n_neg * 0.3::DOUBLE + n_neg * 0.5::DOUBLE * 0.1::DOUBLE), 6) AS negative_evidence_penalty, 0::DOUBLE AS safety_penalty"""
-_TOTAL = """round(least(1, greatest(0, least(0.3, mx * 0.55::DOUBLE) + CASE WHEN anchor THEN 0.24 ELSE 0 END::DOUBLE + least(0.16, (n_pos - 1) * 0.08::DOUBLE) + least(0.08, mean * 0.1::DOUBLE)
-  + CASE WHEN h THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN tb THEN 0.05 ELSE 0 END::DOUBLE - least(0.45, n_neg * 0.3::DOUBLE + n_neg * 0.5::DOUBLE * 0.1::DOUBLE))), 6)"""
+#: Scores count in millionths, parts in hundredths of them; all sums are whole numbers, halves up.
+_ROUNDED = "((2 * ({x}) + {d}) // (2 * {d})) / 1000000.0::DOUBLE"
+_LEXICAL, _AGAINST = "least(8000000 * n_pos, sm * 10)", "least(45000000, n_neg * 30000000 + n_neg * 500000 * 10)"
+_FLAT = "least(30000000, mx * 55) + CASE WHEN anchor THEN 24000000 ELSE 0 END + least(16000000, (n_pos - 1) * 8000000) + CASE WHEN h THEN 5000000 ELSE 0 END + CASE WHEN tb THEN 5000000 ELSE 0 END"
+_PARTS = f"""mx / 1000000.0::DOUBLE AS max_evidence_score, {_ROUNDED.format(x="sm", d="n_pos")} AS average_evidence_score, CASE WHEN anchor THEN 0.24 ELSE 0 END::DOUBLE AS anchor_score, {_ROUNDED.format(x="least(30000000, mx * 55)", d="100")} AS section_score,
+  {_ROUNDED.format(x=_LEXICAL, d="(100 * n_pos)")} AS lexical_score, least(16, (n_pos - 1) * 8) / 100.0::DOUBLE AS frequency_score, 0::DOUBLE AS diversity_score, CASE WHEN h THEN 0.05 ELSE 0 END::DOUBLE AS heading_score,
+  CASE WHEN tb THEN 0.05 ELSE 0 END::DOUBLE AS table_alignment_score, {_ROUNDED.format(x=_AGAINST, d="100")} AS negative_evidence_penalty, 0::DOUBLE AS safety_penalty"""
+_TOTAL = _ROUNDED.format(x=f"greatest(0, least(100000000 * n_pos, ({_FLAT} - {_AGAINST}) * n_pos + {_LEXICAL}))", d="(100 * n_pos)")
+_MICRO_SUMS = "count(*) AS n_pos, max(round(score * 1000000)::BIGINT) AS mx, sum(round(score * 1000000)::BIGINT)::BIGINT AS sm"
+_SCORE = f""", ag AS (SELECT concept_id, {_MICRO_SUMS}, true AS anchor, bool_or(n_tokens > 0) AS h, bool_or(table_match) AS tb, 0 AS n_neg FROM pr GROUP BY concept_id)"""
 #: A pair without a shared anchor can score 0.20 at most, so pairs from 0.25 on have one.
-_SCORED_EVIDENCE = """, ag AS (SELECT concept_id, count(*) AS n_pos, max(score) AS mx, avg(score) AS mean, true AS anchor, bool_or(n_tokens > 0) AS h, bool_or(table_match) AS tb, {neg} AS n_neg FROM ev GROUP BY concept_id)"""
+_SCORED_EVIDENCE = """, ag AS (SELECT concept_id, {sums}, true AS anchor, bool_or(n_tokens > 0) AS h, bool_or(table_match) AS tb, {neg} AS n_neg FROM ev GROUP BY concept_id)"""
 _NEGATIVE = "count(*) FILTER (WHERE ('0x' || left(k, 2))::INT % 3 = 0)"
 _VERSIONED = f"""WITH e AS ({_EVENTS}), r AS (SELECT *, event_id % 7 = 0 AS wrong, count(*) FILTER (WHERE event_id % 7 <> 0) OVER (PARTITION BY target_id ORDER BY event_id) - CASE WHEN event_id % 7 <> 0 THEN 1 ELSE 0 END AS v FROM e WHERE event_type <> 'view')"""
 
@@ -532,9 +536,9 @@ def _more_sql() -> dict[str, str]:
         "terms_lexicon_ja": lexicon("ja", L.JA_PHRASES, "contains(text, p)"),
         "terms_compound": f"WITH m AS ({MANUAL_SQL}) SELECT path, block_index, term, count(*) AS n FROM (SELECT path, block_index, unnest(regexp_extract_all(text, '[一-龥ァ-ヴーA-Za-z0-9]{{2,}}(?:{'|'.join(L.JA_SUFFIXES)})')) AS term FROM m WHERE lang = 'ja') GROUP BY ALL",
         "terms_ngram": f"WITH m AS ({MANUAL_SQL}){_TERMS} SELECT path, block_index, array_to_string(w, ' ') AS term, count(*) AS n FROM win WHERE list_has_any(w, {_list(L.EN_KEYWORDS)}) GROUP BY ALL",
-        "confidence_json": f"{_EVIDENCE}{_SCORED_EVIDENCE.format(neg=_NEGATIVE)} SELECT concept_id, '{L.SCORING_VERSIONS['confidence']}' AS confidence_version, '{L.SCORING_VERSIONS['confidence']}' AS version, '[\"{L.EVIDENCE_TYPE}\"]' AS evidence_types, n_pos AS evidence_count, n_neg AS negative_evidence_count, 1 AS evidence_type_count, {_PARTS}, {_TOTAL} AS final_score, 17 AS n_keys FROM ag",
-        "update_confidence": f"""{_EVIDENCE}{_SCORED_EVIDENCE.format(neg="0")}, cc AS (SELECT concept_id, mx, CASE WHEN {_hex(18)} = 0 THEN 'blocked' ELSE {status} END AS s, CASE WHEN {_hex(19)} = 0 THEN 0 ELSE {_TOTAL} END AS final, CASE WHEN {_hex(19)} = 0 THEN 0 ELSE n_pos END AS n FROM ag)
-            SELECT concept_id, CASE WHEN s IN ('blocked', 'confirmed') THEN s WHEN final >= 0.6 THEN 'review_ready' ELSE 'candidate' END AS status, round(CASE WHEN s IN ('blocked', 'confirmed') THEN mx ELSE final END, 6) AS confidence,
+        "confidence_json": f"{_EVIDENCE}{_SCORED_EVIDENCE.format(sums=_MICRO_SUMS, neg=_NEGATIVE)} SELECT concept_id, '{L.SCORING_VERSIONS['confidence']}' AS confidence_version, '{L.SCORING_VERSIONS['confidence']}' AS version, '[\"{L.EVIDENCE_TYPE}\"]' AS evidence_types, n_pos AS evidence_count, n_neg AS negative_evidence_count, 1 AS evidence_type_count, {_PARTS}, {_TOTAL} AS final_score, 17 AS n_keys FROM ag",
+        "update_confidence": f"""{_EVIDENCE}{_SCORED_EVIDENCE.format(sums=_MICRO_SUMS, neg="0")}, cc AS (SELECT concept_id, mx, CASE WHEN {_hex(18)} = 0 THEN 'blocked' ELSE {status} END AS s, CASE WHEN {_hex(19)} = 0 THEN 0 ELSE {_TOTAL} END AS final, CASE WHEN {_hex(19)} = 0 THEN 0 ELSE n_pos END AS n FROM ag)
+            SELECT concept_id, CASE WHEN s IN ('blocked', 'confirmed') THEN s WHEN final >= 0.6 THEN 'review_ready' ELSE 'candidate' END AS status, CASE WHEN s IN ('blocked', 'confirmed') THEN mx / 1000000.0::DOUBLE ELSE final END AS confidence,
             CASE WHEN s NOT IN ('blocked', 'confirmed') THEN '{L.SCORING_VERSIONS["confidence"]}' END AS confidence_version, CASE WHEN s NOT IN ('blocked', 'confirmed') THEN n ELSE -1 END AS n FROM cc""",
         "concept_merge": f"""{both}, cc AS (SELECT concept_id, confidence AS new, {_hex(17)} AS f, CASE WHEN {_hex(17)} % 3 = 0 THEN 0.01 ELSE 0.99 END::DOUBLE AS old FROM x), o AS (SELECT *, f >= 4 AS known, f <= 12 AS fresh, f >= 4 AND f % 4 = 0 AS fixed FROM cc)
             SELECT concept_id, CASE WHEN NOT known THEN 'candidate' WHEN f % 4 = 0 THEN 'confirmed' WHEN f % 4 = 1 THEN 'blocked' ELSE 'review_ready' END AS status, CASE WHEN known THEN 'kept' ELSE 'unknown' END AS category,
@@ -578,8 +582,7 @@ def oracle_sql() -> dict[str, str]:
         "block_match": f"{_WITH}{_scored(0.20, 5)} SELECT * FROM mt",
         "pair_expansion": f"{_PAIRS} SELECT concept_id, count(*) AS n, max(score) AS best FROM pr GROUP BY concept_id",
         "concept_build": f"{_PAIRS} SELECT concept_id, 'unknown' AS category, max(score) AS confidence, 'candidate' AS status, false AS safe_for_query_expansion FROM pr GROUP BY concept_id",
-        "confidence": f"""{_PAIRS}{_SCORE} SELECT concept_id, n_pos, round(least(0.16, (n_pos - 1) * 0.08)::DOUBLE, 4) AS frequency_score,
-            round(least(1, least(0.30, mx * 0.55) + 0.24 + least(0.16, (n_pos - 1) * 0.08)::DOUBLE + least(0.08, mean * 0.10) + CASE WHEN h THEN 0.05 ELSE 0 END + CASE WHEN tb THEN 0.05 ELSE 0 END)::DOUBLE, 4) AS final FROM ag""",
+        "confidence": f"""{_PAIRS}{_SCORE} SELECT concept_id, n_pos, least(16, (n_pos - 1) * 8) / 100.0::DOUBLE AS frequency_score, ((round({_TOTAL} * 1000000)::BIGINT + 50) // 100) / 10000.0::DOUBLE AS final FROM ag""",
         "status_transition": """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 2 THEN 'confirmed' WHEN o_orderkey % 4 = 3 THEN 'blocked' WHEN o_totalprice % 1 >= 0.85 THEN 'review_ready' ELSE 'candidate' END AS status,
             CASE WHEN o_orderkey % 5 = 0 THEN 'inspect' WHEN o_totalprice % 1 >= 0.85 AND o_orderkey % 3 > 0 THEN 'approve' ELSE 'inspect' END AS action FROM orders""",
         "row_version": f"SELECT target_id AS concept_id, count(*) AS row_version FROM ({_EVENTS}) GROUP BY 1",
