@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,10 +57,11 @@ def run(store: Store, a: argparse.Namespace) -> tuple[dict, int]:
     if a.command == "update-confidence":
         return store.update_confidence(a.review_ready_threshold), 0
     if a.command == "export-review":
-        return {"rows_exported": store.export_review(a.out, a.format, a.status, single=True), "out": a.out}, 0
+        batch = str(uuid.uuid4())
+        return {"rows_exported": store.export_review(a.out, a.format, a.status, single=True, batch=batch), "out": a.out, "export_batch_id": batch}, 0
     if a.command == "import-review":
         r = store.import_review(a.input, a.dry_run, a.report, a.write_back, single=True)
-        return {"rows_seen": r.rows_seen, "actions_valid": r.actions_valid, "actions_applied": r.actions_applied, "skipped": r.skipped}, 0
+        return {"rows_seen": r.rows_seen, "actions_valid": r.actions_valid, "actions_applied": r.actions_applied, "skipped": r.skipped, **{k: v for k, v in (("report", a.report), ("write_back", a.write_back)) if v}}, 0
     if a.command in ("approve", "block", "defer"):
         return store.act(a.concept_id, a.command, a.reviewer, a.reason, getattr(a, "reason_code", None), a.row_version), 0
     safe = {"export-dictionary": None, "export-query-expansion": "safe_for_query_expansion", "export-rag-safe": "safe_for_answer_generation"}[a.command]

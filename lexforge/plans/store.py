@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import os
 import uuid
 from dataclasses import dataclass
 
@@ -42,6 +43,13 @@ def now() -> str:
     return datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds")
 
 
+def _counted(cached: DataFrame) -> int:
+    """Rows of a cached table, which is let go."""
+    n = cached.count()
+    cached.unpersist()
+    return n
+
+
 @dataclass(frozen=True)
 class ImportResult:
     rows_seen: int
@@ -53,13 +61,16 @@ class ImportResult:
 class Store:
     """Tables are lists of folders of Parquet files, named by numbered commits. A commit names all
     tables at once, so a command's tables change together or not at all, and what is being read
-    is never overwritten. Numbers are claimed by creating their file: of two writers that replace the same table the second
-    fails, appended rows are added to whatever is newest. Old folders stay readable until vacuum()."""
+    is never overwritten. A commit is written under another name and published in one step that fails if its number is
+    taken, so there is no number without its whole content, and none is passed over: appended rows are
+    added to whatever is newest, and a table that has changed since it was read is not replaced. Old folders stay readable until vacuum()."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        #: The folders of each table when it was last read.
+        self._seen: dict[str, list[str]] = {}
 
     def _commits(self) -> list[int]:
         folder = self._path(f"{self.root}/_commits")
@@ -68,6 +79,8 @@ class Store:
         return sorted(int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
 
     def _tables(self, number: int) -> dict[str, list[str]]:
+        if not number:
+            return {}
         stream = self._fs.open(self._path(f"{self.root}/_commits/{number:09d}.json"))
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -75,15 +88,34 @@ class Store:
             stream.close()
 
     def _newest(self) -> tuple[int, dict[str, list[str]]]:
-        for number in reversed(self._commits()):
+        number = (self._commits() or [0])[-1]
+        return number, self._tables(number)
+
+    def _publish(self, number: int, state: dict[str, list[str]]) -> bool:
+        """Whether the state has become commit `number`; not if there is one. Local files are linked to their name,
+        elsewhere the file system's rename has to refuse a name that exists, as HDFS does."""
+        draft = self._path(f"{self.root}/_commits/{uuid.uuid4().hex}.draft")
+        final = self._path(f"{self.root}/_commits/{number:09d}.json")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
+        out.close()
+        if self._fs.getScheme() == "file":
+            name = lambda p: p.toUri().getPath()
             try:
-                return number, self._tables(number)
-            except ValueError:  # a writer has claimed the number and not written yet, or has died
-                continue
-        return 0, {}
+                os.link(name(draft), name(final))
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                self._fs.delete(draft, False)
+        done = not self._fs.exists(final) and self._fs.rename(draft, final)
+        if not done:
+            self._fs.delete(draft, False)
+        return done
 
     def read(self, table: str) -> DataFrame:
         folders = self._newest()[1].get(table, [])
+        self._seen[table] = folders
         if not folders:
             return self.spark.createDataFrame([], SCHEMAS[table])
         return self.spark.read.schema(SCHEMAS[table]).parquet(*[f"{self.root}/{table}/{f}" for f in folders])
@@ -91,7 +123,8 @@ class Store:
     def commit(self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None) -> None:
         """Writes the tables' rows, then makes them the newest state in one step."""
         replaced, appended = replaced or {}, appended or {}
-        base, _ = self._newest()
+        before = self._newest()[1]
+        base = {t: self._seen.get(t, before.get(t, [])) for t in replaced}
         new = {}
         for table, df in [*replaced.items(), *appended.items()]:
             new[table] = uuid.uuid4().hex
@@ -99,19 +132,12 @@ class Store:
             df.select(*names).write.parquet(f"{self.root}/{table}/{new[table]}")
         while True:
             number, tables = self._newest()
-            if number != base and any(tables.get(t) != self._tables(base).get(t) if base else tables.get(t) for t in replaced):
+            if any(tables.get(t, []) != base[t] for t in replaced):
                 raise RuntimeError("another command has changed the same tables meanwhile; run this one again")
             state = {**tables, **{t: [new[t]] for t in replaced}, **{t: [*tables.get(t, []), new[t]] for t in appended}}
-            claimed = self._path(f"{self.root}/_commits/{(self._commits() or [0])[-1] + 1:09d}.json")
-            try:
-                out = self._fs.create(claimed, False)
-            except Exception as e:  # someone else has this number: look again
-                if "AlreadyExists" not in str(e):
-                    raise
-                continue
-            out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
-            out.close()
-            return
+            if self._publish(number + 1, state):
+                self._seen.update({t: state[t] for t in new})
+                return
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
         self.commit({table: df})
@@ -121,7 +147,8 @@ class Store:
         self.commit(appended={table: df})
 
     def vacuum(self, keep: int = 2) -> None:
-        """Deletes all commits but the `keep` newest, and the folders that none of those names."""
+        """Deletes all commits but the `keep` newest, the folders that none of those names, and what commands that died have
+        left. No other command may run meanwhile: what it has written is not named yet."""
         numbers = self._commits()
         used = {(t, f) for n in numbers[-keep:] for t, folders in self._tables(n).items() for f in folders}
         for n in numbers[:-keep]:
@@ -131,6 +158,11 @@ class Store:
             for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
                 if (table, s.getPath().getName()) not in used:
                     self._fs.delete(s.getPath(), True)
+        self._fs.delete(self._path(f"{self.root}/_staging"), True)
+        folder = self._path(f"{self.root}/_commits")
+        for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+            if s.getPath().getName().endswith(".draft"):
+                self._fs.delete(s.getPath(), True)
 
     # --- commands ---
 
@@ -141,14 +173,19 @@ class Store:
         scanned = html.scan_directory(self.spark, folder, lang)
         run = lambda done, *n: self.spark.createDataFrame([(run_id, lang, folder, started, done, *n)], SCHEMAS["ingestion_runs"])
         self.append("ingestion_runs", run(None, 0, 0, 0, 0))
-        out, tables, failed = self.merged(html.extract_pages(scanned))
+        out, tables, failed, stage = self.merged(html.extract_pages(scanned))
         runs = self.read("ingestion_runs").where(F.col("run_id") != run_id).unionByName(run(now(), out["documents_seen"], out["documents_inserted"], out["documents_updated"], out["errors"]))
         failed = failed.select(F.lit(run_id).alias("run_id"), "lang", "path", "error")
         self.commit({**tables, "ingestion_runs": runs}, {"ingestion_errors": failed} if out["errors"] else {})
+        self.unstage(stage)
         return out
 
-    def merged(self, pages: DataFrame) -> tuple[dict[str, int], dict[str, DataFrame], DataFrame]:
-        """Counts, the tables that extracted pages change, and the pages that failed. What hangs on a changed document goes:
+    def unstage(self, stage: str) -> None:
+        """Deletes the parsed pages of merged(); to be called after its tables are committed."""
+        self._fs.delete(self._path(stage), True)
+
+    def merged(self, pages: DataFrame) -> tuple[dict[str, int], dict[str, DataFrame], DataFrame, str]:
+        """Counts, the tables that extracted pages change, the pages that failed, and the folder of parsed pages that all these read. What hangs on a changed document goes:
         its blocks, anchors, matches and occurrences. Evidence and concepts stay (see stale_evidence)."""
         keys = ["lang", "path"]
         stage = f"{self.root}/_staging/{uuid.uuid4().hex}"  # parsed once; read by all that follows
@@ -176,7 +213,7 @@ class Store:
         }
         failed = pages.where("error is not null")
         out = {"documents_seen": pages.count(), "documents_inserted": counts.get("inserted", 0), "documents_updated": counts.get("updated", 0) + counts.get("metadata_updated", 0), "blocks_written": new_blocks.count(), "anchors_written": new_anchors.count(), "errors": failed.count()}
-        return out, tables, failed
+        return out, tables, failed, stage
 
     def stale_evidence(self) -> DataFrame:
         """evidence with is_stale: a block that it names is no longer there, or has another text."""
@@ -192,7 +229,7 @@ class Store:
         anchors = self.read("anchors").withColumnRenamed("path", "doc")
         new = M.match_pages(anchors, min_score, k, self.read("documents").select("lang", F.col("path").alias("doc"))).withColumn("status", F.lit("candidate")).cache()
         self.write("page_match_candidates", G.upsert(self.read("page_match_candidates"), new, ["ja", "en"], ["score", "match_type", "evidence"]))
-        return new.count()
+        return _counted(new)
 
     def match_blocks(self, min_score: float = 0.20, k: int = 5) -> int:
         block = F.struct("path", "block_index").alias("block")
@@ -200,14 +237,14 @@ class Store:
         anchors = self.read("anchors").where("block_index is not null").select("lang", block, "anchor_type", "normalized_value")
         new = M.match_blocks(blocks, anchors, min_score, k).withColumns({"status": F.lit("candidate"), "created_at": F.lit(now())}).cache()
         self.write("block_match_candidates", G.upsert(self.read("block_match_candidates"), new, ["ja", "en"], ["score", "evidence"]))
-        return new.count()
+        return _counted(new)
 
     def extract_terms(self) -> dict[str, int]:
         found = T.block_terms(self.read("document_blocks")).cache()
         old_terms, old_places = self.read("terms").count(), self.read("term_occurrences").count()
         terms = self.write("terms", G.insert_if_absent(self.read("terms"), T.term_catalog(found), ["lang", "normalized_term"]))
         places = self.write("term_occurrences", G.insert_if_absent(self.read("term_occurrences"), T.occurrences(found), ["lang", "normalized_term", "path", "block_index"]))
-        return {"terms_seen": found.count(), "terms_created": terms.count() - old_terms, "occurrences_created": places.count() - old_places}
+        return {"terms_seen": _counted(found), "terms_created": terms.count() - old_terms, "occurrences_created": places.count() - old_places}
 
     def build_concepts(self, min_score: float = 0.25) -> dict[str, int]:
         pairs = C.expand_pairs(self.read("block_match_candidates"), self.read("document_blocks"), self.read("term_occurrences"), self.read("terms"), min_score).cache()
@@ -217,13 +254,14 @@ class Store:
         both = labelled.groupBy("concept_id", "lang", "normalized_term").agg(F.max("confidence").alias("confidence"), F.min_by("role", F.struct("_new", "role")).alias("role"))
         evidence = G.insert_if_absent(self.read("evidence"), evidence, ["evidence_key"], ["score", "ja_context", "en_context"])
         self.commit({"concepts": C.merge_concepts(self.read("concepts"), concepts), "concept_terms": both, "evidence": evidence})
-        pairs.unpersist()
-        return {"concepts_seen": pairs.count(), **{f"{t}_created": self.read(t).count() - n for t, n in before.items()}}
+        return {"concepts_seen": _counted(pairs), **{f"{t}_created": self.read(t).count() - n for t, n in before.items()}}
 
     def update_confidence(self, threshold: float = 0.85) -> dict[str, int]:
         evidence = C.gate_evidence(self.read("evidence"), self.read("review_actions"))
         new = self.write("concepts", C.update_confidence(self.read("concepts"), C.score_evidence(C.with_flags(evidence)), threshold))
-        return {"concepts_seen": new.where("status <> 'blocked'").count(), "review_ready": new.where("status = 'review_ready'").count()}
+        by = {r["status"]: r["count"] for r in new.groupBy("status").count().collect()}
+        seen = sum(n for status, n in by.items() if status != "blocked")
+        return {"concepts_seen": seen, "concepts_updated": seen - by.get("confirmed", 0), "review_ready": by.get("review_ready", 0)}
 
     def add_evidence(self, rows: DataFrame) -> None:
         self.write("evidence", G.insert_if_absent(self.read("evidence"), rows, ["evidence_key"], ["score", "ja_context", "en_context"]))
@@ -233,8 +271,8 @@ class Store:
         flags = {"safe_for_query_expansion": query_expansion, "safe_for_answer_generation": answer_generation}
         self.write("concepts", self.read("concepts").withColumns({k: F.when(hit, F.lit(v)).otherwise(F.col(k)) for k, v in flags.items()}))
 
-    def export_review(self, out: str, fmt: str = "csv", status: str = "review_ready", single: bool = False) -> int:
-        rows = E.review_queue(*(self.read(t) for t in ("concepts", "concept_terms", "terms", "evidence", "review_actions")), str(uuid.uuid4()), status)
+    def export_review(self, out: str, fmt: str = "csv", status: str = "review_ready", single: bool = False, batch: str | None = None) -> int:
+        rows = E.review_queue(*(self.read(t) for t in ("concepts", "concept_terms", "terms", "evidence", "review_actions")), batch or str(uuid.uuid4()), status)
         files.write_rows(rows, out, fmt, single)
         return self.read("concepts").where(F.col("status") == status).count()
 

@@ -5,7 +5,6 @@ from `part`, by the same SQL in Spark and in the other engine."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +18,7 @@ from lexforge.operators import matching as M
 from lexforge.operators import merge as G
 from lexforge.operators import review as R
 from lexforge.operators import terms as T
+from lexforge.plans.scratch import Scratch, shared_folder
 from lexforge.sources import files, html
 from lexforge.streaming.ingest import review_state
 
@@ -287,13 +287,8 @@ def q_review_audit(spark, sf):
 
 
 def _scratch(spark) -> str:
-    """A new folder for files that a query writes and reads again: the shared one, or a local session's own."""
-    home = spark.conf.get("spark.checkpoint.dir", None)
-    if not home:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        home = "file://" + tempfile.mkdtemp(prefix="lexforge-")
-    return f"{home}/lexforge-files/{uuid.uuid4().hex}"
+    """A new folder for files that a query writes and reads again."""
+    return f"{shared_folder(spark)}/lexforge-files/{uuid.uuid4().hex}"
 
 
 def q_review_file(fmt):
@@ -349,7 +344,8 @@ def q_decoded_text(spark, sf):
 def _exported(spark, sf):
     blocks = manual(spark, sf)
     catalog = T.term_catalog(T.block_terms(blocks))
-    concepts, labels, evidence = C.build_concepts(pairs(spark, sf))
+    # matched and expanded once: concepts, labels and evidence all read these rows
+    concepts, labels, evidence = C.build_concepts(Scratch(spark).write(pairs(spark, sf), "pairs"))
     first = F.conv(F.substring("concept_id", 17, 1), 16, 10).cast("int")
     concepts = concepts.withColumns({"status": F.when(first % 3 == 0, "confirmed").when(first % 3 == 1, "review_ready").otherwise("candidate"), "safe_for_query_expansion": first % 2 == 0, "safe_for_answer_generation": first % 5 == 0})
     actions = concepts.where("status = 'confirmed'").select(F.lit("concept").alias("target_type"), F.col("concept_id").alias("target_id"))

@@ -202,7 +202,11 @@ def extract_html_udtf(spark: SparkSession, name: str = "extract_html") -> None:
     @udtf(returnType="block_index int, block_type string, text string, heading_path string, dom_path string, raw_fragment_hash string")
     class ExtractHtml:
         def eval(self, html: str):
-            for b in parse_page(html)["blocks"]:
+            try:
+                found = parse_page(html or "")["blocks"]
+            except Exception:  # a page that can't be read has no blocks, as extract_pages has an error for it
+                return
+            for b in found:
                 yield tuple(b.values())
 
     spark.udtf.register(name, ExtractHtml)
@@ -210,12 +214,13 @@ def extract_html_udtf(spark: SparkSession, name: str = "extract_html") -> None:
 
 def decode_utf8(content: Column) -> Column:
     """Malformed bytes become the replacement sign."""
+    return F.make_valid_utf8(content.cast("string"))
 
-    @F.pandas_udf("string")
-    def decode(b: pd.Series) -> pd.Series:
-        return b.map(lambda x: None if x is None else bytes(x).decode("utf-8", "replace"))
 
-    return decode(content)
+def relative_path(spark: SparkSession, folder: str) -> Column:
+    """The column `path` of files below a folder, from the folder on."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/")
+    return F.substr("path", F.position(F.lit(top), F.col("path")) + F.lit(len(top) + 1))
 
 
 def scan_directory(spark: SparkSession, folder: str, lang: str) -> DataFrame:
@@ -227,9 +232,7 @@ def scan_directory(spark: SparkSession, folder: str, lang: str) -> DataFrame:
     if not fs.exists(jpath):
         raise FileNotFoundError(folder)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.lower("path").rlike(r"\.html?$"))
-    top = jpath.toUri().getPath().rstrip("/")
-    path = F.substr("path", F.position(F.lit(top), F.col("path")) + F.lit(len(top) + 1))
-    return files.select(F.lit(lang).alias("lang"), path.alias("path"), F.sha2("content", 256).alias("sha256"), decode_utf8(F.col("content")).alias("html"))
+    return files.select(F.lit(lang).alias("lang"), relative_path(spark, folder).alias("path"), F.sha2("content", 256).alias("sha256"), decode_utf8(F.col("content")).alias("html"))
 
 
 def pages_to_tables(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

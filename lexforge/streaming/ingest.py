@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ def page_stream(spark: SparkSession, folder: str, lang: str, files_per_trigger:
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger).load(folder)
     files = files.where(F.lower("path").rlike(r"\.html?$"))
-    return files.select(F.lit(lang).alias("lang"), "path", F.sha2("content", 256).alias("sha256"), html.decode_utf8(F.col("content")).alias("html"), F.col("modificationTime").alias("arrived"))
+    return files.select(F.lit(lang).alias("lang"), html.relative_path(spark, folder).alias("path"), F.sha2("content", 256).alias("sha256"), html.decode_utf8(F.col("content")).alias("html"), F.col("modificationTime").alias("arrived"))
 
 
 def distinct_pages(pages: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -25,13 +27,18 @@ def distinct_pages(pages: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def merge_batches(store, pages: DataFrame, checkpoint: str, trigger: dict | None = None):
     """Starts a query that merges each batch into the store, of a path's versions the latest, with all that hangs on
-    changed documents, as ingest() does. A batch that runs again finds its documents
+    changed documents, as ingest() does: paths are relative to the folder, and pages that could not be read are listed in
+    ingestion_errors under the checkpoint's and the batch's number. A batch that runs again finds its documents
     unchanged by (lang, path, sha256), so the merge may be repeated."""
 
-    def merge(batch: DataFrame, _: int) -> None:
+    run = f"stream-{zlib.crc32(checkpoint.encode()):08x}"
+
+    def merge(batch: DataFrame, number: int) -> None:
         latest = G.first_of(batch.withColumn("age", -F.unix_micros("arrived")), ["lang", "path"], ["age", "sha256"])
-        _, tables, _ = store.merged(html.extract_pages(latest.select("lang", "path", "sha256", "html")))
-        store.commit(tables)
+        out, tables, failed, stage = store.merged(html.extract_pages(latest.select("lang", "path", "sha256", "html")))
+        failed = failed.select(F.lit(f"{run}-{number}").alias("run_id"), "lang", "path", "error")
+        store.commit(tables, {"ingestion_errors": failed} if out["errors"] else {})
+        store.unstage(stage)
 
     return pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -1,7 +1,10 @@
 """The commands end to end on small manuals of our own, and the column functions on trap rows."""
 
+import concurrent.futures
 import json
+import os
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from lexforge import cli
 from lexforge.functions import text as X
 from lexforge.operators import concepts as C
 from lexforge.operators import matching as M
-from lexforge.plans.store import Store
+from lexforge.plans.store import SCHEMAS, Store
 from lexforge.sources import files
 from lexforge.sources.html import parse_page
 
@@ -203,6 +206,61 @@ def test_store_commits(spark, tmp_path):
     assert out.is_file() and files.read_review_file(spark, str(out)).count() == store.read("concepts").where("status = 'review_ready'").count()
 
 
+def event_rows(spark, *names):
+    return spark.createDataFrame([("concept", n, "approve", "candidate", "confirmed", "me", None, None, [], 1, "now") for n in names], SCHEMAS["review_actions"])
+
+
+def test_no_commit_is_lost(spark, tmp_path):
+    """A slow writer, one that dies, several at once, and one that replaces what another has changed since it read it."""
+    store, slow, dead = (Store(spark, str(tmp_path / "db")) for _ in range(3))
+    publish, between = slow._publish, []
+
+    def late(number, state):
+        if not between:
+            between.append(number)
+            store.append("review_actions", event_rows(spark, "b"))
+        return publish(number, state)
+
+    slow._publish = late
+    slow.append("review_actions", event_rows(spark, "a"))
+    names = lambda: sorted(r["target_id"] for r in store.read("review_actions").collect())
+    assert names() == ["a", "b"] and between == [1]
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    dead._publish = dies
+    with pytest.raises(KeyboardInterrupt):
+        dead.append("review_actions", event_rows(spark, "never"))
+    (tmp_path / "db" / "_commits" / "half.draft").write_text("{")
+    store.append("review_actions", event_rows(spark, "c"))
+    with concurrent.futures.ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda n: Store(spark, str(tmp_path / "db")).append("review_actions", event_rows(spark, n)), "defghi"))
+    assert names() == list("abcdefghi") and len(store._commits()) == 9
+    term = lambda t: spark.createDataFrame([("en", t, t, "x", "active")], SCHEMAS["terms"])
+    mine = slow.read("terms").unionByName(term("mine"))
+    store.write("terms", term("theirs"))
+    with pytest.raises(RuntimeError, match="another command"):
+        slow.write("terms", mine)
+    slow.write("terms", slow.read("terms").unionByName(term("mine")))
+    assert store.read("terms").count() == 2
+    store.vacuum(1)
+    assert names() == list("abcdefghi") and not [f for f in os.listdir(tmp_path / "db" / "_commits") if f.endswith(".draft")]
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    """Means that end in a five at the seventh place, and many summands, under several partitionings."""
+    rows = [(f"c{i % 40}", "x" if i % 3 else "y", round((i * 7919 % 1000) / 1000 + i % 2 / 1e6, 6), i % 11 == 0, i % 5 == 0, i % 7 == 0, False) for i in range(4000)]
+    df = spark.createDataFrame(rows, "concept_id string, evidence_type string, score double, is_negative_evidence boolean, has_anchor boolean, has_heading boolean, has_table boolean")
+    got = [sorted(tuple(map(str, r)) for r in C.breakdown(C.score_evidence(df.repartition(n))).collect()) for n in (1, 4, 13)]
+    assert got[0] == got[1] == got[2]
+    for concept in ("c0", "c7", "c33"):
+        mine = [(Decimal(str(s)), n) for c, _, s, n, *_ in rows if c == concept]
+        scores = [s for s, n in mine if not n]
+        mean = (sum(scores) / len(scores)).quantize(Decimal("0.000001"), ROUND_HALF_UP)
+        assert next(r for r in C.score_evidence(df).collect() if r["concept_id"] == concept)["mean"] == float(mean)
+
+
 def test_cli_surface():
     names = cli.parser()._subparsers._group_actions[0].choices
     assert len(names) == 15 and cli.parser().parse_args(["match-blocks", "--db", "x"]).min_score == 0.20
@@ -219,3 +277,35 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         S.merge_batches(store, S.distinct_pages(S.page_stream(spark, str(tmp_path / "in"), "en")), str(tmp_path / "cp")).awaitTermination()
     assert store.read("documents").count() == 1 and store.read("anchors").where("anchor_type = 'dtc'").count() == 2
+
+
+def test_stream_equals_batch(spark, tmp_path, monkeypatch):
+    """A folder that comes as a stream makes the same tables as one that is read at once; failed pages are listed in both."""
+    from lexforge.sources import html
+    from lexforge.streaming import ingest as S
+
+    for name, page in (("a.html", EN), ("sub/b.HTM", EN.replace("12.0 V", "24 V")), ("sub/bad.html", "<p>x</p>"), ("c.txt", EN)):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(page, encoding="utf-8")
+    extract = html.extract_pages
+    failing = lambda pages: extract(pages).withColumn("error", F.when(F.col("path").endswith("bad.html"), "unreadable").otherwise(F.col("error")))
+    monkeypatch.setattr(html, "extract_pages", failing)
+    batch, stream = Store(spark, str(tmp_path / "batch")), Store(spark, str(tmp_path / "stream"))
+    assert batch.ingest("en", str(tmp_path / "in"))["errors"] == 1
+    S.merge_batches(stream, S.page_stream(spark, str(tmp_path / "in"), "en", 1), str(tmp_path / "cp")).awaitTermination()
+    for table in ("documents", "document_blocks", "anchors"):
+        rows = [sorted(map(str, s.read(table).collect())) for s in (batch, stream)]
+        assert rows[0] == rows[1] and rows[0]
+    errors = [[(r["path"], r["error"]) for r in s.read("ingestion_errors").collect()] for s in (batch, stream)]
+    assert errors[0] == errors[1] == [("sub/bad.html", "unreadable")]
+    assert not os.path.exists(tmp_path / "batch" / "_staging") or not os.listdir(tmp_path / "batch" / "_staging")
+
+
+def test_html_udtf(spark):
+    from lexforge.sources import html
+
+    html.extract_html_udtf(spark)
+    spark.createDataFrame([(1, EN), (2, None), (3, "")], "id int, html string").createOrReplaceTempView("udtf_pages")
+    got = spark.sql("SELECT id, b.* FROM udtf_pages, LATERAL extract_html(html) b").collect()
+    want = html.parse_page(EN)["blocks"]
+    assert [(r["block_index"], r["text"], r["block_type"]) for r in got] == [(b["block_index"], b["text"], b["block_type"]) for b in want] and {r["id"] for r in got} == {1}
