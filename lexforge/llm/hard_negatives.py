@@ -201,7 +201,8 @@ def search(queries: DataFrame, data: Buckets, k: int, same: bool, block: int) ->
     first part of all runs. Within a task buckets come by falling norm, and each query's k-th score goes on rising."""
     queries = written(queries, "hard-asked")
     blocks = blocks_of(queries, block, data.dim)
-    seeds = written(_meet(blocks.select("block").withColumn("run", F.lit(0).cast("long")), blocks, data, k, same), "hard-seeds")
+    first = blocks.select("block", F.explode(F.array(F.lit(0).cast("long"))).alias("run"))  # no literal, which would make the join a product
+    seeds = written(_meet(first, blocks, data, k, same), "hard-seeds")
     kth = first_k(seeds, k).where(F.col("rank") == k).select("anchor_id", "key", F.col("score").alias("kth"))
     raised = queries.join(kth, ["anchor_id", "key"], "left").withColumn("low", F.greatest("low", F.coalesce("kth", "low"))).drop("kth")
     more = blocks_of(raised, block, data.dim)
