@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexforge.llm.bpe import text_runs
-from lexforge.llm.common import crc_fold, text_slices
+from lexforge.llm.common import crc_fold, dropped, text_slices, written
 
 U = np.uint64
 #: Slots of the filter for each n-gram in it, at least.
 SLOTS_PER_GRAM = 8
-#: A language has the n-grams that make up this share of its text or more: 100,000 of them at most.
-LEAST_SHARE = 1e-5
+#: What the filters may fill, in bytes. Past it there are fewer slots for an n-gram and more false hits, which are measured
+#: and corrected; no n-gram is left out.
+MOST_BYTES = 1 << 28
+#: Slots that a task packs at a time.
+SLICE = 20
 _IN_WORD = np.zeros(256, np.uint8)
 _IN_WORD[128:] = np.arange(128, 256)
 _IN_WORD[97:123] = np.arange(97, 123)
@@ -46,39 +50,38 @@ def grams(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, m[at] | m[at + 1] << np.uint32(8) | m[at + 2] << np.uint32(16) | m[at + 3] << np.uint32(24)
 
 
+def slots_of(gram: np.ndarray, bits: int):
+    h = gram.astype(np.uint64) + U(1)
+    for odd in _ODD:
+        yield (h * odd >> U(64 - bits)).astype(np.int32)
+
+
+def slot_bits(grams: int, languages: int) -> int:
+    """How many bits number the slots: enough for all n-grams, within MOST_BYTES."""
+    wanted = max(10, int(np.ceil(np.log2(max(1, grams * SLOTS_PER_GRAM)))))
+    return min(wanted, max(10, int(np.log2(MOST_BYTES // -(-max(1, languages) // 8)))))
+
+
 class LanguageFilters:
-    """names: languages. gram and lang: n-grams and the number of a language that has them, all such pairs.
+    """names: languages. planes: an array for each eight languages, with a byte for each slot and a bit for each language; see learn().
 
     The filter gives all languages of an n-gram and, rarely, others."""
 
-    def __init__(self, names: list[str], gram: np.ndarray, lang: np.ndarray, default: int = 0):
-        self.names, self.default = names, default
+    def __init__(self, names: list[str], planes: list[np.ndarray], default: int = 0):
+        self.names, self.default, self.planes = names, default, planes
         if not names:
             return
-        distinct = len(np.unique(gram))
-        self.bits = max(10, int(np.ceil(np.log2(max(1, distinct * SLOTS_PER_GRAM)))))
-        self.planes, false = [], []
-        for first in range(0, len(names), 8):  # eight languages to a plane of bytes
-            plane = np.zeros(1 << self.bits, np.uint8)
-            block = (lang >= first) & (lang < first + 8)
-            for at in self.slots(gram[block]):
-                np.bitwise_or.at(plane, at, np.uint8(1) << (lang[block] - first).astype(np.uint8))
-            self.planes.append(plane)
-            false += [float(np.mean(plane >> np.uint8(i) & np.uint8(1))) ** len(_ODD) for i in range(min(8, len(names) - first))]
+        self.bits = len(planes[0]).bit_length() - 1
+        share = [float(np.mean(planes[i >> 3] >> np.uint8(i & 7) & np.uint8(1))) for i in range(len(names))]
         #: How often an n-gram that a language lacks passes for one of its own.
-        self.false = np.array(false)
-
-    def slots(self, gram: np.ndarray):
-        h = gram.astype(np.uint64) + U(1)
-        for odd in _ODD:
-            yield (h * odd >> U(64 - self.bits)).astype(np.int32)
+        self.false = np.array(share) ** len(_ODD)
 
     def hits(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(texts' n-grams, [text, language] popcounts)."""
         at, gram = grams(buf)
         cut = np.searchsorted(at, bounds)
         n, out = np.diff(cut), np.zeros((len(bounds) - 1, len(self.names)))
-        slots = list(self.slots(gram))
+        slots = list(slots_of(gram, self.bits))
         for p, plane in enumerate(self.planes):
             mask = plane[slots[0]]
             for q in slots[1:]:
@@ -110,11 +113,11 @@ class LanguageFilters:
         return lang, score
 
 
-def learn(rows: DataFrame, least_share: float = LEAST_SHARE) -> LanguageFilters:
+def learn(rows: DataFrame) -> LanguageFilters:
     """From all rows of (lang, text) with a language. Null and empty texts have no n-grams; repeated rows count
-    each time; no rows give filters without languages. A language has the n-grams with least_share or
-    more of all its n-grams, so what comes to the driver and into the filter is bounded for each
-    language by 1 / least_share, however long the texts. Tasks count the n-grams of their own rows."""
+    each time; no rows give filters without languages. A language has every n-gram that occurs in its texts.
+    Tasks find the n-grams of their own rows; the slots' bits are set and packed on executors, and the driver gets nothing but the filters'
+    bytes, MOST_BYTES at most."""
 
     def count(batches):
         held: dict[str, list] = {}
@@ -145,14 +148,34 @@ def learn(rows: DataFrame, least_share: float = LEAST_SHARE) -> LanguageFilters:
                 part = key[k : k + 100_000].astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(part), pa.string()), "gram": pa.array(part), "n": pa.array(n[k : k + 100_000])})
 
-    counts = rows.where("lang is not null").select("lang", F.col("text").cast("string")).mapInArrow(count, "lang string, gram long, n long")
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    got = counts.join(total, "lang").where(F.col("n") >= least_share * F.col("total")).select("lang", "gram", "total").toPandas()
-    names = sorted(set(got["lang"]))
-    lang = got["lang"].map({k: i for i, k in enumerate(names)}).to_numpy(np.int64)
-    total = {k: int(n) for k, n in zip(got["lang"], got["total"], strict=True)}
-    return LanguageFilters(names, got["gram"].to_numpy(np.uint32), lang, max(range(len(names)), key=lambda i: total[names[i]], default=0))
+    found = rows.where("lang is not null").select("lang", F.col("text").cast("string")).mapInArrow(count, "lang string, gram long, n long")
+    found = written(found.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
+    total = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row for each language
+    names = sorted(total)
+    if not names:
+        return LanguageFilters([], [])
+    number, many = {k: i for i, k in enumerate(names)}, -(-len(names) // 8)
+    bits = slot_bits(found.select("gram").distinct().count(), len(names))
+
+    def place(batches):
+        for batch in batches:
+            lang = np.array([number[k] for k in batch.column(0).to_pylist()], np.int64)
+            for slot in slots_of(batch.column(1).to_numpy(), bits):
+                yield pa.RecordBatch.from_pydict({"plane": pa.array(lang >> 3), "slot": pa.array(slot.astype(np.int64)), "mask": pa.array(np.int64(1) << (lang & 7))})
+
+    def pack(key, frame: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(1 << min(SLICE, bits), np.uint8)
+        out[frame["slot"].to_numpy() & (len(out) - 1)] = frame["mask"].to_numpy().astype(np.uint8)
+        return pd.DataFrame({"plane": [key[0]], "slice": [key[1]], "bytes": [out.tobytes()]})
+
+    slots = found.select("lang", "gram").mapInArrow(place, "plane long, slot long, mask long").groupBy("plane", "slot").agg(F.bit_or("mask").alias("mask"))
+    slices = slots.groupBy("plane", F.expr(f"slot >> {SLICE}").alias("slice")).applyInPandas(pack, "plane long, slice long, bytes binary").collect()
+    planes = [np.zeros(1 << bits, np.uint8) for _ in range(many)]
+    for r in slices:
+        part = np.frombuffer(r["bytes"], np.uint8)
+        planes[r["plane"]][r["slice"] * len(part) : (r["slice"] + 1) * len(part)] = part
+    dropped(found)
+    return LanguageFilters(names, planes, max(range(len(names)), key=lambda i: total[names[i]]))
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
