@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,9 +47,9 @@ class Model:
 
     words: (key, a0, a1, n0, n1, k0, k1), after how many different words a word comes in a class, how often one comes
     after it, and how many different ones; pairs: (key, n0, n1). Whole 64-bit hashes are the keys.
-    sums: by order and class, the numbers of all words or pairs, whether kept or not: kinds, once, twice; and for words
+    sums: by order and class, the numbers of all words or pairs: kinds, once, twice; and for words
     the sum of a. Words back off to the counts of both classes together, so what is rare in a class has about
-    its shared probability; what is not kept counts as unknown."""
+    its shared probability."""
 
     def __init__(self, words: list[np.ndarray], pairs: list[np.ndarray], sums: dict, kinds: int):
         small = np.float32
@@ -74,12 +73,16 @@ class Model:
         self.pair = np.maximum(np.stack([np.append(x[order], 0) for x in pairs[1:]]) - np.array(d)[:, None], 0).astype(small)
         self.weights = PRIOR
 
-    def ratios(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ln P(word | toxic) - ln P(word | ordinary) of each word, alone and given the word before."""
+    def given(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Places of words, and P(word | word before) of ordinary and of toxic texts."""
         word, pair = find(self.words, hashes), find(self.pairs, pair_keys(hashes, first)[1])
         before = np.concatenate([word[:1], word[:-1]])
         before[first[first < len(word)]] = find(self.words, np.array([START]))[0]
-        p = [self.pair[k][pair] / self.total[k][before] + self.backoff[k][before] * self.word[k][word] for k in (0, 1)]
+        return word, [self.pair[k][pair] / self.total[k][before] + self.backoff[k][before] * self.word[k][word] for k in (0, 1)]
+
+    def ratios(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln P(word | toxic) - ln P(word | ordinary) of each word, alone and given the word before."""
+        word, p = self.given(hashes, first)
         return self.ratio[word], np.log(p[1] / p[0])
 
     def features(self, texts: list) -> np.ndarray:
@@ -155,25 +158,23 @@ def packed(rows: DataFrame, columns: list[str]) -> list[np.ndarray]:
     return [out[0].view(np.uint64), *out[1:]]
 
 
-def learn(labelled: DataFrame, least: int = 2) -> Model:
-    """The models of (text, toxic). Pairs, and words, that occur fewer than `least` times in both classes count for the
-    words, contexts and sums that they are part of, but are not kept themselves."""
+def learn(labelled: DataFrame) -> Model:
+    """The models of (text, toxic), with every word and every pair of words that occurs."""
     pairs = written(pair_counts(labelled), "tox-pairs")
     some = lambda c: F.count_if(F.col(c) > 0)
     after = pairs.groupBy(F.col("word").alias("key")).agg(some("n0").alias("a0"), some("n1").alias("a1"))
     context = pairs.groupBy(F.col("before").alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), some("n0").alias("k0"), some("n1").alias("k1"))
     columns = ["key", "a0", "a1", "n0", "n1", "k0", "k1"]
     words = written(after.join(context, "key", "full_outer").select("key", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns[1:]]), "tox-words")
-    often = lambda *c: reduce(lambda x, y: x | y, [F.col(x) >= least for x in c])
     counts = lambda c: [F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2), F.sum(c)]
     sums = {kind: (lambda r: [[float(x or 0) for x in r[4 * k : 4 * k + 4]] for k in (0, 1)])(list(df.agg(*counts(f"{c}0"), *counts(f"{c}1")).first())) for kind, df, c in (("word", words, "a"), ("pair", pairs, "n"))}
     kinds = words.where("a0 + a1 > 0").count()
-    model = Model(packed(words.where(often("a0", "a1", "n0", "n1")), columns), packed(pairs.where(often("n0", "n1")), ["key", "n0", "n1"]), sums, kinds)
+    model = Model(packed(words, columns), packed(pairs, ["key", "n0", "n1"]), sums, kinds)
     dropped(pairs, words)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 25_000, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_500, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Learns from labelled rows whose fold is not held_out: of each class those with the smallest hashes of their ids,
     about most_rows in all large tables and never more than are there. Four fifths of them are counted, one fifth calibrates,
     each class with the weight of its share among all labelled rows. None without rows of both classes.
@@ -213,8 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 25_000, folds: int
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): one row per row of docs, whole texts, no shuffle; only the text is read. Null and empty texts and
     those without words get the score of no evidence; without a model all scores are 0. Rows that repeat an id or have none are
-    scored each by itself; an empty table gives no rows. The broadcast model has 36 bytes for each word and 16 for each pair that it
-    keeps of the at most about 50,000 texts that it has learned from."""
+    scored each by itself; an empty table gives no rows. The broadcast model has 36 bytes for each word and 16 for each pair
+    of the at most about 25,000 texts that it has learned from."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"))
