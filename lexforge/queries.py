@@ -607,10 +607,14 @@ def oracle_sql() -> dict[str, str]:
         rx, _ = _RX[kind]
         norm = _RX[kind][1].replace("num(v)", f"({_number('v')})")
         out[f"anchors_{kind}"] = f"WITH m AS ({MANUAL_SQL}) SELECT lang, path, block_index, min(v) AS value, {norm} AS normalized_value FROM (SELECT lang, path, block_index, unnest(regexp_extract_all(text, '{rx}')) AS v FROM m) GROUP BY lang, path, block_index, {norm}"
-    return out
+    from lexforge import search_queries  # which builds on this module
+
+    return out | search_queries.oracle_sql()
 
 
 def queries() -> dict:
+    from lexforge import search_queries
+
     return {
         "normalize_text": q_normalize_text,
         **{f"anchors_{k}": q_anchors(k) for k in _RX},
@@ -665,4 +669,5 @@ def queries() -> dict:
         "decoded_text": q_decoded_text,
         "html_title": q_html_title,
         "html_blocks": q_html_blocks,
+        **search_queries.queries(),
     }

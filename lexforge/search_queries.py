@@ -1,0 +1,113 @@
+"""Registered queries over search, expansion and what hangs on matched pages and concepts, and the same in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lexforge import queries as Q
+from lexforge.functions import lexicon as L
+from lexforge.operators import concepts as C
+from lexforge.operators import expansion as P
+from lexforge.operators import search as S
+from lexforge.operators import terms as T
+from lexforge.plans.scratch import Scratch
+
+
+def q_bm25_search(spark, sf):
+    """The ten best documents of each benchmark item's words."""
+    docs = Q.table(spark, sf, "documents").select("lang", F.col("doc_id").alias("doc"), "text")
+    items = S.query_terms(Q.table(spark, sf, "benchmark"), "item_id", "text")
+    found, _ = S.search(S.build_index(docs, ["lang"]), items, 10)
+    return found.select(F.col("query").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+def _dictionary(spark, sf):
+    """Written pairs of matched blocks; concepts, labels and catalog of which some are confirmed, safe and not blocked."""
+    blocks = Q.manual(spark, sf)
+    found = T.block_terms(blocks)
+    written = Scratch(spark).write(Q.pairs(spark, sf).select("concept_id", "score", "evidence", "ja", "en", "ja_norm", "en_norm", "ja_term", "en_term", "ja_context", "en_context"), "pairs")
+    concepts, labels, evidence = C.build_concepts(written)
+    first = F.conv(F.substring("concept_id", 17, 1), 16, 10).cast("int")
+    concepts = concepts.withColumns({"status": F.when(first % 3 == 0, "confirmed").otherwise("candidate"), "safe_for_query_expansion": first % 2 == 0})
+    catalog = T.term_catalog(found).withColumn("status", F.when(F.length("normalized_term") % 7 == 0, "blocked").otherwise("active"))
+    return blocks, found, concepts, labels, catalog, evidence
+
+
+def _contexts(evidence: DataFrame, found: DataFrame) -> DataFrame:
+    """(concept_id, normalized_term): the terms of the blocks of a concept's evidence."""
+    places = evidence.select("concept_id", F.explode(F.array(*[F.struct(F.lit(s).alias("lang"), F.col(f"{s}.path").alias("path"), F.col(f"{s}.block_index").alias("block_index")) for s in ("ja", "en")])).alias("p"))
+    places = places.select("concept_id", "p.*").distinct()
+    return places.join(found.select("lang", "path", "block_index", "normalized_term").distinct(), ["lang", "path", "block_index"]).select("concept_id", "normalized_term").distinct()
+
+
+def _expanded(spark, sf, **limits):
+    blocks, found, concepts, labels, catalog, evidence = _dictionary(spark, sf)
+    asked = blocks.select(F.concat("path", F.lit("#"), F.col("block_index").cast("string")).alias("query"), "text")
+    return blocks, asked, P.expand_queries(asked, concepts, labels, catalog, _contexts(evidence, found), **limits)
+
+
+def q_expand_queries(spark, sf):
+    """Every block's text as a user's query."""
+    return _expanded(spark, sf)[2].select("query", "lang", "normalized_term", "weight")
+
+
+def q_search_expanded(spark, sf):
+    """Japanese blocks' texts, expanded, against the English blocks."""
+    blocks, asked, more = _expanded(spark, sf)
+    asked = asked.where(F.col("query").startswith("ja/"))
+    terms = S.query_terms(asked, "query", "text").unionByName(more.select("query", F.explode(S.search_terms(F.col("normalized_term"))).alias("term"), "weight").join(asked.select("query"), "query", "left_semi"))
+    terms = terms.groupBy("query", "term").agg(F.max("weight").alias("weight"))
+    english = blocks.where("lang = 'en'").select(F.concat("path", F.lit("#"), F.col("block_index").cast("string")).alias("doc"), "text")
+    found, _ = S.search(S.build_index(english, []), terms, 5)
+    return found.select("query", "rank", F.col("doc").alias("en"), "score")
+
+
+# --- SQL ------------------------------------------------------------------------
+
+_TOKENS = r"regexp_extract_all(lower(coalesce({x}, '')), '{rx}')"
+_LETTERS, _ASCII = r"[\p{L}\p{N}]+", "[a-z0-9]+"
+
+
+def _bm25(docs: str, queries: str, rx: str, k: int) -> str:
+    """docs: (doc, text); queries: (query, term, weight)."""
+    return f"""bd AS (SELECT doc, {_TOKENS.format(x="text", rx=rx)} AS w FROM ({docs})),
+bs AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS words FROM bd),
+bp AS (SELECT doc, term, count(*) AS tf, any_value(length) AS length FROM (SELECT doc, len(w) AS length, unnest(w) AS term FROM bd) GROUP BY doc, term),
+bf AS (SELECT term, count(*) AS df FROM bp GROUP BY term),
+bi AS (SELECT bp.doc, bp.term, round(1e6::DOUBLE * ln(1::DOUBLE + (n::DOUBLE - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / (words::DOUBLE / n))))::BIGINT AS impact FROM bp JOIN bf ON bp.term = bf.term, bs),
+bq AS ({queries}),
+br AS (SELECT query, doc, sum(weight * impact)::BIGINT AS score FROM bq JOIN bi ON bq.term = bi.term GROUP BY query, doc),
+bt AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, doc, score FROM br QUALIFY rank <= {k})"""
+
+
+_CUT = "(s > 0 AND regexp_full_match(substr(text, s, 1), '[A-Za-z0-9]') AND regexp_matches(t, '^[A-Za-z0-9]')) OR (regexp_full_match(substr(text, s + length(t) + 1, 1), '[A-Za-z0-9]') AND regexp_matches(t, '[A-Za-z0-9]$'))"
+#: Longest occurrences by substring search, and what they bring.
+_EXPANDED = f"""{Q._PAIRS}
+, hc AS (SELECT concept_id, max(score) AS confidence FROM pr WHERE {Q._HEX} % 3 = 0 AND {Q._HEX} % 2 = 0 GROUP BY concept_id),
+hd AS (SELECT DISTINCT hc.concept_id, confidence, lang, t FROM hc JOIN (SELECT concept_id, 'ja' AS lang, jn AS t FROM pr UNION ALL SELECT concept_id, 'en', en_n FROM pr) x ON hc.concept_id = x.concept_id WHERE length(t) % 7 <> 0),
+cx AS (SELECT DISTINCT pr.concept_id, td.normalized_term AS t FROM (SELECT DISTINCT concept_id, unnest([ja, en]) AS block FROM pr) pr JOIN td ON td.path || '#' || td.block_index = pr.block),
+oc AS (SELECT query, t, s FROM (SELECT query, text, t, unnest(range(length(text) - length(t) + 1)) AS s FROM (SELECT path || '#' || block_index AS query, lower(text) AS text FROM m) JOIN (SELECT DISTINCT t FROM hd) ON contains(text, t)) WHERE substr(text, s + 1, length(t)) = t AND NOT ({_CUT})),
+ma AS (SELECT DISTINCT query, t FROM (SELECT *, max(s + length(t)) OVER (PARTITION BY query ORDER BY s, length(t) DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM oc) WHERE reach IS NULL OR s + length(t) > reach),
+vague AS (SELECT t FROM hd GROUP BY t HAVING count(DISTINCT concept_id) > 1),
+us AS (SELECT DISTINCT ma.query, hd.concept_id, hd.confidence, hd.lang, hd.t FROM ma JOIN hd ON ma.t = hd.t WHERE ma.t NOT IN (SELECT t FROM vague)
+  UNION SELECT DISTINCT ma.query, hd.concept_id, hd.confidence, hd.lang, hd.t FROM ma JOIN hd ON ma.t = hd.t JOIN cx ON cx.concept_id = hd.concept_id AND cx.t <> hd.t JOIN ma o ON o.query = ma.query AND o.t = cx.t WHERE ma.t IN (SELECT t FROM vague)),
+nw AS (SELECT us.query, hd.lang, hd.t, max(CASE WHEN hd.lang = us.lang THEN {P.SAME} ELSE {P.OTHER} END) AS weight, max(us.confidence) AS confidence FROM us JOIN hd ON us.concept_id = hd.concept_id AND us.t <> hd.t
+  WHERE NOT EXISTS (SELECT 1 FROM ma WHERE ma.query = us.query AND ma.t = hd.t) GROUP BY us.query, hd.lang, hd.t),
+ex AS (SELECT query, lang, t, weight FROM nw QUALIFY row_number() OVER (PARTITION BY query ORDER BY weight DESC, confidence DESC, t, lang) <= 10)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    items = f"SELECT DISTINCT item_id AS query, unnest({_TOKENS.format(x='text', rx=_LETTERS)}) AS term, 1000 AS weight FROM benchmark"
+    english = "SELECT path || '#' || block_index AS doc, text FROM m WHERE lang = 'en'"
+    asked = f"""SELECT query, term, max(weight) AS weight FROM (SELECT path || '#' || block_index AS query, unnest({_TOKENS.format(x="text", rx=_ASCII)}) AS term, 1000 AS weight FROM m WHERE lang = 'ja'
+      UNION ALL SELECT query, unnest({_TOKENS.format(x="t", rx=_ASCII)}), weight FROM ex WHERE query LIKE 'ja/%') GROUP BY query, term"""
+    return {
+        "bm25_search": f"WITH {_bm25('SELECT doc_id AS doc, text FROM documents', items, _LETTERS, 10)} SELECT query AS item_id, rank::INT AS rank, doc AS doc_id, score FROM bt",
+        "expand_queries": f"{_EXPANDED} SELECT query, lang, t AS normalized_term, weight FROM ex",
+        "search_expanded": f"{_EXPANDED}, {_bm25(english, asked, _ASCII, 5)} SELECT query, rank::INT AS rank, doc AS en, score FROM bt",
+    }
+
+
+def queries() -> dict:
+    return {"bm25_search": q_bm25_search, "expand_queries": q_expand_queries, "search_expanded": q_search_expanded}
