@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexforge.llm.bpe import text_runs
-from lexforge.llm.common import crc_fold, doc_words, dropped, mix64, written
+from lexforge.llm.common import crc_fold, doc_words, dropped, written
 
 U = np.uint64
 #: Stands before the first word of a text.
@@ -21,11 +20,11 @@ PRIOR = np.array([-9.0, 1.5, 1.0, 0.5, 0.5])
 FEATURES = len(PRIOR) - 1
 
 
-def pair_keys(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word before, key of the pair) of words; first: where texts start."""
-    before = np.concatenate([[START], hashes[:-1]]).astype(np.uint64)
-    before[first[first < len(before)]] = START
-    return before, mix64(before * U(3) ^ hashes)
+def pair_keys(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+    """Keys of words with the words before them, from the words' numbers; first: where texts start, after the number `start`."""
+    before = np.concatenate([[start], ids[:-1]])
+    before[first[first < len(before)]] = start
+    return before.astype(np.uint64) << U(32) | ids.astype(np.uint64)
 
 
 def discount(once: float, twice: float) -> float:
@@ -45,18 +44,18 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 class Model:
     """Two interpolated Kneser-Ney models, of toxic (1) and ordinary (0) texts.
 
-    words: (key, a0, a1, n0, n1, k0, k1), after how many different words a word comes in a class, how often one comes
-    after it, and how many different ones; pairs: (key, n0, n1). Whole 64-bit hashes are the keys.
+    keys: the sorted 64-bit hashes of all words and of the start of a text; a word's number is its place. words: (a0, a1, n0, n1, k0, k1) by
+    number, after how many different words a word comes in a class, how often one comes after it, and how many different ones.
+    pairs: (key, n0, n1), sorted; see pair_keys().
     sums: by order and class, the numbers of all words or pairs: kinds, once, twice; and for words
     the sum of a. Words back off to the counts of both classes together, so what is rare in a class has about
     its shared probability."""
 
-    def __init__(self, words: list[np.ndarray], pairs: list[np.ndarray], sums: dict, kinds: int):
+    def __init__(self, keys: np.ndarray, words: list[np.ndarray], pairs: list[np.ndarray], sums: dict, kinds: int):
         small = np.float32
         d = [discount(*sums["word"][k][1:3]) for k in (0, 1)]
-        order = np.argsort(words[0])
-        self.words = words[0][order]
-        table = np.stack([np.append(x[order], 0) for x in words[1:]]).astype(np.float64)
+        self.words = keys
+        table = np.stack([np.append(x, 0) for x in words]).astype(np.float64)
         base = (table[0] + table[1] + 0.5) / (sums["word"][0][3] + sums["word"][1][3] + 0.5 * (kinds + 1))
         self.word = []  # P(word) of each class; last the unknown word
         for k in (0, 1):
@@ -68,16 +67,17 @@ class Model:
         n, followers = table[2:4], table[4:6]
         self.total = np.maximum(n, 1).astype(small)
         self.backoff = np.where(n > 0, np.array(d)[:, None] * followers / np.maximum(n, 1), 1.0).astype(small)
-        order = np.argsort(pairs[0])
-        self.pairs = pairs[0][order]
-        self.pair = np.maximum(np.stack([np.append(x[order], 0) for x in pairs[1:]]) - np.array(d)[:, None], 0).astype(small)
+        self.pairs = pairs[0]
+        self.pair = [np.append(x, 0).astype(small) for x in pairs[1:]]
+        for k in (0, 1):
+            np.maximum(self.pair[k] - small(d[k]), 0, out=self.pair[k])
         self.weights = PRIOR
 
     def given(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Places of words, and P(word | word before) of ordinary and of toxic texts."""
-        word, pair = find(self.words, hashes), find(self.pairs, pair_keys(hashes, first)[1])
-        before = np.concatenate([word[:1], word[:-1]])
-        before[first[first < len(word)]] = find(self.words, np.array([START]))[0]
+        """Numbers of words, and P(word | word before) of ordinary and of toxic texts."""
+        word, start = find(self.words, hashes), find(self.words, np.array([START]))[0]
+        key = pair_keys(word, first, start)
+        pair, before = find(self.pairs, key), (key >> U(32)).astype(np.int64)
         return word, [self.pair[k][pair] / self.total[k][before] + self.backoff[k][before] * self.word[k][word] for k in (0, 1)]
 
     def ratios(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,53 +123,85 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def pair_counts(labelled: DataFrame) -> DataFrame:
-    """(before, word, key, n0, n1) of (text, toxic): how often a word comes after another in each class.
-    Tasks count the pairs of their own rows."""
+def word_keys(labelled: DataFrame) -> np.ndarray:
+    """The sorted hashes of all words of (text, toxic), and START. Tasks find those of their own rows."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in text_runs(batch.column(0)):
+                for _, _, _, h, *_ in doc_words(batch.column(0).slice(a, b - a).to_pylist()):
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(np.unique(h).view(np.int64))})
+
+    (found,) = packed(labelled.select("text").mapInArrow(run, "key long").distinct(), F.pmod("key", F.lit(PARTS)), {"key": np.int64})
+    return np.unique(np.append(found.view(np.uint64), np.uint64(START)))
+
+
+def pair_counts(labelled: DataFrame, keys: np.ndarray) -> DataFrame:
+    """(key, n0, n1) of (text, toxic): how often a word comes after another in each class. Tasks count the pairs of their own
+    rows; keys are the words' numbers, so a pair is one number."""
+    held = labelled.sparkSession.sparkContext.broadcast(keys)
 
     def count(batches):
         for batch in batches:
             kind = np.array(batch.column(1).to_pylist())
+            start = find(held.value, np.array([START]))[0]
             for a, b in text_runs(batch.column(0)):
                 for first, last, bounds, h, *_ in doc_words(batch.column(0).slice(a, b - a).to_pylist()):
                     if not len(h):
                         continue
-                    before, key = pair_keys(h, bounds[:-1])
                     toxic = np.repeat(kind[a + first : a + last], np.diff(bounds))
-                    some, at, back = np.unique(key, return_index=True, return_inverse=True)
+                    some, back = np.unique(pair_keys(find(held.value, h), np.asarray(bounds[:-1]), start), return_inverse=True)
                     n1 = np.bincount(back, toxic, len(some)).astype(np.int64)
                     n0 = np.bincount(back, minlength=len(some)) - n1
-                    columns = [x.view(np.int64) for x in (before[at], h[at], some)] + [n0, n1]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["before", "word", "key", "n0", "n1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some.view(np.int64), n0, n1)], names=["key", "n0", "n1"])
+
+    got = labelled.select("text", "toxic").mapInArrow(count, "key long, n0 long, n1 long")
+    return got.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
 
-    got = labelled.select("text", "toxic").mapInArrow(count, "before long, word long, key long, n0 long, n1 long")
-    return got.groupBy("before", "word", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+#: Pieces in which a table comes to the driver.
+PARTS = 32
 
 
-def packed(rows: DataFrame, columns: list[str]) -> list[np.ndarray]:
-    """The columns of rows as arrays, the first as keys; executors pack them, so the driver holds plain bytes only."""
+def packed(rows: DataFrame, part, columns: dict) -> list[np.ndarray]:
+    """The columns of rows as arrays, pieces by their number, each sorted by the first column; executors pack them, so the driver holds
+    plain bytes only."""
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [key[0]], "n": [len(frame)], "cells": [np.ascontiguousarray(frame[columns].to_numpy(np.int64).T).tobytes()]})
+        frame = frame.sort_values(next(iter(columns)))
+        return pd.DataFrame({"part": [key[0]], "n": [len(frame)], "cells": [b"".join(frame[c].to_numpy(np.int64).astype(t).tobytes() for c, t in columns.items())]})
 
-    got = rows.groupBy(F.pmod(columns[0], F.lit(32)).alias("part")).applyInPandas(run, "part long, n long, cells binary").select("n", "cells").collect()  # 32 rows
-    parts = [np.frombuffer(r["cells"], np.int64).reshape(len(columns), r["n"]) for r in got]
-    out = [np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in range(len(columns))]
-    return [out[0].view(np.uint64), *out[1:]]
+    got = sorted(rows.withColumn("part", part).groupBy("part").applyInPandas(run, "part long, n long, cells binary").collect())  # PARTS rows
+    out = [np.zeros(sum(r["n"] for r in got), t) for t in columns.values()]
+    at = 0
+    for r in got:
+        first = 0
+        for x in out:
+            x[at : at + r["n"]] = np.frombuffer(r["cells"], x.dtype, r["n"], first)
+            first += r["n"] * x.itemsize
+        at += r["n"]
+    return out
 
 
 def learn(labelled: DataFrame) -> Model:
     """The models of (text, toxic), with every word and every pair of words that occurs."""
-    pairs = written(pair_counts(labelled), "tox-pairs")
+    keys = word_keys(labelled)
+    pairs = written(pair_counts(labelled, keys), "tox-pairs")
     some = lambda c: F.count_if(F.col(c) > 0)
-    after = pairs.groupBy(F.col("word").alias("key")).agg(some("n0").alias("a0"), some("n1").alias("a1"))
-    context = pairs.groupBy(F.col("before").alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), some("n0").alias("k0"), some("n1").alias("k1"))
-    columns = ["key", "a0", "a1", "n0", "n1", "k0", "k1"]
-    words = written(after.join(context, "key", "full_outer").select("key", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns[1:]]), "tox-words")
+    after = pairs.groupBy(F.expr("key & 4294967295").alias("id")).agg(some("n0").alias("a0"), some("n1").alias("a1"))
+    context = pairs.groupBy(F.expr("key >> 32").alias("id")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), some("n0").alias("k0"), some("n1").alias("k1"))
+    columns = ["a0", "a1", "n0", "n1", "k0", "k1"]
+    words = written(after.join(context, "id", "full_outer").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns]), "tox-words")
     counts = lambda c: [F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2), F.sum(c)]
     sums = {kind: (lambda r: [[float(x or 0) for x in r[4 * k : 4 * k + 4]] for k in (0, 1)])(list(df.agg(*counts(f"{c}0"), *counts(f"{c}1")).first())) for kind, df, c in (("word", words, "a"), ("pair", pairs, "n"))}
     kinds = words.where("a0 + a1 > 0").count()
-    model = Model(packed(words, columns), packed(pairs, ["key", "n0", "n1"]), sums, kinds)
+    step = -(-len(keys) // PARTS)  # numbers rise with the pieces, so what comes is sorted
+    ids, *found = packed(words, F.expr(f"id div {step}"), {"id": np.int64, **dict.fromkeys(columns, np.int64)})
+    table = [np.zeros(len(keys), np.int64) for _ in columns]
+    for x, y in zip(table, found, strict=True):
+        x[ids] = y
+    key, n0, n1 = packed(pairs, F.expr(f"(key >> 32) div {step}"), {"key": np.int64, "n0": np.uint32, "n1": np.uint32})
+    model = Model(keys, table, [key.view(np.uint64), n0, n1], sums, kinds)
     dropped(pairs, words)
     return model
 
