@@ -60,8 +60,8 @@ def band(score: Column) -> Column:
 
 
 def approval_by_band(concepts: DataFrame, actions: DataFrame) -> DataFrame:
-    """(band, reviewed, approved, blocked, rate) of concepts by confidence; a concept's latest approval or block counts."""
-    last = actions.where(F.col("action").isin("approve", "block")).groupBy(F.col("target_id").alias("concept_id")).agg(F.max_by("action", "row_version").alias("action"))
+    """(band, reviewed, approved, blocked, rate) of concepts by confidence; a concept's latest approval or block counts, of equal versions the block."""
+    last = actions.where(F.col("action").isin("approve", "block")).groupBy(F.col("target_id").alias("concept_id")).agg(F.max_by("action", F.struct("row_version", "action")).alias("action"))
     rows = concepts.select("concept_id", band(F.col("confidence")).alias("band")).join(last, "concept_id")
     out = rows.groupBy("band").agg(F.count(F.lit(1)).alias("reviewed"), F.count_if(F.col("action") == "approve").alias("approved"), F.count_if(F.col("action") == "block").alias("blocked"))
     return out.withColumn("rate", F.round(F.col("approved") / F.col("reviewed"), 6))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge import queries as Q
 from lexforge.functions import lexicon as L
+from lexforge.operators import assignment as A
 from lexforge.operators import concepts as C
+from lexforge.operators import evaluation as V
 from lexforge.operators import expansion as P
+from lexforge.operators import matching as M
+from lexforge.operators import redirects as R
 from lexforge.operators import search as S
 from lexforge.operators import terms as T
+from lexforge.operators import variants as W
 from lexforge.plans.scratch import Scratch
 
 
@@ -63,22 +68,109 @@ def q_search_expanded(spark, sf):
     return found.select("query", "rank", F.col("doc").alias("en"), "score")
 
 
+def q_spelling_variants(spark, sf):
+    """All words of the conversations against each other."""
+    words = Q.table(spark, sf, "conversations").select(F.lit("any").alias("lang"), F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("term"))
+    return W.spelling_variants(words).select("term", "other", F.col("distance").cast("long").alias("distance"))
+
+
+def _page_candidates(spark, sf):
+    anchors = Q.block_anchors(Q.manual(spark, sf)).withColumnRenamed("path", "doc")
+    return Scratch(spark).write(M.match_pages(anchors).select("ja", "en", "score"), "page-candidates")
+
+
+def q_page_assignment(spark, sf):
+    return A.assign(_page_candidates(spark, sf)).select("ja", "en", "score")
+
+
+def q_page_types(spark, sf):
+    """The type of every page's match, with a Japanese and an English page more that nothing matches."""
+    found = _page_candidates(spark, sf)
+    pages = Q.manual(spark, sf).select("lang", F.col("path").alias("page")).distinct()
+    extra = pages.groupBy("lang").agg(F.concat(F.max("page"), F.lit(".more")).alias("page"))
+    return A.match_types(pages.unionByName(extra), found, A.assign(found), 0.6).select("lang", "page", "partner", "score", "match_type")
+
+
+def q_concept_redirects(spark, sf):
+    """Every order leads to the customer's order before it; a third of the customers' first orders lead to the last, a cycle."""
+    o = Q.table(spark, sf, "orders")
+    before = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    prior, last = F.lag("o_orderkey").over(before), F.max("o_orderkey").over(Window.partitionBy("o_custkey"))
+    links = o.select(F.col("o_orderkey").alias("old"), F.coalesce(prior, F.when(F.col("o_custkey") % 3 == 0, last)).alias("new"))
+    done, lost = R.resolve(links)
+    return done.select("old", "final", "steps").unionByName(lost.select("old", F.lit(None).cast("long").alias("final"), F.lit(-1).cast("long").alias("steps")))
+
+
+def q_concept_merges(spark, sf):
+    """Concepts of one Japanese term become one, that with the smallest id: what it holds in the end."""
+    _, _, concepts, labels, _, evidence = _dictionary(spark, sf)
+    names = labels.where("lang = 'ja'").select("concept_id", "normalized_term")
+    by = Window.partitionBy("normalized_term").orderBy("concept_id")
+    links = names.select(F.col("concept_id").alias("old"), F.lag("concept_id").over(by).alias("new"))
+    resolved, _ = R.resolve(links)
+    concepts, labels, evidence = R.merge_concepts(concepts, labels, evidence, resolved)
+    n = evidence.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_evidence"))
+    m = labels.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_labels"))
+    return concepts.join(n, "concept_id").join(m, "concept_id").select("concept_id", "confidence", "status", "safe_for_query_expansion", "n_evidence", "n_labels")
+
+
+def q_concept_splits(spark, sf):
+    """Each concept's evidence goes by its key's first figure to parts a and b, or stays."""
+    _, _, concepts, labels, _, evidence = _dictionary(spark, sf)
+    first = F.conv(F.substring("evidence_key", 1, 1), 16, 10).cast("int")
+    parts = evidence.select("evidence_key", F.when(first < 5, "a").when(first < 10, "b").alias("part"))
+    concepts, labels, evidence = R.split_concept(concepts, labels, evidence, parts)
+    n = evidence.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_evidence"))
+    m = labels.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_labels"))
+    return concepts.join(n, "concept_id", "left").join(m, "concept_id").select("concept_id", "confidence", "status", "safe_for_query_expansion", "n_evidence", "n_labels")
+
+
+def q_search_evaluation(spark, sf):
+    """Plain and expanded search of Japanese blocks against the best match of each: points and intervals."""
+    blocks, asked, more = _expanded(spark, sf)
+    asked = asked.where(F.col("query").startswith("ja/"))
+    plain = S.query_terms(asked, "query", "text")
+    new = more.select("query", F.explode(S.search_terms(F.col("normalized_term"))).alias("term"), "weight").join(asked.select("query"), "query", "left_semi")
+    both = plain.unionByName(new).groupBy("query", "term").agg(F.max("weight").alias("weight"))
+    english = blocks.where("lang = 'en'").select(F.concat("path", F.lit("#"), F.col("block_index").cast("string")).alias("doc"), "text")
+    index, gold = S.build_index(english, []), Q.matched(spark, sf, 0.25, 1).select(F.col("ja").alias("query"), F.col("en").alias("doc"))
+    gold = Scratch(spark).write(gold, "gold")
+    scores = [V.ranking_scores(S.search(index, terms, 5)[0], gold).withColumn("system", F.lit(name)) for name, terms in (("plain", plain), ("expanded", both))]
+    return V.intervals(scores[0].unionByName(scores[1]), ["system"], "query", ["rr", "p1", "h1", "p5", "h5"], 100)
+
+
+def q_approval_by_band(spark, sf):
+    """Orders as concepts, their line items as reviews."""
+    concepts = Q.table(spark, sf, "orders").select(F.col("o_orderkey").alias("concept_id"), (F.round(F.col("o_totalprice") * 100).cast("long") % 1000 / 1000.0).alias("confidence"))
+    actions = Q.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("target_id"), F.when(F.col("l_returnflag") == "R", "block").when(F.col("l_returnflag") == "A", "approve").otherwise("defer").alias("action"), F.col("l_linenumber").alias("row_version"))
+    return V.approval_by_band(concepts, actions.where("action <> 'defer'"))
+
+
+def q_review_sample(spark, sf):
+    """Of each band 25 concepts, by weight of what they lack to certainty."""
+    rows = Q.table(spark, sf, "orders").select(F.col("o_orderkey").alias("concept_id"), (F.round(F.col("o_totalprice") * 100).cast("long") % 1000 / 1000.0).alias("confidence"))
+    rows = rows.select("concept_id", V.band(F.col("confidence")).alias("band"), (F.lit(1.0) - F.col("confidence")).alias("weight"))
+    return V.review_sample(rows, "concept_id", "band", "weight", 25).select("band", "place", "concept_id")
+
+
 # --- SQL ------------------------------------------------------------------------
 
 _TOKENS = r"regexp_extract_all(lower(coalesce({x}, '')), '{rx}')"
 _LETTERS, _ASCII = r"[\p{L}\p{N}]+", "[a-z0-9]+"
 
 
-def _bm25(docs: str, queries: str, rx: str, k: int) -> str:
-    """docs: (doc, text); queries: (query, term, weight)."""
+def _bm25(docs: str, rx: str) -> str:
+    """Impacts of docs (doc, text)."""
     return f"""bd AS (SELECT doc, {_TOKENS.format(x="text", rx=rx)} AS w FROM ({docs})),
 bs AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS words FROM bd),
 bp AS (SELECT doc, term, count(*) AS tf, any_value(length) AS length FROM (SELECT doc, len(w) AS length, unnest(w) AS term FROM bd) GROUP BY doc, term),
 bf AS (SELECT term, count(*) AS df FROM bp GROUP BY term),
-bi AS (SELECT bp.doc, bp.term, round(1e6::DOUBLE * ln(1::DOUBLE + (n::DOUBLE - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / (words::DOUBLE / n))))::BIGINT AS impact FROM bp JOIN bf ON bp.term = bf.term, bs),
-bq AS ({queries}),
-br AS (SELECT query, doc, sum(weight * impact)::BIGINT AS score FROM bq JOIN bi ON bq.term = bi.term GROUP BY query, doc),
-bt AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, doc, score FROM br QUALIFY rank <= {k})"""
+bi AS (SELECT bp.doc, bp.term, round(1e6::DOUBLE * ln(1::DOUBLE + (n::DOUBLE - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / (words::DOUBLE / n))))::BIGINT AS impact FROM bp JOIN bf ON bp.term = bf.term, bs)"""
+
+
+def _best(name: str, queries: str, k: int) -> str:
+    """The k best documents of queries (query, term, weight)."""
+    return f"{name} AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, doc, score FROM (SELECT query, doc, sum(weight * impact)::BIGINT AS score FROM ({queries}) q JOIN bi ON q.term = bi.term GROUP BY query, doc) QUALIFY rank <= {k})"
 
 
 _CUT = "(s > 0 AND regexp_full_match(substr(text, s, 1), '[A-Za-z0-9]') AND regexp_matches(t, '^[A-Za-z0-9]')) OR (regexp_full_match(substr(text, s + length(t) + 1, 1), '[A-Za-z0-9]') AND regexp_matches(t, '[A-Za-z0-9]$'))"
@@ -97,17 +189,87 @@ nw AS (SELECT us.query, hd.lang, hd.t, max(CASE WHEN hd.lang = us.lang THEN {P.S
 ex AS (SELECT query, lang, t, weight FROM nw QUALIFY row_number() OVER (PARTITION BY query ORDER BY weight DESC, confidence DESC, t, lang) <= 10)"""
 
 
+_PAGES = f"""{Q._WITH}, d AS (SELECT DISTINCT lang, path, anchor_type, normalized_value FROM a),
+pm AS (SELECT ja, en, round(least(sum(w), 1), 6) AS score FROM (SELECT DISTINCT j.path AS ja, e.path AS en, j.anchor_type, {Q._W.replace("anchor_type", "j.anchor_type")} AS w FROM d j JOIN d e ON j.lang = 'ja' AND e.lang = 'en' AND j.anchor_type = e.anchor_type AND j.normalized_value = e.normalized_value) GROUP BY ja, en HAVING round(least(sum(w), 1), 6) >= 0.25 QUALIFY row_number() OVER (PARTITION BY ja ORDER BY round(least(sum(w), 1), 6) DESC, en) <= 5)"""
+#: The best pair that is left, again and again.
+_GREEDY = """, pe AS (SELECT row_number() OVER (ORDER BY score DESC, ja, en) AS i, * FROM pm),
+gr AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS js, []::VARCHAR[] AS es, NULL::VARCHAR AS ja, NULL::VARCHAR AS en, NULL::DOUBLE AS score
+  UNION ALL SELECT pe.i, CASE WHEN ok THEN list_append(js, pe.ja) ELSE js END, CASE WHEN ok THEN list_append(es, pe.en) ELSE es END, CASE WHEN ok THEN pe.ja END, pe.en, pe.score
+  FROM (SELECT gr.js, gr.es, pe.*, NOT list_contains(gr.js, pe.ja) AND NOT list_contains(gr.es, pe.en) AS ok FROM gr JOIN pe ON pe.i = gr.i + 1) pe),
+asg AS (SELECT ja, en, score FROM gr WHERE ja IS NOT NULL)"""
+_CONFIDENCE = "(round(o_totalprice::DOUBLE * 100)::BIGINT % 1000) / 1000.0::DOUBLE"
+_BAND = "CASE WHEN {c} >= 0.95 THEN '0.95' WHEN {c} >= 0.85 THEN '0.85' WHEN {c} >= 0.7 THEN '0.70' ELSE 'below' END"
+_UNIFORM = "((('0x' || substr(md5({k}), 1, 12))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE"
+
+
+def _types_sql() -> str:
+    side = lambda own, other: f"SELECT '{own}' AS lang, {own} AS page, {other} AS partner, score, kind FROM k QUALIFY row_number() OVER (PARTITION BY {own} ORDER BY taken DESC, score DESC, {other}) = 1"
+    return f"""WITH RECURSIVE {_PAGES[5:]}{_GREEDY}, dg AS (SELECT ja, en FROM pm WHERE score >= 0.6), jn AS (SELECT ja, count(*) AS n FROM dg GROUP BY ja), en_n AS (SELECT en, count(*) AS n FROM dg GROUP BY en),
+      k AS (SELECT pm.*, asg.ja IS NOT NULL AS taken, CASE WHEN pm.score < 0.6 THEN 'weak_candidate' WHEN jn.n = 1 AND en_n.n = 1 THEN 'one_to_one' WHEN jn.n > 1 AND en_n.n = 1 THEN 'one_to_many' WHEN jn.n = 1 AND en_n.n > 1 THEN 'many_to_one' WHEN asg.ja IS NOT NULL THEN 'one_to_one' ELSE 'weak_candidate' END AS kind
+        FROM pm LEFT JOIN asg ON asg.ja = pm.ja AND asg.en = pm.en LEFT JOIN jn ON jn.ja = pm.ja LEFT JOIN en_n ON en_n.en = pm.en),
+      bo AS ({side("ja", "en")} UNION ALL {side("en", "ja")}),
+      pg AS (SELECT DISTINCT lang, path AS page FROM m UNION ALL SELECT lang, max(path) || '.more' FROM m GROUP BY lang)
+      SELECT pg.lang, pg.page, partner, score, coalesce(kind, 'unmatched') AS match_type FROM pg LEFT JOIN bo ON bo.lang = pg.lang AND bo.page = pg.page"""
+
+
+def _evaluation_sql(english: str, plain: str, both: str) -> str:
+    metrics = {"rr": "coalesce(1::DOUBLE / first, 0)", "p1": "n1 / 1::DOUBLE", "h1": "(n1 > 0)::INT::DOUBLE", "p5": "n5 / 5::DOUBLE", "h5": "(n5 > 0)::INT::DOUBLE"}
+    scores = lambda name: f"SELECT '{name}' AS system, query, {', '.join(f'round({v} * 1000000)::BIGINT AS {c}' for c, v in metrics.items())} FROM (SELECT g.query, min(rank) AS first, count(*) FILTER (WHERE rank <= 1) AS n1, count(*) FILTER (WHERE rank <= 5) AS n5 FROM go g LEFT JOIN b_{name} r ON r.query = g.query AND r.doc = g.doc GROUP BY g.query)"
+    times = " + ".join(f"({p!r}::DOUBLE < u)::INT" for p in V.POISSON)
+    long = " UNION ALL ".join(f"SELECT system, i, '{c}' AS metric, sum({c} * t)::DOUBLE / sum(t) AS mean FROM rt GROUP BY system, i HAVING sum(t) > 0" for c in metrics)
+    place = lambda share: f"round(ms[greatest(1, ceil(len(ms) * {share}::DOUBLE)::INT)] / 1000000, 6)"
+    return f"""{_EXPANDED}, {_bm25(english, _ASCII)}, {_best("b_plain", plain, 5)}, {_best("b_expanded", both, 5)}, go AS (SELECT ja AS query, en AS doc FROM g WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY ja ORDER BY score DESC, en) = 1),
+      sc AS ({scores("plain")} UNION ALL {scores("expanded")}),
+      rt AS (SELECT *, CASE WHEN i = 0 THEN 1 ELSE {times} END AS t FROM (SELECT sc.*, i, {_UNIFORM.format(k="'eval:' || i || ':' || query")} AS u FROM sc, (SELECT unnest(range(101)) AS i))),
+      lg AS ({long}), mm AS (SELECT system, metric, max(mean) FILTER (WHERE i = 0) AS value, list_sort(list(mean) FILTER (WHERE i > 0)) AS ms FROM lg GROUP BY system, metric)
+      SELECT system, metric, round(value / 1000000, 6) AS value, {place(0.025)} AS low, {place(0.975)} AS high FROM mm"""
+
+
 def oracle_sql() -> dict[str, str]:
     items = f"SELECT DISTINCT item_id AS query, unnest({_TOKENS.format(x='text', rx=_LETTERS)}) AS term, 1000 AS weight FROM benchmark"
     english = "SELECT path || '#' || block_index AS doc, text FROM m WHERE lang = 'en'"
-    asked = f"""SELECT query, term, max(weight) AS weight FROM (SELECT path || '#' || block_index AS query, unnest({_TOKENS.format(x="text", rx=_ASCII)}) AS term, 1000 AS weight FROM m WHERE lang = 'ja'
-      UNION ALL SELECT query, unnest({_TOKENS.format(x="t", rx=_ASCII)}), weight FROM ex WHERE query LIKE 'ja/%') GROUP BY query, term"""
+    plain = f"SELECT DISTINCT path || '#' || block_index AS query, unnest({_TOKENS.format(x='text', rx=_ASCII)}) AS term, 1000 AS weight FROM m WHERE lang = 'ja'"
+    asked = f"""SELECT query, term, max(weight) AS weight FROM ({plain} UNION ALL SELECT query, unnest({_TOKENS.format(x="t", rx=_ASCII)}), weight FROM ex WHERE query LIKE 'ja/%') GROUP BY query, term"""
+    words = f"SELECT DISTINCT unnest({_TOKENS.format(x='text', rx=_LETTERS)}) AS w FROM conversations"
+    grouped = "max(score) AS confidence, count(*) AS n_evidence"
+    status = f"CASE WHEN {Q._HEX} % 3 = 0 THEN 'confirmed' ELSE 'candidate' END AS status"
+    parts = "CASE WHEN ('0x' || left(k, 1))::INT < 5 THEN '/a' WHEN ('0x' || left(k, 1))::INT < 10 THEN '/b' ELSE '' END"
     return {
-        "bm25_search": f"WITH {_bm25('SELECT doc_id AS doc, text FROM documents', items, _LETTERS, 10)} SELECT query AS item_id, rank::INT AS rank, doc AS doc_id, score FROM bt",
+        "bm25_search": f"WITH {_bm25('SELECT doc_id AS doc, text FROM documents', _LETTERS)}, {_best('bt', items, 10)} SELECT query AS item_id, rank::INT AS rank, doc AS doc_id, score FROM bt",
         "expand_queries": f"{_EXPANDED} SELECT query, lang, t AS normalized_term, weight FROM ex",
-        "search_expanded": f"{_EXPANDED}, {_bm25(english, asked, _ASCII, 5)} SELECT query, rank::INT AS rank, doc AS en, score FROM bt",
+        "search_expanded": f"{_EXPANDED}, {_bm25(english, _ASCII)}, {_best('bt', asked, 5)} SELECT query, rank::INT AS rank, doc AS en, score FROM bt",
+        "search_evaluation": _evaluation_sql(english, plain, asked),
+        "spelling_variants": f"""WITH w AS (SELECT w, length(w) AS n, translate(w, 'ßäçèéêíñóöü', 'ABCDEFGHIJK') AS x FROM ({words}) WHERE length(w) >= 3) -- its levenshtein counts bytes
+            SELECT a.w AS term, b.w AS other, levenshtein(a.x, b.x) AS distance FROM w a JOIN w b ON b.n BETWEEN a.n AND a.n + 2 AND (a.n < b.n OR a.w < b.w) WHERE levenshtein(a.x, b.x) <= CASE WHEN a.n < 6 THEN 1 ELSE 2 END""",
+        "page_assignment": f"WITH RECURSIVE {_PAGES[5:]}{_GREEDY} SELECT ja, en, score FROM asg",
+        "page_types": _types_sql(),
+        "concept_redirects": """SELECT o_orderkey AS old, CASE WHEN o_custkey % 3 <> 0 OR n = 1 THEN first END AS final, CASE WHEN o_custkey % 3 <> 0 THEN r - 1 ELSE -1 END AS steps
+            FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE CASE WHEN o_custkey % 3 = 0 THEN n > 1 ELSE r > 1 END""",
+        "concept_merges": f"""{Q._PAIRS}, x AS (SELECT jn, min(concept_id) AS concept_id, {grouped}, count(DISTINCT en_n) + 1 AS n_labels, bool_and(('0x' || substr(concept_id, 17, 1))::INT % 2 = 0) AS safe FROM pr GROUP BY jn)
+            SELECT concept_id, confidence, {status}, safe AS safe_for_query_expansion, n_evidence, n_labels FROM x""",
+        "concept_splits": f"""{Q._EVIDENCE}, x AS (SELECT concept_id AS of, concept_id || {parts} AS concept_id, {grouped} FROM ev GROUP BY 1, 2), whole AS (SELECT concept_id AS of, max(score) AS confidence FROM ev GROUP BY 1)
+            SELECT x.concept_id, CASE WHEN x.concept_id = x.of THEN whole.confidence ELSE x.confidence END AS confidence, CASE WHEN x.concept_id = x.of AND {Q._HEX.replace("concept_id", "x.of")} % 3 = 0 THEN 'confirmed' ELSE 'candidate' END AS status,
+            x.concept_id = x.of AND {Q._HEX.replace("concept_id", "x.of")} % 2 = 0 AS safe_for_query_expansion, n_evidence, 2 AS n_labels FROM x JOIN whole ON x.of = whole.of""",
+        "approval_by_band": f"""WITH l AS (SELECT l_orderkey, arg_max(CASE l_returnflag WHEN 'R' THEN 'block' ELSE 'approve' END, (l_linenumber, CASE l_returnflag WHEN 'R' THEN 'block' ELSE 'approve' END)) AS action FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1)
+            SELECT band, count(*) AS reviewed, count(*) FILTER (WHERE action = 'approve') AS approved, count(*) FILTER (WHERE action = 'block') AS blocked, round(count(*) FILTER (WHERE action = 'approve')::DOUBLE / count(*), 6) AS rate
+            FROM (SELECT {_BAND.format(c=_CONFIDENCE)} AS band, action FROM orders JOIN l ON o_orderkey = l_orderkey) GROUP BY band""",
+        "review_sample": f"""SELECT band, row_number() OVER (PARTITION BY band ORDER BY draw, concept_id)::INT AS place, concept_id FROM (
+            SELECT o_orderkey AS concept_id, {_BAND.format(c=_CONFIDENCE)} AS band, -ln({_UNIFORM.format(k="'review:' || o_orderkey")}) / (1::DOUBLE - {_CONFIDENCE}) AS draw FROM orders) QUALIFY place <= 25""",
     }
 
 
 def queries() -> dict:
-    return {"bm25_search": q_bm25_search, "expand_queries": q_expand_queries, "search_expanded": q_search_expanded}
+    return {
+        "bm25_search": q_bm25_search,
+        "expand_queries": q_expand_queries,
+        "search_expanded": q_search_expanded,
+        "search_evaluation": q_search_evaluation,
+        "spelling_variants": q_spelling_variants,
+        "page_assignment": q_page_assignment,
+        "page_types": q_page_types,
+        "concept_redirects": q_concept_redirects,
+        "concept_merges": q_concept_merges,
+        "concept_splits": q_concept_splits,
+        "approval_by_band": q_approval_by_band,
+        "review_sample": q_review_sample,
+    }
