@@ -33,16 +33,15 @@ def grams(terms: DataFrame) -> DataFrame:
 
 
 def prefixes(terms: DataFrame) -> DataFrame:
-    """(lang, term, length, d, gram, pos): a term's rarest pairs of signs, 2 d + 1 of them and all that are as rare as the last: d edits
-    change 2 d pairs at most, so of two terms within d, one's prefix has a pair that the other's has too, at most d places away."""
+    """(lang, term, length, d, gram, pos): a term's 2 d + 1 rarest pairs of signs, in order of rarity, pair and place. d edits
+    change 2 d pairs at most and keep the others' order, so two terms within d have a pair in both prefixes, at most d places apart."""
     each = grams(terms.where(F.length("term") >= 3))
     counts = each.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     small = counts.count() <= MOST_BROADCAST
     ranked = each.join(F.broadcast(counts) if small else counts, ["lang", "gram"])
     ordered = F.array_sort(F.collect_list(F.struct("n", "gram", "pos")))
     rows = ranked.groupBy("lang", "term").agg(ordered.alias("g")).withColumn("length", F.length("term")).withColumn("d", allowed(F.col("length")))
-    last = F.element_at("g", F.least(F.size("g"), 2 * F.col("d") + 1))
-    first = F.filter("g", lambda x: (x["n"] < last["n"]) | ((x["n"] == last["n"]) & (x["gram"] <= last["gram"])))
+    first = F.slice("g", 1, 2 * F.col("d") + 1)
     return rows.select("lang", "term", "length", "d", F.explode(first).alias("x")).select("lang", "term", "length", "d", "x.gram", "x.pos")
 
 
@@ -51,10 +50,11 @@ def spelling_variants(terms: DataFrame) -> DataFrame:
 
     terms: (lang, term); repeated rows count once, null and empty terms have no variants. The shorter term comes first, of
     equal lengths the smaller. Only terms with a common rare pair of signs, at nearby places and with lengths that fit, are compared;
-    the length is part of the join key, so a pair of signs that many terms have is split by it."""
+    place and length are part of the join key, so a pair of signs that many terms have is split by them."""
     rows = prefixes(terms.where(F.col("lang").isNotNull() & F.col("term").isNotNull()).select("lang", "term").distinct())
-    left = rows.withColumn("fit", F.explode(F.sequence("length", F.col("length") + F.col("d"))))
-    right = rows.select("lang", "gram", F.col("length").alias("fit"), F.col("term").alias("other"), F.col("pos").alias("pos2"))
-    near = left.join(right, ["lang", "gram", "fit"]).where((F.abs(F.col("pos") - F.col("pos2")) <= F.col("d")) & ((F.col("length") < F.col("fit")) | (F.col("term") < F.col("other"))))
+    left = rows.withColumn("fit", F.explode(F.sequence("length", F.col("length") + F.col("d")))).withColumn("at", F.explode(F.sequence(F.col("pos") - F.col("d"), F.col("pos") + F.col("d"))))
+    right = rows.select("lang", "gram", F.col("length").alias("fit"), F.col("term").alias("other"), F.col("pos").alias("at"))
+    near = left.join(right, ["lang", "gram", "fit", "at"]).where((F.col("length") < F.col("fit")) | (F.col("term") < F.col("other")))
+    near = near.groupBy("lang", "term", "other").agg(F.first("d").alias("d"))  # once for a pair, however many pairs of signs it shares
     found = near.select("lang", "term", "other", F.when(F.col("d") == 1, F.levenshtein("term", "other", 1)).otherwise(F.levenshtein("term", "other", 2)).alias("distance"))
-    return found.where("distance >= 0").distinct()
+    return found.where("distance >= 0")
