@@ -46,12 +46,12 @@ class Model:
 
     keys: the sorted 64-bit hashes of all words and of the start of a text; a word's number is its place. words: (a0, a1, n0, n1, k0, k1) by
     number, after how many different words a word comes in a class, how often one comes after it, and how many different ones.
-    pairs: (key, n0, n1), sorted; see pair_keys().
+    pairs: (key, n0, n1), sorted, see pair_keys(), with counts of a byte; many: the same with whole counts, of pairs with a count of MANY.
     sums: by order and class, the numbers of all words or pairs: kinds, once, twice; and for words
     the sum of a. Words back off to the counts of both classes together, so what is rare in a class has about
     its shared probability."""
 
-    def __init__(self, keys: np.ndarray, words: list[np.ndarray], pairs: list[np.ndarray], sums: dict, kinds: int):
+    def __init__(self, keys: np.ndarray, words: list[np.ndarray], pairs: list[np.ndarray], many: list[np.ndarray], sums: dict, kinds: int):
         small = np.float32
         d = [discount(*sums["word"][k][1:3]) for k in (0, 1)]
         self.words = keys
@@ -67,10 +67,10 @@ class Model:
         n, followers = table[2:4], table[4:6]
         self.total = np.maximum(n, 1).astype(small)
         self.backoff = np.where(n > 0, np.array(d)[:, None] * followers / np.maximum(n, 1), 1.0).astype(small)
-        self.pairs = pairs[0]
-        self.pair = [np.append(x, 0).astype(small) for x in pairs[1:]]
-        for k in (0, 1):
-            np.maximum(self.pair[k] - small(d[k]), 0, out=self.pair[k])
+        self.pairs, self.many = pairs[0], many[0]
+        self.count = [np.append(x, np.uint8(0)) for x in pairs[1:]]
+        self.less = [np.maximum(np.arange(MANY + 1) - x, 0).astype(small) for x in d]
+        self.more = [np.append(np.maximum(x - y, 0), 0).astype(small) for x, y in zip(many[1:], d, strict=True)]
         self.weights = PRIOR
 
     def given(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -78,7 +78,13 @@ class Model:
         word, start = find(self.words, hashes), find(self.words, np.array([START]))[0]
         key = pair_keys(word, first, start)
         pair, before = find(self.pairs, key), (key >> U(32)).astype(np.int64)
-        return word, [self.pair[k][pair] / self.total[k][before] + self.backoff[k][before] * self.word[k][word] for k in (0, 1)]
+        large = np.flatnonzero((self.count[0][pair] == MANY) | (self.count[1][pair] == MANY))
+        at, p = find(self.many, key[large]), []
+        for k in (0, 1):
+            n = self.less[k][self.count[k][pair]]
+            n[large] = self.more[k][at]
+            p.append(n / self.total[k][before] + self.backoff[k][before] * self.word[k][word])
+        return word, p
 
     def ratios(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ln P(word | toxic) - ln P(word | ordinary) of each word, alone and given the word before."""
@@ -136,8 +142,8 @@ def word_keys(labelled: DataFrame) -> np.ndarray:
     return np.unique(np.append(found.view(np.uint64), np.uint64(START)))
 
 
-def pair_counts(labelled: DataFrame, keys: np.ndarray) -> DataFrame:
-    """(key, n0, n1) of (text, toxic): how often a word comes after another in each class. Tasks count the pairs of their own
+def pair_counts(labelled: DataFrame, keys: np.ndarray):
+    """The broadcast keys, and (key, n0, n1) of (text, toxic): how often a word comes after another in each class. Tasks count the pairs of their own
     rows; keys are the words' numbers, so a pair is one number."""
     held = labelled.sparkSession.sparkContext.broadcast(keys)
 
@@ -156,11 +162,13 @@ def pair_counts(labelled: DataFrame, keys: np.ndarray) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some.view(np.int64), n0, n1)], names=["key", "n0", "n1"])
 
     got = labelled.select("text", "toxic").mapInArrow(count, "key long, n0 long, n1 long")
-    return got.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return held, got.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 #: Pieces in which a table comes to the driver.
 PARTS = 32
+#: From this count on a pair's counts do not fit a byte. A text sample of n words has n / MANY such pairs at most.
+MANY = 255
 
 
 def packed(rows: DataFrame, part, columns: dict) -> list[np.ndarray]:
@@ -171,11 +179,11 @@ def packed(rows: DataFrame, part, columns: dict) -> list[np.ndarray]:
         frame = frame.sort_values(next(iter(columns)))
         return pd.DataFrame({"part": [key[0]], "n": [len(frame)], "cells": [b"".join(frame[c].to_numpy(np.int64).astype(t).tobytes() for c, t in columns.items())]})
 
-    got = sorted(rows.withColumn("part", part).groupBy("part").applyInPandas(run, "part long, n long, cells binary").collect())  # PARTS rows
+    got = sorted(rows.withColumn("part", part).groupBy("part").applyInPandas(run, "part long, n long, cells binary").collect(), reverse=True)  # PARTS rows
     out = [np.zeros(sum(r["n"] for r in got), t) for t in columns.values()]
     at = 0
-    for r in got:
-        first = 0
+    while got:
+        r, first = got.pop(), 0
         for x in out:
             x[at : at + r["n"]] = np.frombuffer(r["cells"], x.dtype, r["n"], first)
             first += r["n"] * x.itemsize
@@ -186,7 +194,9 @@ def packed(rows: DataFrame, part, columns: dict) -> list[np.ndarray]:
 def learn(labelled: DataFrame) -> Model:
     """The models of (text, toxic), with every word and every pair of words that occurs."""
     keys = word_keys(labelled)
-    pairs = written(pair_counts(labelled, keys), "tox-pairs")
+    held, counted = pair_counts(labelled, keys)
+    pairs = written(counted, "tox-pairs")
+    held.destroy()
     some = lambda c: F.count_if(F.col(c) > 0)
     after = pairs.groupBy(F.expr("key & 4294967295").alias("id")).agg(some("n0").alias("a0"), some("n1").alias("a1"))
     context = pairs.groupBy(F.expr("key >> 32").alias("id")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), some("n0").alias("k0"), some("n1").alias("k1"))
@@ -196,12 +206,14 @@ def learn(labelled: DataFrame) -> Model:
     sums = {kind: (lambda r: [[float(x or 0) for x in r[4 * k : 4 * k + 4]] for k in (0, 1)])(list(df.agg(*counts(f"{c}0"), *counts(f"{c}1")).first())) for kind, df, c in (("word", words, "a"), ("pair", pairs, "n"))}
     kinds = words.where("a0 + a1 > 0").count()
     step = -(-len(keys) // PARTS)  # numbers rise with the pieces, so what comes is sorted
-    ids, *found = packed(words, F.expr(f"id div {step}"), {"id": np.int64, **dict.fromkeys(columns, np.int64)})
-    table = [np.zeros(len(keys), np.int64) for _ in columns]
+    ids, *found = packed(words, F.expr(f"id div {step}"), {"id": np.uint32, **dict.fromkeys(columns, np.uint32)})
+    table = [np.zeros(len(keys), np.uint32) for _ in columns]
     for x, y in zip(table, found, strict=True):
         x[ids] = y
-    key, n0, n1 = packed(pairs, F.expr(f"(key >> 32) div {step}"), {"key": np.int64, "n0": np.uint32, "n1": np.uint32})
-    model = Model(keys, table, [key.view(np.uint64), n0, n1], sums, kinds)
+    piece, byte = F.expr(f"(key >> 32) div {step}"), {c: F.least(c, F.lit(MANY)) for c in ("n0", "n1")}
+    some = packed(pairs.withColumns(byte), piece, {"key": np.uint64, "n0": np.uint8, "n1": np.uint8})
+    many = packed(pairs.where((F.col("n0") >= MANY) | (F.col("n1") >= MANY)), piece, {"key": np.uint64, "n0": np.int64, "n1": np.int64})
+    model = Model(keys, table, some, many, sums, kinds)
     dropped(pairs, words)
     return model
 
@@ -224,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_500, folds: int
     low = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 32) - 1))
     chosen = F.broadcast(marked.where(low < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0])))  # about 2 * most_rows ids
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
-    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = written(rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "tox-texts")
     apart = F.crc32(F.concat(F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0
     model = learn(rows.where(~apart))
     held = spark.sparkContext.broadcast(model)
@@ -235,6 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_500, folds: int
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x[:, k]) for k in range(FEATURES))], names=["toxic", *(f"x{k}" for k in range(FEATURES))])
 
     got = rows.where(apart).select("text", "toxic").mapInArrow(measure, "toxic int, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toPandas()
+    held.destroy()  # the model is broadcast again with its weights
+    dropped(rows)
     y = got["toxic"].to_numpy(float)
     weight = np.ones(len(y))
     for k in (0, 1):
@@ -246,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_500, folds: int
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): one row per row of docs, whole texts, no shuffle; only the text is read. Null and empty texts and
     those without words get the score of no evidence; without a model all scores are 0. Rows that repeat an id or have none are
-    scored each by itself; an empty table gives no rows. The broadcast model has 36 bytes for each word and 16 for each pair
+    scored each by itself; an empty table gives no rows. The broadcast model has 36 bytes for each word and 10 for each pair
     of the at most about 25,000 texts that it has learned from."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
