@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from lexforge import queries as Q
 from lexforge.functions import lexicon as L
 from lexforge.operators import assignment as A
+from lexforge.operators import association as B
 from lexforge.operators import concepts as C
 from lexforge.operators import evaluation as V
 from lexforge.operators import expansion as P
+from lexforge.operators import links as N
 from lexforge.operators import matching as M
 from lexforge.operators import redirects as R
 from lexforge.operators import search as S
 from lexforge.operators import terms as T
 from lexforge.operators import variants as W
 from lexforge.plans.scratch import Scratch
+from lexforge.sources import html
 
 
 def q_bm25_search(spark, sf):
@@ -141,20 +144,107 @@ def q_search_evaluation(spark, sf):
 
 def q_approval_by_band(spark, sf):
     """Orders as concepts, their line items as reviews."""
-    concepts = Q.table(spark, sf, "orders").select(F.col("o_orderkey").alias("concept_id"), (F.round(F.col("o_totalprice") * 100).cast("long") % 1000 / 1000.0).alias("confidence"))
+    concepts = Q.table(spark, sf, "orders").select(F.col("o_orderkey").alias("concept_id"), ((F.col("o_totalprice") * 100).cast("long") % 1000 / 1000.0).alias("confidence"))
     actions = Q.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("target_id"), F.when(F.col("l_returnflag") == "R", "block").when(F.col("l_returnflag") == "A", "approve").otherwise("defer").alias("action"), F.col("l_linenumber").alias("row_version"))
     return V.approval_by_band(concepts, actions.where("action <> 'defer'"))
 
 
 def q_review_sample(spark, sf):
     """Of each band 25 concepts, by weight of what they lack to certainty."""
-    rows = Q.table(spark, sf, "orders").select(F.col("o_orderkey").alias("concept_id"), (F.round(F.col("o_totalprice") * 100).cast("long") % 1000 / 1000.0).alias("confidence"))
+    rows = Q.table(spark, sf, "orders").select(F.col("o_orderkey").alias("concept_id"), ((F.col("o_totalprice") * 100).cast("long") % 1000 / 1000.0).alias("confidence"))
     rows = rows.select("concept_id", V.band(F.col("confidence")).alias("band"), (F.lit(1.0) - F.col("confidence")).alias("weight"))
     return V.review_sample(rows, "concept_id", "band", "weight", 25).select("band", "place", "concept_id")
 
 
+def _made_pages(spark, sf):
+    return spark.sql(PAGE_SQL.replace("FROM part", "FROM {part}"), part=Q.table(spark, sf, "part"))
+
+
+def q_html_manual(spark, sf):
+    """Blocks of pages with safety notices, lists, tables and nested parts, by the parser."""
+    rows = html.extract_pages(_made_pages(spark, sf))
+    return rows.select("page", F.explode("blocks").alias("b")).select("page", "b.block_index", "b.block_type", "b.text", "b.heading_path", "b.dom_path")
+
+
+def q_html_images(spark, sf):
+    rows = html.extract_pages(_made_pages(spark, sf))
+    return rows.select("page", "title", F.array_join("images", " ").alias("images"), F.array_join("headings", "|").alias("headings"))
+
+
+def q_html_udtf(spark, sf):
+    """The parser as a table function in SQL."""
+    html.extract_html_udtf(spark, "extract_html")
+    return spark.sql("SELECT page_id, b.block_index, b.block_type, b.text, b.heading_path, b.dom_path FROM {pages}, LATERAL extract_html(html) b", pages=Q.table(spark, sf, "pages"))
+
+
+def _path(url="url"):
+    return F.regexp_extract(url, r"^[a-z]+://[^/?#]*(/[^?#]*)?", 1)
+
+
+def q_page_links(spark, sf):
+    """Links of pages as they are, and seven more of each page: to itself, with dots, with a query only, to another host."""
+    pages = Q.table(spark, sf, "pages")
+    own = lambda *parts: F.concat(F.lit('<A class=x HREF="'), *parts, F.lit('">x</A>'))
+    more = F.concat(own(_path()), own(F.lit("/a/../b/."), _path()), own(F.lit("x/./y/../../z?q=1#f")), own(F.lit("?p=2")), own(F.lit("//h.example/q")), own(F.lit("mailto:a@b")), own(F.lit("#top")))
+    return N.page_links(pages.withColumn("html", F.concat("html", more))).select("page_id", "place", "target")
+
+
+def q_link_graph(spark, sf):
+    pages = Q.table(spark, sf, "pages")
+    pages = pages.withColumn("html", F.concat("html", F.lit("<a href='"), _path(), F.lit("'>x</a>")))
+    return N.link_graph(pages, N.page_links(pages))
+
+
+def q_term_association(spark, sf):
+    rows = Q.pairs(spark, sf).select(*[F.concat(f"{s}.path", F.lit("#"), F.col(f"{s}.block_index").cast("string")).alias(s) for s in ("ja", "en")], "ja_norm", "en_norm")
+    return B.translation_table(rows).select("ja_norm", "en_norm", F.round("p", 6).alias("p"))
+
+
 # --- SQL ------------------------------------------------------------------------
 
+_CLASS = "CASE p_partkey % 5 WHEN 0 THEN 'Warning big' WHEN 1 THEN 'caution' WHEN 2 THEN 'x note' WHEN 3 THEN 'prohibited' ELSE 'plain' END"
+_START = "CASE p_partkey % 3 WHEN 0 THEN 'CAUTION: hot' WHEN 1 THEN 'Noted plainly' ELSE 'Plain words' END"
+#: A page for each part, in Spark and in the other engine.
+PAGE_SQL = f"""SELECT p_partkey AS page, concat('<html><head><title>T ', CAST(p_partkey AS STRING), '</title><style>p[x]</style></head><body><h1>', p_name, '</h1><div class="', {_CLASS}, '">Part  <b>', p_name, '</b><!-- c --></div><ol><li>Step ', CAST(p_partkey AS STRING),
+  '<li>Step ', CAST(p_partkey AS STRING), '</ol><ul><li>Item &amp; more</ul><h2>Sub</h2><table><tr><td>Size<td>', CAST(p_size AS STRING), '</table><p>', {_START}, '<div><p>Inner</p></div><img src="a/b', CAST(p_partkey AS STRING), '.png"><img alt="no"><h3></h3><h2>Last</h2><p>End</body></html>') AS html FROM part"""
+#: The blocks of pages whose list items, ads, headings and paragraphs hold no further blocks.
+_BLOCKS = """WITH x AS (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<(?:li|div|h1|p)(?: [^>]*)?>(?:[^<]|<(?:/?a|/?b|br)(?: [^>]*)?>)*') AS l FROM pages),
+y AS (SELECT page_id, i, raw, regexp_extract(raw, '^<([a-z0-9]+)', 1) AS tag, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM (SELECT page_id, unnest(l) AS raw, unnest(range(len(l))) AS i FROM x)),
+z AS (SELECT * FROM y WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY page_id, raw ORDER BY i) = 1),
+k AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)^(警告|warning)') THEN 'warning' WHEN regexp_matches(text, '(?i)^(注意|caution)') THEN 'caution' WHEN regexp_matches(text, '(?i)^(参考|note)') THEN 'note' WHEN regexp_matches(text, '(?i)^(禁止|prohibited|prohibition)') THEN 'prohibition'
+  WHEN tag = 'h1' THEN 'heading' WHEN tag = 'li' THEN 'list_item' WHEN tag = 'p' THEN 'paragraph' ELSE 'block' END AS block_type FROM z)
+SELECT page_id, (row_number() OVER w - 1)::INT AS block_index, block_type, text, last_value(CASE WHEN block_type = 'heading' THEN text END IGNORE NULLS) OVER w AS heading_path,
+  CASE tag WHEN 'li' THEN 'html/body/nav/ul/li' WHEN 'div' THEN 'html/body/div' ELSE 'html/body/article/' || tag END AS dom_path FROM k WINDOW w AS (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+_MANUAL_BLOCKS = f"""SELECT p_partkey AS page, i::INT AS block_index, t AS block_type, text, path AS heading_path, dom AS dom_path FROM (
+  SELECT p_partkey, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS i,
+  unnest(['heading', CASE p_partkey % 5 WHEN 0 THEN 'warning' WHEN 1 THEN 'caution' WHEN 2 THEN 'note' WHEN 3 THEN 'prohibition' ELSE 'block' END, 'procedure', 'list_item', 'heading', 'table_row', CASE p_partkey % 3 WHEN 0 THEN 'caution' WHEN 1 THEN 'note' ELSE 'paragraph' END, 'paragraph', 'heading', 'paragraph']) AS t,
+  unnest([p_name, 'Part ' || p_name, 'Step ' || p_partkey, 'Item & more', 'Sub', 'Size ' || p_size, {_START}, 'Inner', 'Last', 'End']) AS text,
+  unnest([p_name, p_name, p_name, p_name, p_name || ' > Sub', p_name || ' > Sub', p_name || ' > Sub', p_name || ' > Sub', p_name || ' > Last', p_name || ' > Last']) AS path,
+  unnest(['html/body/h1', 'html/body/div', 'html/body/ol/li', 'html/body/ul/li', 'html/body/h2', 'html/body/table/tr', 'html/body/p', 'html/body/div/p', 'html/body/h2', 'html/body/p']) AS dom FROM part)"""
+
+
+def _links_sql() -> str:
+    root, path = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)", "regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)?', 1)"
+    folder = f"CASE WHEN {path} = '' THEN '/' ELSE regexp_replace({path}, '[^/]*$', '') END"
+    bare = "regexp_replace(url, '#.*$', '')"
+    own = [f"CASE WHEN {path} = '' THEN {bare} ELSE {root} || {path} END", f"{root} || '/b/.' || CASE WHEN {path} = '' THEN '' ELSE {path} END", f"{root} || {folder} || 'z?q=1'", f"{root} || {path} || '?p=2'", "regexp_extract(url, '^([a-z]+:)', 1) || '//h.example/q'", "NULL", bare]
+    own[1] = f"{root} || CASE WHEN {path} = '' THEN '/b/' ELSE '/b' || {path} END"
+    return f"""WITH l AS (SELECT page_id, list_concat(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: {root} || h), [{", ".join(own)}]) AS t FROM pages)
+      SELECT page_id, unnest(range(len(t)))::INT AS place, unnest(t) AS target FROM l"""
+
+
+_GRAPH = r"""WITH l AS (SELECT page_id, list_concat(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h),
+  [CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)?', 1) = '' THEN regexp_replace(url, '#.*$', '') ELSE regexp_extract(url, '^([a-z]+://[^?#]*)', 1) END]) AS t FROM pages),
+e AS (SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(t) AS target FROM l) GROUP BY ALL), k AS (SELECT regexp_replace(url, '#.*$', '') AS target, min(page_id) AS to_page FROM pages GROUP BY 1)
+SELECT e.page_id, e.target, n, to_page FROM e LEFT JOIN k ON k.target = e.target"""
+
+
+def _association_sql() -> str:
+    rounds = ", ".join(f"""s{k} AS (SELECT c.*, {"1::DOUBLE" if k == 1 else "p"} AS p FROM cb c{"" if k == 1 else f" JOIN t{k - 1} t ON t.jn = c.jn AND t.en_n = c.en_n"}),
+      c{k} AS (SELECT jn, en_n, sum(p / d) AS c FROM (SELECT *, sum(p) OVER (PARTITION BY ja, en, en_n) AS d FROM s{k}) GROUP BY jn, en_n), t{k} AS (SELECT jn, en_n, c / sum(c) OVER (PARTITION BY jn) AS p FROM c{k})""" for k in range(1, 6))
+    return f"{Q._PAIRS}, cb AS (SELECT DISTINCT ja, en, jn, en_n FROM pr), {rounds} SELECT jn AS ja_norm, en_n AS en_norm, round(p, 6) AS p FROM t5"
+
+
 _TOKENS = r"regexp_extract_all(lower(coalesce({x}, '')), '{rx}')"
 _LETTERS, _ASCII = r"[\p{L}\p{N}]+", "[a-z0-9]+"
 
@@ -197,7 +287,7 @@ gr AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS js, []::VARCHAR[] AS es, NULL::VA
   UNION ALL SELECT pe.i, CASE WHEN ok THEN list_append(js, pe.ja) ELSE js END, CASE WHEN ok THEN list_append(es, pe.en) ELSE es END, CASE WHEN ok THEN pe.ja END, pe.en, pe.score
   FROM (SELECT gr.js, gr.es, pe.*, NOT list_contains(gr.js, pe.ja) AND NOT list_contains(gr.es, pe.en) AS ok FROM gr JOIN pe ON pe.i = gr.i + 1) pe),
 asg AS (SELECT ja, en, score FROM gr WHERE ja IS NOT NULL)"""
-_CONFIDENCE = "(round(o_totalprice::DOUBLE * 100)::BIGINT % 1000) / 1000.0::DOUBLE"
+_CONFIDENCE = "((o_totalprice * 100)::BIGINT % 1000) / 1000.0::DOUBLE"
 _BAND = "CASE WHEN {c} >= 0.95 THEN '0.95' WHEN {c} >= 0.85 THEN '0.85' WHEN {c} >= 0.7 THEN '0.70' ELSE 'below' END"
 _UNIFORM = "((('0x' || substr(md5({k}), 1, 12))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE"
 
@@ -235,12 +325,19 @@ def oracle_sql() -> dict[str, str]:
     status = f"CASE WHEN {Q._HEX} % 3 = 0 THEN 'confirmed' ELSE 'candidate' END AS status"
     parts = "CASE WHEN ('0x' || left(k, 1))::INT < 5 THEN '/a' WHEN ('0x' || left(k, 1))::INT < 10 THEN '/b' ELSE '' END"
     return {
+        "html_blocks": _BLOCKS,
+        "html_udtf": _BLOCKS,
+        "html_manual": _MANUAL_BLOCKS,
+        "html_images": "SELECT p_partkey AS page, 'T ' || p_partkey AS title, 'a/b' || p_partkey || '.png' AS images, p_name || '|Sub|Last' AS headings FROM part",
+        "page_links": _links_sql(),
+        "link_graph": _GRAPH,
+        "term_association": _association_sql(),
         "bm25_search": f"WITH {_bm25('SELECT doc_id AS doc, text FROM documents', _LETTERS)}, {_best('bt', items, 10)} SELECT query AS item_id, rank::INT AS rank, doc AS doc_id, score FROM bt",
         "expand_queries": f"{_EXPANDED} SELECT query, lang, t AS normalized_term, weight FROM ex",
         "search_expanded": f"{_EXPANDED}, {_bm25(english, _ASCII)}, {_best('bt', asked, 5)} SELECT query, rank::INT AS rank, doc AS en, score FROM bt",
         "search_evaluation": _evaluation_sql(english, plain, asked),
-        "spelling_variants": f"""WITH w AS (SELECT w, length(w) AS n, translate(w, 'ßäçèéêíñóöü', 'ABCDEFGHIJK') AS x FROM ({words}) WHERE length(w) >= 3) -- its levenshtein counts bytes
-            SELECT a.w AS term, b.w AS other, levenshtein(a.x, b.x) AS distance FROM w a JOIN w b ON b.n BETWEEN a.n AND a.n + 2 AND (a.n < b.n OR a.w < b.w) WHERE levenshtein(a.x, b.x) <= CASE WHEN a.n < 6 THEN 1 ELSE 2 END""",
+        "spelling_variants": f"""WITH w AS (SELECT w, length(w) AS n FROM ({words}) WHERE length(w) >= 3)
+            SELECT a.w AS term, b.w AS other, levenshtein(a.w, b.w) AS distance FROM w a JOIN w b ON b.n BETWEEN a.n AND a.n + 2 AND (a.n < b.n OR a.w < b.w) WHERE levenshtein(a.w, b.w) <= CASE WHEN a.n < 6 THEN 1 ELSE 2 END""",
         "page_assignment": f"WITH RECURSIVE {_PAGES[5:]}{_GREEDY} SELECT ja, en, score FROM asg",
         "page_types": _types_sql(),
         "concept_redirects": """SELECT o_orderkey AS old, CASE WHEN o_custkey % 3 <> 0 OR n = 1 THEN first END AS final, CASE WHEN o_custkey % 3 <> 0 THEN r - 1 ELSE -1 END AS steps
@@ -250,7 +347,7 @@ def oracle_sql() -> dict[str, str]:
         "concept_splits": f"""{Q._EVIDENCE}, x AS (SELECT concept_id AS of, concept_id || {parts} AS concept_id, {grouped} FROM ev GROUP BY 1, 2), whole AS (SELECT concept_id AS of, max(score) AS confidence FROM ev GROUP BY 1)
             SELECT x.concept_id, CASE WHEN x.concept_id = x.of THEN whole.confidence ELSE x.confidence END AS confidence, CASE WHEN x.concept_id = x.of AND {Q._HEX.replace("concept_id", "x.of")} % 3 = 0 THEN 'confirmed' ELSE 'candidate' END AS status,
             x.concept_id = x.of AND {Q._HEX.replace("concept_id", "x.of")} % 2 = 0 AS safe_for_query_expansion, n_evidence, 2 AS n_labels FROM x JOIN whole ON x.of = whole.of""",
-        "approval_by_band": f"""WITH l AS (SELECT l_orderkey, arg_max(CASE l_returnflag WHEN 'R' THEN 'block' ELSE 'approve' END, (l_linenumber, CASE l_returnflag WHEN 'R' THEN 'block' ELSE 'approve' END)) AS action FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1)
+        "approval_by_band": f"""WITH l AS (SELECT l_orderkey, arg_max(CASE l_returnflag WHEN 'R' THEN 'block' ELSE 'approve' END, l_linenumber) AS action FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1)
             SELECT band, count(*) AS reviewed, count(*) FILTER (WHERE action = 'approve') AS approved, count(*) FILTER (WHERE action = 'block') AS blocked, round(count(*) FILTER (WHERE action = 'approve')::DOUBLE / count(*), 6) AS rate
             FROM (SELECT {_BAND.format(c=_CONFIDENCE)} AS band, action FROM orders JOIN l ON o_orderkey = l_orderkey) GROUP BY band""",
         "review_sample": f"""SELECT band, row_number() OVER (PARTITION BY band ORDER BY draw, concept_id)::INT AS place, concept_id FROM (
@@ -272,4 +369,10 @@ def queries() -> dict:
         "concept_splits": q_concept_splits,
         "approval_by_band": q_approval_by_band,
         "review_sample": q_review_sample,
+        "html_manual": q_html_manual,
+        "html_images": q_html_images,
+        "html_udtf": q_html_udtf,
+        "page_links": q_page_links,
+        "link_graph": q_link_graph,
+        "term_association": q_term_association,
     }
