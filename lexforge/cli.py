@@ -22,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
 
     need, text, number, whole = {"required": True}, {}, lambda d: {"type": float, "default": d}, lambda d: {"type": int, "default": d}
     command("init-db")
+    command("verify")
     command("ingest", ("--lang", {"required": True, "choices": ["ja", "en"]}), ("--input", need))
     command("match-pages", ("--min-score", number(0.25)), ("--top-k", whole(5)))
     command("match-blocks", ("--min-score", number(0.20)), ("--top-k", whole(5)))
@@ -43,6 +44,9 @@ def parser() -> argparse.ArgumentParser:
 def run(store: Store, a: argparse.Namespace) -> tuple[dict, int]:
     if a.command == "init-db":
         return {"db": a.db}, 0
+    if a.command == "verify":
+        wrong = store.verify()
+        return {"wrong": len(wrong), **dict(wrong)}, int(bool(wrong))
     if a.command == "ingest":
         out = store.ingest(a.lang, a.input)
         return out, int(out["errors"] > 0)

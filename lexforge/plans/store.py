@@ -8,7 +8,7 @@ import os
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions import lexicon as L
@@ -43,6 +43,20 @@ def now() -> str:
     return datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds")
 
 
+#: Where a commit keeps the sums of its folders.
+MANIFEST = "_manifest"
+
+
+def _sums(names: list[str]) -> list:
+    """Number of rows, and sum and exclusive or of their hashes: the same in any order of rows."""
+    row = F.xxhash64(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}))
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).alias("sum"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("xor")]
+
+
+def _shown(sums: dict) -> dict:
+    return {"rows": int(sums["rows"]), "sum": str(int(sums["sum"])), "xor": int(sums["xor"])}
+
+
 def _counted(cached: DataFrame) -> int:
     """Rows of a cached table, which is let go."""
     n = cached.count()
@@ -125,16 +139,20 @@ class Store:
         replaced, appended = replaced or {}, appended or {}
         before = self._newest()[1]
         base = {t: self._seen.get(t, before.get(t, [])) for t in replaced}
-        new = {}
+        new, sums = {}, {}
         for table, df in [*replaced.items(), *appended.items()]:
             new[table] = uuid.uuid4().hex
             names = [f.name for f in self.spark.createDataFrame([], SCHEMAS[table]).schema]
-            df.select(*names).write.parquet(f"{self.root}/{table}/{new[table]}")
+            seen = Observation()
+            df.select(*names).observe(seen, *_sums(names)).write.parquet(f"{self.root}/{table}/{new[table]}")
+            sums[f"{table}/{new[table]}"] = _shown(seen.get)
         while True:
             number, tables = self._newest()
             if any(tables.get(t, []) != base[t] for t in replaced):
                 raise RuntimeError("another command has changed the same tables meanwhile; run this one again")
             state = {**tables, **{t: [new[t]] for t in replaced}, **{t: [*tables.get(t, []), new[t]] for t in appended}}
+            named = {f"{t}/{f}" for t, folders in state.items() if t != MANIFEST for f in folders}
+            state[MANIFEST] = {k: v for k, v in (tables.get(MANIFEST, {}) | sums).items() if k in named}
             if self._publish(number + 1, state):
                 self._seen.update({t: state[t] for t in new})
                 return
@@ -150,7 +168,7 @@ class Store:
         """Deletes all commits but the `keep` newest, the folders that none of those names, and what commands that died have
         left. No other command may run meanwhile: what it has written is not named yet."""
         numbers = self._commits()
-        used = {(t, f) for n in numbers[-keep:] for t, folders in self._tables(n).items() for f in folders}
+        used = {(t, f) for n in numbers[-keep:] for t, folders in self._tables(n).items() if t != MANIFEST for f in folders}
         for n in numbers[:-keep]:
             self._fs.delete(self._path(f"{self.root}/_commits/{n:09d}.json"), True)
         for table in SCHEMAS:
@@ -164,6 +182,22 @@ class Store:
             if s.getPath().getName().endswith(".draft"):
                 self._fs.delete(s.getPath(), True)
 
+    def verify(self) -> list[tuple[str, str]]:
+        """(table/folder, what is wrong) of the newest state: rows that have changed, are missing or are there twice since they were
+        written. Works on a copy of the store as well, as a commit names folders below its root."""
+        wrong = []
+        for key, want in sorted(self._newest()[1].get(MANIFEST, {}).items()):
+            table = key.partition("/")[0]
+            names = [f.name for f in self.spark.createDataFrame([], SCHEMAS[table]).schema]
+            try:
+                got = _shown(self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{key}").agg(*_sums(names)).first().asDict())
+            except Exception as e:  # a folder or file that is not there or not readable is what this looks for
+                wrong.append((key, f"not readable: {type(e).__name__}"))
+                continue
+            if got != want:
+                wrong.append((key, f"{got['rows']} rows for {want['rows']}" if got["rows"] != want["rows"] else "other rows"))
+        return wrong
+
     # --- commands ---
 
     def ingest(self, lang: str, folder: str) -> dict[str, int]:

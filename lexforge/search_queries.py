@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,9 @@ from lexforge.operators import redirects as R
 from lexforge.operators import search as S
 from lexforge.operators import terms as T
 from lexforge.operators import variants as W
-from lexforge.plans.scratch import Scratch
-from lexforge.sources import html
+from lexforge.plans.scratch import Scratch, shared_folder
+from lexforge.plans.store import Store
+from lexforge.sources import files, html
 
 
 def q_bm25_search(spark, sf):
@@ -200,6 +203,26 @@ def q_term_association(spark, sf):
     return B.translation_table(rows).select("ja_norm", "en_norm", F.round("p", 6).alias("p"))
 
 
+def q_store_review(spark, sf):
+    """A review file through the store: a dry run that changes nothing, then the import; what is left of each concept, the audit's and the report's rows."""
+    e = Q._events(spark, sf)
+    store = Store(spark, f"{shared_folder(spark)}/lexforge-files/{uuid.uuid4().hex}")
+    none = F.lit(None)
+    concepts = e.select(F.col("target_id").alias("concept_id")).distinct()
+    concepts = concepts.select("concept_id", *[none.cast("string").alias(c) for c in ("concept_type", "category", "canonical_label_ja", "canonical_label_en", "confidence_json", "confidence_version")], F.lit(0.5).alias("confidence"), F.lit("review_ready").alias("status"), F.lit(False).alias("safe_for_query_expansion"), F.lit(False).alias("safe_for_answer_generation"))
+    store.commit({"concepts": concepts})
+    rows = e.select(F.col("event_id").alias("file_row"), F.col("target_id").alias("concept_id"), F.when(F.col("event_type") == "view", "inspect").otherwise(F.col("action")).alias("action"), F.lit("rev").alias("reviewer"), F.lit("why").alias("reason"), F.lit("code").alias("reason_code"))
+    report = f"{store.root}/report.csv"
+    tried = store.review(rows, dry_run=True, report=report, single=True)
+    before = store.read("review_actions").count()
+    done = store.review(rows, report=report, single=True)
+    told = files.read_review_file(spark, report)
+    per = store.read("review_actions").groupBy(F.col("target_id").alias("concept_id")).agg(F.count(F.lit(1)).alias("n_actions"), F.max("row_version").alias("last_version"), F.min(F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\+00:00$")).alias("dated"))
+    shown = told.groupBy("concept_id").agg(F.count_if(F.col("import_status") == "applied").alias("n_applied"), F.count_if(F.col("import_status") == "skipped").alias("n_skipped"))
+    out = store.read("concepts").select("concept_id", "status").join(per, "concept_id", "left").join(shown, "concept_id", "left")
+    return out.withColumns({"dry_actions": F.lit(before).cast("long"), "valid": F.lit(tried.actions_valid).cast("long"), "applied": F.lit(done.actions_applied).cast("long"), "dry_applied": F.lit(tried.actions_applied).cast("long"), "wrong": F.lit(len(store.verify())).cast("long")})
+
+
 # --- SQL ------------------------------------------------------------------------
 
 _CLASS = "CASE p_partkey % 5 WHEN 0 THEN 'Warning big' WHEN 1 THEN 'caution' WHEN 2 THEN 'x note' WHEN 3 THEN 'prohibited' ELSE 'plain' END"
@@ -325,6 +348,10 @@ def oracle_sql() -> dict[str, str]:
     status = f"CASE WHEN {Q._HEX} % 3 = 0 THEN 'confirmed' ELSE 'candidate' END AS status"
     parts = "CASE WHEN ('0x' || left(k, 1))::INT < 5 THEN '/a' WHEN ('0x' || left(k, 1))::INT < 10 THEN '/b' ELSE '' END"
     return {
+        "store_review": f"""WITH e AS ({Q._EVENTS}), v AS (SELECT * FROM e WHERE event_type <> 'view'), n AS (SELECT count(*) AS n FROM v),
+            a AS (SELECT target_id, count(*) AS n, arg_max(new_status, event_id) AS status FROM v GROUP BY 1), c AS (SELECT target_id, count(*) AS total FROM e GROUP BY 1)
+            SELECT c.target_id AS concept_id, coalesce(a.status, 'review_ready') AS status, a.n AS n_actions, a.n - 1 AS last_version, CASE WHEN a.n > 0 THEN true END AS dated, coalesce(a.n, 0) AS n_applied, total - coalesce(a.n, 0) AS n_skipped, 0 AS dry_actions, n.n AS valid, n.n AS applied, 0 AS dry_applied, 0 AS wrong
+            FROM c LEFT JOIN a ON a.target_id = c.target_id, n""",
         "html_blocks": _BLOCKS,
         "html_udtf": _BLOCKS,
         "html_manual": _MANUAL_BLOCKS,
@@ -369,6 +396,7 @@ def queries() -> dict:
         "concept_splits": q_concept_splits,
         "approval_by_band": q_approval_by_band,
         "review_sample": q_review_sample,
+        "store_review": q_store_review,
         "html_manual": q_html_manual,
         "html_images": q_html_images,
         "html_udtf": q_html_udtf,

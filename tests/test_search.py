@@ -210,3 +210,46 @@ def test_review_sample(spark):
     heavy = sum(1 for *_, i in large if i % 2 == 0)
     assert 0.68 < heavy / 600 < 0.80  # three of four draws, while few are drawn
     assert not {i for *_, i in large} & {9001, 9002, 9003}
+
+
+def test_links(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    from lexforge.operators import links as N
+
+    bases = ["http://a.example", "http://a.example/", "https://a.example/x/y.html?q=1#f", "http://a.example/x/../y/", "http://a.example?q"]
+    hrefs = ["", "#top", "z", "z.html#k", "./z", "../z", "../../../z", "/z/./w/..", "?n=1", "//b.example/p", "ftp://c/d", "z?x=/../y", "a/b/../../c", ".", "..", "&amp;x", "%20 y"]
+    rows = [(i * 100 + j, b, f"<p><a class='k' href=\"{h}\">t</a>") for i, b in enumerate(bases) for j, h in enumerate(hrefs)]
+    pages = spark.createDataFrame([*rows, (900, None, "<a href=z>"), (901, "http://a.example/", None), (902, "http://a.example/k", "<!-- <a href='no'> --><script>'<a href=\"no\">'</script><A HREF = 'mailto:x@y'>m</A><a name=n>")], "page_id int, url string, html string")
+    got = {(r["page_id"], r["place"]): r["target"] for r in N.page_links(pages).collect()}
+    for k, b, _ in rows:
+        h = hrefs[k % 100].replace("&amp;", "&").strip()
+        want = urldefrag(urljoin(b, h))[0] if h and h != "#top" else urldefrag(b)[0]
+        assert got[k, 0] in (want, want + "/", want.replace("example?", "example/?")), (b, h)
+    assert got[900, 0] is None and got[902, 0] is None and len(got) == len(rows) + 2
+    site = spark.createDataFrame([(1, "http://h/a", "<a href=b>x</a><a href='b#k'>y</a><a href='gone'>z</a>"), (2, "http://h/b#f", "<img src=i alt='A &amp; B'><img alt=''>"), (3, "http://h/b", "")], "page_id int, url string, html string")
+    assert {tuple(r) for r in N.link_graph(site, N.page_links(site)).collect()} == {(1, "http://h/b", 2, 2), (1, "http://h/gone", 1, None)}
+    assert [tuple(r) for r in N.image_texts(site).collect()] == [(2, 0, "A & B")]
+
+
+def test_translation_table(spark):
+    from lexforge.operators import association as B
+
+    rng = random.Random(8)
+    blocks = [(f"j{i}", f"e{i}", rng.sample("abcde", 3), rng.sample("vwxyz", 2)) for i in range(30)]
+    rows = [(j, e, a, b) for j, e, xs, ys in blocks for a in xs for b in ys]
+    table = collections.defaultdict(lambda: 1.0)
+    for _ in range(5):
+        counts = collections.Counter()
+        for _, _, xs, ys in blocks:
+            for b in ys:
+                total = sum(table[a, b] for a in xs)
+                for a in xs:
+                    counts[a, b] += table[a, b] / total
+        sums = collections.Counter()
+        for (a, _), c in counts.items():
+            sums[a] += c
+        table = {k: c / sums[k[0]] for k, c in counts.items()}
+    got = {(r["ja_norm"], r["en_norm"]): r["p"] for r in B.translation_table(spark.createDataFrame([*rows, *rows[:4], ("j1", "e1", None, "v")], "ja string, en string, ja_norm string, en_norm string")).collect()}
+    assert got.keys() == table.keys() and all(abs(got[k] - p) < 1e-9 for k, p in table.items())
+    assert all(abs(sum(p for (a, _), p in got.items() if a == x) - 1) < 1e-9 for x in "abcde")

@@ -248,6 +248,33 @@ def test_no_commit_is_lost(spark, tmp_path):
     assert names() == list("abcdefghi") and not [f for f in os.listdir(tmp_path / "db" / "_commits") if f.endswith(".draft")]
 
 
+def test_manifest(spark, tmp_path):
+    """A copy with a changed, a lost or a doubled row is found; one as it was written is not."""
+    import shutil
+
+    store = Store(spark, str(tmp_path / "db"))
+    store.append("review_actions", event_rows(spark, *"abcd").coalesce(2))
+    store.append("review_actions", event_rows(spark, "e"))
+    store.write("evidence", spark.createDataFrame([("k", "c", ("p", 1), ("q", 2), "t", 0.5, False, ({"dtc": ["P1"], "torque": []}, [], None, "v"), "x", None)], SCHEMAS["evidence"]))
+    assert store.verify() == []
+    folder = lambda root: next(p for p in (root / "review_actions").iterdir() if spark.read.parquet(str(p)).count() == 4)
+    rows = event_rows(spark, *"abcd")
+    bad = {"changed": rows.withColumn("reviewer", F.when(F.col("target_id") == "b", "you").otherwise(F.col("reviewer"))), "lost": rows.where("target_id <> 'b'"), "doubled": rows.unionByName(rows.where("target_id = 'b'")), "twice": rows.unionByName(rows)}
+    for name, df in bad.items():
+        copy = tmp_path / name
+        shutil.copytree(tmp_path / "db", copy)
+        df.write.mode("overwrite").parquet(str(folder(copy)))
+        assert [k.partition("/")[0] for k, _ in Store(spark, str(copy)).verify()] == ["review_actions"], name
+    shutil.copytree(tmp_path / "db", tmp_path / "gone")
+    shutil.move(str(folder(tmp_path / "gone")), str(tmp_path / "elsewhere"))
+    assert "not readable" in Store(spark, str(tmp_path / "gone")).verify()[0][1]
+    shutil.copytree(tmp_path / "db", tmp_path / "other")
+    rows.orderBy(F.desc("target_id")).coalesce(1).write.mode("overwrite").parquet(str(folder(tmp_path / "other")))
+    assert Store(spark, str(tmp_path / "other")).verify() == []  # order and files do not matter
+    store.vacuum(1)
+    assert store.verify() == [] and cli.run(store, cli.parser().parse_args(["verify", "--db", "x"])) == ({"wrong": 0}, 0)
+
+
 def test_scores_do_not_depend_on_partitions(spark):
     """Means that end in a five at the seventh place, and many summands, under several partitionings."""
     rows = [(f"c{i % 40}", "x" if i % 3 else "y", round((i * 7919 % 1000) / 1000 + i % 2 / 1e6, 6), i % 11 == 0, i % 5 == 0, i % 7 == 0, False) for i in range(4000)]
@@ -263,7 +290,7 @@ def test_scores_do_not_depend_on_partitions(spark):
 
 def test_cli_surface():
     names = cli.parser()._subparsers._group_actions[0].choices
-    assert len(names) == 15 and cli.parser().parse_args(["match-blocks", "--db", "x"]).min_score == 0.20
+    assert len(names) == 16 and cli.parser().parse_args(["match-blocks", "--db", "x"]).min_score == 0.20
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["ingest", "--db", "x", "--lang", "fr", "--input", "y"])
 
