@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import lexicon as L
 from lexforge.functions import text as X
+from lexforge.plans.scratch import Scratch
 
 TYPES = sorted(L.ANCHOR_WEIGHTS)
 HEADING, TABLE = len(TYPES), len(TYPES) + 1
 FIRST = ord("a")
 STRINGS = "array<string>"
+#: Segments of the English rows, at most.
+SEGMENTS = 4096
 
 
 def _feature(kind: int, value: Column) -> Column:
@@ -60,6 +63,44 @@ def _combinations(pool: Column, weights: list[float]) -> Column:
     return F.aggregate(types, nothing, extended)
 
 
+def _score(bits: Column, weights: list[float]) -> Column:
+    total = reduce(lambda a, b: a + b, [F.when(bits.bitwiseAND(1 << i) != 0, w).otherwise(0.0) for i, w in enumerate(weights)])
+    return F.round(F.least(total, F.lit(1.0)), 6)
+
+
+def segment_pairs(ja: DataFrame, en: DataFrame, weights: list[float], least: float, k: int, size: int = 256, growth: int = 8) -> DataFrame:
+    """(ja, en, bits): the k best English rows of each Japanese row by the features of x alone, of those that score at least `least`.
+
+    ja: (ja, x), en: (en, x). English rows stand in segments by id, `size` rows or a part in SEGMENTS of all. No row of a segment can share
+    more types than the segment's features do. Segments come in rounds, in order of ids, each round `growth` times as many; a row meets
+    only those in which more can be reached than its k-th score, as equal scores of later ids come after. A row that has
+    its k rows with all the types that it has itself is done: so values that all rows share end after the first segment."""
+    scratch = Scratch(ja.sparkSession)
+    parts = max(1, min(SEGMENTS, -(-en.count() // size)))
+    rows = scratch.write(en.select("en", F.col("x").alias("en_x")).repartitionByRange(parts, "en").withColumn("segment", F.spark_partition_id()), "segments")
+    heads = scratch.write(rows.select("segment", F.explode("en_x").alias("v")).distinct(), "heads")
+    left = scratch.write(ja.select("ja", F.col("x").alias("ja_x")).where(_score(_bits(F.col("x")), weights) >= least), "asking")
+    left = left.withColumns({"kth": F.lit(None).cast("double"), "ceiling": _score(_bits(F.col("ja_x")), weights)})
+    best, at, width = None, 0, 1
+    while at < parts and k > 0:
+        here = heads.where(F.col("segment").between(at, min(parts, at + width) - 1))
+        met = left.select("ja", "kth", F.explode("ja_x").alias("v")).join(here, "v")
+        bound = met.groupBy("ja", "segment").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.ascii("v") - FIRST)).alias("bits"), F.max("kth").alias("kth"))
+        worth = bound.withColumn("most", _score(F.col("bits"), weights)).where((F.col("most") >= least) & (F.col("kth").isNull() | (F.col("most") > F.col("kth"))))
+        pairs = worth.select("ja", "segment").join(left.select("ja", "ja_x"), "ja").join(rows, "segment")
+        found = pairs.select("ja", "en", _bits(F.array_intersect("ja_x", "en_x")).alias("bits")).withColumn("score", _score(F.col("bits"), weights)).where(F.col("score") >= least)
+        new = scratch.write(top_k(found if best is None else best.unionByName(found), "ja", k, F.desc("score"), "en"), "best")
+        best, at, width = new, at + width, width * growth
+        full = best.groupBy("ja").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).where(F.col("n") == k)
+        rest = left.drop("kth").join(full.select("ja", F.col("low").alias("kth")), "ja", "left").where(F.col("kth").isNull() | (F.col("kth") < F.col("ceiling")))
+        left = scratch.write(rest.select("ja", "ja_x", "kth", "ceiling"), "asking")
+        if left.isEmpty():
+            break
+    if best is None:
+        return ja.select("ja", F.lit(None).alias("en"), F.lit(0).alias("bits")).limit(0).join(en.select("en").limit(0), "en").select("ja", "en", "bits")
+    return best.select("ja", "en", "bits")
+
+
 def best_pairs(features: DataFrame, weights: list[float], direct: int, least: float, k: int, hot: int = 1000, widest: int = 1024) -> DataFrame:
     """(ja, en, score): exactly the k best English rows of each Japanese row that score at least `least`, ties by id.
 
@@ -67,17 +108,17 @@ def best_pairs(features: DataFrame, weights: list[float], direct: int, least: fl
     values and all further types, a pair shares some choice of one feature for each type, and of the English
     rows with that choice only the k smallest ids can be among the k best: more with the same choice score no less and come first. So
     each choice that can reach `least` is a key with k English rows, and a value that all rows share costs k pairs for each
-    row. Rows with more than `widest` choices of hot values are joined on these values directly. Nothing is dropped: `hot` and
-    `widest` choose the way, not the result."""
+    row. Rows with more than `widest` choices of features go through segment_pairs(), against all, and others against
+    such English rows. Nothing is dropped: `hot` and `widest` choose the way, not the result."""
     if k < 0:
         raise ValueError("top-k must not be negative")
     each = features.select("lang", "id", F.explode("values").alias("v")).where(F.ascii("v") < FIRST + direct)
     common = each.where("lang = 'en'").groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("v")
     hots = each.join(common, "v").groupBy("lang", "id").agg(F.array_sort(F.collect_list("v")).alias("hots"))
     rows = features.join(hots, ["lang", "id"], "left").withColumn("hots", F.coalesce("hots", F.array().cast(STRINGS)))
-    further = F.filter("values", lambda v: F.ascii(v) >= FIRST + direct)
-    choices = reduce(lambda a, b: a * b, [1 + F.size(_of(i, F.col("hots"))).cast("double") for i in range(direct)])
-    rows = rows.select("lang", "id", "values", "hots", F.concat("hots", further).alias("extra"), further.alias("further"), (choices > widest).alias("wide"))
+    extra = F.concat("hots", F.filter("values", lambda v: F.ascii(v) >= FIRST + direct))
+    choices = reduce(lambda a, b: a * b, [1 + F.size(_of(i, F.col("extra"))).cast("double") for i in range(len(weights))])
+    rows = rows.withColumn("extra", extra).select("lang", "id", "values", "extra", (choices > widest).alias("wide"))
 
     def side(df: DataFrame, lang: str) -> DataFrame:
         return df.where(F.col("lang") == lang).select(F.col("id").alias(lang), F.col("extra").alias(f"{lang}_x"), *[c for c in df.columns if c not in ("lang", "id", "extra")])
@@ -88,18 +129,21 @@ def best_pairs(features: DataFrame, weights: list[float], direct: int, least: fl
         return ja.select("ja", "ja_x", "v").join(en.select("en", "en_x", "v"), "v").select("ja", "en", bits.alias("bits"))
 
     rare = rows.select("lang", "id", "extra", F.explode(F.array_except("values", "extra")).alias("v"))
-    often = rows.select("lang", "id", "extra", "wide", F.explode("hots").alias("v"))
     found = joined(side(rare, "ja"), side(rare, "en"))
-    found = found.union(joined(side(often, "ja").where("wide"), side(often, "en"))).union(joined(side(often, "ja").where("not wide"), side(often, "en").where("wide")))
-    pool = F.when(F.col("wide"), F.col("further")).otherwise(F.col("extra"))
+    pool = F.when(F.col("wide"), F.array().cast(STRINGS)).otherwise(F.col("extra"))
     chosen = F.filter(_combinations(pool, weights), lambda c: F.round(F.least(c["w"], F.lit(1.0)), 6) >= least)
     keyed = rows.select("lang", "id", F.explode(chosen).alias("c")).select("lang", "id", "c.key", "c.bits")
     first = top_k(keyed.where("lang = 'en'").select(F.col("id").alias("en"), "key"), "key", k, "en")
     found = found.union(keyed.where("lang = 'ja'").select(F.col("id").alias("ja"), "key", "bits").join(first, "key").select("ja", "en", "bits"))
+    could = reduce(lambda a, b: a * b, [1 + F.size(_of(i, F.col("values"))).cast("double") for i in range(len(weights))])
+    for ja_wide, en_wide in () if features.where(could > widest).isEmpty() else (("wide", "true"), ("not wide", "wide")):
+        ja = rows.where("lang = 'ja'").where(ja_wide).where(F.size("extra") > 0).select(F.col("id").alias("ja"), F.col("extra").alias("x"))
+        en = rows.where("lang = 'en'").where(en_wide).where(F.size("extra") > 0).select(F.col("id").alias("en"), F.col("extra").alias("x"))
+        if not ja.isEmpty() and not en.isEmpty():
+            found = found.union(segment_pairs(ja, en, weights, least, k))
     # dealt by Japanese row, which serves the sums and the ranks
     pairs = found.repartition(F.col("ja")).groupBy("ja", "en").agg(F.bit_or("bits").alias("bits"))
-    total = reduce(lambda a, b: a + b, [F.when(F.col("bits").bitwiseAND(1 << i) != 0, w).otherwise(0.0) for i, w in enumerate(weights)])
-    scored = pairs.select("ja", "en", F.round(F.least(total, F.lit(1.0)), 6).alias("score")).where(F.col("score") >= least)
+    scored = pairs.select("ja", "en", _score(F.col("bits"), weights).alias("score")).where(F.col("score") >= least)
     return top_k(scored, "ja", k, F.desc("score"), "en")
 
 
@@ -130,7 +174,7 @@ def match_pages(anchors: DataFrame, min_score: float = 0.25, k: int = 5, documen
     if min_score <= 0 and documents is None:
         raise ValueError("a minimum score of 0 or less takes pages without anchors and needs their rows")
     rows = documents.select("lang", F.col("doc").alias("id"), F.array().cast(STRINGS).alias("values")) if documents is not None else None
-    features = _features(anchors, "doc", rows)
+    features = Scratch(anchors.sparkSession).write(_features(anchors, "doc", rows), "features")  # anchors are taken from texts once
     best = _with_shared(best_pairs(features, [L.ANCHOR_WEIGHTS[t] for t in TYPES], len(TYPES), min_score, k, **limits), features)
     evidence = F.struct(_shared_anchors(), F.lit("document").alias("match_scope"), F.lit(L.SCORING_VERSIONS["page"]).alias("scoring_version"))
     return best.select("ja", "en", "score", F.lit(L.PAGE_MATCH_TYPE).alias("match_type"), evidence.alias("evidence"))
@@ -143,7 +187,8 @@ def match_blocks(blocks: DataFrame, anchors: DataFrame, min_score: float = 0.20,
     Shared anchors add their types' weights, shared heading tokens 0.10, table rows with as many tokens 0.10."""
     tokens = F.transform(X.heading_tokens(F.coalesce("heading_path", F.lit(""))), lambda t: _feature(HEADING, t))
     shape = F.array_compact(F.array(_feature(TABLE, X.table_shape(F.col("block_type"), F.col("text")).cast("string"))))
-    features = _features(anchors, "block", blocks.select("lang", F.col("block").alias("id"), F.coalesce(F.concat(tokens, shape), F.array().cast(STRINGS)).alias("values")))
+    own = blocks.select("lang", F.col("block").alias("id"), F.coalesce(F.concat(tokens, shape), F.array().cast(STRINGS)).alias("values"))
+    features = Scratch(blocks.sparkSession).write(_features(anchors, "block", own), "features")  # anchors are taken from texts once
     weights = [*(L.ANCHOR_WEIGHTS[t] for t in TYPES), L.HEADING_WEIGHT, L.TABLE_WEIGHT]
     best = _with_shared(best_pairs(features, weights, len(TYPES), min_score, k, **limits), features)
     evidence = F.struct(

@@ -100,6 +100,40 @@ def test_value_that_all_share(spark):
     assert {(r["en"], r["score"], r["count"]) for r in got} == {(0, 0.25, 4000), (1, 0.25, 4000)}
 
 
+def test_pages_with_many_common_values(spark, monkeypatch):
+    """Pages that share 27 common values of four types: a row meets few segments, and gets what brute force gets."""
+    rng = random.Random(12)
+    values = {"dtc": 12, "voltage": 6, "torque": 5, "pressure": 4}
+    rows = []
+    for i in range(2000):
+        for lang in ("ja", "en"):
+            lacks = rng.choice([None, None, *values])
+            rows += [(lang, f"{lang}{i:05d}", t, f"v{j}") for t, n in values.items() if t != lacks for j in range(n)]
+    anchors = spark.createDataFrame(rows, "lang string, doc string, anchor_type string, normalized_value string").repartition(4)
+    met, intersect = [], M.segment_pairs
+
+    def counted(*a, **kw):
+        out = intersect(*a, **kw)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "segment_pairs", counted)
+    got = {(r["ja"], r["en"], r["score"]) for r in M.match_pages(anchors, 0.25, 3).collect()}
+    weight = {"dtc": 0.35, "voltage": 0.25, "torque": 0.25, "pressure": 0.25}
+    types = {}
+    for _, d, t, _ in rows:
+        types.setdefault(d, set()).add(t)
+    kinds = {}
+    for d, t in types.items():
+        kinds.setdefault((d[:2], frozenset(t)), []).append(d)
+    want = set()
+    for (lang, mine), docs in kinds.items():
+        if lang == "ja":
+            scored = sorted((-round(min(sum(weight[t] for t in mine & other), 1), 6), e) for (side, other), es in kinds.items() if side == "en" for e in sorted(es)[:3])
+            want |= {(d, e, -s) for d in docs for s, e in scored[:3]}
+    assert got == want and met and sum(met) <= 3 * 2000
+
+
 def test_confidence(spark):
     rows = [("a", "matched_block_terms", 0.55, False, True, False, False)] * 3 + [("b", "x", 0.72, False, True, True, True), ("b", "y", 0.95, True, False, False, False)]
     df = spark.createDataFrame(rows, "concept_id string, evidence_type string, score double, is_negative_evidence boolean, has_anchor boolean, has_heading boolean, has_table boolean")
