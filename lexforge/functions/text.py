@@ -134,10 +134,11 @@ def ngram_terms(text: Column, keywords=L.EN_KEYWORDS, sizes=(2, 3, 4)) -> Column
 
 def terms(lang: Column, text: Column, ja_phrases=L.JA_PHRASES, en_phrases=L.EN_PHRASES, keywords=L.EN_KEYWORDS) -> Column:
     """array<struct<term, term_type>> of a normalised text: phrases of the lexicon first, then what
-    patterns find. Other languages than ja and en have none."""
+    patterns find. Another language is an error."""
     ja = F.concat(_terms(lexicon_terms(text, ja_phrases, "ja"), "domain_phrase"), _terms(compound_terms(text), "regex_phrase"))
     en = F.concat(_terms(lexicon_terms(text, en_phrases, "en"), "domain_phrase"), _terms(ngram_terms(text, keywords), "regex_phrase"))
-    return F.when(lang == "ja", ja).when(lang == "en", en)
+    other = F.raise_error(F.concat(F.lit("lang must be 'ja' or 'en', not "), F.coalesce(lang.cast("string"), F.lit("null")))).cast("array<struct<term:string,term_type:string>>")
+    return F.when(lang == "ja", ja).when(lang == "en", en).otherwise(other)
 
 
 def concept_id(ja: Column, en: Column, category: str = "unknown") -> Column:

@@ -48,11 +48,14 @@ def test_anchors(spark):
 
 
 def test_terms(spark):
-    rows = [("ja", "エンジン始動不良。補機バッテリー電圧を確認し、締付トルクを点検する。"), ("en", "Engine does not start. Check auxiliary battery voltage and tightening torque."), ("en", "hub"), ("fr", "x"), ("en", "")]
+    rows = [("ja", "エンジン始動不良。補機バッテリー電圧を確認し、締付トルクを点検する。"), ("en", "Engine does not start. Check auxiliary battery voltage and tightening torque."), ("en", "hub"), ("en", "")]
     df = spark.createDataFrame(rows, "lang string, text string").select("lang", X.terms(F.col("lang"), F.col("text")).alias("t"))
     got = [None if r["t"] is None else {t["term"] for t in r["t"]} for r in df.collect()]
     assert {"始動不良", "補機バッテリー", "締付トルク"} <= got[0] and {"engine does not start", "auxiliary battery", "tightening torque", "battery voltage and"} <= got[1]
-    assert got[2] == set() and got[3] is None and got[4] == set()
+    assert got[2] == set() and got[3] == set()
+    for lang in ("fr", None):
+        with pytest.raises(Exception, match="lang must be 'ja' or 'en'"):
+            spark.createDataFrame([(lang, "x")], "lang string, text string").select(X.terms(F.col("lang"), F.col("text"))).collect()
 
 
 def test_match_blocks_like_brute_force(spark):
