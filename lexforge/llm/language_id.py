@@ -14,6 +14,9 @@ from lexforge.llm.bpe import text_runs
 from lexforge.llm.common import crc_fold, dropped, text_slices, written
 
 U = np.uint64
+#: Bytes of an n-gram. Long ones tell languages apart even if some texts of a language hold passages of another one; short ones
+#: are there for texts of short words.
+SIZES = (4, 7)
 #: Slots of the filter for each n-gram in it, at least.
 SLOTS_PER_GRAM = 8
 #: What the filters may fill, in bytes. Past it there are fewer slots for an n-gram and more false hits, which are measured
@@ -38,16 +41,20 @@ def plain(text: str | None) -> str:
     return text if text.isascii() else _NO_LETTER.sub(" ", text)
 
 
-def grams(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, n-gram) of the texts of a byte array: four bytes of a word, or three with its end, as a number.
-    None reaches over two words or two texts."""
-    m = np.zeros(len(buf) + 3, np.uint8)
-    m[1:-2] = _IN_WORD[buf]
-    inner = (m[1:-2] != 0) & (m[2:-1] != 0)
-    inner &= (m[:-3] != 0) | (m[3:] != 0)
+def grams(buf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, n-gram) of the texts of a byte array: `size` bytes of a word, or one less with its end, as a number that also
+    tells the size. None reaches over two words or two texts."""
+    m = np.zeros(len(buf) + size + 1, np.uint8)
+    m[1 : len(buf) + 1] = _IN_WORD[buf]
+    many = len(m) - size + 1
+    inner = (m[:many] != 0) | (m[size - 1 : size - 1 + many] != 0)
+    for k in range(1, size - 1):
+        inner &= m[k : k + many] != 0
     at = np.flatnonzero(inner)
-    m = m.astype(np.uint32)
-    return at, m[at] | m[at + 1] << np.uint32(8) | m[at + 2] << np.uint32(16) | m[at + 3] << np.uint32(24)
+    gram = np.full(len(at), size << 56, np.uint64)
+    for k in range(size):
+        gram |= m[at + k].astype(np.uint64) << U(8 * k)
+    return at, gram
 
 
 def slots_of(gram: np.ndarray, bits: int):
@@ -59,7 +66,7 @@ def slots_of(gram: np.ndarray, bits: int):
 def slot_bits(grams: int, languages: int) -> int:
     """How many bits number the slots: enough for all n-grams, within MOST_BYTES."""
     wanted = max(10, int(np.ceil(np.log2(max(1, grams * SLOTS_PER_GRAM)))))
-    return min(wanted, max(10, int(np.log2(MOST_BYTES // -(-max(1, languages) // 8)))))
+    return min(wanted, max(10, int(np.log2(MOST_BYTES // -(-max(1, languages) // 8)))))  # at most 28, so slots fit 32 bits
 
 
 class LanguageFilters:
@@ -78,10 +85,14 @@ class LanguageFilters:
 
     def hits(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(texts' n-grams, [text, language] popcounts)."""
-        at, gram = grams(buf)
+        total, out = np.zeros(len(bounds) - 1, np.int64), np.zeros((len(bounds) - 1, len(self.names)))
+        for size in SIZES:
+            total += self._add(*grams(buf, size), bounds, out)
+        return total, out
+
+    def _add(self, at: np.ndarray, gram: np.ndarray, bounds: np.ndarray, out: np.ndarray) -> np.ndarray:
         cut = np.searchsorted(at, bounds)
-        n, out = np.diff(cut), np.zeros((len(bounds) - 1, len(self.names)))
-        slots = list(slots_of(gram, self.bits))
+        n, slots = np.diff(cut), list(slots_of(gram, self.bits))
         for p, plane in enumerate(self.planes):
             mask = plane[slots[0]]
             for q in slots[1:]:
@@ -91,8 +102,8 @@ class LanguageFilters:
                 last = min(first + 2048, len(n))
                 of = np.repeat(np.arange(last - first) << 8, n[first:last]) + mask[cut[first] : cut[last]]
                 sets = np.bincount(of, minlength=(last - first) << 8).reshape(-1, 256)
-                here[first:last] = sets @ _BITS[:, : here.shape[1]]
-        return n, out
+                here[first:last] += sets @ _BITS[:, : here.shape[1]]
+        return n
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
         """Language of the largest corrected popcount, and its part of all languages' corrected
@@ -133,10 +144,11 @@ def learn(rows: DataFrame) -> LanguageFilters:
                 texts = [plain(t) for t in batch.column(1).slice(a, b - a).to_pylist()]
                 own: dict[str, list] = {}
                 for first, last, buf, bounds in text_slices(texts):
-                    at, gram = grams(buf)
-                    cut = np.searchsorted(at, bounds)
-                    for i in range(first, last):
-                        own.setdefault(kind[a + i], []).append(gram[cut[i - first] : cut[i - first + 1]])
+                    for size in SIZES:
+                        at, gram = grams(buf, size)
+                        cut = np.searchsorted(at, bounds)
+                        for i in range(first, last):
+                            own.setdefault(kind[a + i], []).append(gram[cut[i - first] : cut[i - first + 1]])
                 for name, parts in own.items():
                     mine = held.setdefault(name, [])
                     mine.append(np.unique(np.concatenate(parts), return_counts=True))

@@ -363,7 +363,7 @@ def test_language_filters_like_exact_sets(spark):
 
     def grams_of(t):
         words = re.findall(r"[^\W\d_]+", t.lower())
-        return [w[k : k + 4] for w in (b"\0" + x.encode() + b"\0" for x in words) for k in range(len(w) - 3) if len(w) > 4]
+        return [w[k : k + n] for n in language_id.SIZES for w in (b"\0" + x.encode() + b"\0" for x in words) for k in range(len(w) - n + 1) if len(w) > n]
 
     counts = {k: collections.Counter(g for _, t, n, *_ in train if n == k for g in grams_of(t)) for k in make}
     has = {k: set(c) for k, c in counts.items()}
@@ -373,12 +373,12 @@ def test_language_filters_like_exact_sets(spark):
         lang, score = filters.predict([t])
         spare = 3 + 2 * filters.false.max() * len(grams_of(t))  # what false hits can add and their correction can take away
         assert exact[lang[0]] >= max(exact.values()) - spare and abs(score[0] - exact[lang[0]] / sum(exact.values())) < 0.1
-        at, gram = language_id.grams(np.frombuffer(language_id.plain(t).encode(), np.uint8))
+        gram = np.concatenate([language_id.grams(np.frombuffer(language_id.plain(t).encode(), np.uint8), n)[1] for n in language_id.SIZES])
         assert len(gram) == len(grams_of(t)) and 0 <= score[0] <= 1
         slots = list(language_id.slots_of(gram, filters.bits))
         for i, n in enumerate(filters.names):  # no language of an n-gram is missing
             bits = np.bitwise_and.reduce([filters.planes[i // 8][q] for q in slots]) >> np.uint8(i % 8) & np.uint8(1)
-            assert all(b for b, g in zip(bits, gram, strict=True) if int(g).to_bytes(4, "little") in has[n])
+            assert all(b for b, g in zip(bits, gram, strict=True) if int(g).to_bytes(8, "little")[: int(g) >> 56] in has[n])
     assert filters.false.max() < 0.1 and language_id.slot_bits(10**9, 200) == 23 and language_id.slot_bits(10, 1) == 10
     assert filters.predict(["…“”— 😀 12", "—", "١٢٣", "…", None, ""])[0] == ["und"] * 6
 
