@@ -94,7 +94,7 @@ def q_page_types(spark, sf):
     found = _page_candidates(spark, sf)
     pages = Q.manual(spark, sf).select("lang", F.col("path").alias("page")).distinct()
     extra = pages.groupBy("lang").agg(F.concat(F.max("page"), F.lit(".more")).alias("page"))
-    return A.match_types(pages.unionByName(extra), found, A.assign(found), 0.6).select("lang", "page", "partner", "score", "match_type")
+    return A.match_types(pages.unionByName(extra), found, A.assign(found), 0.6).select("lang", "page", F.coalesce("partner", F.lit("")).alias("partner"), F.coalesce("score", F.lit(0.0)).alias("score"), "match_type")
 
 
 def q_concept_redirects(spark, sf):
@@ -104,7 +104,7 @@ def q_concept_redirects(spark, sf):
     prior, last = F.lag("o_orderkey").over(before), F.max("o_orderkey").over(Window.partitionBy("o_custkey"))
     links = o.select(F.col("o_orderkey").alias("old"), F.coalesce(prior, F.when(F.col("o_custkey") % 3 == 0, last)).alias("new"))
     done, lost = R.resolve(links)
-    return done.select("old", "final", "steps").unionByName(lost.select("old", F.lit(None).cast("long").alias("final"), F.lit(-1).cast("long").alias("steps")))
+    return done.select("old", "final", "steps").unionByName(lost.select("old", F.lit(-1).cast("long").alias("final"), F.lit(-1).cast("long").alias("steps")))
 
 
 def q_concept_merges(spark, sf):
@@ -147,14 +147,14 @@ def q_search_evaluation(spark, sf):
 
 def q_approval_by_band(spark, sf):
     """Orders as concepts, their line items as reviews."""
-    concepts = Q.table(spark, sf, "orders").select(F.col("o_orderkey").alias("concept_id"), ((F.col("o_totalprice") * 100).cast("long") % 1000 / 1000.0).alias("confidence"))
+    concepts = Q.table(spark, sf, "orders").select(F.col("o_orderkey").alias("concept_id"), (F.round(F.col("o_totalprice") * 100).cast("long") % 1000 / 1000.0).alias("confidence"))
     actions = Q.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("target_id"), F.when(F.col("l_returnflag") == "R", "block").when(F.col("l_returnflag") == "A", "approve").otherwise("defer").alias("action"), F.col("l_linenumber").alias("row_version"))
     return V.approval_by_band(concepts, actions.where("action <> 'defer'"))
 
 
 def q_review_sample(spark, sf):
     """Of each band 25 concepts, by weight of what they lack to certainty."""
-    rows = Q.table(spark, sf, "orders").select(F.col("o_orderkey").alias("concept_id"), ((F.col("o_totalprice") * 100).cast("long") % 1000 / 1000.0).alias("confidence"))
+    rows = Q.table(spark, sf, "orders").select(F.col("o_orderkey").alias("concept_id"), (F.round(F.col("o_totalprice") * 100).cast("long") % 1000 / 1000.0).alias("confidence"))
     rows = rows.select("concept_id", V.band(F.col("confidence")).alias("band"), (F.lit(1.0) - F.col("confidence")).alias("weight"))
     return V.review_sample(rows, "concept_id", "band", "weight", 25).select("band", "place", "concept_id")
 
@@ -189,13 +189,13 @@ def q_page_links(spark, sf):
     pages = Q.table(spark, sf, "pages")
     own = lambda *parts: F.concat(F.lit('<A class=x HREF="'), *parts, F.lit('">x</A>'))
     more = F.concat(own(_path()), own(F.lit("/a/../b/."), _path()), own(F.lit("x/./y/../../z?q=1#f")), own(F.lit("?p=2")), own(F.lit("//h.example/q")), own(F.lit("mailto:a@b")), own(F.lit("#top")))
-    return N.page_links(pages.withColumn("html", F.concat("html", more))).select("page_id", "place", "target")
+    return N.page_links(pages.withColumn("html", F.concat("html", more))).select("page_id", "place", F.coalesce("target", F.lit("")).alias("target"))
 
 
 def q_link_graph(spark, sf):
     pages = Q.table(spark, sf, "pages")
     pages = pages.withColumn("html", F.concat("html", F.lit("<a href='"), _path(), F.lit("'>x</a>")))
-    return N.link_graph(pages, N.page_links(pages))
+    return N.link_graph(pages, N.page_links(pages)).withColumn("to_page", F.coalesce("to_page", F.lit(-1)))
 
 
 def q_term_association(spark, sf):
@@ -220,6 +220,7 @@ def q_store_review(spark, sf):
     per = store.read("review_actions").groupBy(F.col("target_id").alias("concept_id")).agg(F.count(F.lit(1)).alias("n_actions"), F.max("row_version").alias("last_version"), F.min(F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\+00:00$")).alias("dated"))
     shown = told.groupBy("concept_id").agg(F.count_if(F.col("import_status") == "applied").alias("n_applied"), F.count_if(F.col("import_status") == "skipped").alias("n_skipped"))
     out = store.read("concepts").select("concept_id", "status").join(per, "concept_id", "left").join(shown, "concept_id", "left")
+    out = out.fillna({"n_actions": 0, "last_version": -1, "dated": True})
     return out.withColumns({"dry_actions": F.lit(before).cast("long"), "valid": F.lit(tried.actions_valid).cast("long"), "applied": F.lit(done.actions_applied).cast("long"), "dry_applied": F.lit(tried.actions_applied).cast("long"), "wrong": F.lit(len(store.verify())).cast("long")})
 
 
@@ -253,13 +254,13 @@ def _links_sql() -> str:
     own = [f"CASE WHEN {path} = '' THEN {bare} ELSE {root} || {path} END", f"{root} || '/b/.' || CASE WHEN {path} = '' THEN '' ELSE {path} END", f"{root} || {folder} || 'z?q=1'", f"{root} || {path} || '?p=2'", "regexp_extract(url, '^([a-z]+:)', 1) || '//h.example/q'", "NULL", bare]
     own[1] = f"{root} || CASE WHEN {path} = '' THEN '/b/' ELSE '/b' || {path} END"
     return f"""WITH l AS (SELECT page_id, list_concat(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: {root} || h), [{", ".join(own)}]) AS t FROM pages)
-      SELECT page_id, unnest(range(len(t)))::INT AS place, unnest(t) AS target FROM l"""
+      SELECT page_id, unnest(range(len(t)))::INT AS place, coalesce(unnest(t), '') AS target FROM l"""
 
 
 _GRAPH = r"""WITH l AS (SELECT page_id, list_concat(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h),
   [CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)?', 1) = '' THEN regexp_replace(url, '#.*$', '') ELSE regexp_extract(url, '^([a-z]+://[^?#]*)', 1) END]) AS t FROM pages),
 e AS (SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(t) AS target FROM l) GROUP BY ALL), k AS (SELECT regexp_replace(url, '#.*$', '') AS target, min(page_id) AS to_page FROM pages GROUP BY 1)
-SELECT e.page_id, e.target, n, to_page FROM e LEFT JOIN k ON k.target = e.target"""
+SELECT e.page_id, e.target, n, coalesce(to_page, -1) AS to_page FROM e LEFT JOIN k ON k.target = e.target"""
 
 
 def _association_sql() -> str:
@@ -310,7 +311,7 @@ gr AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS js, []::VARCHAR[] AS es, NULL::VA
   UNION ALL SELECT pe.i, CASE WHEN ok THEN list_append(js, pe.ja) ELSE js END, CASE WHEN ok THEN list_append(es, pe.en) ELSE es END, CASE WHEN ok THEN pe.ja END, pe.en, pe.score
   FROM (SELECT gr.js, gr.es, pe.*, NOT list_contains(gr.js, pe.ja) AND NOT list_contains(gr.es, pe.en) AS ok FROM gr JOIN pe ON pe.i = gr.i + 1) pe),
 asg AS (SELECT ja, en, score FROM gr WHERE ja IS NOT NULL)"""
-_CONFIDENCE = "((o_totalprice * 100)::BIGINT % 1000) / 1000.0::DOUBLE"
+_CONFIDENCE = "(round(o_totalprice::DOUBLE * 100)::BIGINT % 1000) / 1000.0::DOUBLE"
 _BAND = "CASE WHEN {c} >= 0.95 THEN '0.95' WHEN {c} >= 0.85 THEN '0.85' WHEN {c} >= 0.7 THEN '0.70' ELSE 'below' END"
 _UNIFORM = "((('0x' || substr(md5({k}), 1, 12))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE"
 
@@ -322,7 +323,7 @@ def _types_sql() -> str:
         FROM pm LEFT JOIN asg ON asg.ja = pm.ja AND asg.en = pm.en LEFT JOIN jn ON jn.ja = pm.ja LEFT JOIN en_n ON en_n.en = pm.en),
       bo AS ({side("ja", "en")} UNION ALL {side("en", "ja")}),
       pg AS (SELECT DISTINCT lang, path AS page FROM m UNION ALL SELECT lang, max(path) || '.more' FROM m GROUP BY lang)
-      SELECT pg.lang, pg.page, partner, score, coalesce(kind, 'unmatched') AS match_type FROM pg LEFT JOIN bo ON bo.lang = pg.lang AND bo.page = pg.page"""
+      SELECT pg.lang, pg.page, coalesce(partner, '') AS partner, coalesce(score, 0) AS score, coalesce(kind, 'unmatched') AS match_type FROM pg LEFT JOIN bo ON bo.lang = pg.lang AND bo.page = pg.page"""
 
 
 def _evaluation_sql(english: str, plain: str, both: str) -> str:
@@ -350,7 +351,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "store_review": f"""WITH e AS ({Q._EVENTS}), v AS (SELECT * FROM e WHERE event_type <> 'view'), n AS (SELECT count(*) AS n FROM v),
             a AS (SELECT target_id, count(*) AS n, arg_max(new_status, event_id) AS status FROM v GROUP BY 1), c AS (SELECT target_id, count(*) AS total FROM e GROUP BY 1)
-            SELECT c.target_id AS concept_id, coalesce(a.status, 'review_ready') AS status, a.n AS n_actions, a.n - 1 AS last_version, CASE WHEN a.n > 0 THEN true END AS dated, coalesce(a.n, 0) AS n_applied, total - coalesce(a.n, 0) AS n_skipped, 0 AS dry_actions, n.n AS valid, n.n AS applied, 0 AS dry_applied, 0 AS wrong
+            SELECT c.target_id AS concept_id, coalesce(a.status, 'review_ready') AS status, coalesce(a.n, 0) AS n_actions, coalesce(a.n - 1, -1) AS last_version, true AS dated, coalesce(a.n, 0) AS n_applied, total - coalesce(a.n, 0) AS n_skipped, 0 AS dry_actions, n.n AS valid, n.n AS applied, 0 AS dry_applied, 0 AS wrong
             FROM c LEFT JOIN a ON a.target_id = c.target_id, n""",
         "html_blocks": _BLOCKS,
         "html_udtf": _BLOCKS,
@@ -363,18 +364,18 @@ def oracle_sql() -> dict[str, str]:
         "expand_queries": f"{_EXPANDED} SELECT query, lang, t AS normalized_term, weight FROM ex",
         "search_expanded": f"{_EXPANDED}, {_bm25(english, _ASCII)}, {_best('bt', asked, 5)} SELECT query, rank::INT AS rank, doc AS en, score FROM bt",
         "search_evaluation": _evaluation_sql(english, plain, asked),
-        "spelling_variants": f"""WITH w AS (SELECT w, length(w) AS n FROM ({words}) WHERE length(w) >= 3)
-            SELECT a.w AS term, b.w AS other, levenshtein(a.w, b.w) AS distance FROM w a JOIN w b ON b.n BETWEEN a.n AND a.n + 2 AND (a.n < b.n OR a.w < b.w) WHERE levenshtein(a.w, b.w) <= CASE WHEN a.n < 6 THEN 1 ELSE 2 END""",
+        "spelling_variants": f"""WITH w AS (SELECT w, length(w) AS n, translate(w, 'ßäçèéêíñóöü', 'ABCDEFGHIJK') AS x FROM ({words}) WHERE length(w) >= 3) -- its levenshtein counts bytes
+            SELECT a.w AS term, b.w AS other, levenshtein(a.x, b.x) AS distance FROM w a JOIN w b ON b.n BETWEEN a.n AND a.n + 2 AND (a.n < b.n OR a.w < b.w) WHERE levenshtein(a.x, b.x) <= CASE WHEN a.n < 6 THEN 1 ELSE 2 END""",
         "page_assignment": f"WITH RECURSIVE {_PAGES[5:]}{_GREEDY} SELECT ja, en, score FROM asg",
         "page_types": _types_sql(),
-        "concept_redirects": """SELECT o_orderkey AS old, CASE WHEN o_custkey % 3 <> 0 OR n = 1 THEN first END AS final, CASE WHEN o_custkey % 3 <> 0 THEN r - 1 ELSE -1 END AS steps
+        "concept_redirects": """SELECT o_orderkey AS old, CASE WHEN o_custkey % 3 <> 0 OR n = 1 THEN first ELSE -1 END AS final, CASE WHEN o_custkey % 3 <> 0 THEN r - 1 ELSE -1 END AS steps
             FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE CASE WHEN o_custkey % 3 = 0 THEN n > 1 ELSE r > 1 END""",
         "concept_merges": f"""{Q._PAIRS}, x AS (SELECT jn, min(concept_id) AS concept_id, {grouped}, count(DISTINCT en_n) + 1 AS n_labels, bool_and(('0x' || substr(concept_id, 17, 1))::INT % 2 = 0) AS safe FROM pr GROUP BY jn)
             SELECT concept_id, confidence, {status}, safe AS safe_for_query_expansion, n_evidence, n_labels FROM x""",
         "concept_splits": f"""{Q._EVIDENCE}, x AS (SELECT concept_id AS of, concept_id || {parts} AS concept_id, {grouped} FROM ev GROUP BY 1, 2), whole AS (SELECT concept_id AS of, max(score) AS confidence FROM ev GROUP BY 1)
             SELECT x.concept_id, CASE WHEN x.concept_id = x.of THEN whole.confidence ELSE x.confidence END AS confidence, CASE WHEN x.concept_id = x.of AND {Q._HEX.replace("concept_id", "x.of")} % 3 = 0 THEN 'confirmed' ELSE 'candidate' END AS status,
             x.concept_id = x.of AND {Q._HEX.replace("concept_id", "x.of")} % 2 = 0 AS safe_for_query_expansion, n_evidence, 2 AS n_labels FROM x JOIN whole ON x.of = whole.of""",
-        "approval_by_band": f"""WITH l AS (SELECT l_orderkey, arg_max(CASE l_returnflag WHEN 'R' THEN 'block' ELSE 'approve' END, l_linenumber) AS action FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1)
+        "approval_by_band": f"""WITH l AS (SELECT l_orderkey, arg_max(CASE l_returnflag WHEN 'R' THEN 'block' ELSE 'approve' END, (l_linenumber, CASE l_returnflag WHEN 'R' THEN 'block' ELSE 'approve' END)) AS action FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1)
             SELECT band, count(*) AS reviewed, count(*) FILTER (WHERE action = 'approve') AS approved, count(*) FILTER (WHERE action = 'block') AS blocked, round(count(*) FILTER (WHERE action = 'approve')::DOUBLE / count(*), 6) AS rate
             FROM (SELECT {_BAND.format(c=_CONFIDENCE)} AS band, action FROM orders JOIN l ON o_orderkey = l_orderkey) GROUP BY band""",
         "review_sample": f"""SELECT band, row_number() OVER (PARTITION BY band ORDER BY draw, concept_id)::INT AS place, concept_id FROM (
