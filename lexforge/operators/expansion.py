@@ -132,9 +132,9 @@ def expand_queries(queries: DataFrame, concepts: DataFrame, concept_terms: DataF
     clear = hit.join(meanings, "normalized_term", "left_anti")
     used = clear
     if contexts is not None:
-        around = contexts.select("concept_id", F.col("normalized_term").alias("other")).distinct()
-        beside = found.select("query", F.col("normalized_term").alias("other"))
-        vague = hit.join(meanings, "normalized_term", "left_semi").join(around, "concept_id").where("other <> normalized_term").join(beside, ["query", "other"], "left_semi")
+        # of a concept's context terms in a query the first and the last tell whether one is there beside the matched term
+        beside = found.join(contexts.select("concept_id", "normalized_term").distinct(), "normalized_term").groupBy("query", "concept_id").agg(F.min("normalized_term").alias("_first"), F.max("normalized_term").alias("_last"))
+        vague = hit.join(meanings, "normalized_term", "left_semi").join(beside, ["query", "concept_id"]).where("_first <> normalized_term or _last <> normalized_term")
         used = clear.unionByName(vague.select(*clear.columns)).distinct()
     other = held.select("concept_id", F.col("lang").alias("to_lang"), F.col("normalized_term").alias("to"))
     new = used.join(other, "concept_id").where("to <> normalized_term").withColumn("weight", F.when(F.col("to_lang") == F.col("lang"), SAME).otherwise(OTHER))
