@@ -373,3 +373,10 @@ def test_html_udtf(spark):
     got = spark.sql("SELECT id, b.* FROM udtf_pages, LATERAL extract_html(html) b").collect()
     want = html.parse_page(EN)["blocks"]
     assert [(r["block_index"], r["text"], r["block_type"]) for r in got] == [(b["block_index"], b["text"], b["block_type"]) for b in want] and {r["id"] for r in got} == {1}
+
+
+def test_cut_references():
+    """A cut character reference stays as it is, in titles, blocks and attributes; whole ones are decoded."""
+    page = parse_page('<html><head><title>A &lt;b&gt; C&amp</title></head><body><h1>x &amp; &#39;y&#39; &quot</h1><p>R&D &ampx; &am</p><p>n &#x41; &#39</p><img src="a?b=1&amp;c=&copy"></body></html>')
+    assert page["title"] == "A <b> C&amp" and page["images"] == ["a?b=1&c=&copy"]
+    assert [b["text"] for b in page["blocks"]] == ["x & 'y' &quot", "R&D &ampx; &am", "n A &#39"]
