@@ -380,3 +380,27 @@ def test_cut_references():
     page = parse_page('<html><head><title>A &lt;b&gt; C&amp</title></head><body><h1>x &amp; &#39;y&#39; &quot</h1><p>R&D &ampx; &am</p><p>n &#x41; &#39</p><img src="a?b=1&amp;c=&copy"></body></html>')
     assert page["title"] == "A <b> C&amp" and page["images"] == ["a?b=1&c=&copy"]
     assert [b["text"] for b in page["blocks"]] == ["x & 'y' &quot", "R&D &ampx; &am", "n A &#39"]
+
+
+def test_terms_of_matches(spark):
+    """Terms of matched blocks meet in no broadcast table, and concepts, counts and evidence are those of all pairs."""
+    blocks = spark.createDataFrame([("ja", "j", 0, "a"), ("ja", "j", 1, "b"), ("en", "e", 0, "c"), ("en", "e", 1, "d")], "lang string, path string, block_index int, text string")
+    terms = {("ja", "j", 0): ["x", "y"], ("ja", "j", 1): ["x", "y"], ("en", "e", 0): ["p", "q", "gone"], ("en", "e", 1): ["q"]}
+    found = spark.createDataFrame([(lang, t, path, i) for (lang, path, i), ts in terms.items() for t in ts], "lang string, normalized_term string, path string, block_index int")
+    catalog = spark.createDataFrame([("ja", t, t.upper(), "active") for t in "xy"] + [("en", t, t.upper(), "blocked" if t == "gone" else "active") for t in ("p", "q", "gone")], "lang string, normalized_term string, term string, status string")
+    matches = [(0, 0, 0.5), (1, 0, 0.75), (1, 1, 0.25), (0, 1, 0.125)]
+    struct = "struct<path:string,block_index:int>"
+    rows = C.match_terms(spark.createDataFrame([(("j", j), ("e", e), s, (f"{j}{e}",)) for j, e, s in matches], f"ja {struct}, en {struct}, score double, evidence struct<k:string>"), blocks, found, catalog)
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = [(j, e, s, jt, et) for j, e, s in matches if s >= 0.25 for jt in terms["ja", "j", j] for et in terms["en", "e", e] if et != "gone"]
+    pairs = C.expand_pairs(rows)
+    assert sorted((r["ja"][1], r["en"][1], r["score"], r["ja_norm"], r["en_norm"]) for r in pairs.collect()) == sorted(want)
+    names = {(r["ja_norm"], r["en_norm"]): r["concept_id"] for r in pairs.collect()}
+    by = {c: [w for w in want if names[w[3:]] == c] for c in names.values()}
+    assert {r["concept_id"]: (r["n"], r["best"]) for r in C.count_pairs(rows).collect()} == {c: (len(w), max(x[2] for x in w)) for c, w in by.items()}
+    concepts, labels, evidence = C.build_concepts(rows)
+    got = {r["concept_id"]: (r["confidence"], json.loads(r["confidence_json"])["k"], r["canonical_label_ja"], r["canonical_label_en"]) for r in concepts.collect()}
+    best = {c: min(w, key=lambda x: (-x[2], x[0], x[1])) for c, w in by.items()}
+    assert got == {c: (x[2], f"{x[0]}{x[1]}", x[3].upper(), x[4].upper()) for c, x in best.items()}
+    assert labels.count() == 2 * len(by)
+    assert sorted((r["concept_id"], r["ja"][1], r["en"][1], r["score"], r["ja_context"], r["en_context"]) for r in evidence.collect()) == sorted((names[w[3:]], *w[:3], "ab"[w[0]], "cd"[w[1]]) for w in want)
