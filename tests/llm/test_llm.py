@@ -679,3 +679,22 @@ def test_registry():
 
     names = list(entry.queries())
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
+
+
+def test_mix_order_reaches_tokens(spark, tmp_path):
+    """The token rows are written in the order of the mix, file by file, though a scan deals the files by size."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    kept = lambda path: [i for f in sorted(glob.glob(f"{path}/part-*.parquet")) for i in pq.read_table(f, columns=["doc_id"])["doc_id"].to_pylist()]
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 + i * i % 97), "en", "abc"[i % 7 % 3], 0) for i in range(400)], DOCS)
+    mixing.stage(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    # the same rows in files of rising size: a scan starts with the largest
+    rows = spark.read.parquet(str(tmp_path / "mixed"))
+    for k, part in enumerate((range(0, 20), range(20, 120), range(120, 400))):
+        pq.write_table(rows.where(rows.doc_id.between(part[0], part[-1])).toArrow(), f"{tmp_path}/part-{k}.parquet")
+    for path in (tmp_path, tmp_path / "mixed"):
+        read = spark.read.parquet(*glob.glob(f"{path}/part-*.parquet"))
+        bpe.stage(spark, read, "").write.parquet(str(path / "tokens"))
+        assert kept(path / "tokens") == kept(path) and len(kept(path)) == 400
