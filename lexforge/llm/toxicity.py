@@ -46,12 +46,12 @@ class Model:
 
     keys: the sorted 64-bit hashes of all words and of the start of a text; a word's number is its place. words: (a0, a1, n0, n1, k0, k1) by
     number, after how many different words a word comes in a class, how often one comes after it, and how many different ones.
-    pairs: (key, n0, n1), sorted, see pair_keys(), with counts of a byte; many: the same with whole counts, of pairs with a count of MANY.
+    pairs: broadcast pieces, see share(), by the number of the word before, `step` numbers to a piece; the driver holds one at a time.
     sums: by order and class, the numbers of all words or pairs: kinds, once, twice; and for words
     the sum of a. Words back off to the counts of both classes together, so what is rare in a class has about
     its shared probability."""
 
-    def __init__(self, keys: np.ndarray, words: list[np.ndarray], pairs: list[np.ndarray], many: list[np.ndarray], sums: dict, kinds: int):
+    def __init__(self, keys: np.ndarray, words: list[np.ndarray], pairs: list, step: int, sums: dict, kinds: int):
         small = np.float32
         d = [discount(*sums["word"][k][1:3]) for k in (0, 1)]
         self.words = keys
@@ -63,28 +63,48 @@ class Model:
             self.word.append((np.maximum(table[k] - d[k], 0) + d[k] * types * base) / total if total else base)
         self.ratio = np.log(self.word[1] / self.word[0]).astype(small)
         self.word = [x.astype(small) for x in self.word]
-        d = [discount(*sums["pair"][k][1:3]) for k in (0, 1)]
+        d = pair_discounts(sums)
         n, followers = table[2:4], table[4:6]
         self.total = np.maximum(n, 1).astype(small)
         self.backoff = np.where(n > 0, np.array(d)[:, None] * followers / np.maximum(n, 1), 1.0).astype(small)
-        self.pairs, self.many = pairs[0], many[0]
-        self.count = [np.append(x, np.uint8(0)) for x in pairs[1:]]
+        self.pairs, self.step = pairs, step
         self.less = [np.maximum(np.arange(MANY + 1) - x, 0).astype(small) for x in d]
-        self.more = [np.append(np.maximum(x - y, 0), 0).astype(small) for x, y in zip(many[1:], d, strict=True)]
         self.weights = PRIOR
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "pairs"}
+
+    def shared(self, spark: SparkSession):
+        """(held, get): the broadcast of all but the pairs, and what gives tasks the whole model."""
+        held, pairs = spark.sparkContext.broadcast(self), self.pairs
+
+        def get() -> Model:
+            model = held.value
+            model.pairs = pairs
+            return model
+
+        return held, get
+
     def given(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Numbers of words, and P(word | word before) of ordinary and of toxic texts."""
         word, start = find(self.words, hashes), find(self.words, np.array([START]))[0]
         key = pair_keys(word, first, start)
-        pair, before = find(self.pairs, key), (key >> U(32)).astype(np.int64)
-        large = np.flatnonzero((self.count[0][pair] == MANY) | (self.count[1][pair] == MANY))
-        at, p = find(self.many, key[large]), []
-        for k in (0, 1):
-            n = self.less[k][self.count[k][pair]]
-            n[large] = self.more[k][at]
-            p.append(n / self.total[k][before] + self.backoff[k][before] * self.word[k][word])
-        return word, p
+        before = (key >> U(32)).astype(np.int64)
+        part = (before // self.step).astype(np.uint16)
+        order, n = np.argsort(part, kind="stable"), np.zeros((2, len(key)), np.float32)
+        edges = np.searchsorted(part[order], np.arange(len(self.pairs) + 1))
+        for i, piece in enumerate(self.pairs):
+            rows = order[edges[i] : edges[i + 1]]
+            if piece is None or not len(rows):
+                continue
+            pairs, *count, many, more0, more1 = piece.value
+            pair = find(pairs, key[rows])
+            large = np.flatnonzero((count[0][pair] == MANY) | (count[1][pair] == MANY))
+            at = find(many, key[rows[large]])
+            for k, more in enumerate((more0, more1)):
+                n[k, rows] = self.less[k][count[k][pair]]
+                n[k, rows[large]] = more[at]
+        return word, [n[k] / self.total[k][before] + self.backoff[k][before] * self.word[k][word] for k in (0, 1)]
 
     def ratios(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ln P(word | toxic) - ln P(word | ordinary) of each word, alone and given the word before."""
@@ -138,8 +158,8 @@ def word_keys(labelled: DataFrame) -> np.ndarray:
                 for _, _, _, h, *_ in doc_words(batch.column(0).slice(a, b - a).to_pylist()):
                     yield pa.RecordBatch.from_pydict({"key": pa.array(np.unique(h).view(np.int64))})
 
-    (found,) = packed(labelled.select("text").mapInArrow(run, "key long").distinct(), F.pmod("key", F.lit(PARTS)), {"key": np.int64})
-    return np.unique(np.append(found.view(np.uint64), np.uint64(START)))
+    found = packed(labelled.select("text").mapInArrow(run, "key long").distinct(), F.pmod("key", F.lit(PARTS)), {"key": np.int64})
+    return np.unique(np.concatenate([np.array([START]), *(key.view(np.uint64) for _, (key,) in found)]))
 
 
 def pair_counts(labelled: DataFrame, keys: np.ndarray):
@@ -165,29 +185,39 @@ def pair_counts(labelled: DataFrame, keys: np.ndarray):
     return held, got.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-#: Pieces in which a table comes to the driver.
+#: Pieces in which a table comes to the driver, one after the other.
 PARTS = 32
 #: From this count on a pair's counts do not fit a byte. A text sample of n words has n / MANY such pairs at most.
 MANY = 255
 
 
-def packed(rows: DataFrame, part, columns: dict) -> list[np.ndarray]:
-    """The columns of rows as arrays, pieces by their number, each sorted by the first column; executors pack them, so the driver holds
-    plain bytes only."""
+def packed(rows: DataFrame, part, columns: dict):
+    """(number, columns as arrays) of each piece, sorted by the first column. Executors pack and write them, and they come one by one."""
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(next(iter(columns)))
         return pd.DataFrame({"part": [key[0]], "n": [len(frame)], "cells": [b"".join(frame[c].to_numpy(np.int64).astype(t).tobytes() for c, t in columns.items())]})
 
-    got = sorted(rows.withColumn("part", part).groupBy("part").applyInPandas(run, "part long, n long, cells binary").collect(), reverse=True)  # PARTS rows
-    out = [np.zeros(sum(r["n"] for r in got), t) for t in columns.values()]
-    at = 0
-    while got:
-        r, first = got.pop(), 0
-        for x in out:
-            x[at : at + r["n"]] = np.frombuffer(r["cells"], x.dtype, r["n"], first)
-            first += r["n"] * x.itemsize
-        at += r["n"]
+    table = written(rows.withColumn("part", part).groupBy("part").applyInPandas(run, "part long, n long, cells binary"), "tox-pieces")
+    for r in table.toLocalIterator():  # PARTS rows
+        ends = np.cumsum([r["n"] * np.dtype(t).itemsize for t in columns.values()])
+        yield r["part"], [np.frombuffer(r["cells"], t, r["n"], end - r["n"] * np.dtype(t).itemsize) for t, end in zip(columns.values(), ends, strict=True)]
+    dropped(table)
+
+
+def pair_discounts(sums: dict) -> list[float]:
+    return [discount(*sums["pair"][k][1:3]) for k in (0, 1)]
+
+
+def share(pairs: DataFrame, step: int, d: list[float]) -> list:
+    """The broadcast pieces of pairs (key, n0, n1), None where there are none. A piece: sorted keys, their counts of each class as bytes, and for
+    those with a count of MANY keys and discounted whole counts of each class. Counts end with a 0 for what is not there."""
+    out, piece = [None] * PARTS, F.expr(f"(key >> 32) div {step}")
+    for i, (key, *n) in packed(pairs, piece, {"key": np.uint64, "n0": np.uint32, "n1": np.uint32}):
+        large = (n[0] >= MANY) | (n[1] >= MANY)
+        count = [np.append(np.minimum(x, MANY).astype(np.uint8), np.uint8(0)) for x in n]
+        more = [np.append(np.maximum(x[large] - y, 0), 0).astype(np.float32) for x, y in zip(n, d, strict=True)]
+        out[i] = pairs.sparkSession.sparkContext.broadcast((key, *count, key[large], *more))
     return out
 
 
@@ -205,15 +235,12 @@ def learn(labelled: DataFrame) -> Model:
     counts = lambda c: [F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2), F.sum(c)]
     sums = {kind: (lambda r: [[float(x or 0) for x in r[4 * k : 4 * k + 4]] for k in (0, 1)])(list(df.agg(*counts(f"{c}0"), *counts(f"{c}1")).first())) for kind, df, c in (("word", words, "a"), ("pair", pairs, "n"))}
     kinds = words.where("a0 + a1 > 0").count()
-    step = -(-len(keys) // PARTS)  # numbers rise with the pieces, so what comes is sorted
-    ids, *found = packed(words, F.expr(f"id div {step}"), {"id": np.uint32, **dict.fromkeys(columns, np.uint32)})
+    step = -(-len(keys) // PARTS)
     table = [np.zeros(len(keys), np.uint32) for _ in columns]
-    for x, y in zip(table, found, strict=True):
-        x[ids] = y
-    piece, byte = F.expr(f"(key >> 32) div {step}"), {c: F.least(c, F.lit(MANY)) for c in ("n0", "n1")}
-    some = packed(pairs.withColumns(byte), piece, {"key": np.uint64, "n0": np.uint8, "n1": np.uint8})
-    many = packed(pairs.where((F.col("n0") >= MANY) | (F.col("n1") >= MANY)), piece, {"key": np.uint64, "n0": np.int64, "n1": np.int64})
-    model = Model(keys, table, some, many, sums, kinds)
+    for _, (ids, *found) in packed(words, F.expr(f"id div {step}"), {"id": np.uint32, **dict.fromkeys(columns, np.uint32)}):
+        for x, y in zip(table, found, strict=True):
+            x[ids] = y
+    model = Model(keys, table, share(pairs, step, pair_discounts(sums)), step, sums, kinds)
     dropped(pairs, words)
     return model
 
@@ -239,15 +266,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_500, folds: int
     rows = written(rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "tox-texts")
     apart = F.crc32(F.concat(F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0
     model = learn(rows.where(~apart))
-    held = spark.sparkContext.broadcast(model)
+    held, get = model.shared(spark)
 
     def measure(batches):
         for batch in batches:
-            x = np.concatenate([np.zeros((0, FEATURES)), *(held.value.features(batch.column(0).slice(a, b - a).to_pylist()) for a, b in text_runs(batch.column(0)))])
+            x = np.concatenate([np.zeros((0, FEATURES)), *(get().features(batch.column(0).slice(a, b - a).to_pylist()) for a, b in text_runs(batch.column(0)))])
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x[:, k]) for k in range(FEATURES))], names=["toxic", *(f"x{k}" for k in range(FEATURES))])
 
     got = rows.where(apart).select("text", "toxic").mapInArrow(measure, "toxic int, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toPandas()
-    held.destroy()  # the model is broadcast again with its weights
+    held.destroy()  # broadcast again with its weights, without the pairs
     dropped(rows)
     y = got["toxic"].to_numpy(float)
     weight = np.ones(len(y))
@@ -265,12 +292,12 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    _, get = model.shared(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             for a, b in text_runs(batch.column(1)):
-                p = held.value.score(batch.column(1).slice(a, b - a).to_pylist())
+                p = get().score(batch.column(1).slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p)], names=["doc_id", "score"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("score", T.DoubleType())]))
@@ -288,12 +315,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, limit: float = 0.7)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=0)
     if model is None:
         return docs
-    held, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
+    (_, get), at = model.shared(spark), docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             for a, b in text_runs(batch.column(at)):
                 part = batch.slice(a, b - a)
-                yield part.filter(pa.array(held.value.score(part.column(at).to_pylist()) < limit))
+                yield part.filter(pa.array(get().score(part.column(at).to_pylist()) < limit))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -526,6 +527,24 @@ def test_toxicity_like_plain_kneser_ney(spark):
     assert x[:3].tolist() == y[:3].tolist() and x[3] > 0 > y[3]
 
 
+def test_toxicity_pairs_pass_the_driver_in_pieces(spark):
+    """The driver's Python never holds ten bytes for each pair, and a pair's counts past a byte stay whole."""
+    rng = random.Random(23)
+    texts = [(" ".join(f"w{rng.randrange(3000)}" for _ in range(6000)), i % 2) for i in range(200)] + [("so so " * 400, 1)]
+    rows = spark.createDataFrame(texts, "text string, toxic int").repartition(4).cache()
+    n_pairs = len({p for t, _ in texts for p in zip(["<s>", *t.split()], t.split(), strict=False)})
+    toxicity.learn(rows)  # imports and first plans
+    tracemalloc.start()
+    model = toxicity.learn(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows.unpersist()
+    assert peak < 10 * n_pairs
+    (_, _, bounds, h, *_), *_ = common.doc_words(["so so so"])
+    p = model.given(h, bounds[:-1])[1]
+    assert p[1][1] == p[1][2] > 0.99 > 0.1 > p[0][1]
+
+
 def brute_links(ids, x, least):
     u = {i: np.array(v, float) / np.linalg.norm(v) for i, v in zip(ids, x, strict=True)}
     return {i: sum(1 for j in u if j != i and len(u[i]) == len(u[j]) and u[i] @ u[j] >= least) for i in u}, u
