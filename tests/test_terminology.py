@@ -404,3 +404,12 @@ def test_terms_of_matches(spark):
     assert got == {c: (x[2], f"{x[0]}{x[1]}", x[3].upper(), x[4].upper()) for c, x in best.items()}
     assert labels.count() == 2 * len(by)
     assert sorted((r["concept_id"], r["ja"][1], r["en"][1], r["score"], r["ja_context"], r["en_context"]) for r in evidence.collect()) == sorted((names[w[3:]], *w[:3], "ab"[w[0]], "cd"[w[1]]) for w in want)
+
+
+def test_terms_are_taken_from_texts_once(spark):
+    """Dictionaries, queues, merges and splits read their catalogue from the written terms."""
+    from lexforge import queries as Q
+    from lexforge import search_queries as S
+
+    for catalog in (Q._exported(spark, "/root/testdata/sf0.001")[2], S._dictionary(spark, "/root/testdata/sf0.001")[4]):
+        assert "regexp_extract_all" not in catalog._jdf.queryExecution().optimizedPlan().toString()
