@@ -127,6 +127,19 @@ def test_spelling_variants(spark):
     assert {(r[1][:2], r[3]) for r in got if len(r[1]) > 1000 and r[0] == "en"} == {("zz", 1)}
 
 
+def test_spelling_variants_of_dense_words(spark, monkeypatch):
+    """Words of few signs share all their pairs of signs: they meet by what is left of them, and only very long ones by pairs of signs."""
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choices("abc", k=rng.randint(5, 9))) for _ in range(300)}, key=lambda w: (len(w), w))
+    want = {(a, b, edit_distance(a, b)) for a, b in itertools.combinations(words, 2) if edit_distance(a, b) <= (1 if len(a) < 6 else 2)}
+    df, asked, prefixes = spark.createDataFrame([("en", w) for w in words], "lang string, term string"), [], W.prefixes
+    monkeypatch.setattr(W, "prefixes", lambda terms: asked.append(terms.count()) or prefixes(terms))
+    for longest in (24, 6, 0):
+        got = [tuple(r)[1:] for r in W.spelling_variants(df, longest).collect()]
+        assert set(got) == want and len(got) == len(want), longest
+    assert asked == [0, sum(len(w) > 6 for w in words), len(words)] and len(want) > 900
+
+
 def test_assignment(spark):
     rng = random.Random(5)
     for n, scores in ((12, [0.3, 0.5, 0.5, 0.9]), (40, [0.25])):
