@@ -137,6 +137,23 @@ def test_pages_with_many_common_values(spark, monkeypatch):
     assert got == want and met and sum(met) <= 3 * 2000
 
 
+def test_segments_by_sets_of_rows(spark):
+    """Each row's best of a segment, told by sets of rows: as by brute force, for several segments, rounds and shares of the Japanese rows."""
+    rng = random.Random(21)
+    weights = [0.35, 0.2, 0.25, 0.25, 0.25, 0.25, 0.25]
+    rows = {s: {i: sorted({f"{t}{rng.randint(0, 12)}" for t in rng.sample("abcdefg", 4) for _ in range(rng.randint(1, 4))}) for i in range(n)} for s, n in (("ja", 60), ("en", 400))}
+    ja, en = (spark.createDataFrame([(f"{s}{i:04d}", x) for i, x in rows[s].items()], f"{s} string, x array<string>").repartition(3) for s in ("ja", "en"))
+    score = lambda b: round(min(sum(w for i, w in enumerate(weights) if b >> i & 1), 1.0), 6)
+    bits = lambda a, b: sum({1 << ord(v[0]) - ord("a") for v in set(a) & set(b)})
+    for least, k in ((0.25, 5), (0.6, 2), (0.2, 1000)):
+        want = set()
+        for j, a in rows["ja"].items():
+            all_of = sorted((-score(m), e, m) for e, b in rows["en"].items() if (m := bits(a, b)) and score(m) >= least)
+            want |= {(f"ja{j:04d}", f"en{e:04d}", m) for _, e, m in all_of[:k]}
+        got = [tuple(r) for r in M.segment_pairs(ja, en, weights, least, k, size=70, growth=2, held=25).collect()]
+        assert set(got) == want and len(got) == len(want), (least, k)
+
+
 def test_confidence(spark):
     rows = [("a", "matched_block_terms", 0.55, False, True, False, False)] * 3 + [("b", "x", 0.72, False, True, True, True), ("b", "y", 0.95, True, False, False, False)]
     df = spark.createDataFrame(rows, "concept_id string, evidence_type string, score double, is_negative_evidence boolean, has_anchor boolean, has_heading boolean, has_table boolean")
