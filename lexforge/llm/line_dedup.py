@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm.bpe import text_runs
-from lexforge.llm.common import mix64, written
+from lexforge.llm.common import dropped, mix64, written
 
 U = np.uint64
 SEGMENTS = 8
@@ -47,8 +47,10 @@ def _key(kind: int, h: np.ndarray, *parts) -> np.ndarray:
     return h.view(np.int64)
 
 
-def segment_keys(lines: list[str]):
+def segment_keys(lines: list[str], sides: np.ndarray | None = None):
     """(line, key, base, segment): a key for all but one segment of each line, cut as a line of base signs.
+    sides: bit 2 less + side of a line says that its start (side 0) or end (1), cut as a line of `less` signs less, is another line's too;
+    then an edit can only be in the segments of the other side, and these alone get keys.
     Two lines within one edit have the same key for the segment that holds the edit. base: the length of
     the shorter line of a pair that a line may be in, its own or one less."""
     s = Signs(lines)
@@ -56,6 +58,9 @@ def segment_keys(lines: list[str]):
     for less in (0, 1):
         line = np.repeat(each[s.size >= less], SEGMENTS)
         part = np.tile(np.arange(SEGMENTS), int((s.size >= less).sum()))
+        if sides is not None:
+            some = (sides[line] >> (2 * less + (part < SEGMENTS // 2)) & 1) == 1
+            line, part = line[some], part[some]
         base = s.size[line] - less
         first, last = base * part // SEGMENTS, base * (part + 1) // SEGMENTS
         a, end = s.at[line], s.at[line] + s.size[line]
@@ -116,7 +121,7 @@ def dropped_lines(docs: DataFrame, least_chars: int = 20, id_col: str = "doc_id"
 
     128-bit hashes stand for lines in every shuffle. Distinct lines meet by hashes of their halves; one
     edit leaves a half as it is, so lines alone with both halves have no partner. Of the others
-    the texts are fetched, equal keys for all but an eighth of a line narrow the place of the edit,
+    the texts are fetched, equal keys for all but an eighth of a line, out of the half that is not shared, narrow the place of the edit,
     and the deletion neighbourhood is emitted for that eighth. Per key only the earliest line of
     each role is kept, so a bucket of any size is one row, and lines join that row; the edit
     distance of the two lines is then verified. A line goes if any earlier line is that near, kept or not."""
@@ -131,10 +136,11 @@ def dropped_lines(docs: DataFrame, least_chars: int = 20, id_col: str = "doc_id"
     distinct = hashed.groupBy("h1", "h2").agg(F.min(where).alias("at"), F.first("halves").alias("halves"))
     distinct = written(distinct, "line-distinct")
     later = hashed.join(distinct.select("h1", "h2", "at"), ["h1", "h2"]).where(where != F.col("at")).select("row", "line_no")
-    halves = distinct.select("h1", F.explode("halves").alias("half"))
+    halves = distinct.select("h1", F.posexplode("halves").alias("which", "half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
-    some = halves.join(shared, "half", "left_semi").select("h1").distinct()
-    some = distinct.join(some, "h1", "left_semi").select("h1", "h2", F.col("at.row").alias("row"), "at").dropDuplicates(["h1", "h2"])
+    some = halves.join(shared, "half", "left_semi").groupBy("h1").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("which"))).alias("sides"))
+    some = distinct.join(some, "h1").select("h1", "h2", F.col("at.row").alias("row"), "at", "sides").dropDuplicates(["h1", "h2"])
+    some = written(some, "line-halves")  # read twice with other columns, which would take the halves through two shuffles
     holders = rows.join(some.select("row").distinct(), "row", "left_semi")
     found = holders.select(F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select("line", *_h("line"))
     found = written(found.dropDuplicates(["h1", "h2"]).join(some.drop("row"), ["h1", "h2"]), "line-texts")
@@ -144,11 +150,11 @@ def dropped_lines(docs: DataFrame, least_chars: int = 20, id_col: str = "doc_id"
             for a, b in text_runs(batch.column(0)):
                 part = batch.slice(a, b - a)
                 h1, h2 = part.column(1), part.column(2)
-                for line, key, base, segment in segment_keys(part.column(0).to_pylist()):
+                for line, key, base, segment in segment_keys(part.column(0).to_pylist(), part.column(3).to_numpy()):
                     at = pa.array(line)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(base), pa.array(segment), h1.take(at), h2.take(at)], names=["key", "base", "segment", "h1", "h2"])
 
-    keys = written(found.select("line", "h1", "h2").mapInArrow(segments, "key long, base long, segment long, h1 long, h2 long"), "line-segments")
+    keys = written(found.select("line", "h1", "h2", "sides").mapInArrow(segments, "key long, base long, segment long, h1 long, h2 long"), "line-segments")
     multi = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
     narrowed = keys.join(multi, "key", "left_semi").select("h1", "h2", "base", "segment").distinct()
 
@@ -163,8 +169,9 @@ def dropped_lines(docs: DataFrame, least_chars: int = 20, id_col: str = "doc_id"
                         yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 500_000]), pa.array(np.full(len(at), role)), h1.take(at), h2.take(at)], names=["key", "role", "h1", "h2"])
 
     near = found.join(narrowed, ["h1", "h2"]).select("line", "base", "segment", "h1", "h2")
-    near = written(near.mapInArrow(emit, "key long, role long, h1 long, h2 long").distinct(), "line-variants")
-    near = near.join(found.select("h1", "h2", F.struct("at", "h1", "h2").alias("me")), ["h1", "h2"])
+    emitted = written(near.mapInArrow(emit, "key long, role long, h1 long, h2 long").distinct(), "line-variants")
+    dropped(keys)
+    near = emitted.join(found.select("h1", "h2", F.struct("at", "h1", "h2").alias("me")), ["h1", "h2"])
     first = near.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("me"))).alias(f"m{r}") for r in (0, 1, 2)])
     partner = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
     pairs = near.join(first, "key").select("h1", "h2", "me", partner.alias("p")).where(F.col("p") < F.col("me")).select("h1", "h2", F.col("p.h1").alias("p1"), F.col("p.h2").alias("p2")).distinct()
@@ -178,7 +185,9 @@ def dropped_lines(docs: DataFrame, least_chars: int = 20, id_col: str = "doc_id"
 
     gone = pairs.select("line", "other", "h1", "h2").mapInArrow(verify, "h1 long, h2 long").distinct()
     near_gone = hashed.join(gone, ["h1", "h2"], "left_semi").select("row", "line_no")
-    return written(later.unionByName(near_gone).distinct(), "line-dropped")
+    out = written(later.unionByName(near_gone).distinct(), "line-dropped")
+    dropped(hashed, distinct, some, found, emitted)  # the texts are shuffled next, and these tables are as large
+    return out
 
 
 def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "_lines", dropped_col: str = "_dropped") -> DataFrame:

@@ -259,6 +259,24 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_segment_keys_of_a_shared_half():
+    """Lines that share one half get keys for the segments of the other half only, and pairs within one edit still meet."""
+    rng = random.Random(14)
+    for n in (20, 21, 27, 64):
+        a = "".join(rng.choices("abcd", k=n))
+        for p in range(n):
+            for b in (a[:p] + "x" + a[p + 1 :], a[:p] + a[p + 1 :], a[:p] + "x" + a[p:]):
+                halves = [{(less, len(x) - less, side): x[: (len(x) - less) // 2] if side == 0 else x[len(x) - (len(x) - less) // 2 :] for less in (0, 1) for side in (0, 1)} for x in (a, b)]
+                both = [{(m, side, h) for (_, m, side), h in part.items()} for part in halves]
+                sides = np.array([sum(1 << 2 * less + side for (less, m, side), h in part.items() if (m, side, h) in both[0] & both[1]) for part in halves], np.int32)
+                got = [set(), set()]
+                for line, key, *_ in line_dedup.segment_keys([a, b], sides):
+                    for i, x in zip(line.tolist(), key.tolist(), strict=True):
+                        got[i].add(x)
+                assert got[0] & got[1] and len(got[0]) == 4 * int(sides[0]).bit_count(), (n, p, b)
+    assert sum(len(x[0]) for x in line_dedup.segment_keys(["a" * 40], np.array([1], np.int32))) == 4
+
+
 def test_bands_of_thresholds():
     assert near_dedup.layout(85) == (20, 6) and near_dedup.layout(80) == (24, 5)
     rng, lost = np.random.default_rng(9), 0
