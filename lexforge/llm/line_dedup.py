@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm.bpe import text_runs
 from lexforge.llm.common import dropped, mix64, written
+from lexforge.llm.decontamination import wanted
 
 U = np.uint64
 SEGMENTS = 8
@@ -114,6 +116,18 @@ def _h(line: str) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), line).alias("h1"), F.xxhash64(F.lit(2), F.reverse(line)).alias("h2")
 
 
+def passing(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """rows (row, ...) without most of those whose row is not in some (row), by a Bloom filter of the rows' hashes: what it stops
+    is never shuffled. All rows of some pass, so a join is to tell them from the others."""
+    held = rows.sparkSession.sparkContext.broadcast(wanted(some.select(F.xxhash64("row").alias("key")).distinct()))
+
+    @F.pandas_udf("boolean")
+    def hit(key: pd.Series) -> pd.Series:
+        return pd.Series(held.value.hits(key.to_numpy(np.int64).view(np.uint64)))
+
+    return rows.where(hit(F.xxhash64("row")))
+
+
 def dropped_lines(docs: DataFrame, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, line_no): lines of at least least_chars signs that an earlier line, by row and place,
     equals or comes within one inserted, deleted or replaced sign of; and shorter lines that an
@@ -121,7 +135,7 @@ def dropped_lines(docs: DataFrame, least_chars: int = 20, id_col: str = "doc_id"
 
     128-bit hashes stand for lines in every shuffle. Distinct lines meet by hashes of their halves; one
     edit leaves a half as it is, so lines alone with both halves have no partner. Of the others
-    the texts are fetched, equal keys for all but an eighth of a line, out of the half that is not shared, narrow the place of the edit,
+    the texts are fetched, past a filter that stops most other rows, equal keys for all but an eighth of a line, out of the half that is not shared, narrow the place of the edit,
     and the deletion neighbourhood is emitted for that eighth. Per key only the earliest line of
     each role is kept, so a bucket of any size is one row, and lines join that row; the edit
     distance of the two lines is then verified. A line goes if any earlier line is that near, kept or not."""
@@ -141,7 +155,7 @@ def dropped_lines(docs: DataFrame, least_chars: int = 20, id_col: str = "doc_id"
     some = halves.join(shared, "half", "left_semi").groupBy("h1").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("which"))).alias("sides"))
     some = distinct.join(some, "h1").select("h1", "h2", F.col("at.row").alias("row"), "at", "sides").dropDuplicates(["h1", "h2"])
     some = written(some, "line-halves")  # read twice with other columns, which would take the halves through two shuffles
-    holders = rows.join(some.select("row").distinct(), "row", "left_semi")
+    holders = passing(rows, some).join(some.select("row").distinct(), "row", "left_semi")
     found = holders.select(F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select("line", *_h("line"))
     found = written(found.dropDuplicates(["h1", "h2"]).join(some.drop("row"), ["h1", "h2"]), "line-texts")
 

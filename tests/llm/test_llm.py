@@ -339,6 +339,16 @@ def test_line_dedup_of_long_lines(spark):
     assert got[7] == "" and 1 < len(stay) < 20_000 and got[6] == "\n".join(f"line number {k} of a long text" for k in stay)
 
 
+def test_line_dedup_shuffles_only_texts_that_are_looked_for(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).select(line_dedup.place_of("doc_id", "text").alias("row"), "text")
+    some = rows.where("text like 'text %00'").select("row")
+    wanted = sorted(r.text for r in rows.where("text like 'text %00'").collect())
+    passed = [r.text for r in line_dedup.passing(rows, some.unionByName(some)).collect()]
+    assert set(wanted) <= set(passed) and len(passed) < 200 and len(wanted) == 39
+    nothing = line_dedup.passing(rows, some.limit(0))
+    assert nothing.count() == 0 and "text 0" in [r.text for r in line_dedup.passing(rows, rows.where("row.no_id").select("row")).collect()]
+
+
 def test_line_keys_meet():
     """Every pair within one edit shares a segment key, and a variant in that segment; others hardly ever do."""
     for a, b in itertools.product(["".join(x) for n in range(6) for x in itertools.product("ab", repeat=n)], repeat=2):
