@@ -4,29 +4,48 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.plans.scratch import Scratch
 
 
-def assign(candidates: DataFrame) -> DataFrame:
+def _best_first(batches):
+    """Takes always the best pair that is left; the pairs are a bounded number."""
+    if not (batches := list(batches)):
+        return
+    pairs, used = pa.Table.from_batches(batches).sort_by([("score", "descending"), ("ja", "ascending"), ("en", "ascending")]), (set(), set())
+    taken = []
+    for at, (ja, en) in enumerate(zip(pairs["ja"].to_pylist(), pairs["en"].to_pylist(), strict=True)):
+        if ja not in used[0] and en not in used[1]:
+            used[0].add(ja)
+            used[1].add(en)
+            taken.append(at)
+    yield from pairs.take(pa.array(taken, pa.int64())).to_batches()
+
+
+def assign(candidates: DataFrame, last: int = 50_000) -> DataFrame:
     """(ja, en, score, round) of (ja, en, score): no page twice, and no two pages that would both rather have each other.
 
     Pages prefer higher scores, then smaller partners; so the pairs are those that taking always the best pair that is left gives, in whatever
     order rounds find them. Each round takes all pairs that are each other's best, and drops what their pages are in.
-    Rounds are written tables; a chain of ever lower scores takes a round for every second link. Repeated pairs count once, with
+    Rounds are written tables; a chain of ever lower scores takes a round for every second link, until at most `last` pairs are
+    left: these are taken one by one, best first, as the last round. Repeated pairs count once, with
     their best score; rows with a null take no part."""
     scratch = Scratch(candidates.sparkSession)
     left = candidates.where("ja is not null and en is not null and score is not null").groupBy("ja", "en").agg(F.max("score").alias("score"))
     left, done = scratch.write(left, "pairs"), []
-    while not left.isEmpty():
+    while (n := left.count()) > last:
         choice = lambda own, other: left.groupBy(own).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(other).alias("other"))).alias("c")).select(own, F.col("c.other").alias(other), (-F.col("c.s")).alias("score"))  # noqa: B023, E731
         both = choice("ja", "en").join(choice("en", "ja").select("ja", "en"), ["ja", "en"])
         done.append(scratch.write(both.select("ja", "en", "score", F.lit(len(done) + 1).alias("round")), "chosen"))
         rest = scratch.write(left.join(done[-1].select("ja"), "ja", "left_anti").join(done[-1].select("en"), "en", "left_anti").select("ja", "en", "score"), "pairs")
         scratch.drop(left)
         left = rest
+    if n:
+        best = left.select("ja", "en", "score").coalesce(1).mapInArrow(_best_first, left.schema)
+        done.append(scratch.write(best.withColumn("round", F.lit(len(done) + 1)), "chosen"))
     return reduce(DataFrame.unionByName, done) if done else left.withColumn("round", F.lit(0))
 
 

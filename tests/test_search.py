@@ -140,6 +140,17 @@ def test_spelling_variants_of_dense_words(spark, monkeypatch):
     assert asked == [0, sum(len(w) > 6 for w in words), len(words)] and len(want) > 900
 
 
+def test_assignment_of_a_chain(spark):
+    """Ever lower scores, of which a round takes one pair: few pairs left end the rounds, and both ways give the same pairs."""
+    chain = [(f"j{(k + 1) // 2:02d}", f"e{k // 2:02d}", 1 - k / 100) for k in range(40)] + [(f"x{k}", f"y{k % 3}", 0.5) for k in range(9)]
+    df = spark.createDataFrame(chain, "ja string, en string, score double")
+    got = {last: A.assign(df, last).collect() for last in (35, 50_000)}
+    assert [max(r["round"] for r in rows) for rows in got.values()] == [4, 1]
+    pairs = [{tuple(r)[:3] for r in rows} for rows in got.values()]
+    assert pairs[0] == pairs[1] == {(f"j{k:02d}", f"e{k:02d}", 1 - 2 * k / 100) for k in range(20)} | {(f"x{k}", f"y{k}", 0.5) for k in range(3)}
+    assert A.assign(df.limit(0), 0).count() == 0
+
+
 def test_assignment(spark):
     rng = random.Random(5)
     for n, scores in ((12, [0.3, 0.5, 0.5, 0.9]), (40, [0.25])):

@@ -47,6 +47,13 @@ def test_anchors(spark):
     assert got[1] == {("image_name", "a.png")}
 
 
+def test_words_of_a_text_are_taken_once(spark):
+    """In a lambda an expression is found again for each element, so the patterns' results must come into it as a variable."""
+    rows = spark.createDataFrame([("en", "hub nut torque")], "lang string, text string")
+    plan = rows.select(X.terms(F.lit("en"), F.col("text")).alias("t"), X.anchors(F.col("text")).alias("a"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("[A-Za-z][A-Za-z-]*") == 1 and plan.count("s*kPa") == 1
+
+
 def test_terms(spark):
     rows = [("ja", "エンジン始動不良。補機バッテリー電圧を確認し、締付トルクを点検する。"), ("en", "Engine does not start. Check auxiliary battery voltage and tightening torque."), ("en", "hub"), ("en", "")]
     df = spark.createDataFrame(rows, "lang string, text string").select("lang", X.terms(F.col("lang"), F.col("text")).alias("t"))
