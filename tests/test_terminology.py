@@ -437,3 +437,12 @@ def test_terms_are_taken_from_texts_once(spark):
 
     for catalog in (Q._exported(spark, "/root/testdata/sf0.001")[2], S._dictionary(spark, "/root/testdata/sf0.001")[4]):
         assert "regexp_extract_all" not in catalog._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matches_and_merged_concepts_are_written_before_they_are_read_again(spark):
+    """The driver plans few joins at a time: what pairs share is looked up for written pairs, and a merge reads written concepts."""
+    from lexforge import queries as Q
+
+    shared = Q.matched(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert shared.count("Join") == 2 and "Union" not in shared and "Window" not in shared
+    assert "Aggregate" not in Q.q_concept_merge(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
