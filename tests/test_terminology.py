@@ -399,6 +399,23 @@ def test_html_udtf(spark):
     assert [(r["block_index"], r["text"], r["block_type"]) for r in got] == [(b["block_index"], b["text"], b["block_type"]) for b in want] and {r["id"] for r in got} == {1}
 
 
+def test_html_udtf_tells_a_failure(spark, monkeypatch):
+    """Unknown marked sections and numbers of thousands of digits don't take a page's blocks away; a page that fails ends the query."""
+    from lexforge.sources import html
+
+    odd = {1: "<p>a</p><![x y]><p>b</p>", 2: "<p>a</p><![?><p>b</p>", 3: f"<p>a</p><p title='&#{'9' * 5000};'>b &#{'0' * 5000}65; &#{'9' * 5000}; &#x{'0' * 5000}42; &#{'0' * 99};</p>"}
+    spark.createDataFrame(list(odd.items()), "id int, html string").createOrReplaceTempView("odd_pages")
+    html.extract_html_udtf(spark)
+    query = "SELECT id, b.text FROM odd_pages, LATERAL extract_html(html) b ORDER BY id, block_index"
+    assert [tuple(r) for r in spark.sql(query).collect()] == [(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "a"), (3, "b A \ufffd B \ufffd")]
+    monkeypatch.setattr(html, "parse_page", lambda page: 1 // 0)
+    html.extract_html_udtf(spark)
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        spark.sql(query).collect()
+    monkeypatch.undo()
+    html.extract_html_udtf(spark)
+
+
 def test_cut_references():
     """A cut character reference stays as it is, in titles, blocks and attributes; whole ones are decoded."""
     page = parse_page('<html><head><title>A &lt;b&gt; C&amp</title></head><body><h1>x &amp; &#39;y&#39; &quot</h1><p>R&D &ampx; &am</p><p>n &#x41; &#39</p><img src="a?b=1&amp;c=&copy"></body></html>')
