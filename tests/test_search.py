@@ -277,3 +277,19 @@ def test_translation_table(spark):
     got = {(r["ja_norm"], r["en_norm"]): r["p"] for r in B.translation_table(spark.createDataFrame([*rows, *rows[:4], ("j1", "e1", None, "v")], "ja string, en string, ja_norm string, en_norm string")).collect()}
     assert got.keys() == table.keys() and all(abs(got[k] - p) < 1e-9 for k, p in table.items())
     assert all(abs(sum(p for (a, _), p in got.items() if a == x) - 1) < 1e-9 for x in "abcde")
+
+
+def test_split_by_a_column(spark):
+    """Parts that a column gives are those that rows give; the query takes its evidence apart once for the result, and reads written tables else."""
+    from lexforge import search_queries as Q
+
+    concepts = spark.createDataFrame([(c, 0.5, "confirmed", True) for c in "xyz"], "concept_id string, confidence double, status string, safe_for_query_expansion boolean")
+    labels = spark.createDataFrame([(c, "en", f"t{c}", 0.5, "label") for c in "xyz"], "concept_id string, lang string, normalized_term string, confidence double, role string")
+    evidence = spark.createDataFrame([("x", "k1", 0.3, False), ("x", "k2", 0.4, True), ("x", "k3", 0.1, False), ("y", "k4", 0.2, False), ("y", "k5", 0.6, None)], "concept_id string, evidence_key string, score double, is_negative_evidence boolean")
+    part = F.when(F.col("evidence_key").isin("k1", "k2", "k4"), "a").when(F.col("evidence_key") == "k5", "b")
+    want, got = (R.split_concept(concepts, labels, evidence, p) for p in (evidence.select("evidence_key", part.alias("part")), part))
+    for w, g in zip(want, got, strict=True):
+        assert sorted(map(str, w.collect())) == sorted(map(str, g.collect()))
+    assert {(r["concept_id"], r["confidence"]) for r in got[0].collect()} == {("x", 0.5), ("x/a", 0.3), ("y/a", 0.2), ("y/b", 0.6), ("z", 0.5)}
+    plan = Q.q_concept_splits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
