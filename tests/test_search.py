@@ -293,3 +293,16 @@ def test_split_by_a_column(spark):
     assert {(r["concept_id"], r["confidence"]) for r in got[0].collect()} == {("x", 0.5), ("x/a", 0.3), ("y/a", 0.2), ("y/b", 0.6), ("z", 0.5)}
     plan = Q.q_concept_splits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 1
+
+
+def test_queries_of_the_same_terms_are_expanded_once(spark):
+    """Many queries that hold the same terms cost one expansion: the last plan reads each query once, and contexts come from lists of terms."""
+    from lexforge import search_queries as Q
+
+    plan = Q.q_expand_queries(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "MapInArrow" not in plan and plan.count("Relation") == 2
+    struct = "array<struct<norm:string,term:string>>"
+    rows = spark.createDataFrame([([("j", "J")], [("e", "E"), ("f", "F")])] * 5, f"ja_terms {struct}, en_terms {struct}")
+    got = Q._contexts(rows)
+    assert got.count() == 6 and {r["normalized_term"] for r in got.collect()} == {"j", "e", "f"}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
