@@ -463,3 +463,26 @@ def test_matches_and_merged_concepts_are_written_before_they_are_read_again(spar
     shared = Q.matched(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert shared.count("Join") == 2 and "Union" not in shared and "Window" not in shared
     assert "Aggregate" not in Q.q_concept_merge(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_digests(spark):
+    """The digests are those of the lists, in batches of a few rows, and no row holds a concept's whole list."""
+    import hashlib
+
+    from lexforge.operators import export as E
+
+    term, struct = "array<struct<norm:string,term:string>>", "struct<path:string,block_index:int>"
+    rows = [(("j%d" % (i % 5), i), ("e%d" % (i % 3), i), 0.25 + i % 4 / 8, ("a",) if i % 6 else None, f"J{i}", f"E{i}", [("x", "X")] + [("y", "Y")] * (i % 2), [("p", "P")]) for i in range(40)]
+    df = spark.createDataFrame(rows, f"ja {struct}, en {struct}, score double, evidence struct<k:string>, ja_context string, en_context string, ja_terms {term}, en_terms {term}")
+    _, _, evidence = C.build_concepts(df)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        d = E.evidence_digests(evidence, df)
+        got = {r["concept_id"]: tuple(r)[1:] for r in d.select("concept_id", "ids", "types", "files", "n_anchors", "sample_ja_context", "sample_en_context").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {r["concept_id"]: (hashlib.sha256(" ".join(r["evidence_ids"]).encode()).hexdigest(), " ".join(r["evidence_types"]), " ".join(r["source_files"]), len(r["anchors"]), r["sample_ja_context"], r["sample_en_context"]) for r in E.evidence_summary(evidence).collect()}
+    assert got == want and len(got) == 2 and "collect_list" not in d._jdf.queryExecution().optimizedPlan().toString()
+    from lexforge import queries as Q
+
+    assert "collect_list" not in Q.q_evidence_lists(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
