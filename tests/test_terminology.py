@@ -486,3 +486,15 @@ def test_evidence_digests(spark):
     from lexforge import queries as Q
 
     assert "collect_list" not in Q.q_evidence_lists(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_concepts_evidence_is_held_once(spark):
+    """Ids and anchors come from one list, ordered by score and key, and anchors that are null are left out."""
+    from lexforge.operators import export as E
+
+    place = "struct<path:string,block_index:int>"
+    rows = [("c", k, s, False, "t", (a,) if a else None, ("j", 0), ("e", 1), f"J{k}", f"E{k}") for k, s, a in (("k2", 0.5, "x"), ("k1", 0.5, None), ("k3", 0.9, "y"))]
+    got = E.evidence_summary(spark.createDataFrame(rows, f"concept_id string, evidence_key string, score double, is_negative_evidence boolean, evidence_type string, anchors_json struct<a:string>, ja {place}, en {place}, ja_context string, en_context string"))
+    (row,) = got.collect()
+    assert (row["evidence_ids"], row["anchors"], row["sample_ja_context"], row["source_files"]) == (["k3", "k1", "k2"], ['{"a":"y"}', '{"a":"x"}'], "Jk3", ["e", "j"])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
